@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 _DECOMPOSED_RANGES = ((0x00C0, 0x024F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2460, 0x24E9),
                       (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
 
-# Letters without a decomposition.
+# Letters and signs without a decomposition.
 _SPECIAL = {
     "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O",
     "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L",
@@ -36,17 +36,24 @@ def fold_table() -> dict[str, str]:
     return table
 
 
-def ascii_fold(text: Column) -> Column:
-    """One-to-one letters by `translate`, the others by `replace`; ASCII text is left alone."""
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ascii_fold_sql(text: str) -> str:
+    """One-to-one characters by `translate`, the others by `replace`; ASCII text is left alone."""
     table = fold_table()
     single = {c: b for c, b in table.items() if len(b) == 1}
     longer = {c: b for c, b in table.items() if len(b) > 1}
-    folded = F.translate(text, "".join(single), "".join(single.values()))
+    folded = f"translate({text}, {_literal(''.join(single))}, {_literal(''.join(single.values()))})"
     expanded = folded
     for char, base in longer.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(base))
+        expanded = f"replace({expanded}, '{char}', '{base}')"
     return (
-        F.when(~text.rlike(r"[^\x00-\x7F]"), text)
-        .when(text.rlike("[" + "".join(longer) + "]"), expanded)
-        .otherwise(folded)
+        rf"CASE WHEN NOT {text} RLIKE r'[^\x00-\x7F]' THEN {text} "
+        f"WHEN {text} RLIKE '[{''.join(longer)}]' THEN {expanded} ELSE {folded} END"
     )
+
+
+def ascii_fold(text: str) -> Column:
+    return F.expr(ascii_fold_sql(text))

@@ -15,29 +15,31 @@ def _check(side: str, smallest: int, largest: int) -> None:
         raise ValueError("the smallest gram size must not exceed the largest")
 
 
-def _sizes(term: Column, smallest: int, largest: int) -> Column:
+def _per_size(term: str, smallest: int, largest: int, body: str) -> str:
     # sequence() counts down when its end is below its start, hence the guard.
-    up = F.sequence(F.lit(smallest), F.least(F.length(term), F.lit(largest)))
-    return F.when(F.length(term) >= smallest, up).otherwise(F.array().cast("array<int>"))
+    sizes = f"sequence({smallest}, least(length({term}), {largest}))"
+    return f"if(length({term}) >= {smallest}, transform({sizes}, n -> {body}), array())"
 
 
-def edge_ngrams(term: Column, side: str = "front", smallest: int = 1, largest: int = 1) -> Column:
+def edge_ngrams_sql(term: str, side: str = "front", smallest: int = 1, largest: int = 1) -> str:
     """array<string> of the grams of `term`, shortest first."""
     _check(side, smallest, largest)
-    start = (lambda n: F.lit(1)) if side == "front" else (lambda n: F.length(term) - n + 1)
-    return F.transform(_sizes(term, smallest, largest), lambda n: F.substr(term, start(n), n))
+    return _per_size(term, smallest, largest, f"{'left' if side == 'front' else 'right'}({term}, n)")
 
 
-def edge_ngrams_with_offsets(term: Column, token_start: Column, side: str = "front",
-                             smallest: int = 1, largest: int = 1) -> Column:
+def edge_ngrams_with_offsets_sql(term: str, token_start: str, side: str = "front", smallest: int = 1,
+                                 largest: int = 1) -> str:
     """array<struct<gram, start, end>>; offsets count from the start of the text."""
     _check(side, smallest, largest)
-    skip = (lambda n: F.lit(0)) if side == "front" else (lambda n: F.length(term) - n)
-    return F.transform(
-        _sizes(term, smallest, largest),
-        lambda n: F.struct(
-            F.substr(term, skip(n) + 1, n).alias("gram"),
-            (token_start + skip(n)).alias("start"),
-            (token_start + skip(n) + n).alias("end"),
-        ),
-    )
+    skip, cut = ("0", "left") if side == "front" else (f"length({term}) - n", "right")
+    return _per_size(term, smallest, largest, (
+        f"named_struct('gram', {cut}({term}, n), 'start', {token_start} + {skip}, 'end', {token_start} + {skip} + n)"))
+
+
+def edge_ngrams(term: str, side: str = "front", smallest: int = 1, largest: int = 1) -> Column:
+    return F.expr(edge_ngrams_sql(term, side, smallest, largest))
+
+
+def edge_ngrams_with_offsets(term: str, token_start: str, side: str = "front", smallest: int = 1,
+                             largest: int = 1) -> Column:
+    return F.expr(edge_ngrams_with_offsets_sql(term, token_start, side, smallest, largest))

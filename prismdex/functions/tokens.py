@@ -13,6 +13,9 @@ matches is also the longest:
 
 Quantifiers are possessive: the matcher never backtracks, which keeps it linear per
 word and free of deep recursion on very long runs.
+
+Functions named `*_sql` take and return SQL expression text, so that they nest freely in
+lambdas; the others wrap them as Columns over a column name or expression.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ _JOINER = r"[_\-/.,]"
 _JOINER_NOT_DOT = r"[_\-/,]"
 
 
-def word_pattern(letter: str, alnum: str, letter_or_digit: str, possessive: bool = True) -> str:
+def word_pattern(letter: str, alnum: str, letter_or_digit: str, possessive: bool = True, emails: bool = True) -> str:
     """The word grammar over the given character classes.
 
     A number-like word is a chain of segments in which every other one has a digit.
@@ -56,107 +59,116 @@ def word_pattern(letter: str, alnum: str, letter_or_digit: str, possessive: bool
     run_mixed = f"(?:{dot}{num})*{p}(?:{q}{num}{run_tail}|{q}{seg}{digit_tail}|{dot}{seg}{digit_mixed})"
 
     email = rf"{seg}(?:[._\-]{seg})*{p}@{seg}(?:[.\-]{seg})+{p}"
-    apostrophe = f"{letter}+{p}(?:'{letter}+{p})+{p}"
+    apostrophe = rf"{letter}+{p}(?:\x27{letter}+{p})+{p}"
     company = f"{letter}+{p}[&@]{letter}+{p}"
     number = f"{num}{run_mixed}|{seg}{digit_mixed}"
     dotted = rf"{seg}(?:\.{seg})+{p}\.?{p}"
-    return "|".join([email, apostrophe, company, number, dotted, seg])
+    return "|".join([*([email] if emails else []), apostrophe, company, number, dotted, seg])
 
 
 # A run with no joiner and further run behind it is a word already: the common case first.
-_LONE_WORD = rf"{_ALNUM}++(?![._\-/,'&@]{_ALNUM})"
-WORD_PATTERN = "|".join([_LONE_WORD, word_pattern(_LETTER, _ALNUM, _LETTER_OR_DIGIT), f"[{_CJ}]"])
+_LONE_WORD = rf"{_ALNUM}++(?![._\-/,\x27&@]{_ALNUM})"
+
+
+def _pattern(emails: bool) -> str:
+    return "|".join([_LONE_WORD, word_pattern(_LETTER, _ALNUM, _LETTER_OR_DIGIT, emails=emails), f"[{_CJ}]"])
+
+
+# A long chain like a_b_c_d is looked through for an @ from each of its words, so the
+# e-mail rule is tried only on texts that hold one.
+WORD_PATTERN, WORD_PATTERN_WITHOUT_EMAILS = _pattern(True), _pattern(False)
 _ACRONYM = rf"^{_LETTER}(?:\.{_LETTER})+\.$"
 
 
-def raw_words(text: Column) -> Column:
+def raw_words_sql(text: str) -> str:
     """array<string>: the words of `text` as written, in order."""
-    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    return (f"if(contains({text}, '@'), regexp_extract_all({text}, r'{WORD_PATTERN}', 0), "
+            f"regexp_extract_all({text}, r'{WORD_PATTERN_WITHOUT_EMAILS}', 0))")
 
 
-def strip_word(word: Column) -> Column:
+def strip_word_sql(word: str) -> str:
     """Drop a trailing 's, the dots of an acronym and the last dot of a dotted name."""
     return (
-        F.when(word.endswith("'s") | word.endswith("'S"), F.substr(word, F.lit(1), F.length(word) - 2))
-        .when(word.endswith(".") & word.rlike(_ACRONYM), F.replace(word, F.lit("."), F.lit("")))
-        .when(word.endswith("."), F.substr(word, F.lit(1), F.length(word) - 1))
-        .otherwise(word)
+        f"CASE WHEN right({word}, 2) IN ('\\'s', '\\'S') THEN left({word}, length({word}) - 2) "
+        f"WHEN endswith({word}, '.') AND {word} RLIKE r'{_ACRONYM}' THEN replace({word}, '.', '') "
+        f"WHEN endswith({word}, '.') THEN left({word}, length({word}) - 1) ELSE {word} END"
     )
 
 
-def normalize_word(word: Column) -> Column:
+def normalize_word_sql(word: str) -> str:
     """strip_word, then lower case."""
-    return F.lower(strip_word(word))
+    return f"lower({strip_word_sql(word)})"
 
 
-def word_fits(word: Column) -> Column:
+def word_fits_sql(word: str) -> str:
     """Words over the length limit are dropped; they still take up a position."""
-    return F.length(word) <= MAX_TOKEN_CHARS
+    return f"length({word}) <= {MAX_TOKEN_CHARS}"
 
 
-def tokenize(text: Column) -> Column:
+def tokenize_sql(text: str) -> str:
     """array<struct<pos:int, term:string>> of one value."""
-    numbered = F.transform(raw_words(text), lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
-    return F.transform(
-        F.filter(numbered, lambda t: word_fits(t.term)),
-        lambda t: F.struct(t.pos.alias("pos"), normalize_word(t.term).alias("term")),
+    numbered = f"transform({raw_words_sql(text)}, (w, i) -> named_struct('pos', i, 'word', w))"
+    return (
+        f"transform(filter({numbered}, t -> {word_fits_sql('t.word')}), "
+        f"t -> named_struct('pos', t.pos, 'term', {normalize_word_sql('t.word')}))"
     )
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of `value`, with `value` worked out once instead of at every use in a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` standing for `value`, which is worked out once and not at every use."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _running_sums(lengths: Column, block: int = 128) -> Column:
+def _running_sums(lengths: str, block: int = 128) -> str:
     """For array<int>: the sum of all elements before each one.
 
     Summed per block and then within the block, so the work stays near linear in the
     length of the array.
     """
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    def total(part: str) -> str:
+        return f"aggregate({part}, 0, (a, b) -> a + b)"
 
-    def by_block(values: Column) -> Column:
-        n_blocks = F.ceil(F.size(values) / block).cast("int")
-        blocks = F.slice(F.sequence(F.lit(0), n_blocks), F.lit(1), n_blocks)
-        block_sums = F.transform(blocks, lambda b: total(F.slice(values, b * block + 1, F.lit(block))))
-        block_starts = _let(block_sums, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
-        return _let(block_starts, lambda starts: F.transform(
-            values,
-            lambda _, i: F.get(starts, F.floor(i / block).cast("int"))
-            + total(F.slice(values, F.floor(i / block).cast("int") * block + 1, i % block)),
-        ))
+    blocks = f"slice(sequence(0, int(ceil(size(ls) / {block}))), 1, int(ceil(size(ls) / {block})))"
+    block_sums = f"transform({blocks}, k -> {total(f'slice(ls, k * {block} + 1, {block})')})"
+    block_starts = _let("sums", block_sums, f"transform(sums, (s, k) -> {total('slice(sums, 1, k)')})")
+    in_block = total(f"slice(ls, int(i div {block}) * {block} + 1, i % {block})")
+    sums = _let("starts", block_starts, f"transform(ls, (l, i) -> starts[int(i div {block})] + {in_block})")
+    return _let("ls", lengths, sums)
 
-    return _let(lengths, by_block)
 
-
-def tokenize_with_offsets(text: Column) -> Column:
+def tokenize_with_offsets_sql(text: str) -> str:
     """array<struct<pos, term, start, end>>; offsets are characters of `text`.
 
     The text is split at its words; a word starts behind all gaps and words before it.
     """
     # One gap more than words: the last one has no word and is dropped.
-    pieces = F.filter(
-        F.arrays_zip(F.split(text, WORD_PATTERN, -1).alias("gap"), raw_words(text).alias("word")),
-        lambda p: p.word.isNotNull(),
+    gaps = (f"if(contains({text}, '@'), split({text}, r'{WORD_PATTERN}', -1), "
+            f"split({text}, r'{WORD_PATTERN_WITHOUT_EMAILS}', -1))")
+    pieces = f"filter(arrays_zip({gaps}, {raw_words_sql(text)}), p -> p.`1` IS NOT NULL)"
+    before = _running_sums("transform(parts, p -> length(p.`0`) + length(p.`1`))")
+    numbered = (
+        f"transform(arrays_zip(parts, {before}), (z, n) -> named_struct('pos', n, 'word', z.parts.`1`, "
+        "'start', z.`1` + length(z.parts.`0`), 'end', z.`1` + length(z.parts.`0`) + length(z.parts.`1`)))"
+    )
+    located = (
+        f"transform(filter({numbered}, t -> {word_fits_sql('t.word')}), t -> named_struct('pos', t.pos, "
+        f"'term', {normalize_word_sql('t.word')}, 'start', t.start, 'end', t.end))"
     )
+    return _let("parts", pieces, located)
+
+
+def raw_words(text: str) -> Column:
+    return F.expr(raw_words_sql(text))
+
+
+def strip_word(word: str) -> Column:
+    return F.expr(strip_word_sql(word))
+
+
+def tokenize(text: str) -> Column:
+    return F.expr(tokenize_sql(text))
+
 
-    def locate(parts: Column) -> Column:
-        before = _running_sums(F.transform(parts, lambda p: F.length(p.gap) + F.length(p.word)))
-        numbered = F.transform(
-            F.arrays_zip(parts.alias("part"), before.alias("before")),
-            lambda z, i: F.struct(
-                i.alias("pos"), z.part.word.alias("word"),
-                (z.before + F.length(z.part.gap)).alias("start"),
-                (z.before + F.length(z.part.gap) + F.length(z.part.word)).alias("end"),
-            ),
-        )
-        return F.transform(
-            F.filter(numbered, lambda t: word_fits(t.word)),
-            lambda t: F.struct(t.pos.alias("pos"), normalize_word(t.word).alias("term"),
-                               t.start.alias("start"), t.end.alias("end")),
-        )
-
-    return _let(pieces, locate)
+def tokenize_with_offsets(text: str) -> Column:
+    return F.expr(tokenize_with_offsets_sql(text))

@@ -6,21 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | text.rlike(r"^[\s\p{Z}]*$")
+def is_blank(text: str) -> Column:
+    return F.expr(rf"{text} IS NULL OR {text} RLIKE r'^[\s\p{{Z}}]*$'")
 
 
-def last_word(text: Column) -> Column:
+def last_word(text: str) -> Column:
     """Text after the last white space; empty when the text ends in white space."""
-    return F.element_at(F.split(text, r"[\s\p{Z}]", -1), -1)
+    return F.expr(rf"element_at(split({text}, r'[\s\p{{Z}}]', -1), -1)")
 
 
-def slug(name: Column) -> Column:
+def slug(name: str) -> Column:
     """Identifier form of a name: every white space or hyphen becomes an underscore."""
-    return F.regexp_replace(name, r"[\s\-]", "_")
+    return F.expr(rf"regexp_replace({name}, r'[\s\-]', '_')")
 
 
-def complete_phrase(phrase: Column, word: Column) -> Column:
+def complete_phrase(phrase: str, word: str) -> Column:
     """The phrase with its last word replaced by an accepted suggestion."""
-    parts = F.split(phrase, r"\s+", -1)
-    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.trim(word))), " ")
+    parts = rf"split({phrase}, r'\s+', -1)"
+    return F.expr(f"array_join(concat(slice({parts}, 1, size({parts}) - 1), array(trim({word}))), ' ')")

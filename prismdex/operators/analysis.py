@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.config import MAX_GRAM, MIN_GRAM, SUGGEST_STOP_WORDS, TEXT_STOP_WORDS
-from prismdex.functions.folding import ascii_fold
-from prismdex.functions.ngrams import edge_ngrams
-from prismdex.functions.stopwords import remove_stops
-from prismdex.functions.tokens import normalize_word, raw_words, tokenize, word_fits
-from prismdex.operators.sizing import lookup_join
+from prismdex.functions.folding import ascii_fold_sql
+from prismdex.functions.ngrams import edge_ngrams_sql
+from prismdex.functions.stopwords import remove_stops_sql, stop_list
+from prismdex.functions.tokens import normalize_word_sql, raw_words_sql, tokenize_sql, word_fits_sql
+from prismdex.operators.sizing import Size, lookup_join, measure
 
 
 @dataclass(frozen=True)
@@ -26,14 +26,14 @@ class Chain:
     synonyms: bool = False
     grams: tuple[str, int, int] | None = None
 
-    def tokens(self, text: Column) -> Column:
+    def tokens_sql(self, text: str) -> str:
         """array<struct<pos, term>> of one value, before synonyms and grams."""
         if not self.tokenized:
-            return F.array(F.struct(F.lit(0).alias("pos"), text.alias("term")))
-        tokens = tokenize(text)
+            return f"array(named_struct('pos', 0, 'term', {text}))"
+        tokens = tokenize_sql(text)
         if self.folded:
-            tokens = F.transform(tokens, lambda t: F.struct(t.pos.alias("pos"), ascii_fold(t.term).alias("term")))
-        return remove_stops(tokens, self.stop_words, self.gaps) if self.stop_words else tokens
+            tokens = f"transform({tokens}, f -> named_struct('pos', f.pos, 'term', {ascii_fold_sql('f.term')}))"
+        return remove_stops_sql(tokens, self.stop_words, self.gaps) if self.stop_words else tokens
 
 
 KEYWORD = Chain(tokenized=False)
@@ -43,42 +43,41 @@ SUGGEST = Chain(folded=True, stop_words=SUGGEST_STOP_WORDS, gaps=False, grams=("
 
 
 def analyze(docs: DataFrame, text: str, chain: Chain = STANDARD, key: str = "doc_id",
-            synonyms: DataFrame | None = None) -> DataFrame:
-    """(key, pos, term) rows of a text column. No shuffle."""
+            synonyms: DataFrame | None = None, size: Size | None = None) -> DataFrame:
+    """(key, pos, term) rows of a text column. No shuffle; `size` is that of `synonyms`."""
     if not chain.tokenized:
-        rows = docs.select(key, F.lit(0).alias("pos"), F.col(text).alias("term")).where("term IS NOT NULL")
+        rows = docs.where(F.col(text).isNotNull()).select(key, F.expr("0 AS pos"), F.col(text).alias("term"))
     elif chain.gaps:
         rows = (
-            docs.select(key, F.posexplode(raw_words(F.col(text))).alias("pos", "word"))
-            .where(word_fits(F.col("word")))
-            .select(key, "pos", normalize_word(F.col("word")).alias("term"))
+            docs.selectExpr(key, f"posexplode({raw_words_sql(text)}) AS (pos, word)").where(word_fits_sql("word"))
+            .selectExpr(key, "pos", f"{normalize_word_sql('word')} AS term")
         )
         if chain.folded:
-            rows = rows.withColumn("term", ascii_fold(F.col("term")))
+            rows = rows.selectExpr(key, "pos", f"{ascii_fold_sql('term')} AS term")
         if chain.stop_words:
-            rows = rows.where(~F.col("term").isin(*chain.stop_words))
+            rows = rows.where(f"term NOT IN {stop_list(chain.stop_words)}")
     else:
-        rows = docs.select(key, F.inline(chain.tokens(F.col(text))))
+        rows = docs.selectExpr(key, f"inline({chain.tokens_sql(text)})")
     if chain.synonyms and synonyms is not None:
-        rows = expand_synonyms(rows, synonyms, key)
+        rows = expand_synonyms(rows, synonyms, key, size=size)
     if chain.grams:
-        rows = rows.withColumn("term", F.explode(edge_ngrams(F.col("term"), *chain.grams)))
+        rows = rows.selectExpr(key, "pos", f"explode({edge_ngrams_sql('term', *chain.grams)}) AS term")
     return rows
 
 
-def expand_synonyms(rows: DataFrame, synonyms: DataFrame, key: str = "doc_id",
-                    split_multiword: bool = False) -> DataFrame:
+def expand_synonyms(rows: DataFrame, synonyms: DataFrame, key: str = "doc_id", split_multiword: bool = False,
+                    size: Size | None = None) -> DataFrame:
     """Add the synonyms (term, synonym) of every term at the position of the term.
 
     Synonyms are not looked up again. A synonym of several words stays one term with
     blanks unless `split_multiword` puts its words on following positions.
     """
     listed = synonyms.where("term IS NOT NULL AND synonym IS NOT NULL").groupBy("term").agg(
-        F.collect_set("synonym").alias("synonyms"))
-    joined = lookup_join(rows, listed, "term", "left", spread=[key, "pos"])
-    stacked = F.array_distinct(F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))))
+        F.expr("collect_set(synonym) AS synonyms"))
+    joined = lookup_join(rows, listed, "term", "left", [key, "pos"], size or measure(synonyms))
+    stacked = joined.selectExpr(
+        key, "pos", "explode(array_distinct(concat(array(term), coalesce(synonyms, array())))) AS term")
     if not split_multiword:
-        return joined.select(key, "pos", F.explode(stacked).alias("term"))
-    words = joined.select(key, "pos", F.explode(stacked).alias("stacked"))
-    return words.select(key, "pos", F.posexplode(F.split("stacked", " ")).alias("skip", "term")).select(
-        key, (F.col("pos") + F.col("skip")).alias("pos"), "term").distinct()
+        return stacked
+    words = stacked.selectExpr(key, "pos", "posexplode(split(term, ' ')) AS (skip, term)")
+    return words.selectExpr(key, "pos + skip AS pos", "term").distinct()

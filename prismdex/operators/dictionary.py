@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from prismdex.config import MIN_SUGGEST_CHARS, IndexConfig
 from prismdex.operators.analysis import KEYWORD, STANDARD, SYNONYM, analyze
-from prismdex.operators.sizing import lookup_join
+from prismdex.operators.sizing import Size, lookup_join, measure
 
 
 def doc_terms(docs: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     """(key, tokens): the analysed text column of every document, synonyms not yet added."""
-    return docs.select(cfg.key, STANDARD.tokens(F.col(cfg.text)).alias("tokens"))
+    return docs.selectExpr(cfg.key, f"{STANDARD.tokens_sql(cfg.text)} AS tokens")
 
 
 def occurrences(docs: DataFrame, cfg: IndexConfig = IndexConfig(), synonyms: DataFrame | None = None,
-                field: str | None = None) -> DataFrame:
+                field: str | None = None, size: Size | None = None) -> DataFrame:
     """(key, pos, term): every term of the text column, or of a facet column kept whole."""
     if field is not None and field != cfg.text:
         cfg.check_fields([field])
         return analyze(docs, field, KEYWORD, cfg.key)
-    return analyze(docs, cfg.text, SYNONYM, cfg.key, synonyms)
+    return analyze(docs, cfg.text, SYNONYM, cfg.key, synonyms, size)
 
 
 def build_postings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per term and document: (term, key, tf, positions in order)."""
     return (
         rows.groupBy("term", key)
-        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        .select("term", key, F.size("positions").alias("tf"), "positions")
+        .agg(F.expr("sort_array(collect_list(pos)) AS positions"))
+        .selectExpr("term", key, "size(positions) AS tf", "positions")
     )
 
 
@@ -48,19 +48,19 @@ def suggestable(dictionary: DataFrame, min_len: int = MIN_SUGGEST_CHARS) -> Data
     return dictionary.where(F.length("term") >= min_len)
 
 
-def doc_lengths(rows: DataFrame, synonyms: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def doc_lengths(rows: DataFrame, synonyms: DataFrame | None = None, key: str = "doc_id",
+                size: Size | None = None) -> DataFrame:
     """(key, n_terms, n_positions) per document, from its (key, pos, term) rows before synonyms.
 
     Synonyms stack on the position of their term: they add to n_terms only. The rows of a
     document are made in one task, so partial sums leave one row per document to shuffle.
     """
     if synonyms is None:
-        counted = rows.withColumn("n", F.lit(1))
-    else:
-        listed = synonyms.where("synonym <> term").groupBy("term").agg(F.count_distinct("synonym").alias("extra"))
-        counted = lookup_join(rows, listed, "term", "left", spread=[key, "pos"]).withColumn(
-            "n", F.coalesce("extra", F.lit(0)) + 1)
-    return counted.groupBy(key).agg(F.sum("n").alias("n_terms"), F.count("*").alias("n_positions"))
+        return rows.groupBy(key).agg(F.expr("count(*) AS n_terms"), F.expr("count(*) AS n_positions"))
+    listed = synonyms.where("synonym <> term").groupBy("term").agg(F.expr("count(DISTINCT synonym) AS extra"))
+    joined = lookup_join(rows, listed, "term", "left", [key, "pos"], size or measure(synonyms))
+    return joined.groupBy(key).agg(
+        F.expr("sum(1 + coalesce(extra, 0)) AS n_terms"), F.expr("count(*) AS n_positions"))
 
 
 def facet_values(docs: DataFrame, cfg: IndexConfig = IndexConfig(), carry: tuple[str, ...] = ()) -> DataFrame:

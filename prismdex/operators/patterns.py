@@ -36,7 +36,7 @@ def match_pattern(dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
     keyed = patterns.select(
         "query_id", F.substr(checked, F.lit(1), F.lit(_KEY_CHARS)).alias("key"),
         F.translate(escaped, "*?", "%_").alias("like_pattern"))
-    keys = F.explode(edge_ngrams(F.col("term"), "front", 1, _KEY_CHARS)).alias("key")
+    keys = F.explode(edge_ngrams("term", "front", 1, _KEY_CHARS)).alias("key")
     return _candidates(dictionary, keyed, keys, ["key"], F.expr("term LIKE like_pattern"))
 
 
@@ -44,7 +44,7 @@ def match_prefix(dictionary: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Terms that start with (query_id, prefix); wildcard characters stand for themselves."""
     keyed = prefixes.select("query_id", F.lower("prefix").alias("prefix")).withColumn(
         "key", F.substr("prefix", F.lit(1), F.lit(_KEY_CHARS)))
-    keys = F.explode(edge_ngrams(F.col("term"), "front", 1, _KEY_CHARS)).alias("key")
+    keys = F.explode(edge_ngrams("term", "front", 1, _KEY_CHARS)).alias("key")
     return _candidates(dictionary, keyed, keys, ["key"], F.startswith(F.col("term"), F.col("prefix")))
 
 
@@ -72,11 +72,10 @@ def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5) -
                 F.explode(F.sequence(F.greatest(F.col("start") - F.col("edits"), F.lit(0)),
                                      F.col("start") + F.col("edits"))).alias("at"))
     )
-    grams = F.inline(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.length("term") - 1),
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(_PIECE_CHARS), F.length("term") - i)),
-            lambda k: F.struct(i.alias("at"), F.substr("term", i + 1, k).alias("piece"))))))
+    grams = F.expr(
+        "inline(flatten(transform(sequence(0, length(term) - 1), i -> transform("
+        f"sequence(1, least({_PIECE_CHARS}, length(term) - i)), "
+        "k -> named_struct('at', i, 'piece', substr(term, i + 1, k))))))")
     shorter = F.least(F.length("word"), F.length("term"))
     distance = F.levenshtein("word", "term")
     close = (F.abs(F.length("word") - F.length("term")) <= F.col("edits")) & (

@@ -10,55 +10,53 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.operators.analysis import STANDARD, Chain
-from prismdex.operators.sizing import BROADCAST_ROWS, PUSHED_VALUES, Size, measure
+from prismdex.operators.sizing import BROADCAST_ROWS, PUSHED_VALUES, Size
 
 MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
 
 
-def clause_arrays(phrase: Column, chain: Chain = STANDARD, whole: bool = False) -> Column:
+def clauses_sql(phrase: str, chain: Chain = STANDARD, whole: bool = False) -> str:
     """array<array<struct<pos, term>>>: the clauses of a phrase.
 
     Words apart by white space are separate clauses; a word that analyses to several
     terms (mid-america) is one clause, and so is the phrase if taken `whole`.
     Stop words leave gaps; clauses of nothing but stop words vanish.
     """
-    chunks = F.array(phrase) if whole else F.split(phrase, r"[\s\p{Z}]+")
-    clauses = F.transform(chunks, lambda c: F.transform(
-        chain.tokens(c), lambda t: F.struct(t.pos.alias("q_pos"), t.term.alias("term"))))
-    return F.filter(clauses, lambda c: F.size(c) > 0)
+    chunks = f"array({phrase})" if whole else rf"split({phrase}, r'[\s\p{{Z}}]+')"
+    return f"filter(transform({chunks}, c -> {chain.tokens_sql('c')}), c -> size(c) > 0)"
 
 
-def _boost(queries: DataFrame) -> Column:
-    return F.col("boost").cast("double") if "boost" in queries.columns else F.lit(1.0)
+def _boost(queries: DataFrame) -> str:
+    return "CAST(boost AS double) AS boost" if "boost" in queries.columns else "CAST(1 AS double) AS boost"
 
 
 def bool_terms(queries: DataFrame, whole: bool = False, chain: Chain = STANDARD) -> DataFrame:
-    """Query terms of (query_id, must, should, must_not [, boost]); each a phrase or null.
+    """Query terms of (query_id [, must] [, should] [, must_not] [, boost]); each a phrase or null.
 
     All counts are taken within the row of the query: no shuffle.
     """
-    kinds = (MUST, SHOULD, MUST_NOT)
-    empty = F.array().cast("array<array<struct<q_pos:int,term:string>>>")
-    analysed = queries.select("query_id", _boost(queries).alias("boost"), *[
-        F.coalesce(clause_arrays(F.col(kind), chain, whole), empty).alias(kind) for kind in kinds])
-    parts = F.array(*[F.struct(F.lit(kind).alias("occur"), F.col(kind).alias("clauses")) for kind in kinds])
+    kinds = [kind for kind in (MUST, SHOULD, MUST_NOT) if kind in queries.columns]
+    analysed = queries.selectExpr("query_id", _boost(queries), *[
+        f"coalesce({clauses_sql(kind, chain, whole)}, array()) AS {kind}" for kind in kinds])
+    parts = ", ".join(f"named_struct('occur', '{kind}', 'clauses', {kind})" for kind in kinds)
+    n_must = f"size({MUST})" if MUST in kinds else "0"
+    n_should = f"size({SHOULD})" if SHOULD in kinds else "0"
     return (
-        analysed.select("query_id", "boost", F.size(MUST).alias("n_must"),
-                        (F.size(MUST) + F.size(SHOULD)).alias("n_clauses"), F.inline(parts))
-        .select("query_id", "boost", "n_must", "n_clauses", "occur", F.posexplode("clauses").alias("clause", "tokens"))
-        .select("query_id", "occur", "clause", F.size("tokens").alias("clause_size"), "n_clauses", "n_must", "boost",
-                F.inline("tokens"))
+        analysed.selectExpr("query_id", "boost", f"{n_must} AS n_must", f"{n_must} + {n_should} AS n_clauses",
+                            f"inline(array({parts}))")
+        .selectExpr("query_id", "boost", "n_must", "n_clauses", "occur", "posexplode(clauses) AS (clause, tokens)")
+        .selectExpr("query_id", "occur", "clause", "size(tokens) AS clause_size", "n_clauses", "n_must", "boost",
+                    "inline(tokens) AS (q_pos, term)")
     )
 
 
 def phrase_terms(queries: DataFrame, occur: str = MUST, whole: bool = False, chain: Chain = STANDARD) -> DataFrame:
     """Query terms of (query_id, phrase [, boost]): all clauses required, or all optional."""
-    phrases = {kind: F.col("phrase") if kind == occur else F.lit(None).cast("string") for kind in (MUST, SHOULD, MUST_NOT)}
-    return bool_terms(queries.withColumns(phrases), whole, chain)
+    return bool_terms(queries.withColumnRenamed("phrase", occur), whole, chain)
 
 
 def clause_terms(clauses: DataFrame, chain: Chain = STANDARD) -> DataFrame:
@@ -66,17 +64,13 @@ def clause_terms(clauses: DataFrame, chain: Chain = STANDARD) -> DataFrame:
 
     The text of a row is taken whole, so a text of several words is a phrase clause.
     """
-    rows = (
-        clauses.select("query_id", "clause", "occur", _boost(clauses).alias("boost"),
-                       chain.tokens(F.col("text")).alias("tokens"))
-        .where(F.size("tokens") > 0)
-    )
+    rows = clauses.selectExpr(
+        "query_id", "clause", "occur", _boost(clauses), f"{chain.tokens_sql('text')} AS tokens").where("size(tokens) > 0")
     totals = rows.groupBy("query_id").agg(
-        F.count_if(F.col("occur") != MUST_NOT).cast("int").alias("n_clauses"),
-        F.count_if(F.col("occur") == MUST).cast("int").alias("n_must"))
-    return rows.join(totals, "query_id").select(
-        "query_id", "occur", "clause", F.size("tokens").alias("clause_size"), "n_clauses", "n_must", "boost",
-        F.inline(F.transform("tokens", lambda t: F.struct(t.pos.alias("q_pos"), t.term.alias("term")))))
+        F.expr(f"int(count_if(occur <> '{MUST_NOT}')) AS n_clauses"), F.expr(f"int(count_if(occur = '{MUST}')) AS n_must"))
+    return rows.join(totals, "query_id").selectExpr(
+        "query_id", "occur", "clause", "size(tokens) AS clause_size", "n_clauses", "n_must", "boost",
+        "inline(tokens) AS (q_pos, term)")
 
 
 @dataclass(frozen=True)
@@ -90,15 +84,12 @@ class TermProbe:
 
 def probe_terms(terms: DataFrame) -> TermProbe:
     """Measure a table of query terms in one pass over at most the broadcast bound."""
-    head = terms.select("term", "clause_size").limit(BROADCAST_ROWS + 1)
-    rows, width, longest, distinct = head.agg(
-        F.count("*"),
-        F.coalesce(F.sum(F.octet_length("term") + 128), F.lit(0)),
-        F.coalesce(F.max("clause_size"), F.lit(0)),
-        F.count_distinct("term"),
-    ).first()
-    size = Size(rows, width)
-    listed = None
-    if size.small and distinct <= PUSHED_VALUES:
-        listed = tuple(r.term for r in head.select("term").distinct().collect())
-    return TermProbe(size, longest > 1 or not size.small, listed)
+    found = terms.select("term", "clause_size").limit(BROADCAST_ROWS + 1).agg(
+        F.expr("count(*) AS n"),
+        F.expr("coalesce(sum(octet_length(term) + 128), 0) AS width"),
+        F.expr("coalesce(max(clause_size), 0) AS longest"),
+        F.expr(f"slice(collect_set(term), 1, {PUSHED_VALUES + 1}) AS terms"),
+    ).collect()[0]
+    size = Size(found.n, found.width)
+    few = size.small and len(found.terms) <= PUSHED_VALUES
+    return TermProbe(size, found.longest > 1 or not size.small, tuple(found.terms) if few else None)

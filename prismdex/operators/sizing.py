@@ -27,23 +27,23 @@ class Size:
         return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
 
-def row_bytes(df: DataFrame):
-    """Column: the bytes of one row (strings by length, nested values by their JSON form)."""
-    width = F.lit(0).cast("long")
-    for field in df.schema.fields:
+def row_bytes_sql(schema: T.StructType) -> str:
+    """The bytes of one row: strings by length, nested values by their JSON form."""
+    widths = ["0"]
+    for field in schema.fields:
         if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+            widths.append(f"16 + coalesce(octet_length(`{field.name}`), 0)")
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0)) + 16
+            widths.append(f"16 + coalesce(octet_length(to_json(`{field.name}`)), 0)")
         else:
-            width = width + 16
-    return width
+            widths.append("16")
+    return " + ".join(widths)
 
 
 def measure(df: DataFrame) -> Size:
     """Count at most one row more than may be broadcast; never reads past that."""
-    probe = df.limit(BROADCAST_ROWS + 1).select(row_bytes(df).alias("width"))
-    rows, total = probe.agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
+    probe = df.limit(BROADCAST_ROWS + 1).selectExpr(f"bigint({row_bytes_sql(df.schema)}) AS width")
+    rows, total = probe.agg(F.expr("count(*)"), F.expr("coalesce(sum(width), 0)")).collect()[0]
     return Size(rows, total)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.operators.query_terms import probe_terms
@@ -10,7 +10,7 @@ from prismdex.operators.search import restrict
 from prismdex.operators.sizing import lookup_join
 
 
-def _fits_window(points: Column, start: Column, slop: int, n_terms: Column) -> Column:
+def _fits_window_sql(points: str, start: str, slop: int, n_terms: str) -> str:
     """Whether one position per phrase term lies in the window [start, start + slop].
 
     `points` are structs (q_pos, term, shift) with shift = position - q_pos, sorted. A term
@@ -18,21 +18,15 @@ def _fits_window(points: Column, start: Column, slop: int, n_terms: Column) -> C
     order, each place takes the first position still behind those its term has taken.
     The windows of one term's places are equally wide and in order, so this misses none.
     """
-    inside = F.filter(points, lambda p: (p.shift >= start) & (p.shift <= start + slop))
-    none = F.struct(F.lit(-1).alias("q_pos"), F.map_from_arrays(
-        F.array().cast("array<string>"), F.array().cast("array<int>")).alias("taken"), F.lit(0).alias("n"))
-
-    def step(acc: Column, p: Column) -> Column:
-        pos = p.shift + p.q_pos
-        free = F.coalesce(pos > F.element_at(acc.taken, p.term), F.lit(True))
-        use = (acc.q_pos != p.q_pos) & free
-        others = F.map_filter(acc.taken, lambda t, _: t != p.term)
-        return F.when(use, F.struct(
-            p.q_pos.alias("q_pos"),
-            F.map_concat(others, F.map_from_arrays(F.array(p.term), F.array(pos))).alias("taken"),
-            (acc.n + 1).alias("n"))).otherwise(acc)
-
-    return F.aggregate(inside, none, step, lambda acc: acc.n) == n_terms
+    inside = f"filter({points}, p -> p.shift BETWEEN {start} AND {start} + {slop})"
+    none = "named_struct('q_pos', -1, 'taken', map_from_arrays(array(''), array(-1)), 'n', 0)"
+    pos = "p.shift + p.q_pos"
+    use = f"acc.q_pos <> p.q_pos AND coalesce({pos} > acc.taken[p.term], true)"
+    step = (
+        f"if({use}, named_struct('q_pos', p.q_pos, 'taken', map_concat(map_filter(acc.taken, (t, x) -> t <> p.term), "
+        f"map_from_arrays(array(p.term), array({pos}))), 'n', acc.n + 1), acc)"
+    )
+    return f"aggregate({inside}, {none}, (acc, p) -> {step}, acc -> acc.n) = {n_terms}"
 
 
 def search_sloppy(postings: DataFrame, terms: DataFrame, slop: int, key: str = "doc_id") -> DataFrame:
@@ -60,7 +54,6 @@ def search_sloppy(postings: DataFrame, terms: DataFrame, slop: int, key: str = "
         .agg(F.sort_array(F.collect_set(F.struct("q_pos", "term", "shift"))).alias("points"))
         .where(F.size("points") >= F.col("clause_size"))
     )
-    windows = F.sequence(F.col("bucket") * (slop + 1), F.col("bucket") * (slop + 1) + slop)
-    matched = groups.where(F.exists(
-        windows, lambda start: _fits_window(F.col("points"), start, slop, F.col("clause_size"))))
+    windows = f"sequence(bucket * {slop + 1}, bucket * {slop + 1} + {slop})"
+    matched = groups.where(f"exists({windows}, w -> {_fits_window_sql('points', 'w', slop, 'clause_size')})")
     return matched.select("query_id", key).distinct()

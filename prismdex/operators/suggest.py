@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismdex.config import MIN_INPUT_CHARS, SUGGEST_LIMIT
-from prismdex.functions.ngrams import edge_ngrams
+from prismdex.functions.ngrams import edge_ngrams_sql
 from prismdex.functions.words import is_blank, last_word
 from prismdex.operators.analysis import SUGGEST
 from prismdex.operators.dictionary import suggestable
@@ -22,10 +22,9 @@ def build_suggestions(frequencies: DataFrame) -> DataFrame:
     The grams are the prefixes of every word inside a term after folding and stop word
     removal. Each term is expanded within its own row: no shuffle.
     """
-    side, smallest, largest = SUGGEST.grams
-    grams = F.flatten(F.transform(SUGGEST.tokens(F.col("term")), lambda t: edge_ngrams(t.term, side, smallest, largest)))
-    return suggestable(frequencies).select(
-        F.explode(F.array_distinct(grams)).alias("gram"), F.col("term").alias("word"), "doc_freq")
+    grams = f"flatten(transform({SUGGEST.tokens_sql('term')}, g -> {edge_ngrams_sql('g.term', *SUGGEST.grams)}))"
+    return suggestable(frequencies).selectExpr(
+        f"explode(array_distinct({grams})) AS gram", "term AS word", "doc_freq")
 
 
 def typed_words(inputs: DataFrame, min_chars: int = 0) -> DataFrame:
@@ -34,8 +33,8 @@ def typed_words(inputs: DataFrame, min_chars: int = 0) -> DataFrame:
     `min_chars` is the request gate on the whole input.
     """
     return (
-        inputs.where(~is_blank(F.col("text")) & (F.length("text") >= min_chars))
-        .select("input_id", F.lower(last_word(F.col("text"))).alias("gram"))
+        inputs.where(~is_blank("text")).where(f"length(text) >= {min_chars}")
+        .select("input_id", F.lower(last_word("text")).alias("gram"))
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prismdex.config import DEFAULT_SYNONYMS, IndexConfig
 from prismdex.operators import dictionary as D
 from prismdex.operators.analysis import expand_synonyms
+from prismdex.operators.sizing import measure
 from prismdex.operators.suggest import build_suggestions
 from prismdex.sources.store import open_or_empty, open_table, write_table
 
@@ -40,12 +41,13 @@ def default_synonyms(spark: SparkSession) -> DataFrame:
 
 def index_of(docs: DataFrame, cfg: IndexConfig = IndexConfig(), synonyms: DataFrame | None = None) -> Index:
     """The index of a documents table, worked out anew by every query that uses it."""
-    rows = D.occurrences(docs, cfg, synonyms)
+    size = measure(synonyms) if synonyms is not None else None
+    rows = D.occurrences(docs, cfg, synonyms, size=size)
     postings = D.build_postings(rows, cfg.key)
     frequencies = D.doc_freq(postings)
     return Index(
         docs=docs, postings=postings,
-        lengths=D.doc_lengths(D.occurrences(docs, cfg), synonyms, cfg.key),
+        lengths=D.doc_lengths(D.occurrences(docs, cfg), synonyms, cfg.key, size),
         frequencies=frequencies, suggestions=build_suggestions(frequencies),
         vocabulary=D.facet_vocabulary(docs, cfg),
         totals=docs.agg(F.count("*").alias("n_docs")), cfg=cfg)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prismdex.config import PAGE_OFFSET, PAGE_SIZE
 from prismdex.operators import facets as E
 from prismdex.operators import rank as R
-from prismdex.operators.query_terms import clause_arrays, phrase_terms
+from prismdex.operators.query_terms import clauses_sql, phrase_terms
 from prismdex.operators.sizing import lookup_join
 from prismdex.plans.index import Index
 from prismdex.sources.store import open_table, workspace, write_table
@@ -79,7 +79,7 @@ def answer_log(index: Index, log: DataFrame, offset: int = PAGE_OFFSET, count: i
     However often a phrase was typed, it costs one search; its page and facets are then
     handed to every row of the log that has it.
     """
-    signed = log.select("query_id", "phrase", F.to_json(clause_arrays(F.col("phrase"))).alias("clauses"))
+    signed = log.select("query_id", "phrase", F.expr(f"to_json({clauses_sql('phrase')}) AS clauses"))
     distinct = signed.where("clauses <> '[]'").groupBy("clauses").agg(
         F.min("query_id").alias("asked"), F.min_by("phrase", "query_id").alias("phrase"))
     found = browse(index, distinct.select(F.col("asked").alias("query_id"), "phrase"), offset, count, keep=True)

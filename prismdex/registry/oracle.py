@@ -157,7 +157,9 @@ def _entry(ctes, select: str) -> str:
     return (f"WITH {', '.join(ctes)} " if ctes else "") + select
 
 
-_SHORT_EDIT = "1.0 - levenshtein(lower(word), term) / least(length(word), length(term))::DOUBLE > 0.5"
+# levenshtein() counts bytes here, so the accented letters of the data become one-byte signs first.
+_SHORT_EDIT = ("1.0 - levenshtein(translate(lower(word), 'éóèñçüêäößí', '!#$%&()*+;<'), translate(term, 'éóèñçüêäößí', "
+               "'!#$%&()*+;<')) / least(length(word), length(term))::DOUBLE > 0.5")
 _LIKE = "replace(replace(lower(pattern), '*', '%'), '?', '_')"
 _FLAT = 'title, "Material" AS material, "Style" AS style, "Mounting" AS mounting, "Brand" AS brand'
 _RANGE = ("CASE WHEN inclusive THEN term BETWEEN lower(low) AND lower(high) "
@@ -193,7 +195,8 @@ ORACLE: dict[str, str] = {
     "edge_ngrams_back": _entry(A_INDEX, "SELECT term, right(term, n) AS gram FROM df, range(2, 6) r(n) WHERE n <= length(term)"),
     "edge_ngram_offsets": _entry(
         (PRODUCTS, f"t AS ({_tokens('products', 'title', 'doc_id')})",
-         "s AS (SELECT *, strpos(lower(title), term) - 1 AS start FROM t JOIN products USING (doc_id))"),
+         "s AS (SELECT *, coalesce(sum(length(term) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED "
+         "PRECEDING AND 1 PRECEDING), 0) AS start FROM t)"),
         "SELECT doc_id, pos, right(term, n) AS gram, (start + length(term) - n)::INTEGER AS gram_start, "
         "(start + length(term))::INTEGER AS gram_end FROM s, range(1, 21) r(n) WHERE n <= length(term)"),
     "dictionary_minlen": _entry(A_INDEX, "SELECT term FROM df WHERE length(term) >= 3"),

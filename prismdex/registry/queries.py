@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismdex.config import SUGGEST_STOP_WORDS, TEXT_STOP_WORDS
 from prismdex.functions import folding, ngrams, tokens, words
-from prismdex.functions.stopwords import remove_stops
+from prismdex.functions.stopwords import remove_stops_sql
 from prismdex.operators import dictionary as D
 from prismdex.operators import facets as E
 from prismdex.operators import patterns as P
@@ -116,26 +116,26 @@ def tokenize_standard(spark, sf):
 
 @query
 def token_normalize(spark, sf):
-    raw = T.articles(spark, sf).select(F.explode(tokens.raw_words(F.col("title"))).alias("word")).distinct()
-    return raw.select("word", tokens.strip_word(F.col("word")).alias("term"))
+    raw = T.articles(spark, sf).select(F.explode(tokens.raw_words("title")).alias("word")).distinct()
+    return raw.select("word", tokens.strip_word("word").alias("term"))
 
 
 @query
 def ascii_fold(spark, sf):
     terms = analyze(T.articles(spark, sf), "title", Chain()).select("term").distinct()
-    return terms.select("term", folding.ascii_fold(F.col("term")).alias("folded"))
+    return terms.select("term", folding.ascii_fold("term").alias("folded"))
 
 
 @query
 def stopwords_gaps(spark, sf):
-    kept = remove_stops(tokens.tokenize(F.col("title")), TEXT_STOP_WORDS, gaps=True)
-    return T.articles(spark, sf).select("doc_id", F.inline(kept))
+    kept = remove_stops_sql(tokens.tokenize_sql("title"), TEXT_STOP_WORDS, gaps=True)
+    return T.articles(spark, sf).selectExpr("doc_id", f"inline({kept})")
 
 
 @query
 def stopwords_nogaps(spark, sf):
-    kept = remove_stops(tokens.tokenize(F.col("title")), SUGGEST_STOP_WORDS, gaps=False)
-    return T.articles(spark, sf).select("doc_id", F.inline(kept))
+    kept = remove_stops_sql(tokens.tokenize_sql("title"), SUGGEST_STOP_WORDS, gaps=False)
+    return T.articles(spark, sf).selectExpr("doc_id", f"inline({kept})")
 
 
 @query
@@ -146,26 +146,26 @@ def synonym_expand(spark, sf):
 @query
 def edge_ngrams_front(spark, sf):
     terms = D.term_dictionary(T.article_index(spark, sf).postings)
-    return terms.select("term", F.explode(ngrams.edge_ngrams(F.col("term"), "front", 1, 20)).alias("gram"))
+    return terms.select("term", F.explode(ngrams.edge_ngrams("term", "front", 1, 20)).alias("gram"))
 
 
 @query
 def edge_ngrams_back(spark, sf):
     terms = D.term_dictionary(T.article_index(spark, sf).postings)
-    return terms.select("term", F.explode(ngrams.edge_ngrams(F.col("term"), "back", 2, 5)).alias("gram"))
+    return terms.select("term", F.explode(ngrams.edge_ngrams("term", "back", 2, 5)).alias("gram"))
 
 
 @query
 def edge_ngram_offsets(spark, sf):
-    located = T.products(spark, sf).select("doc_id", F.inline(tokens.tokenize_with_offsets(F.col("title"))))
-    grams = ngrams.edge_ngrams_with_offsets(F.col("term"), F.col("start"), "back", 1, 20)
+    located = T.products(spark, sf).select("doc_id", F.inline(tokens.tokenize_with_offsets("title")))
+    grams = ngrams.edge_ngrams_with_offsets("term", "start", "back", 1, 20)
     return located.select("doc_id", "pos", F.inline(grams)).select(
         "doc_id", "pos", "gram", F.col("start").alias("gram_start"), F.col("end").alias("gram_end"))
 
 
 @query
 def token_offsets(spark, sf):
-    located = T.articles(spark, sf).select("doc_id", F.inline(tokens.tokenize_with_offsets(F.col("title"))))
+    located = T.articles(spark, sf).select("doc_id", F.inline(tokens.tokenize_with_offsets("title")))
     return located.select("doc_id", "pos", F.col("start").alias("token_start"), F.col("end").alias("token_end"))
 
 
@@ -176,18 +176,18 @@ def dictionary_minlen(spark, sf):
 
 @query
 def last_word(spark, sf):
-    return T.articles(spark, sf).select("doc_id", words.last_word(F.col("title")).alias("word"))
+    return T.articles(spark, sf).select("doc_id", words.last_word("title").alias("word"))
 
 
 @query
 def facet_slug(spark, sf):
-    return T.articles(spark, sf).select("doc_id", words.slug(F.col("title")).alias("slug"))
+    return T.articles(spark, sf).select("doc_id", words.slug("title").alias("slug"))
 
 
 @query
 def complete_phrase(spark, sf):
-    accepted = F.concat(F.lit(" "), F.col("Brand"), F.lit(" "))
-    return T.products(spark, sf).select("doc_id", words.complete_phrase(F.col("title"), accepted).alias("phrase"))
+    accepted = "concat(' ', Brand, ' ')"
+    return T.products(spark, sf).select("doc_id", words.complete_phrase("title", accepted).alias("phrase"))
 
 
 @query

@@ -179,6 +179,20 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'lengths', count(DISTINCT doc_id) FROM occ UNION ALL SELECT 'frequencies', count(*) FROM df "
         "UNION ALL SELECT 'suggestions', count(*) FROM sug UNION ALL SELECT 'vocabulary', "
         "count(DISTINCT lang) + count(DISTINCT source) FROM articles"),
+    "response_json": _entry(
+        (*P_SCORED, FACETS, BROWSED,
+         "pages AS (SELECT query_id, string_agg('\"' || title || '\"', ',' ORDER BY rank) AS results FROM ranked "
+         "JOIN products USING (doc_id) WHERE rank <= 50 GROUP BY query_id)",
+         "grouped AS (SELECT query_id, field, string_agg('{\"Name\":\"' || value || '\",\"Count\":' || hit_count || '}', ',' "
+         "ORDER BY value) AS facets FROM counts GROUP BY ALL)",
+         "nested AS (SELECT query_id, string_agg('{\"Name\":\"' || field || '\",\"Facets\":[' || facets || ']}', ',' "
+         "ORDER BY field) AS groups FROM grouped GROUP BY query_id)"),
+        "SELECT query_id, '{\"Phrase\":\"\",\"SelectionGroups\":[],\"Results\":[' || results || '],\"FacetGroups\":[' || groups "
+        "|| ']}' AS response FROM pages JOIN nested USING (query_id)"),
+    "suggest_json": _entry(
+        (*A_INDEX, *_grams("df"), f"best AS ({_suggested('doc_freq, word')})"),
+        "SELECT input_id, '[' || coalesce(string_agg('\"' || word || '\"', ',' ORDER BY rank), '') || ']' AS response "
+        f"FROM ({inputs.INPUTS}) LEFT JOIN best USING (input_id) GROUP BY input_id"),
     # text analysis
     "tokenize_standard": _entry((ARTICLES,), _tokens("articles", "title", "doc_id")),
     "token_normalize": _entry((ARTICLES, f"w AS ({_words('articles', 'title', 'doc_id')})"),
@@ -199,6 +213,13 @@ ORACLE: dict[str, str] = {
          "PRECEDING AND 1 PRECEDING), 0) AS start FROM t)"),
         "SELECT doc_id, pos, right(term, n) AS gram, (start + length(term) - n)::INTEGER AS gram_start, "
         "(start + length(term))::INTEGER AS gram_end FROM s, range(1, 21) r(n) WHERE n <= length(term)"),
+    "token_offsets": _entry(
+        (ARTICLES, f"w AS (SELECT doc_id, unnest(l) AS raw, unnest(g[:len(l)]) AS gap, generate_subscripts(l, 1) - 1 AS pos FROM "
+         f"(SELECT doc_id, regexp_extract_all(title, '{_WORD}') AS l, regexp_split_to_array(title, '{_WORD}') AS g "
+         "FROM articles))",
+         "e AS (SELECT *, sum(length(gap) + length(raw)) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM w)"),
+        "SELECT doc_id, pos::INTEGER AS pos, (stop - length(raw))::INTEGER AS token_start, stop::INTEGER AS token_end FROM e "
+        "WHERE length(raw) <= 255"),
     "dictionary_minlen": _entry(A_INDEX, "SELECT term FROM df WHERE length(term) >= 3"),
     "last_word": r"SELECT doc_id, regexp_extract(text, '\S*$') AS word FROM documents",
     "facet_slug": r"SELECT doc_id, regexp_replace(text, '[\s-]', '_', 'g') AS slug FROM documents",

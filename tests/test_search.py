@@ -1,0 +1,240 @@
+import itertools
+import random
+
+import pytest
+from conftest import pairs
+from pyspark.sql import functions as F
+
+from prismdex.operators import patterns as P
+from prismdex.operators import rank as R
+from prismdex.operators import search as S
+from prismdex.operators.dictionary import build_postings
+from prismdex.operators.query_terms import SHOULD, bool_terms, clause_terms, phrase_terms
+from prismdex.operators.sloppy import search_sloppy
+from prismdex.plans import search as plans
+
+QUERY = "query_id long, phrase string"
+PHRASES = {
+    "shutters": set(range(18)), "louvered": {0, 2, 5, 6, 10, 14}, "custom wood": set(range(4, 10)), "style": set(),
+    "craft": set(), "mid-america": {0, 1, 2, 3}, "style craft": set(), "the of": set(), "": set(), "Board AND Batten": {8, 12, 16},
+    "wood wood": set(range(4, 10)), "batten board": {8, 12, 16}, "america-mid": set(),
+}
+
+
+def grouped(df, names):
+    found = {name: set() for name in names.values()}
+    for query_id, doc_id in pairs(df):
+        found[names[query_id]].add(doc_id)
+    return found
+
+
+def asked(rows, phrases):
+    names = dict(enumerate(phrases))
+    return names, rows(QUERY, *names.items())
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_all_terms(rows, index, broadcast, request):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    names, queries = asked(rows, PHRASES)
+    assert grouped(S.search_all(index.postings, phrase_terms(queries)), names) == PHRASES
+
+
+def test_any_term(rows, index):
+    names, queries = asked(rows, ["england batten", "the wood", "zzz", "mid-america bahama"])
+    assert grouped(S.search_any(index.postings, phrase_terms(queries, SHOULD)), names) == {
+        "england batten": {4, 5, 8, 12, 16}, "the wood": set(range(4, 10)), "zzz": set(),
+        "mid-america bahama": {0, 1, 2, 3, 9, 13, 17}}
+
+
+def test_bool(rows, index):
+    queries = rows("query_id long, must string, should string, must_not string",
+                   (1, "custom", None, "wood"), (2, None, "vinyl bahama", None), (3, None, None, "wood"),
+                   (4, "louvered", "wood", ""), (5, "mid-america", None, "raised-panel"))
+    found = S.search_bool(index.postings, bool_terms(queries))
+    assert grouped(found, {i: i for i in range(1, 6)}) == {
+        1: {2, 3, *range(10, 18)}, 2: {0, 1, 2, 3, 9, 13, 17}, 3: set(), 4: {0, 2, 5, 6, 10, 14}, 5: {0, 2}}
+
+
+def test_hit_sets(rows):
+    a, b = rows("query_id long, doc_id long", (1, 1), (1, 2)), rows("query_id long, doc_id long", (1, 2), (1, 3))
+    assert pairs(S.hits_and(a, b)) == [(1, 2)]
+    assert pairs(S.hits_or(a, b)) == [(1, 1), (1, 2), (1, 3)]
+    assert pairs(S.hits_not(a, b)) == [(1, 1)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_phrases(rows, index, broadcast, request):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    want = {"board and batten": {8, 12, 16}, "board batten": set(), "mid-america": {0, 1, 2, 3}, "new england": {4, 5},
+            "style craft": set(), "stylecraft new england custom raised panel wood shutters": {4}}
+    names, queries = asked(rows, want)
+    assert grouped(S.search_phrase(index.postings, phrase_terms(queries, whole=True)), names) == want
+
+
+def texts_postings(spark, texts):
+    found = spark.createDataFrame([(d, p, w) for d, t in enumerate(texts) for p, w in enumerate(t)],
+                                  "doc_id long, pos int, term string")
+    return build_postings(found).cache()
+
+
+def sloppy_match(text, phrase, slop):
+    places = [[p for p, w in enumerate(text) if w == term] for term in phrase]
+    for choice in itertools.product(*places):
+        shifts = [p - q for q, p in enumerate(choice)]
+        repeats = any(phrase[i] == phrase[j] and choice[i] == choice[j]
+                      for i in range(len(phrase)) for j in range(i))
+        if max(shifts) - min(shifts) <= slop and not repeats:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 4])
+def test_sloppy_against_brute_force(spark, rows, slop):
+    rng = random.Random(slop)
+    texts = [[rng.choice("uvwxyz") for _ in range(rng.randint(1, 14))] for _ in range(60)]
+    phrases = ["u v", "v u w", "u u", "u v u", "x", "y z x y", "z z z"]
+    names, queries = asked(rows, phrases)
+    want = {p: {d for d, t in enumerate(texts) if sloppy_match(t, p.split(), slop)} for p in phrases}
+    found = search_sloppy(texts_postings(spark, texts), phrase_terms(queries, whole=True), slop)
+    assert grouped(found, names) == want
+    if slop == 0:
+        exact = S.search_phrase(texts_postings(spark, texts), phrase_terms(queries, whole=True))
+        assert grouped(exact, names) == want
+
+
+def test_sloppy_on_one_word_repeated(spark, rows):
+    postings = texts_postings(spark, [["u"] * 3000 + ["v"], ["v"] + ["w"] * 50 + ["u"]])
+    found = search_sloppy(postings, phrase_terms(rows(QUERY, (1, "v u"), (2, "u u u")), whole=True), 2)
+    assert pairs(found) == [(1, 0), (2, 0)]
+    with pytest.raises(ValueError):
+        search_sloppy(postings, phrase_terms(rows(QUERY, (1, "v u"))), -1)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.fixture(scope="module")
+def dictionary(spark):
+    rng = random.Random(3)
+    terms = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(700)} | {"a%b", "a_b", "style craft"}
+    return spark.createDataFrame([(t,) for t in sorted(terms)], "term string").cache()
+
+
+@pytest.mark.parametrize("min_sim", [0.5, 0.2, 0.7, 0.0])
+def test_fuzzy_against_brute_force(dictionary, rows, min_sim):
+    words = ["abc", "ABCA", "é", "ab", "cabbac", "aébcbab", "zzz", "bcabcabca"]
+    terms = [t for (t,) in pairs(dictionary)]
+    want = sorted((i, t) for i, w in enumerate(words) for t in terms
+                  if 1 - distance(w.lower(), t) / min(len(w), len(t)) > min_sim)
+    assert pairs(P.match_fuzzy(dictionary, rows("query_id long, word string", *enumerate(words)), min_sim)) == want
+
+
+def test_fuzzy_bounds(dictionary, rows):
+    with pytest.raises(ValueError):
+        P.match_fuzzy(dictionary, rows("query_id long, word string", (1, "a")), 1.0)
+
+
+def test_patterns(dictionary, rows):
+    import fnmatch
+    terms = [t for (t,) in pairs(dictionary)]
+    patterns = ["ab*", "A?c", "a%*", "a_b", "c*a?b*", "style*", "abcabcabca*", "a*"]
+    want = sorted((i, t) for i, p in enumerate(patterns) for t in terms if fnmatch.fnmatchcase(t, p.lower()))
+    assert pairs(P.match_pattern(dictionary, rows("query_id long, pattern string", *enumerate(patterns)))) == want
+    prefixes = ["ab", "C", "abcab", "a%"]
+    want = sorted((i, t) for i, p in enumerate(prefixes) for t in terms if t.startswith(p.lower()))
+    assert pairs(P.match_prefix(dictionary, rows("query_id long, prefix string", *enumerate(prefixes)))) == want
+    with pytest.raises(Exception, match="start with a wildcard"):
+        P.match_pattern(dictionary, rows("query_id long, pattern string", (1, "*a"))).collect()
+
+
+def test_ranges(dictionary, rows):
+    terms = [t for (t,) in pairs(dictionary)]
+    assert [t for _, t in pairs(P.match_range(dictionary, "ab", "B"))] == [t for t in terms if "ab" <= t <= "b"]
+    assert [t for _, t in pairs(P.match_range(dictionary, "a", "b", False))] == [t for t in terms if "a" < t < "b"]
+    assert [t for _, t in pairs(P.match_range(dictionary, None, "b"))] == [t for t in terms if t <= "b"]
+    table = rows("query_id long, low string, high string, inclusive boolean",
+                 (1, "ab", "cab", True), (2, "ab", "é", False), (3, "c", "a", True))
+    want = sorted([(1, t) for t in terms if "ab" <= t <= "cab"] + [(2, t) for t in terms if "ab" < t < "é"])
+    assert pairs(P.match_ranges(dictionary, table)) == want
+
+
+def test_pattern_documents(index, rows):
+    found = P.match_pattern(index.frequencies, rows("query_id long, pattern string", (1, "shu*"), (2, "b?tten"), (3, "zz*")))
+    assert pairs(P.postings_of(index.postings, found)) == [(1, d) for d in range(18)] + [(2, 8), (2, 12), (2, 16)]
+
+
+def test_field_terms(docs, rows):
+    queries = rows("query_id long, field string, value string", (1, "Brand", "Atlantic"), (2, "Material", "wood"))
+    assert pairs(S.match_field(docs, queries)) == []
+    lowered = docs.withColumn("Material", F.lower("Material"))
+    assert pairs(S.match_field(lowered, queries.replace("wood", "WOOD"))) == [(2, d) for d in range(4, 10)]
+    assert S.match_all(docs, 5).count() == 18
+
+
+def test_norm(spark):
+    lengths = {1: 1.0, 2: 0.625, 4: 0.5, 6: 0.375, 7: 0.375, 8: 0.3125, 9: 0.3125, 16: 0.25, 64: 0.125, 65536: 2.0**-8}
+    df = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", R.length_norm(F.col("n")).alias("norm"))
+    assert dict(pairs(df)) == lengths
+
+
+def test_scores(rows, index):
+    found = plans.scored_hits(index, rows(QUERY, (1, "shutters"), (2, "custom wood")))
+    scores = {(q, d): s for q, d, s in pairs(found)}
+    assert {scores[1, d] for d in (0, 1, 2, 3, 6, 9, 10, 13, 14, 15, 16, 17)} == {335546}
+    assert {scores[1, d] for d in (4, 5, 7, 8, 11, 12)} == {279622}
+    assert {scores[2, d] for d in (6, 9)} == {1836943} and {scores[2, d] for d in (4, 5, 7, 8)} == {1530786}
+
+
+def test_scores_do_not_depend_on_the_join(rows, index, no_broadcast):
+    test_scores(rows, index)
+
+
+def test_coord_and_boost(rows, index):
+    def scores(terms):
+        return {d: s for _, d, s in pairs(R.score(index.postings, terms, index.frequencies, index.lengths, index.totals,
+                                                  require_all=False))}
+
+    either = scores(phrase_terms(rows(QUERY, (1, "england vinyl")), SHOULD))
+    alone = scores(phrase_terms(rows(QUERY, (1, "vinyl")), SHOULD))
+    assert either[0] == pytest.approx(alone[0] / 2, abs=1)  # one of two clauses
+    clause = "query_id long, clause int, text string, occur string, boost double"
+    boosted = scores(clause_terms(rows(clause, (1, 0, "vinyl", "should", 3.0))))
+    assert boosted[0] == pytest.approx(3 * alone[0], abs=3)
+    phrase = scores(clause_terms(rows(clause, (1, 0, "new england", "must", 1.0))))
+    assert set(phrase) == {4, 5}
+
+
+def test_paging(rows, index):
+    scored = plans.scored_hits(index, rows(QUERY, (1, "shutters")))
+    order = [0, 1, 2, 3, 6, 9, 10, 13, 14, 15, 16, 17, 4, 5, 7, 8, 11, 12]
+    page = R.top_hits(scored, offset=3, count=10).orderBy("rank").collect()
+    assert [r.doc_id for r in page] == order[3:13] and [r["rank"] for r in page] == list(range(4, 14))
+    assert [r.doc_id for r in R.top_hits_single(scored, 3, 10).collect()] == order[3:13]
+    plan = R.top_hits(scored)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "row_number(), 50, Partial" in plan
+
+
+def test_few_terms_reach_the_scan(spark, rows, index, tmp_path):
+    path = str(tmp_path / "postings")
+    index.postings.write.parquet(path)
+    found = S.search_all(spark.read.parquet(path), phrase_terms(rows(QUERY, (1, "custom wood"))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(term, [" in plan
+    assert "positions" not in plan.split("ReadSchema")[1].split(">")[0]
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_log_is_searched_once_per_phrase(rows, index):
+    log = rows(QUERY, (1, "custom wood"), (2, "Custom  wood"), (3, "louvered"), (4, "the"), (5, "custom wood"), (6, None))
+    answered, single = plans.answer_log(index, log), plans.browse(index, log)
+    assert pairs(answered.hits) == pairs(single.hits)
+    assert pairs(answered.facets) == pairs(single.facets)

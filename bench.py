@@ -53,7 +53,8 @@ def main() -> None:
 
     products, articles = T.products(spark, SF), T.articles(spark, SF)
     timed("tokenize_articles", lambda: drain(analyze(articles, "title", STANDARD)))
-    timed("build_articles", lambda: I.build_index(spark, articles, f"{folder}/articles", T.ARTICLES), 1)
+    timed("build_articles", lambda: I.build_index(
+        spark, articles, f"{folder}/articles", T.ARTICLES, files=int(CPUS)), 1)
     timed("build_products", lambda: I.build_index(
         spark, products, f"{folder}/products", T.PRODUCTS, T.synonyms(spark)), 1)
     on_articles = I.open_index(spark, f"{folder}/articles", T.ARTICLES)
@@ -66,7 +67,7 @@ def main() -> None:
 
     timed("search_all_terms", lambda: drain(S.search_all(on_products.postings, phrase_terms(names))))
     timed("search_any_articles", lambda: drain(S.search_any(on_articles.postings, phrase_terms(passages, SHOULD))))
-    timed("search_phrase_articles", lambda: drain(S.search_phrase(on_articles.postings, phrase_terms(passages, whole=True))))
+    timed("search_phrase_articles", lambda: drain(S.search_phrase(on_articles.postings, phrase_terms(passages, whole=True), on_articles.frequencies)))
     timed("search_phrase_slop", lambda: drain(search_sloppy(
         on_products.postings, phrase_terms(T.swapped_names(spark, SF), whole=True), 2)))
     timed("search_wildcard", lambda: drain(P.postings_of(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismdex.config import IndexConfig
 from prismdex.operators.dictionary import facet_values
-from prismdex.operators.sizing import lookup_join, measure
+from prismdex.operators.sizing import lookup_join, settle
 
 
 def known_selections(selections: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
@@ -34,9 +34,8 @@ def select_facets(docs: DataFrame, selections: DataFrame, cfg: IndexConfig = Ind
 
     An equality join on (field, value); nothing is compared that does not match.
     """
-    wanted = known_selections(selections, cfg).distinct()
+    wanted, size = settle(known_selections(selections, cfg).distinct())
     fields = wanted.groupBy("query_id").agg(F.count_distinct("field").alias("n_fields"))
-    size = measure(wanted)
     met = lookup_join(facet_values(docs, cfg), wanted, ["field", "value"], "inner", cfg.key, size)
     counted = met.groupBy("query_id", cfg.key).agg(F.count("*").alias("n"))
     return lookup_join(counted, fields, "query_id", "inner", cfg.key, size).where("n = n_fields").select(

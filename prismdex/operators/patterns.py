@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.functions.ngrams import edge_ngrams
-from prismdex.operators.sizing import PUSHED_VALUES, Size, lookup_join, measure
+from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, settle
 
 _KEY_CHARS = 8
 _PIECE_CHARS = 3
@@ -120,11 +120,8 @@ def postings_of(postings: DataFrame, found: DataFrame, key: str = "doc_id") -> D
 
     A short list of terms is pushed into the scan of the sorted postings.
     """
-    head = found.limit(PUSHED_VALUES + 1).collect()
-    if len(head) <= PUSHED_VALUES:
-        postings = postings.where(F.col("term").isin(*{r.term for r in head}))
-        size = Size(len(head), 0)
-    else:
-        size = measure(found)
+    found, size = settle(found)
+    if size.rows <= PUSHED_VALUES:
+        postings = postings.where(F.col("term").isin(*{r.term for r in found.collect()}))
     return lookup_join(postings.select("term", key), found, "term", "inner", key, size).select(
         "query_id", key).distinct()

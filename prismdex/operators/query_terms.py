@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.operators.analysis import STANDARD, Chain
-from prismdex.operators.sizing import BROADCAST_ROWS, PUSHED_VALUES, Size
+from prismdex.operators.sizing import BROADCAST_ROWS, PUSHED_VALUES, Size, settle
 
 MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
 
@@ -75,21 +75,24 @@ def clause_terms(clauses: DataFrame, chain: Chain = STANDARD) -> DataFrame:
 
 @dataclass(frozen=True)
 class TermProbe:
-    """What is known of a table of query terms before it meets the postings."""
+    """A table of query terms, and what is known of it before it meets the postings."""
 
+    table: DataFrame
     size: Size
-    has_phrases: bool
+    has_words: bool  # clauses of one term
+    has_phrases: bool  # clauses of several terms
     terms: tuple[str, ...] | None  # the distinct terms, if few enough to push into the scan
 
 
 def probe_terms(terms: DataFrame) -> TermProbe:
-    """Measure a table of query terms in one pass over at most the broadcast bound."""
-    found = terms.select("term", "clause_size").limit(BROADCAST_ROWS + 1).agg(
-        F.expr("count(*) AS n"),
-        F.expr("coalesce(sum(octet_length(term) + 128), 0) AS width"),
-        F.expr("coalesce(max(clause_size), 0) AS longest"),
+    """Settle a table of query terms, and look at it up to the broadcast bound."""
+    table, size = settle(terms)
+    found = table.select("term", "clause_size").limit(BROADCAST_ROWS + 1).agg(
+        F.expr("coalesce(min(clause_size), 1) AS shortest"),
+        F.expr("coalesce(max(clause_size), 1) AS longest"),
         F.expr(f"slice(collect_set(term), 1, {PUSHED_VALUES + 1}) AS terms"),
     ).collect()[0]
-    size = Size(found.n, found.width)
+    seen_all = size.rows <= BROADCAST_ROWS
     few = size.small and len(found.terms) <= PUSHED_VALUES
-    return TermProbe(size, found.longest > 1 or not size.small, tuple(found.terms) if few else None)
+    return TermProbe(table, size, found.shortest == 1 or not seen_all, found.longest > 1 or not seen_all,
+                     tuple(found.terms) if few else None)

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismdex.config import PAGE_OFFSET, PAGE_SIZE
-from prismdex.operators.query_terms import MUST_NOT, TermProbe, probe_terms
-from prismdex.operators.search import match_clauses, restrict
-from prismdex.operators.sizing import BROADCAST_ROWS, lookup_join, salted_join
+from prismdex.operators.query_terms import MUST_NOT, probe_terms
+from prismdex.operators.search import match_clauses, match_required, with_frequencies
+from prismdex.operators.sizing import BROADCAST_ROWS, settle
 
 
 def length_norm(n_terms: Column) -> Column:
@@ -19,23 +19,17 @@ def length_norm(n_terms: Column) -> Column:
     return power * (1.0 + F.floor((x / power - 1.0) * 4.0) / 4.0)
 
 
-def weigh_terms(terms: DataFrame, frequencies: DataFrame, n_docs: DataFrame, probe: TermProbe) -> DataFrame:
+def weigh_terms(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Query terms with `weight` = boost times the squared sum of the idfs of the clause.
 
-    `n_docs` is a one-row, one-column table.
+    `terms` carry `doc_freq`; `n_docs` is a one-row, one-column table.
     """
-    known = restrict(frequencies, probe)
-    if probe.terms is not None:
-        joined = terms.join(F.broadcast(known), "term", "left")  # one row per listed term
-    else:
-        wanted = lookup_join(known, terms.select("term").distinct(), "term", "left_semi", "term", probe.size)
-        joined = salted_join(terms, wanted, ["term"], "left", ["query_id"])
-    idf = 1.0 + F.log(n_docs.scalar() / (F.coalesce("doc_freq", F.lit(0)) + 1.0))
+    idf = 1.0 + F.log(n_docs.scalar() / (F.col("doc_freq") + 1.0))
     clause = W.partitionBy("query_id", "occur", "clause")
     return (
-        joined.withColumn("idf", idf)
+        terms.withColumn("idf", idf)
         .withColumn("weight", F.col("boost") * F.pow(F.sum("idf").over(clause), 2.0))
-        .drop("idf", "doc_freq")
+        .drop("idf")
     )
 
 
@@ -46,12 +40,14 @@ def score(postings: DataFrame, terms: DataFrame, frequencies: DataFrame, lengths
     The score is in whole millionths. With `require_all` only documents that match every
     clause are kept, so coord is 1; otherwise it is matched clauses / all clauses.
     """
-    probe = probe_terms(terms)
-    weighted = weigh_terms(terms.where(F.col("occur") != MUST_NOT), frequencies, n_docs, probe)
-    matched = match_clauses(postings, weighted, probe, key)
+    probe = probe_terms(terms.where(F.col("occur") != MUST_NOT))
+    weighted = settle(weigh_terms(with_frequencies(probe, frequencies), n_docs))[0]
+    if require_all:
+        matched = match_required(postings, probe, weighted, key)
+    else:
+        matched = match_clauses(postings, probe, weighted.drop("doc_freq"), key)
     summed = matched.groupBy("query_id", key).agg(
-        F.count("*").alias("n"), F.first("n_clauses").alias("n_clauses"),
-        F.sum(F.sqrt("freq") * F.col("weight")).alias("raw"))
+        F.expr("count(*) AS n"), F.expr("any_value(n_clauses) AS n_clauses"), F.expr("sum(sqrt(freq) * weight) AS raw"))
     if require_all:
         summed = summed.where("n = n_clauses")
     value = F.col("raw") * length_norm(F.col(length)) * (F.col("n") / F.col("n_clauses"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismdex.config import IndexConfig
 from prismdex.operators.dictionary import facet_values
 from prismdex.operators.query_terms import MUST, MUST_NOT, SHOULD, TermProbe, probe_terms
-from prismdex.operators.sizing import lookup_join
+from prismdex.operators.sizing import BROADCAST_ROWS, lookup_join, salted_join, settle
+
+# Up to this many postings of all query terms are simply joined and grouped.
+DIRECT_ROWS = 1_000_000
 
 
 def restrict(postings: DataFrame, probe: TermProbe) -> DataFrame:
@@ -25,47 +29,104 @@ def match_term(postings: DataFrame, term: str, key: str = "doc_id") -> DataFrame
     return postings.where(F.col("term") == term).select(key, "tf")
 
 
-def match_clauses(postings: DataFrame, terms: DataFrame, probe: TermProbe | None = None,
-                  key: str = "doc_id") -> DataFrame:
-    """(query_id, key, clause, freq, + clause columns): every clause a document matches.
+def _clauses_met(found: DataFrame, probe: TermProbe, key: str) -> DataFrame:
+    """(query_id, occur, clause, key, freq, + other query columns) from query terms joined to their postings.
 
-    A clause of one term is a posting already. A clause of several terms is counted per
-    start position (position in the text less position in the clause): all its terms on
-    one start is one occurrence. No self join of postings, no pairs.
+    A clause of one term is a posting already. For a clause of several terms the postings
+    of one document come together, at most one per term of the clause; a start position
+    (position in the text less position in the clause) that all of them share is one
+    occurrence. No self join of postings, no pairs of positions.
     """
-    probe = probe or probe_terms(terms)
-    about = [c for c in terms.columns if c not in ("term", "q_pos", "clause_size")]
-    found = restrict(postings, probe)
-    single = lookup_join(found.select("term", key, "tf"), terms.where("clause_size = 1"), "term", "inner", key, probe.size)
-    matched = single.select(key, *about, F.col("tf").cast("long").alias("freq"))
+    own = {"query_id", "occur", "clause", "term", "q_pos", "clause_size", key, "tf", "positions"}
+    about = [c for c in found.columns if c not in own]
+    single = found.where("clause_size = 1").selectExpr("query_id", "occur", "clause", key, *about, "bigint(tf) AS freq")
     if not probe.has_phrases:
-        return matched
-    words = lookup_join(found.select("term", key, "positions"), terms.where("clause_size > 1"), "term", "inner", key,
-                        probe.size)
-    starts = words.select(
-        key, *about, "clause_size", "q_pos", F.explode("positions").alias("pos")
-    ).withColumn("start", F.col("pos") - F.col("q_pos"))
+        return single
+    starts = found.where("clause_size > 1").withColumn("starts", F.expr("transform(positions, p -> p - q_pos)"))
+    together = (
+        starts.groupBy("query_id", "occur", "clause", key)
+        .agg(*[F.expr(f"any_value({c}) AS {c}") for c in (*about, "clause_size")],
+             F.expr("collect_list(struct(size(starts) AS n, starts)) AS lists"))
+        .where("size(lists) = clause_size")
+    )
+    # Rarest term first: what is left to compare only shrinks from there.
+    shared = "aggregate(sort_array(lists), CAST(NULL AS array<int>), (s, l) -> coalesce(array_intersect(s, l.starts), l.starts))"
     whole = (
-        starts.groupBy(key, *about, "clause_size", "start").agg(F.count("*").alias("n"))
-        .where("n = clause_size")
-        .groupBy(key, *about).agg(F.count("*").alias("freq"))
+        together.selectExpr("query_id", "occur", "clause", key, *about, f"bigint(size({shared})) AS freq")
+        .where("freq > 0")
     )
-    return matched.unionByName(whole)
+    return single.unionByName(whole) if probe.has_words else whole
+
+
+def match_clauses(postings: DataFrame, probe: TermProbe, terms: DataFrame | None = None,
+                  key: str = "doc_id") -> DataFrame:
+    """Every clause of a query that a document matches, with its frequency there.
 
+    `terms` are the rows of the probe with further columns, if any.
+    """
+    asked = probe.table if terms is None else terms
+    found = lookup_join(restrict(postings, probe), asked, "term", "inner", key, probe.size)
+    return _clauses_met(found, probe, key)
+
+
+def match_required(postings: DataFrame, probe: TermProbe, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same where every clause is required; `terms` carry `doc_freq`.
 
-def search_all(postings: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key): documents that match every clause of the query."""
-    matched = match_clauses(postings, terms, key=key)
+    The frequencies tell beforehand how many postings the terms have. Where these are
+    many, the search starts from the rarest term of each query: only its documents can
+    match, and the other terms are looked up for them by (term, key). While these lookups
+    fit a broadcast, the postings of a frequent term do not move at all; beyond that they
+    move once, not once per query that names the term.
+    """
+    per_query = terms.groupBy("query_id").agg(
+        F.expr("sum(doc_freq) AS all_rows"), F.expr("min(doc_freq) * count(*) AS lookups"))
+    cost = per_query.agg(F.expr("coalesce(sum(all_rows), 0) AS all_rows"),
+                         F.expr("coalesce(sum(lookups), 0) AS lookups")).collect()[0]
+    if cost.all_rows <= DIRECT_ROWS:
+        return match_clauses(postings, probe, terms.drop("doc_freq"), key)
+    restricted = restrict(postings, probe)
+    by_rarity = W.partitionBy("query_id").orderBy("doc_freq", "term", "occur", "clause", "q_pos")
+    rarest = terms.withColumn("nth", F.row_number().over(by_rarity)).where("nth = 1").select("query_id", "term")
+    seeds = lookup_join(restricted.select("term", key), rarest, "term", "inner", key, probe.size).select("query_id", key)
+    needed = lookup_join(seeds, terms.drop("doc_freq"), "query_id", "inner", key, probe.size)
+    if cost.lookups <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    return _clauses_met(restricted.join(needed, ["term", key]), probe, key)
+
+
+def with_frequencies(probe: TermProbe, frequencies: DataFrame) -> DataFrame:
+    """Query terms with the `doc_freq` of their term, 0 for a term no document has."""
+    known = restrict(frequencies, probe)
+    if probe.terms is None:
+        known = lookup_join(known, probe.table.select("term").distinct(), "term", "left_semi", "term", probe.size)
+    if probe.size.small:  # one row per distinct query term
+        joined = probe.table.join(F.broadcast(known), "term", "left")
+    else:
+        joined = salted_join(probe.table, known, ["term"], "left", ["query_id"])
+    return joined.withColumn("doc_freq", F.expr("coalesce(doc_freq, 0)"))
+
+
+def search_all(postings: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None,
+               key: str = "doc_id") -> DataFrame:
+    """(query_id, key): documents that match every clause of the query.
+
+    With the (term, doc_freq) table at hand the search starts from each query's rarest term.
+    """
+    probe = probe_terms(terms)
+    if frequencies is None:
+        matched = match_clauses(postings, probe, key=key)
+    else:
+        matched = match_required(postings, probe, settle(with_frequencies(probe, frequencies))[0], key)
     return (
         matched.groupBy("query_id", key)
-        .agg(F.count("*").alias("n"), F.first("n_clauses").alias("n_clauses"))
+        .agg(F.expr("count(*) AS n"), F.expr("any_value(n_clauses) AS n_clauses"))
         .where("n = n_clauses").select("query_id", key)
     )
 
 
 def search_any(postings: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """(query_id, key): documents that match at least one clause of the query."""
-    return match_clauses(postings, terms, key=key).select("query_id", key).distinct()
+    return match_clauses(postings, probe_terms(terms), key=key).select("query_id", key).distinct()
 
 
 def search_bool(postings: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -75,15 +136,16 @@ def search_bool(postings: DataFrame, terms: DataFrame, key: str = "doc_id") -> D
     """
     kinds = [F.count_if(F.col("occur") == kind).alias(f"n_{kind}_met") for kind in (MUST, SHOULD, MUST_NOT)]
     return (
-        match_clauses(postings, terms, key=key).groupBy("query_id", key).agg(*kinds, F.first("n_must").alias("n_must"))
+        match_clauses(postings, probe_terms(terms), key=key).groupBy("query_id", key).agg(*kinds, F.first("n_must").alias("n_must"))
         .where("n_must_not_met = 0 AND n_must_met = n_must AND n_must_met + n_should_met > 0")
         .select("query_id", key)
     )
 
 
-def search_phrase(postings: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+def search_phrase(postings: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None,
+                  key: str = "doc_id") -> DataFrame:
     """(query_id, key): documents with the whole phrase; `terms` come from phrase_terms(whole=True)."""
-    return search_all(postings, terms, key)
+    return search_all(postings, terms, frequencies, key)
 
 
 def hits_and(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:

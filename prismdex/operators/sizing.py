@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+LOCAL_ROWS = 10_000
+LOCAL_BYTES = 8 << 20
 PUSHED_VALUES = 1_000
 SALTS = 64
 
@@ -47,6 +49,18 @@ def measure(df: DataFrame) -> Size:
     return Size(rows, total)
 
 
+def settle(df: DataFrame) -> tuple[DataFrame, Size]:
+    """The table and its size; a table of few rows is fetched once and goes on as local rows.
+
+    What a query asks for is mostly that small, and is used in several places of a plan:
+    it is then not worked out again in each. A larger table stays as it is.
+    """
+    head = df.limit(LOCAL_ROWS + 1).toArrow()
+    if head.num_rows <= LOCAL_ROWS and head.nbytes <= LOCAL_BYTES:
+        return df.sparkSession.createDataFrame(head, schema=df.schema), Size(head.num_rows, head.nbytes)
+    return df, measure(df)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str]) -> DataFrame:
     """Shuffle join that shares out one hot key among many tasks.
 
@@ -63,10 +77,12 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
     """Join `big` to a side that is expected to be small (inner, left, left_semi, left_anti).
 
     Broadcast within the bound, salted shuffle join beyond it. `size` is the measure of
-    `small`, or of a table it cannot outgrow; without it `small` is measured here.
+    `small`, or of a table it cannot outgrow; without it `small` is settled here.
     """
     on = [on] if isinstance(on, str) else list(on)
     spread = [spread] if isinstance(spread, str) else list(spread)
-    if (size or measure(small)).small:
+    if size is None:
+        small, size = settle(small)
+    if size.small:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, spread)

@@ -43,7 +43,7 @@ def search_sloppy(postings: DataFrame, terms: DataFrame, slop: int, key: str = "
     probe = probe_terms(terms)
     joined = lookup_join(
         restrict(postings, probe).select("term", key, "positions"),
-        terms.select("query_id", "clause", "clause_size", "q_pos", "term"), "term", "inner", key, probe.size)
+        probe.table.select("query_id", "clause", "clause_size", "q_pos", "term"), "term", "inner", key, probe.size)
     points = joined.select(
         "query_id", "clause", "clause_size", key, "q_pos", "term", F.explode("positions").alias("pos"),
     ).withColumn("shift", F.col("pos") - F.col("q_pos"))

@@ -11,7 +11,7 @@ from prismdex.functions.ngrams import edge_ngrams_sql
 from prismdex.functions.words import is_blank, last_word
 from prismdex.operators.analysis import SUGGEST
 from prismdex.operators.dictionary import suggestable
-from prismdex.operators.sizing import lookup_join, measure, salted_join
+from prismdex.operators.sizing import lookup_join, salted_join, settle
 
 ORDERS = ("count_asc", "count_desc")
 
@@ -52,8 +52,7 @@ def suggest(suggestions: DataFrame, inputs: DataFrame, k: int = SUGGEST_LIMIT, o
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
-    typed = typed_words(inputs, min_chars)
-    size = measure(typed)
+    typed, size = settle(typed_words(inputs, min_chars))
     wanted = lookup_join(suggestions, typed.select("gram").distinct(), "gram", "left_semi", spread="word", size=size)
     freq = F.col("doc_freq") if order == "count_asc" else F.col("doc_freq").desc()
     best = (

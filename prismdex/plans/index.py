@@ -61,34 +61,36 @@ def build_index(spark: SparkSession, source: DataFrame, path: str, cfg: IndexCon
     Documents are written first and read back, so that ids given at reading are fixed
     before anything refers to them. The text is tokenised once, into a forward table
     (key, tokens) that postings and lengths are both made of. Postings are ranged on
-    (term, key): a term that is in most documents is spread over many files.
+    (term, key): a term that is in most documents is spread over many files. `files` is
+    the number of files of the larger tables; left out, documents stay partitioned as
+    the source is and Spark chooses for the others.
     """
     started = time.time()
     counted = Observation("documents")
-    write_table(source.observe(counted, F.count("*").alias("n_docs")), f"{path}/docs")
+    write_table(source.observe(counted, F.count("*").alias("n_docs")), f"{path}/docs", files=files)
     n_docs = counted.get["n_docs"]
     docs = open_table(spark, f"{path}/docs")
 
     write_table(D.doc_terms(docs, cfg), f"{path}/doc_terms")
     rows = open_table(spark, f"{path}/doc_terms").select(cfg.key, F.inline("tokens"))
-    stacked = rows if synonyms is None else expand_synonyms(rows, synonyms, cfg.key)
+    size = measure(synonyms) if synonyms is not None else None
+    stacked = rows if synonyms is None else expand_synonyms(rows, synonyms, cfg.key, size=size)
     by_term = ["term", cfg.key]
     ranged = stacked.repartitionByRange(files, *by_term) if files else stacked.repartitionByRange(*by_term)
     # The grouping needs no second shuffle: a range holds all rows of a (term, key).
     D.build_postings(ranged, cfg.key).sortWithinPartitions(*by_term).write.mode("overwrite").parquet(f"{path}/postings")
-    write_table(D.doc_lengths(rows, synonyms, cfg.key), f"{path}/lengths")
+    write_table(D.doc_lengths(rows, synonyms, cfg.key, size), f"{path}/lengths")
 
     postings = open_table(spark, f"{path}/postings")
-    write_table(D.doc_freq(postings), f"{path}/frequencies", sort_by=["term"])
+    write_table(D.doc_freq(postings), f"{path}/frequencies", sort_by=["term"], files=files)
     frequencies = open_table(spark, f"{path}/frequencies")
     if suggest_field is not None and suggest_field != cfg.text:
         words = D.doc_freq(D.build_postings(D.occurrences(docs, cfg, field=suggest_field), cfg.key))
     else:
         words = frequencies
-    write_table(build_suggestions(words), f"{path}/suggestions", sort_by=["gram", "doc_freq", "word"])
+    write_table(build_suggestions(words), f"{path}/suggestions", sort_by=["gram", "doc_freq", "word"], files=files)
     write_table(D.facet_vocabulary(docs, cfg), f"{path}/vocabulary")
-    totals = spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"))
-    write_table(totals, f"{path}/totals")
+    write_table(spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")), f"{path}/totals")
     ended = time.time()
     return {"started": started, "ended": ended, "seconds": ended - started, "n_docs": n_docs}
 

@@ -39,6 +39,19 @@ def test_all_terms(rows, index, broadcast, request):
         request.getfixturevalue("no_broadcast")
     names, queries = asked(rows, PHRASES)
     assert grouped(S.search_all(index.postings, phrase_terms(queries)), names) == PHRASES
+    assert grouped(S.search_all(index.postings, phrase_terms(queries), index.frequencies), names) == PHRASES
+
+
+@pytest.mark.parametrize("lookups", [0, 10**9])
+def test_from_the_rarest_term(rows, index, monkeypatch, lookups):
+    monkeypatch.setattr(S, "DIRECT_ROWS", 0)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", lookups)
+    names, queries = asked(rows, PHRASES)
+    assert grouped(S.search_all(index.postings, phrase_terms(queries), index.frequencies), names) == PHRASES
+    names, queries = asked(rows, ["board and batten", "board batten", "new england"])
+    found = S.search_phrase(index.postings, phrase_terms(queries, whole=True), index.frequencies)
+    assert grouped(found, names) == {"board and batten": {8, 12, 16}, "board batten": set(), "new england": {4, 5}}
+    test_scores(rows, index)
 
 
 def test_any_term(rows, index):
@@ -72,6 +85,7 @@ def test_phrases(rows, index, broadcast, request):
             "style craft": set(), "stylecraft new england custom raised panel wood shutters": {4}}
     names, queries = asked(rows, want)
     assert grouped(S.search_phrase(index.postings, phrase_terms(queries, whole=True)), names) == want
+    assert grouped(S.search_phrase(index.postings, phrase_terms(queries, whole=True), index.frequencies), names) == want
 
 
 def texts_postings(spark, texts):

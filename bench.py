@@ -52,7 +52,7 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     products, articles = T.products(spark, SF), T.articles(spark, SF)
-    timed("tokenize_articles", lambda: drain(analyze(articles, "title", STANDARD)))
+    timed("tokenize_articles", lambda: drain(analyze(articles.repartition(int(CPUS)), "title", STANDARD)))
     timed("build_articles", lambda: I.build_index(
         spark, articles, f"{folder}/articles", T.ARTICLES, files=int(CPUS)), 1)
     timed("build_products", lambda: I.build_index(

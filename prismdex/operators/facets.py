@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismdex.config import IndexConfig
 from prismdex.operators.dictionary import facet_values
-from prismdex.operators.sizing import lookup_join, settle
+from prismdex.operators.sizing import broadcast_if, lookup_join, settle
 
 
 def known_selections(selections: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
@@ -42,9 +42,14 @@ def select_facets(docs: DataFrame, selections: DataFrame, cfg: IndexConfig = Ind
         "query_id", cfg.key)
 
 
-def with_facets(hits: DataFrame, docs: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """Hits with the facet columns of their documents; no other column of docs is read."""
-    return hits.join(docs.select(cfg.key, *cfg.facets), cfg.key)
+def with_facets(hits: DataFrame, docs: DataFrame, cfg: IndexConfig = IndexConfig(),
+                max_hits: int | None = None) -> DataFrame:
+    """Hits with the facet columns of their documents; no other column of docs is read.
+
+    With a small bound on the hits the documents are filtered where they are read;
+    otherwise both sides meet by key.
+    """
+    return docs.select(cfg.key, *cfg.facets).join(broadcast_if(hits, max_hits), cfg.key)
 
 
 def refine_hits(faceted: DataFrame, selections: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:

@@ -14,13 +14,17 @@ from prismdex.functions.ngrams import edge_ngrams
 from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, settle
 
 _KEY_CHARS = 8
-_PIECE_CHARS = 3
+_PIECE_CHARS = 2
 
 
-def _candidates(dictionary: DataFrame, keyed: DataFrame, term_keys: Column, on: list[str], test: Column) -> DataFrame:
-    """Terms and patterns that share a key, and pass the test."""
-    exploded = dictionary.select("term", term_keys)
-    return lookup_join(exploded, keyed, on, "inner", "term").where(test).select("query_id", "term")
+def _candidates(terms: DataFrame, keyed: DataFrame, on: list[str], test: Column) -> DataFrame:
+    """(query_id, term) of terms and patterns that share a key, and pass the test."""
+    return lookup_join(terms, keyed, on, "inner", "term").where(test).select("query_id", "term")
+
+
+def _by_start(dictionary: DataFrame) -> DataFrame:
+    """(term, key): every term under each of its first starts."""
+    return dictionary.select("term", F.explode(edge_ngrams("term", "front", 1, _KEY_CHARS)).alias("key"))
 
 
 def match_pattern(dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -36,16 +40,14 @@ def match_pattern(dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
     keyed = patterns.select(
         "query_id", F.substr(checked, F.lit(1), F.lit(_KEY_CHARS)).alias("key"),
         F.translate(escaped, "*?", "%_").alias("like_pattern"))
-    keys = F.explode(edge_ngrams("term", "front", 1, _KEY_CHARS)).alias("key")
-    return _candidates(dictionary, keyed, keys, ["key"], F.expr("term LIKE like_pattern"))
+    return _candidates(_by_start(dictionary), keyed, ["key"], F.expr("term LIKE like_pattern"))
 
 
 def match_prefix(dictionary: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Terms that start with (query_id, prefix); wildcard characters stand for themselves."""
     keyed = prefixes.select("query_id", F.lower("prefix").alias("prefix")).withColumn(
         "key", F.substr("prefix", F.lit(1), F.lit(_KEY_CHARS)))
-    keys = F.explode(edge_ngrams("term", "front", 1, _KEY_CHARS)).alias("key")
-    return _candidates(dictionary, keyed, keys, ["key"], F.startswith(F.col("term"), F.col("prefix")))
+    return _candidates(_by_start(dictionary), keyed, ["key"], F.startswith(F.col("term"), F.col("prefix")))
 
 
 def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5) -> DataFrame:
@@ -72,15 +74,15 @@ def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5) -
                 F.explode(F.sequence(F.greatest(F.col("start") - F.col("edits"), F.lit(0)),
                                      F.col("start") + F.col("edits"))).alias("at"))
     )
-    grams = F.expr(
-        "inline(flatten(transform(sequence(0, length(term) - 1), i -> transform("
-        f"sequence(1, least({_PIECE_CHARS}, length(term) - i)), "
-        "k -> named_struct('at', i, 'piece', substr(term, i + 1, k))))))")
+    grams = (
+        dictionary.where("term <> ''").selectExpr("term", "explode(sequence(0, length(term) - 1)) AS at")
+        .selectExpr("term", "at", "explode(array(substr(term, at + 1, 1), substr(term, at + 1, 2))) AS piece")
+    )
     shorter = F.least(F.length("word"), F.length("term"))
     distance = F.levenshtein("word", "term")
     close = (F.abs(F.length("word") - F.length("term")) <= F.col("edits")) & (
         1.0 - distance / shorter > min_sim)
-    return _candidates(dictionary.where("term <> ''"), pieces, grams, ["at", "piece"], close).distinct()
+    return _candidates(grams, pieces, ["at", "piece"], close).distinct()
 
 
 def match_range(dictionary: DataFrame, low: str | None, high: str | None, inclusive: bool = True,
@@ -112,7 +114,8 @@ def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
         F.explode(F.sequence(first_class(low), first_class(high))).alias("key"))
     inside = F.when(F.col("inclusive"), F.col("term").between(F.col("low"), F.col("high"))).otherwise(
         (F.col("term") > F.col("low")) & (F.col("term") < F.col("high")))
-    return _candidates(dictionary, keyed, first_class(F.col("term")).alias("key"), ["key"], inside)
+    classed = dictionary.select("term", first_class(F.col("term")).alias("key"))
+    return _candidates(classed, keyed, ["key"], inside)
 
 
 def postings_of(postings: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from prismdex.config import PAGE_OFFSET, PAGE_SIZE
 from prismdex.operators.query_terms import MUST_NOT, probe_terms
-from prismdex.operators.search import match_clauses, match_required, with_frequencies
-from prismdex.operators.sizing import BROADCAST_ROWS, settle
+from prismdex.operators.search import Cost, cost_of, match_clauses, match_required, with_frequencies
+from prismdex.operators.sizing import LOCAL_ROWS, PUSHED_VALUES, broadcast_if, settle
 
 
 def length_norm(n_terms: Column) -> Column:
@@ -33,26 +33,35 @@ def weigh_terms(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
     )
 
 
-def score(postings: DataFrame, terms: DataFrame, frequencies: DataFrame, lengths: DataFrame, n_docs: DataFrame,
-          require_all: bool = True, length: str = "n_terms", key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score): sum over clauses of sqrt(freq) * weight, times norm and coord.
-
-    The score is in whole millionths. With `require_all` only documents that match every
-    clause are kept, so coord is 1; otherwise it is matched clauses / all clauses.
-    """
+def score_bounded(postings: DataFrame, terms: DataFrame, frequencies: DataFrame, lengths: DataFrame, n_docs: DataFrame,
+                  require_all: bool = True, length: str = "n_terms", key: str = "doc_id") -> tuple[DataFrame, Cost]:
+    """`score`, with the cost of the queries; it bounds the rows of the result."""
     probe = probe_terms(terms.where(F.col("occur") != MUST_NOT))
     weighted = settle(weigh_terms(with_frequencies(probe, frequencies), n_docs))[0]
+    cost = cost_of(weighted)
     if require_all:
-        matched = match_required(postings, probe, weighted, key)
+        matched = match_required(postings, probe, weighted, cost, key)
     else:
         matched = match_clauses(postings, probe, weighted.drop("doc_freq"), key)
     summed = matched.groupBy("query_id", key).agg(
         F.expr("count(*) AS n"), F.expr("any_value(n_clauses) AS n_clauses"), F.expr("sum(sqrt(freq) * weight) AS raw"))
     if require_all:
         summed = summed.where("n = n_clauses")
+    max_hits = cost.hits if require_all else cost.all_rows
     value = F.col("raw") * length_norm(F.col(length)) * (F.col("n") / F.col("n_clauses"))
-    return summed.join(lengths.select(key, length), key).select(
+    scored = lengths.select(key, length).join(broadcast_if(summed, max_hits), key).select(
         "query_id", key, F.round(value * 1e6).cast("long").alias("score"))
+    return scored, cost
+
+
+def score(postings: DataFrame, terms: DataFrame, frequencies: DataFrame, lengths: DataFrame, n_docs: DataFrame,
+          require_all: bool = True, length: str = "n_terms", key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score): sum over clauses of sqrt(freq) * weight, times norm and coord.
+
+    The score is in whole millionths. With `require_all` only documents that match every
+    clause are kept, so coord is 1; otherwise it is matched clauses / all clauses.
+    """
+    return score_bounded(postings, terms, frequencies, lengths, n_docs, require_all, length, key)[0]
 
 
 def top_hits(scored: DataFrame, offset: int = PAGE_OFFSET, count: int = PAGE_SIZE, key: str = "doc_id") -> DataFrame:
@@ -78,8 +87,14 @@ def top_hits_single(scored: DataFrame, offset: int = PAGE_OFFSET, count: int = P
 
 def fetch(hits: DataFrame, docs: DataFrame, columns: list[str], max_hits: int | None = None,
           key: str = "doc_id") -> DataFrame:
-    """Stored columns of a page of hits. `max_hits` is a bound on the rows of `hits`, if known."""
+    """Stored columns of a page of hits. `max_hits` is a bound on the rows of `hits`, if known.
+
+    Few hits are worked out first, and their keys are pushed into the scan of the stored
+    columns; the files of a table in key order are pruned by them.
+    """
     stored = docs.select(key, *columns)
-    if max_hits is not None and max_hits <= BROADCAST_ROWS:
-        return stored.join(F.broadcast(hits), key)
-    return hits.join(stored, key)
+    if max_hits is not None and max_hits <= LOCAL_ROWS:
+        hits, size = settle(hits)
+        if size.rows <= PUSHED_VALUES:
+            stored = stored.where(F.col(key).isin(*{r[0] for r in hits.select(key).collect()}))
+    return stored.join(broadcast_if(hits, max_hits), key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from prismdex.config import IndexConfig
 from prismdex.operators.dictionary import facet_values
 from prismdex.operators.query_terms import MUST, MUST_NOT, SHOULD, TermProbe, probe_terms
-from prismdex.operators.sizing import BROADCAST_ROWS, lookup_join, salted_join, settle
+from prismdex.operators.sizing import broadcast_if, lookup_join, salted_join, settle
 
 # Up to this many postings of all query terms are simply joined and grouped.
 DIRECT_ROWS = 1_000_000
@@ -69,19 +71,34 @@ def match_clauses(postings: DataFrame, probe: TermProbe, terms: DataFrame | None
     return _clauses_met(found, probe, key)
 
 
-def match_required(postings: DataFrame, probe: TermProbe, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class Cost:
+    """What a set of queries touches, from the document frequencies of its terms."""
+
+    n_queries: int
+    all_rows: int  # postings of all terms, counted per query that names them
+    hits: int  # most documents that can match, if every clause is required
+    lookups: int  # postings to look up for these documents
+
+
+def cost_of(terms: DataFrame) -> Cost:
+    """The cost of query terms that carry `doc_freq`; works on the query terms alone."""
+    per_query = terms.groupBy("query_id").agg(
+        F.expr("sum(doc_freq) AS all_rows"), F.expr("min(doc_freq) AS hits"), F.expr("count(*) AS n"))
+    total = per_query.agg(F.expr("count(*)"), *[
+        F.expr(f"coalesce(sum({c}), 0)") for c in ("all_rows", "hits", "hits * n")]).collect()[0]
+    return Cost(*total)
+
+
+def match_required(postings: DataFrame, probe: TermProbe, terms: DataFrame, cost: Cost,
+                   key: str = "doc_id") -> DataFrame:
     """The same where every clause is required; `terms` carry `doc_freq`.
 
-    The frequencies tell beforehand how many postings the terms have. Where these are
-    many, the search starts from the rarest term of each query: only its documents can
-    match, and the other terms are looked up for them by (term, key). While these lookups
-    fit a broadcast, the postings of a frequent term do not move at all; beyond that they
-    move once, not once per query that names the term.
+    Where the terms have many postings, the search starts from the rarest term of each
+    query: only its documents can match, and the other terms are looked up for them by
+    (term, key). While these lookups fit a broadcast, the postings of a frequent term do
+    not move at all; beyond that they move once, not once per query that names the term.
     """
-    per_query = terms.groupBy("query_id").agg(
-        F.expr("sum(doc_freq) AS all_rows"), F.expr("min(doc_freq) * count(*) AS lookups"))
-    cost = per_query.agg(F.expr("coalesce(sum(all_rows), 0) AS all_rows"),
-                         F.expr("coalesce(sum(lookups), 0) AS lookups")).collect()[0]
     if cost.all_rows <= DIRECT_ROWS:
         return match_clauses(postings, probe, terms.drop("doc_freq"), key)
     restricted = restrict(postings, probe)
@@ -89,9 +106,7 @@ def match_required(postings: DataFrame, probe: TermProbe, terms: DataFrame, key:
     rarest = terms.withColumn("nth", F.row_number().over(by_rarity)).where("nth = 1").select("query_id", "term")
     seeds = lookup_join(restricted.select("term", key), rarest, "term", "inner", key, probe.size).select("query_id", key)
     needed = lookup_join(seeds, terms.drop("doc_freq"), "query_id", "inner", key, probe.size)
-    if cost.lookups <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    return _clauses_met(restricted.join(needed, ["term", key]), probe, key)
+    return _clauses_met(restricted.join(broadcast_if(needed, cost.lookups), ["term", key]), probe, key)
 
 
 def with_frequencies(probe: TermProbe, frequencies: DataFrame) -> DataFrame:
@@ -116,7 +131,8 @@ def search_all(postings: DataFrame, terms: DataFrame, frequencies: DataFrame | N
     if frequencies is None:
         matched = match_clauses(postings, probe, key=key)
     else:
-        matched = match_required(postings, probe, settle(with_frequencies(probe, frequencies))[0], key)
+        known = settle(with_frequencies(probe, frequencies))[0]
+        matched = match_required(postings, probe, known, cost_of(known), key)
     return (
         matched.groupBy("query_id", key)
         .agg(F.expr("count(*) AS n"), F.expr("any_value(n_clauses) AS n_clauses"))

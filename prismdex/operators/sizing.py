@@ -61,6 +61,14 @@ def settle(df: DataFrame) -> tuple[DataFrame, Size]:
     return df, measure(df)
 
 
+def broadcast_if(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """The table marked for broadcast if a bound on its rows is known and small.
+
+    For narrow tables of keys and numbers, whose bytes follow from their rows.
+    """
+    return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str]) -> DataFrame:
     """Shuffle join that shares out one hot key among many tasks.
 

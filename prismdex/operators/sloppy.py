@@ -33,10 +33,12 @@ def search_sloppy(postings: DataFrame, terms: DataFrame, slop: int, key: str = "
     """(query_id, key): documents where the phrase terms fit within `slop` moves.
 
     With shift = position - place in the phrase, a document matches when some choice of
-    one position per place keeps max(shift) - min(shift) <= slop. Shifts go into buckets
-    slop + 1 wide; a window that starts in a bucket ends in it or the next, so each point
-    is sent to its own bucket and the one before. A group then holds at most 2 (slop + 1)
-    shifts per place, however often a document repeats a word.
+    one position per place keeps max(shift) - min(shift) <= slop. Documents that lack a
+    term of the phrase are dropped first. Shifts then go into buckets slop + 1 wide; a
+    window that starts in a bucket ends in it or the next, so each point is sent to its
+    own bucket and the one before. A group then holds at most 2 (slop + 1) shifts per
+    place, however often a document repeats a word. It needs no further shuffle, since
+    the buckets of a document are where the document is.
     """
     if slop < 0:
         raise ValueError("slop must not be negative")
@@ -44,15 +46,22 @@ def search_sloppy(postings: DataFrame, terms: DataFrame, slop: int, key: str = "
     joined = lookup_join(
         restrict(postings, probe).select("term", key, "positions"),
         probe.table.select("query_id", "clause", "clause_size", "q_pos", "term"), "term", "inner", key, probe.size)
-    points = joined.select(
-        "query_id", "clause", "clause_size", key, "q_pos", "term", F.explode("positions").alias("pos"),
-    ).withColumn("shift", F.col("pos") - F.col("q_pos"))
-    own = F.floor(F.col("shift") / (slop + 1)).cast("int")
-    placed = points.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    by_doc = ["query_id", "clause", "clause_size", key]
+    complete = (
+        joined.groupBy(*by_doc).agg(F.expr("collect_list(struct(q_pos, term, positions)) AS places"))
+        .where("size(places) = clause_size")
+    )
+    points = (
+        complete.selectExpr(*by_doc, "inline(places)")
+        .selectExpr(*by_doc, "q_pos", "term", "explode(positions) AS pos")
+        .selectExpr(*by_doc, "q_pos", "term", "pos - q_pos AS shift")
+        .selectExpr(*by_doc, "q_pos", "term", "shift", f"int(floor(shift / {slop + 1})) AS own")
+        .selectExpr(*by_doc, "q_pos", "term", "shift", "explode(array(own, own - 1)) AS bucket")
+    )
     groups = (
-        placed.groupBy("query_id", "clause", "clause_size", key, "bucket")
-        .agg(F.sort_array(F.collect_set(F.struct("q_pos", "term", "shift"))).alias("points"))
-        .where(F.size("points") >= F.col("clause_size"))
+        points.groupBy(*by_doc, "bucket")
+        .agg(F.expr("sort_array(collect_set(struct(q_pos, term, shift))) AS points"))
+        .where("size(points) >= clause_size")
     )
     windows = f"sequence(bucket * {slop + 1}, bucket * {slop + 1} + {slop})"
     matched = groups.where(f"exists({windows}, w -> {_fits_window_sql('points', 'w', slop, 'clause_size')})")

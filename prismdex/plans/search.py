@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,29 +12,41 @@ from prismdex.config import PAGE_OFFSET, PAGE_SIZE
 from prismdex.operators import facets as E
 from prismdex.operators import rank as R
 from prismdex.operators.query_terms import clauses_sql, phrase_terms
+from prismdex.operators.search import Cost
 from prismdex.operators.sizing import lookup_join
 from prismdex.plans.index import Index
 from prismdex.sources.store import open_table, workspace, write_table
 
 
-@dataclass(frozen=True)
 class Result:
-    """hits(query_id, rank, key, score, text) and facets(query_id, field, value, hit_count)."""
+    """hits(query_id, rank, key, score, text) and facets(query_id, field, value, hit_count).
 
-    hits: DataFrame
-    facets: DataFrame
+    Each part is planned when it is first asked for: a caller of one does not pay for both.
+    """
+
+    def __init__(self, hits: Callable[[], DataFrame], facets: Callable[[], DataFrame]):
+        self._hits, self._facets = hits, facets
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self._hits()
 
+    @cached_property
+    def facets(self) -> DataFrame:
+        return self._facets()
 
-def scored_hits(index: Index, queries: DataFrame) -> DataFrame:
+
+def scored_hits(index: Index, queries: DataFrame) -> tuple[DataFrame, Cost]:
     """(query_id, key, score) of every document that matches all clauses of its query."""
-    return R.score(index.postings, phrase_terms(queries), index.frequencies, index.lengths, index.totals,
-                   key=index.cfg.key)
+    return R.score_bounded(index.postings, phrase_terms(queries), index.frequencies, index.lengths, index.totals,
+                           key=index.cfg.key)
 
 
-def _page(index: Index, scored: DataFrame, offset: int, count: int) -> DataFrame:
+def _page(index: Index, scored: DataFrame, offset: int, count: int, cost: Cost) -> DataFrame:
     """One page per query with the stored text, which is joined only after paging."""
     top = R.top_hits(scored, offset, count, index.cfg.key)
-    return R.fetch(top, index.docs, [index.cfg.text], key=index.cfg.key).select(
+    max_hits = min(cost.hits, cost.n_queries * count)
+    return R.fetch(top, index.docs, [index.cfg.text], max_hits, index.cfg.key).select(
         "query_id", "rank", index.cfg.key, "score", index.cfg.text)
 
 
@@ -51,11 +64,11 @@ def browse(index: Index, queries: DataFrame, offset: int = PAGE_OFFSET, count: i
 
     With `keep` the scored hits are written once, for callers that read both parts.
     """
-    scored = scored_hits(index, queries)
+    scored, cost = scored_hits(index, queries)
     if keep:
         scored = written(scored, "hits")
-    faceted = E.with_facets(scored.select("query_id", index.cfg.key), index.docs, index.cfg)
-    return Result(_page(index, scored, offset, count), E.facet_counts(faceted, index.cfg))
+    faceted = E.with_facets(scored.select("query_id", index.cfg.key), index.docs, index.cfg, cost.hits)
+    return Result(lambda: _page(index, scored, offset, count, cost), lambda: E.facet_counts(faceted, index.cfg))
 
 
 def refine(index: Index, queries: DataFrame, selections: DataFrame, offset: int = PAGE_OFFSET,
@@ -65,12 +78,17 @@ def refine(index: Index, queries: DataFrame, selections: DataFrame, offset: int
     The facets list the whole vocabulary, zeros included, for every query, with or
     without selections and hits.
     """
-    faceted = E.refine_hits(E.with_facets(scored_hits(index, queries), index.docs, index.cfg), selections, index.cfg)
+    scored, cost = scored_hits(index, queries)
+    faceted = E.refine_hits(E.with_facets(scored, index.docs, index.cfg, cost.hits), selections, index.cfg)
     if keep:
         faceted = written(faceted, "hits")
-    counts = E.facet_counts_zero_filled(faceted, queries, index.vocabulary, index.cfg)
-    return Result(_page(index, faceted.select("query_id", index.cfg.key, "score"), offset, count),
-                  E.facet_state(counts, selections, index.cfg))
+
+    def facets() -> DataFrame:
+        counts = E.facet_counts_zero_filled(faceted, queries, index.vocabulary, index.cfg)
+        return E.facet_state(counts, selections, index.cfg)
+
+    return Result(
+        lambda: _page(index, faceted.select("query_id", index.cfg.key, "score"), offset, count, cost), facets)
 
 
 def answer_log(index: Index, log: DataFrame, offset: int = PAGE_OFFSET, count: int = PAGE_SIZE) -> Result:
@@ -86,7 +104,8 @@ def answer_log(index: Index, log: DataFrame, offset: int = PAGE_OFFSET, count: i
     copies = lookup_join(signed.select("query_id", "clauses"), distinct.select("clauses", "asked"), "clauses", "inner",
                          "query_id").select("query_id", "asked")
 
-    def handed(part: DataFrame) -> DataFrame:
-        return lookup_join(copies, part.withColumnRenamed("query_id", "asked"), "asked", "inner", "query_id").drop("asked")
+    def handed(part: DataFrame, name: str) -> DataFrame:
+        answers = written(part, name).withColumnRenamed("query_id", "asked")
+        return lookup_join(copies, answers, "asked", "inner", "query_id").drop("asked")
 
-    return Result(handed(found.hits), handed(found.facets))
+    return Result(lambda: handed(found.hits, "page"), lambda: handed(found.facets, "facets"))

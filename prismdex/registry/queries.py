@@ -349,14 +349,15 @@ def tfidf_boost(spark, sf):
 
 @query
 def top_hits(spark, sf):
-    return R.top_hits(plans.scored_hits(T.product_index(spark, sf), spark.sql(inputs.PHRASES)), offset=5, count=50)
+    scored, _ = plans.scored_hits(T.product_index(spark, sf), spark.sql(inputs.PHRASES))
+    return R.top_hits(scored, offset=5, count=50)
 
 
 @query
 def hit_titles(spark, sf):
     index = T.product_index(spark, sf)
-    top = R.top_hits(plans.scored_hits(index, spark.sql(inputs.PHRASES)))
-    return R.fetch(top, index.docs, ["title"]).select("query_id", "rank", "title")
+    scored, cost = plans.scored_hits(index, spark.sql(inputs.PHRASES))
+    return R.fetch(R.top_hits(scored), index.docs, ["title"], cost.n_queries * 50).select("query_id", "rank", "title")
 
 
 @query

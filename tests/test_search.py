@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prismdex.operators import patterns as P
 from prismdex.operators import rank as R
 from prismdex.operators import search as S
+from prismdex.operators import sizing
 from prismdex.operators.dictionary import build_postings
 from prismdex.operators.query_terms import SHOULD, bool_terms, clause_terms, phrase_terms
 from prismdex.operators.sloppy import search_sloppy
@@ -45,7 +46,7 @@ def test_all_terms(rows, index, broadcast, request):
 @pytest.mark.parametrize("lookups", [0, 10**9])
 def test_from_the_rarest_term(rows, index, monkeypatch, lookups):
     monkeypatch.setattr(S, "DIRECT_ROWS", 0)
-    monkeypatch.setattr(S, "BROADCAST_ROWS", lookups)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", lookups)
     names, queries = asked(rows, PHRASES)
     assert grouped(S.search_all(index.postings, phrase_terms(queries), index.frequencies), names) == PHRASES
     names, queries = asked(rows, ["board and batten", "board batten", "new england"])
@@ -201,7 +202,8 @@ def test_norm(spark):
 
 
 def test_scores(rows, index):
-    found = plans.scored_hits(index, rows(QUERY, (1, "shutters"), (2, "custom wood")))
+    found, cost = plans.scored_hits(index, rows(QUERY, (1, "shutters"), (2, "custom wood")))
+    assert (cost.n_queries, cost.all_rows, cost.hits, cost.lookups) == (2, 40, 24, 30)
     scores = {(q, d): s for q, d, s in pairs(found)}
     assert {scores[1, d] for d in (0, 1, 2, 3, 6, 9, 10, 13, 14, 15, 16, 17)} == {335546}
     assert {scores[1, d] for d in (4, 5, 7, 8, 11, 12)} == {279622}
@@ -228,7 +230,7 @@ def test_coord_and_boost(rows, index):
 
 
 def test_paging(rows, index):
-    scored = plans.scored_hits(index, rows(QUERY, (1, "shutters")))
+    scored, _ = plans.scored_hits(index, rows(QUERY, (1, "shutters")))
     order = [0, 1, 2, 3, 6, 9, 10, 13, 14, 15, 16, 17, 4, 5, 7, 8, 11, 12]
     page = R.top_hits(scored, offset=3, count=10).orderBy("rank").collect()
     assert [r.doc_id for r in page] == order[3:13] and [r["rank"] for r in page] == list(range(4, 14))
@@ -247,6 +249,18 @@ def test_few_terms_reach_the_scan(spark, rows, index, tmp_path):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_page_fetch_reads_few_documents(spark, rows, index, tmp_path):
+    path = str(tmp_path / "docs")
+    index.docs.write.parquet(path)
+    hits = rows("query_id long, rank int, doc_id long, score long", (1, 1, 4, 9), (1, 2, 17, 8))
+    for max_hits in (2, 100_000, None):
+        titles = R.fetch(hits, spark.read.parquet(path), ["title"], max_hits)
+        assert {r.doc_id: r.title for r in titles.collect()} == {r.doc_id: r.title for r in index.docs.collect()
+                                                                 if r.doc_id in (4, 17)}
+    plan = R.fetch(hits, spark.read.parquet(path), ["title"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "In(doc_id, [" in plan
+
+
 def test_log_is_searched_once_per_phrase(rows, index):
     log = rows(QUERY, (1, "custom wood"), (2, "Custom  wood"), (3, "louvered"), (4, "the"), (5, "custom wood"), (6, None))
     answered, single = plans.answer_log(index, log), plans.browse(index, log)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismdex.config import PAGE_OFFSET, PAGE_SIZE
 from prismdex.operators.query_terms import MUST_NOT, probe_terms
-from prismdex.operators.search import Cost, cost_of, match_clauses, match_required, with_frequencies
+from prismdex.operators.search import Cost, cost_of, fix_terms, match_clauses, match_required, with_frequencies
 from prismdex.operators.sizing import LOCAL_ROWS, PUSHED_VALUES, broadcast_if, settle
 
 
@@ -37,7 +37,7 @@ def score_bounded(postings: DataFrame, terms: DataFrame, frequencies: DataFrame,
                   require_all: bool = True, length: str = "n_terms", key: str = "doc_id") -> tuple[DataFrame, Cost]:
     """`score`, with the cost of the queries; it bounds the rows of the result."""
     probe = probe_terms(terms.where(F.col("occur") != MUST_NOT))
-    weighted = settle(weigh_terms(with_frequencies(probe, frequencies), n_docs))[0]
+    weighted = fix_terms(weigh_terms(with_frequencies(probe, frequencies), n_docs), probe)
     cost = cost_of(weighted)
     if require_all:
         matched = match_required(postings, probe, weighted, cost, key)

@@ -12,6 +12,7 @@ from prismdex.config import IndexConfig
 from prismdex.operators.dictionary import facet_values
 from prismdex.operators.query_terms import MUST, MUST_NOT, SHOULD, TermProbe, probe_terms
 from prismdex.operators.sizing import broadcast_if, lookup_join, salted_join, settle
+from prismdex.sources.store import write_once
 
 # Up to this many postings of all query terms are simply joined and grouped.
 DIRECT_ROWS = 1_000_000
@@ -121,6 +122,11 @@ def with_frequencies(probe: TermProbe, frequencies: DataFrame) -> DataFrame:
     return joined.withColumn("doc_freq", F.expr("coalesce(doc_freq, 0)"))
 
 
+def fix_terms(terms: DataFrame, probe: TermProbe) -> DataFrame:
+    """Query terms with looked-up columns, worked out once: as local rows, or as a written table."""
+    return settle(terms)[0] if probe.size.small else write_once(terms, "terms")
+
+
 def search_all(postings: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None,
                key: str = "doc_id") -> DataFrame:
     """(query_id, key): documents that match every clause of the query.
@@ -131,7 +137,7 @@ def search_all(postings: DataFrame, terms: DataFrame, frequencies: DataFrame | N
     if frequencies is None:
         matched = match_clauses(postings, probe, key=key)
     else:
-        known = settle(with_frequencies(probe, frequencies))[0]
+        known = fix_terms(with_frequencies(probe, frequencies), probe)
         matched = match_required(postings, probe, known, cost_of(known), key)
     return (
         matched.groupBy("query_id", key)

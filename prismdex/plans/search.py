@@ -15,7 +15,7 @@ from prismdex.operators.query_terms import clauses_sql, phrase_terms
 from prismdex.operators.search import Cost
 from prismdex.operators.sizing import lookup_join
 from prismdex.plans.index import Index
-from prismdex.sources.store import open_table, workspace, write_table
+from prismdex.sources.store import write_once
 
 
 class Result:
@@ -50,14 +50,6 @@ def _page(index: Index, scored: DataFrame, offset: int, count: int, cost: Cost)
         "query_id", "rank", index.cfg.key, "score", index.cfg.text)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared workspace and read back: it is worked out once."""
-    spark = df.sparkSession
-    path = workspace(spark, name)
-    write_table(df, path)
-    return open_table(spark, path)
-
-
 def browse(index: Index, queries: DataFrame, offset: int = PAGE_OFFSET, count: int = PAGE_SIZE,
            keep: bool = False) -> Result:
     """Answer (query_id, phrase): a page of hits, and the facet values that have hits.
@@ -66,7 +58,7 @@ def browse(index: Index, queries: DataFrame, offset: int = PAGE_OFFSET, count: i
     """
     scored, cost = scored_hits(index, queries)
     if keep:
-        scored = written(scored, "hits")
+        scored = write_once(scored, "hits")
     faceted = E.with_facets(scored.select("query_id", index.cfg.key), index.docs, index.cfg, cost.hits)
     return Result(lambda: _page(index, scored, offset, count, cost), lambda: E.facet_counts(faceted, index.cfg))
 
@@ -81,7 +73,7 @@ def refine(index: Index, queries: DataFrame, selections: DataFrame, offset: int
     scored, cost = scored_hits(index, queries)
     faceted = E.refine_hits(E.with_facets(scored, index.docs, index.cfg, cost.hits), selections, index.cfg)
     if keep:
-        faceted = written(faceted, "hits")
+        faceted = write_once(faceted, "hits")
 
     def facets() -> DataFrame:
         counts = E.facet_counts_zero_filled(faceted, queries, index.vocabulary, index.cfg)
@@ -105,7 +97,7 @@ def answer_log(index: Index, log: DataFrame, offset: int = PAGE_OFFSET, count: i
                          "query_id").select("query_id", "asked")
 
     def handed(part: DataFrame, name: str) -> DataFrame:
-        answers = written(part, name).withColumnRenamed("query_id", "asked")
+        answers = write_once(part, name).withColumnRenamed("query_id", "asked")
         return lookup_join(copies, answers, "asked", "inner", "query_id").drop("asked")
 
     return Result(lambda: handed(found.hits, "page"), lambda: handed(found.facets, "facets"))

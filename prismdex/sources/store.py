@@ -46,6 +46,16 @@ def open_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared workspace and read back: it is worked out once.
+
+    Later stages, and stages run again after an executor is lost, read the files.
+    """
+    path = workspace(df.sparkSession, name)
+    write_table(df, path)
+    return open_table(df.sparkSession, path)
+
+
 def open_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, or no rows of `schema` while it has not been built."""
     try:

@@ -92,25 +92,26 @@ def facet_counts_zero_filled(faceted: DataFrame, queries: DataFrame, vocabulary:
 
 
 def multi_value_counts(hits: DataFrame, postings: DataFrame, prefix: str | None = None, field: str = "title",
-                       key: str = "doc_id") -> DataFrame:
+                       key: str = "doc_id", max_hits: int | None = None) -> DataFrame:
     """(query_id, field, value, hit_count) of the terms of a text column.
 
-    A posting is one term of one document, so a document counts once per term.
+    A posting is one term of one document, so a document counts once per term. A prefix is
+    pushed into the scan of the postings; with a small bound on the hits these do not move.
     """
     terms = postings.select("term", key)
     if prefix is not None:
         terms = terms.where(F.startswith(F.col("term"), F.lit(prefix)))
     return (
-        hits.select("query_id", key).join(terms, key)
+        terms.join(broadcast_if(hits.select("query_id", key), max_hits), key)
         .groupBy("query_id", F.lit(field).alias("field"), F.col("term").alias("value"))
         .agg(F.count("*").alias("hit_count"))
     )
 
 
 def facet_suggest(hits: DataFrame, postings: DataFrame, prefix: str, k: int = 8, field: str = "title",
-                  key: str = "doc_id") -> DataFrame:
+                  key: str = "doc_id", max_hits: int | None = None) -> DataFrame:
     """The k terms with the prefix that most hits hold: (query_id, field, rank, value, hit_count)."""
-    return top_facets(multi_value_counts(hits, postings, prefix, field, key), k, "hits")
+    return top_facets(multi_value_counts(hits, postings, prefix, field, key, max_hits), k, "hits")
 
 
 def _order(order: str) -> list[Column]:

@@ -128,6 +128,7 @@ def test_orders(rows):
 def test_multi_value_and_facet_suggest(index, rows):
     hits = S.search_all(index.postings, phrase_terms(rows(QUERY, (1, "bahama"))))
     counted = {r.value: r.hit_count for r in E.multi_value_counts(hits, index.postings).collect()}
+    assert pairs(E.multi_value_counts(hits, index.postings, max_hits=3)) == pairs(E.multi_value_counts(hits, index.postings))
     assert counted["bahama"] == 3 and counted["stylecraft"] == 2 and "vinyl" not in counted
     best = E.facet_suggest(hits, index.postings, "s", 2).orderBy("rank").collect()
     assert [(r.value, r.hit_count) for r in best] == [("shutters", 3), ("style craft", 2)]

@@ -1,9 +1,11 @@
 """LM scoring: a causal self-attention model, trained and applied in numpy on subword ids.
 
 The model gives log10 probabilities of subword ids: one attention layer over the last `context` ids predicts
-the next id's class, and corpus counts give the id within its class. Classes are bins of ids by count. Counts
-cover every training document; the layer's weights come from windows of a fixed share of them, chosen by a hash,
-so both grow with the input. Each task trains on its rows, Spark averages the tasks' weights.
+the next id's class, starting from the class counts after the id before; corpus counts give the id within its
+class, after the id before where it is a frequent one. Classes are clusters of ids with like neighbours. Counts
+cover every training document, and their tables are bounded by the vocabulary; the layer's weights come from
+windows of a fixed share of the documents, chosen by a hash. What is learnt from grows with the input. Each
+task trains on its rows, Spark averages the tasks' weights.
 
 A document is scored in windows of `context` ids that overlap by half: each window scores its later half, the
 first all of it, so each id is scored once with at least half a window before it.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.llm.common import fold, lower_ascii, settle, space_words
-from prismdex.llm.packing import default_tokenizer, encode_rows
+from prismdex.llm.packing import Encoder, default_tokenizer
 
 END_WORD = "\n"  # no word holds white space, so this stands for the end of a document
 
@@ -41,7 +43,8 @@ class Settings:
     context: int = 32
     classes: int = 64
     inputs: int = 4096
-    one_in: int = 64
+    before: int = 256
+    one_in: int = 16
     batch: int = 32
     rate: float = 0.08
     head: int = 50_000
@@ -53,11 +56,13 @@ class Attention:
     NAMES = ("emb", "pos", "wq", "wk", "wv", "wo", "wc", "bc")
 
     def __init__(self, s: Settings, prior: np.ndarray) -> None:
+        """`prior`: per input row, log probabilities of the classes after it; the layer learns what to add."""
+        self.prior = prior.astype(np.float32)
         r, d = np.random.default_rng(5), s.width
         self.s, self.p = s, {
             "emb": r.normal(0, 0.3, (s.inputs, d)), "pos": r.normal(0, 0.1, (s.context, d)),
             **{n: r.normal(0, 1 / math.sqrt(d), (d, d)) for n in ("wq", "wk", "wv", "wo")},
-            "wc": r.normal(0, 0.1, (d, s.classes)), "bc": np.log(prior),
+            "wc": r.normal(0, 0.02, (d, s.classes)), "bc": np.zeros(s.classes),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
@@ -74,7 +79,7 @@ class Attention:
         a /= a.sum(-1, keepdims=True)
         mixed = a @ v
         h = e[:, first:] + mixed @ p["wo"]
-        z = h @ p["wc"] + p["bc"]
+        z = h @ p["wc"] + p["bc"] + self.prior[x[:, first:]]
         z -= z.max(-1, keepdims=True)
         z -= np.log(np.exp(z).sum(-1, keepdims=True))
         return z, (e, q, k, v, a, mixed, h)
@@ -117,23 +122,50 @@ class Attention:
 
 
 class Vocabulary:
-    """Input row, class and log10 probability within its class of every id, from the corpus counts."""
+    """Input row of every id, its class, and counts of ids within their class after frequent ids."""
+
+    SMOOTH, BACK = 0.05, 4.0
 
     def __init__(self, counts: np.ndarray, s: Settings) -> None:
-        order = np.argsort(-counts, kind="stable")
+        self.s, self.counts, self.size = s, counts, len(counts)
         rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
-        self.row = np.where(rank < s.inputs - 2, rank + 1, s.inputs - 1)  # row 0 begins a document
-        smooth = counts + 1.0
-        alone = s.classes // 2
-        mass = np.cumsum(smooth[order][alone:])
-        self.cls = np.empty(len(counts), np.int64)
-        self.cls[order[:alone]] = np.arange(alone)
-        self.cls[order[alone:]] = alone + np.minimum(
-            (mass - smooth[order][alone:] / 2) / mass[-1] * (s.classes - alone), s.classes - alone - 1).astype(np.int64)
-        total = np.bincount(self.cls, smooth, s.classes)
-        self.within = np.log10(smooth / total[self.cls])
-        self.prior = (total + 1) / (total + 1).sum()
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        self.row = np.minimum(rank + 1, s.inputs - 1)  # row 0 begins a document
+        self.near = np.minimum(self.row, s.before - 1)
+
+    def cluster(self, pairs: pd.DataFrame, rounds: int = 12) -> None:
+        """Classes from the counts n of (near row, id): `side` 0 before the id, 1 after it."""
+        c, before = self.s.classes, self.s.before
+        share = np.zeros((self.size, 2 * before), np.float32)
+        np.add.at(share, (pairs["id"], pairs["side"] * before + pairs["near"]), pairs["n"])
+        known = np.flatnonzero(self.counts > 0)
+        x, weight = share[known] + np.float32(0.01), self.counts[known]
+        x = np.sqrt(x / x.sum(1, keepdims=True))
+        centre = x[np.argsort(-weight, kind="stable")[:c]].copy()
+        at = np.zeros(len(known), np.int64)
+        for _ in range(rounds if len(known) else 0):
+            at = (2 * x @ centre.T - (centre ** 2).sum(1)).argmax(1)
+            for k in range(len(centre)):
+                if (at == k).any():
+                    centre[k] = (x[at == k] * weight[at == k, None]).sum(0) / weight[at == k].sum()
+        self.cls = np.full(self.size, c - 1)
+        self.cls[known] = at
+        smooth = self.counts + self.SMOOTH
+        self.alone = smooth / np.bincount(self.cls, smooth, c)[self.cls]
+        after = pairs[pairs["side"] == 0]
+        key = after["near"].to_numpy(np.int64) * self.size + after["id"].to_numpy(np.int64)
+        order = np.argsort(key)
+        self.key, self.n = np.append(key[order], np.iinfo(np.int64).max), np.append(after["n"].to_numpy(float)[order], 0)
+        self.in_class = np.zeros((before, c))
+        np.add.at(self.in_class, (after["near"], self.cls[after["id"]]), after["n"])
+
+    def within(self, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of each id within its class, after the id before it."""
+        near = np.r_[0, self.near[ids[:-1]]]
+        key = near * self.size + ids
+        at = np.searchsorted(self.key, key)
+        n = np.where(self.key[at] == key, self.n[at], 0.0)
+        return np.log10((n + self.BACK * self.alone[ids]) / (self.in_class[near, self.cls[ids]] + self.BACK))
 
 
 def windows(ids: np.ndarray, vocabulary: Vocabulary, context: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +180,7 @@ def windows(ids: np.ndarray, vocabulary: Vocabulary, context: int) -> tuple[np.n
 def log10_probability(docs: list[np.ndarray], model: Attention, vocabulary: Vocabulary) -> np.ndarray:
     """Sum over each document's ids, windows of many documents batched together."""
     c = model.s.context
-    half, out = c // 2, np.array([vocabulary.within[d].sum() for d in docs])
+    half, out = c // 2, np.array([vocabulary.within(d).sum() for d in docs])
     first_x, first_y, later_x, later_y, first_of, later_of = [], [], [], [], [], []
     for k, ids in enumerate(docs):
         x, _ = windows(ids, vocabulary, c)
@@ -175,24 +207,16 @@ def _training(rows: DataFrame) -> DataFrame:
 
 def tokens_written(docs: DataFrame, tokenizer_file: str) -> tuple[DataFrame, int, int]:
     """The documents with a row number and subword ids (the end id last), written once; vocabulary size; end id."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    size = tokenizer.get_vocab_size()
+    size = Encoder(tokenizer_file).tokenizer.get_vocab_size()
     end = size - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        encoder = Encoder(tokenizer_file)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo:lo + 256]
-                ids = [np.array([*x, end], "<u4").tobytes() for x in encode_rows(list(part["text"]), tokenizer)]
+                ids = [np.append(encoder(t), end).astype("<u4").tobytes() for t in part["text"]]
                 yield pd.DataFrame({"row": range(at, at + len(part)), "doc_id": part["doc_id"].astype("Int64"), "text": part["text"], "ids": ids})
                 at += len(part)
 
@@ -200,28 +224,60 @@ def tokens_written(docs: DataFrame, tokenizer_file: str) -> tuple[DataFrame, int
     return settle(rows, "subwords"), size, end
 
 
-def subword_counts(rows: DataFrame, size: int) -> np.ndarray:
+def _summed(rows: DataFrame, keys_of, limit: int = 2_000_000) -> pd.DataFrame:
+    """(key, n) summed over the training documents; `keys_of` gives the keys of one document's ids.
+
+    A task adds up keys in sorted lots, so it holds about `limit` keys beside the distinct ones.
+    """
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for ids in b["ids"]:
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size) if len(ids) > 4 * size else 0
-                if len(ids) <= 4 * size:
-                    np.add.at(total, np.frombuffer(ids, "<u4"), 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at.astype(np.int32), "n": total[at]})
-
-    out = np.zeros(size)
-    for r in _training(rows).select("ids").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]  # one row per vocabulary entry at most
-    return out
+        keys, total, lot, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
+        def add(keys, total, lot):
+            new, n = np.unique(np.concatenate(lot), return_counts=True)
+            both, place = np.unique(np.r_[keys, new], return_inverse=True)
+            return both, np.bincount(place, np.r_[total, n]).astype(np.int64)
 
-def train(rows: DataFrame, vocabulary: Vocabulary, s: Settings) -> Attention:
+        for b in batches:
+            for ids in b["ids"]:
+                lot.append(keys_of(np.frombuffer(ids, "<u4").astype(np.int64)))
+                size += len(lot[-1])
+                if size > limit:
+                    keys, total = add(keys, total, lot)
+                    lot, size = [], 0
+        if lot:
+            keys, total = add(keys, total, lot)
+        yield pd.DataFrame({"key": keys, "n": total})
+
+    return _training(rows).select("ids").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+
+
+def learn_vocabulary(rows: DataFrame, size: int, s: Settings) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and class prior by three passes of counts, each table bounded by the vocabulary and `s`."""
+    single = _summed(rows, lambda ids: ids)
+    counts = np.zeros(size)
+    counts[single["key"].to_numpy(np.int64)] = single["n"]
+    vocabulary = Vocabulary(counts, s)
+
+    def neighbours(ids: np.ndarray) -> np.ndarray:
+        near = vocabulary.near[ids]
+        return np.r_[np.r_[0, near[:-1]] * size + ids, (s.before + near[1:]) * size + ids[:-1]]
+
+    pairs = _summed(rows, neighbours)
+    key = pairs["key"].to_numpy(np.int64)
+    vocabulary.cluster(pd.DataFrame({"side": key // size // s.before, "near": key // size % s.before, "id": key % size, "n": pairs["n"].to_numpy()}))
+    turns = _summed(rows, lambda ids: np.r_[0, vocabulary.row[ids[:-1]]] * s.classes + vocabulary.cls[ids])
+    prior = np.full(s.inputs * s.classes, 0.1)
+    prior[turns["key"].to_numpy(np.int64)] += turns["n"].to_numpy()
+    prior = prior.reshape(s.inputs, s.classes)
+    return vocabulary, np.log(prior / prior.sum(1, keepdims=True))
+
+
+def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Settings) -> Attention:
     """Each task trains from the same start on its windows; weights are averaged by the windows seen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen = Attention(s, vocabulary.prior), 0
+        model, seen = Attention(s, prior), 0
         for b in batches:
             xs, ys = [], []
             for ids in b["ids"]:
@@ -245,7 +301,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, s: Settings) -> Attention:
     sample = _training(rows).where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(s.one_in)) == 0).select("ids")
     parts = sample.mapInPandas(run, "block long, w array<double>, seen long").select("block", "seen", F.posexplode("w").alias("i", "w"))
     mean = parts.groupBy((F.col("block") + F.col("i")).alias("at")).agg((F.sum("w") / F.sum("seen")).alias("w")).toPandas()
-    model = Attention(s, vocabulary.prior)
+    model = Attention(s, prior)
     if len(mean):  # as long as the model, whatever the input
         model.load(mean.sort_values("at")["w"].to_numpy())
     return model
@@ -262,8 +318,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, tokenizer_file: str | None = None, settings: Settings = Settings()) -> DataFrame:
     rows, size, _ = tokens_written(docs, tokenizer_file or default_tokenizer())
-    vocabulary = Vocabulary(subword_counts(rows, size), settings)
-    model = train(rows, vocabulary, settings)
+    vocabulary, prior = learn_vocabulary(rows, size, settings)
+    model = train(rows, vocabulary, prior, settings)
     counts = settle(word_counts(rows), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # At most `head` words can each make up a `head`-th of all; their counts go out with the tasks.

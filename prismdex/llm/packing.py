@@ -12,7 +12,7 @@ piece. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -31,35 +31,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_rows(texts: list[str | None], tokenizer) -> list[list[int]]:
-    """Ids of each text; very long texts and many short ones go to the tokenizer in bounded lots."""
-    out: list[list[int]] = []
-    lot: list[str] = []
-    chars = 0
-    for text in texts:
-        lot.append(text or "")
-        chars += len(lot[-1])
-        if chars > 200_000:
-            out += [e.ids for e in tokenizer.encode_batch_fast(lot, add_special_tokens=False)]
-            lot, chars = [], 0
-    return out + [e.ids for e in tokenizer.encode_batch_fast(lot, add_special_tokens=False)]
+class Encoder:
+    """Ids of texts by a tokenizer that drops white space and never joins what white space parts.
 
+    Such a tokenizer gives a text the ids of its words in turn, so words seen before are looked up. Two
+    generations of at most `keep` words bound what is kept.
+    """
 
-def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataFrame:
-    """(part, doc_id, ids, doc_tokens, local): ids as little-endian 32-bit numbers, local their offset in the partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, file: str, keep: int = 150_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer, self.keep = Tokenizer.from_file(file), keep
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+        young, old = self.young, self.old
+        unseen = [w for w in set(words) if w not in young]
+        new = []
+        for word in unseen:
+            ids = old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                young[word] = ids
+        if new:
+            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                young[word] = tuple(found.ids)
+        out = np.fromiter(chain.from_iterable([young[w] for w in words]), np.uint32)
+        if len(young) > self.keep:
+            self.young, self.old = {}, young
+        return out
+
+
+def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataFrame:
+    """(part, doc_id, ids, doc_tokens, local): ids as little-endian 32-bit numbers, local their offset in the partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(tokenizer_file)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 rows = batch.iloc[lo:lo + 256]
-                ids = [np.array([*x, separator], "<u4") for x in encode_rows(list(rows["text"]), tokenizer)]
+                ids = [np.append(encoder(t), separator).astype("<u4") for t in rows["text"]]
                 sizes = [len(x) for x in ids]
                 starts = [at, *accumulate(sizes, initial=at)][1:-1]
                 yield pd.DataFrame({"part": part, "doc_id": rows["doc_id"].astype("Int64"),

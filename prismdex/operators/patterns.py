@@ -98,7 +98,7 @@ def match_range(dictionary: DataFrame, low: str | None, high: str | None, inclus
 
 
 def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Terms for a table (query_id, low, high, inclusive).
+    """Terms for a table (query_id, low, high, inclusive); a null bound is open.
 
     The key is the class of the first character; a range is repeated for the classes
     between its bounds.
@@ -109,11 +109,14 @@ def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
         return F.when(code < 128, code).otherwise(128 + F.shiftright(code, 8))
 
     low, high = F.lower("low"), F.lower("high")
-    keyed = ranges.where(low <= high).select(
+    last_class = F.lit(128 + (0x10FFFF >> 8))
+    keyed = ranges.where(F.coalesce(low <= high, F.lit(True))).select(
         "query_id", low.alias("low"), high.alias("high"), "inclusive",
-        F.explode(F.sequence(first_class(low), first_class(high))).alias("key"))
-    inside = F.when(F.col("inclusive"), F.col("term").between(F.col("low"), F.col("high"))).otherwise(
-        (F.col("term") > F.col("low")) & (F.col("term") < F.col("high")))
+        F.explode(F.sequence(F.coalesce(first_class(low), F.lit(0)), F.coalesce(first_class(high), last_class))).alias("key"))
+    term, low, high = F.col("term"), F.col("low"), F.col("high")
+    inside = F.when(
+        F.col("inclusive"), F.coalesce(term >= low, F.lit(True)) & F.coalesce(term <= high, F.lit(True))).otherwise(
+        F.coalesce(term > low, F.lit(True)) & F.coalesce(term < high, F.lit(True)))
     classed = dictionary.select("term", first_class(F.col("term")).alias("key"))
     return _candidates(classed, keyed, ["key"], inside)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismdex.config import PAGE_OFFSET, PAGE_SIZE
 from prismdex.operators.query_terms import MUST_NOT, probe_terms
-from prismdex.operators.search import Cost, cost_of, fix_terms, match_clauses, match_required, with_frequencies
+from prismdex.operators.search import Cost, cost_of, fix_terms, match_clauses, match_required, search_bool, with_frequencies
 from prismdex.operators.sizing import LOCAL_ROWS, PUSHED_VALUES, broadcast_if, settle
 
 
@@ -64,6 +64,18 @@ def score(postings: DataFrame, terms: DataFrame, frequencies: DataFrame, lengths
     return score_bounded(postings, terms, frequencies, lengths, n_docs, require_all, length, key)[0]
 
 
+def score_bool(postings: DataFrame, terms: DataFrame, frequencies: DataFrame, lengths: DataFrame, n_docs: DataFrame,
+               length: str = "n_terms", key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score) of the documents `search_bool` finds.
+
+    Required and optional clauses that match add to the score; coord is matched clauses / all
+    clauses that are not prohibited.
+    """
+    found = search_bool(postings, terms, key)
+    return score(postings, terms, frequencies, lengths, n_docs, False, length, key).join(
+        found, ["query_id", key], "left_semi")
+
+
 def top_hits(scored: DataFrame, offset: int = PAGE_OFFSET, count: int = PAGE_SIZE, key: str = "doc_id") -> DataFrame:
     """(query_id, rank, key, score): one page per query, best first, ties by document order.
 

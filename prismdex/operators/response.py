@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def assemble(titles: DataFrame, facets: DataFrame, title: str = "title") -> DataFrame:
-    """One row per query: Phrase (cleared), SelectionGroups (cleared), Results, FacetGroups.
+def assemble(queries: DataFrame, titles: DataFrame, facets: DataFrame, title: str = "title") -> DataFrame:
+    """One row per query of `queries`, also without hits: Phrase (cleared), SelectionGroups (cleared), Results, FacetGroups.
 
     `titles` is one page of (query_id, rank, title), `facets` are counts per value; both
     are bounded by the page size and the facet vocabulary.
@@ -21,7 +21,8 @@ def assemble(titles: DataFrame, facets: DataFrame, title: str = "title") -> Data
     nested = groups.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("field").alias("Name"), "Facets"))).alias("FacetGroups"))
     empty_groups = F.array().cast("array<struct<Name:string,Selections:array<string>>>")
-    return nested.join(listed, "query_id", "full").select(
+    asked = queries.select("query_id").distinct()
+    return asked.join(listed, "query_id", "left").join(nested, "query_id", "left").select(
         "query_id",
         F.lit("").alias("Phrase"),
         empty_groups.alias("SelectionGroups"),

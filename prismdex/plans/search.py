@@ -86,13 +86,15 @@ def refine(index: Index, queries: DataFrame, selections: DataFrame, offset: int
 def answer_log(index: Index, log: DataFrame, offset: int = PAGE_OFFSET, count: int = PAGE_SIZE) -> Result:
     """Browse a log of phrases: phrases of the same clauses are searched once.
 
-    However often a phrase was typed, it costs one search; its page and facets are then
+    With a `boost` column, phrases share an answer only at the same boost. However often a phrase was typed, it costs one search; its page and facets are then
     handed to every row of the log that has it.
     """
-    signed = log.select("query_id", "phrase", F.expr(f"to_json({clauses_sql('phrase')}) AS clauses"))
-    distinct = signed.where("clauses <> '[]'").groupBy("clauses").agg(
-        F.min("query_id").alias("asked"), F.min_by("phrase", "query_id").alias("phrase"))
-    found = browse(index, distinct.select(F.col("asked").alias("query_id"), "phrase"), offset, count, keep=True)
+    boost = F.col("boost").cast("double") if "boost" in log.columns else F.lit(1.0)
+    signed = log.select("query_id", "phrase", boost.alias("boost"), F.expr(f"to_json({clauses_sql('phrase')}) AS clauses")
+                        ).where("clauses <> '[]'").withColumn("clauses", F.concat_ws(" ", "boost", "clauses"))
+    distinct = signed.groupBy("clauses").agg(
+        F.min("query_id").alias("asked"), F.min_by(F.struct("phrase", "boost"), "query_id").alias("first"))
+    found = browse(index, distinct.select(F.col("asked").alias("query_id"), "first.*"), offset, count, keep=True)
     copies = lookup_join(signed.select("query_id", "clauses"), distinct.select("clauses", "asked"), "clauses", "inner",
                          "query_id").select("query_id", "asked")
 

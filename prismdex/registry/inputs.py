@@ -55,6 +55,8 @@ PREFIXES = rows_sql(((1, "than"), (2, "Schw"), (3, "êt"), (4, "qu")), "query_id
 FUZZY = rows_sql(((1, "thanen"), (2, "Avec"), (3, "undere"), (4, "on"), (5, "schenung")), "query_id", "word")
 RANGES = rows_sql(((1, "tha", "the", True), (2, "than", "that", False), (3, "X", "z", True)),
                   "query_id", "low", "high", "inclusive")
+OPEN_RANGES = rows_sql(((1, None, "an", True), (2, "the", None, False), (3, None, None, True)),
+                       "query_id", "low", "high", "inclusive")
 INPUTS = rows_sql((
     (1, "th"), (2, "An"), (3, "la qu"), (4, "schon"), (5, "th "), (6, "   "), (7, "e"), (8, "é"), (9, "the ou"), (10, "x"),
 ), "input_id", "text")

@@ -164,6 +164,8 @@ _SHORT_EDIT = ("1.0 - levenshtein(translate(lower(word), 'éóèñçüêäößí
                "'!#$%&()*+;<')) / least(length(word), length(term))::DOUBLE > 0.5")
 _LIKE = "replace(replace(lower(pattern), '*', '%'), '?', '_')"
 _FLAT = 'title, "Material" AS material, "Style" AS style, "Mounting" AS mounting, "Brand" AS brand'
+_OPEN_RANGE = ("CASE WHEN inclusive THEN (low IS NULL OR term >= lower(low)) AND (high IS NULL OR term <= lower(high)) "
+               "ELSE (low IS NULL OR term > lower(low)) AND (high IS NULL OR term < lower(high)) END")
 _RANGE = ("CASE WHEN inclusive THEN term BETWEEN lower(low) AND lower(high) "
           "ELSE term > lower(low) AND term < lower(high) END")
 
@@ -189,8 +191,8 @@ ORACLE: dict[str, str] = {
          "ORDER BY value) AS facets FROM counts GROUP BY ALL)",
          "nested AS (SELECT query_id, string_agg('{\"Name\":\"' || field || '\",\"Facets\":[' || facets || ']}', ',' "
          "ORDER BY field) AS groups FROM grouped GROUP BY query_id)"),
-        "SELECT query_id, '{\"Phrase\":\"\",\"SelectionGroups\":[],\"Results\":[' || results || '],\"FacetGroups\":[' || groups "
-        "|| ']}' AS response FROM pages JOIN nested USING (query_id)"),
+        "SELECT query_id, '{\"Phrase\":\"\",\"SelectionGroups\":[],\"Results\":[' || coalesce(results, '') || '],\"FacetGroups\":[' || coalesce(groups, '') "
+        f"|| ']}}' AS response FROM ({inputs.PHRASES}) q LEFT JOIN pages USING (query_id) LEFT JOIN nested USING (query_id)"),
     "suggest_json": _entry(
         (*A_INDEX, *_grams("df"), f"best AS ({_suggested('doc_freq, word')})"),
         "SELECT input_id, '[' || coalesce(string_agg('\"' || word || '\"', ',' ORDER BY rank), '') || ']' AS response "
@@ -265,6 +267,7 @@ ORACLE: dict[str, str] = {
     "search_wildcard": _entry(A_INDEX, _pattern_hits(inputs.PATTERNS, f"term LIKE {_LIKE}")),
     "search_fuzzy": _entry(A_INDEX, _pattern_hits(inputs.FUZZY, _SHORT_EDIT)),
     "search_range": _entry(A_INDEX, _pattern_hits(inputs.RANGES, _RANGE)),
+    "search_range_open": _entry(A_INDEX, _pattern_hits(inputs.OPEN_RANGES, _OPEN_RANGE)),
     "search_field_term": _entry(
         (PRODUCTS, FACETS, "ask AS (SELECT field, lower(value) AS value, min(doc_id) AS query_id FROM fv "
          "GROUP BY field, fv.value)"),

@@ -96,8 +96,9 @@ def build_index(spark, sf):
 @query
 def response_json(spark, sf):
     index = T.product_index(spark, sf)
-    found = plans.browse(index, spark.sql(inputs.PHRASES))
-    return J.to_response_json(J.assemble(found.hits, found.facets))
+    asked = spark.sql(inputs.PHRASES)
+    found = plans.browse(index, asked)
+    return J.to_response_json(J.assemble(asked, found.hits, found.facets))
 
 
 @query
@@ -313,6 +314,13 @@ def search_range(spark, sf):
     return P.postings_of(index.postings, P.match_ranges(index.frequencies, spark.sql(inputs.RANGES)))
 
 
+@query
+def search_range_open(spark, sf):
+    """Ranges without a lower bound, without an upper bound, and without both."""
+    index = T.article_index(spark, sf)
+    return P.postings_of(index.postings, P.match_ranges(index.frequencies, spark.sql(inputs.OPEN_RANGES)))
+
+
 @query
 def search_field_term(spark, sf):
     """Every facet value, typed in lower case, as a field term."""
@@ -446,8 +454,9 @@ def facet_suggest(spark, sf):
 
 @query
 def facet_groups_nested(spark, sf):
-    found = plans.browse(T.product_index(spark, sf), spark.sql(inputs.PHRASES))
-    return J.assemble(found.hits, found.facets)
+    asked = spark.sql(inputs.PHRASES)
+    found = plans.browse(T.product_index(spark, sf), asked)
+    return J.assemble(asked, found.hits, found.facets)
 
 
 def _boxes(spark, sf) -> DataFrame:

@@ -10,18 +10,26 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from prismdex.plans.index import default_synonyms, index_of  # noqa: E402
 from prismdex.session import local_session  # noqa: E402
 
-STYLES = {"L": ("Louvered", "Louver"), "R": ("Raised Panel",) * 2, "B": ("Board and Batten",) * 2, "H": ("Bahama",) * 2}
-LINES = [
-    ("Mid-America Standard", "Vinyl", "Decorative", "Mid-America", "LR"),
-    ("Mid-America Custom", "Vinyl", "Decorative", "Mid-America", "LR"),
-    ("StyleCraft New England Custom", "Wood", "Operable", "StyleCraft", "RL"),
-    ("StyleCraft Southern Custom", "Wood", "Operable", "StyleCraft", "LRBH"),
-    ("StyleCraft Suburban Custom", "Composite", "Operable", "StyleCraft", "LRBH"),
-    ("Atlantic Premium Custom", "Hybrid", "Operable", "Atlantic", "LRBH"),
-]
+# The catalogue's products as (title, Material, Style, Mounting, Brand).
 PRODUCTS = [
-    (f"{line} {STYLES[s][0]} {material} Shutters", material, STYLES[s][1], mounting, brand)
-    for line, material, mounting, brand, styles in LINES for s in styles
+    ("Mid-America Standard Louvered Vinyl Shutters", "Vinyl", "Louver", "Decorative", "Mid-America"),
+    ("Mid-America Standard Raised Panel Vinyl Shutters", "Vinyl", "Raised Panel", "Decorative", "Mid-America"),
+    ("Mid-America Custom Louvered Vinyl Shutters", "Vinyl", "Louver", "Decorative", "Mid-America"),
+    ("Mid-America Custom Raised Panel Vinyl Shutters", "Vinyl", "Raised Panel", "Decorative", "Mid-America"),
+    ("StyleCraft New England Custom Raised Panel Wood Shutters", "Wood", "Raised Panel", "Operable", "StyleCraft"),
+    ("StyleCraft New England Custom Louvered Wood Shutters", "Wood", "Louver", "Operable", "StyleCraft"),
+    ("StyleCraft Southern Custom Louvered Wood Shutters", "Wood", "Louver", "Operable", "StyleCraft"),
+    ("StyleCraft Southern Custom Raised Panel Wood Shutters", "Wood", "Raised Panel", "Operable", "StyleCraft"),
+    ("StyleCraft Southern Custom Board and Batten Wood Shutters", "Wood", "Board and Batten", "Operable", "StyleCraft"),
+    ("StyleCraft Southern Custom Bahama Wood Shutters", "Wood", "Bahama", "Operable", "StyleCraft"),
+    ("StyleCraft Suburban Custom Louvered Composite Shutters", "Composite", "Louver", "Operable", "StyleCraft"),
+    ("StyleCraft Suburban Custom Raised Panel Composite Shutters", "Composite", "Raised Panel", "Operable", "StyleCraft"),
+    ("StyleCraft Suburban Custom Board and Batten Composite Shutters", "Composite", "Board and Batten", "Operable", "StyleCraft"),
+    ("StyleCraft Suburban Custom Bahama Composite Shutters", "Composite", "Bahama", "Operable", "StyleCraft"),
+    ("Atlantic Premium Custom Louvered Hybrid Shutters", "Hybrid", "Louver", "Operable", "Atlantic"),
+    ("Atlantic Premium Custom Raised Panel Hybrid Shutters", "Hybrid", "Raised Panel", "Operable", "Atlantic"),
+    ("Atlantic Premium Custom Board and Batten Hybrid Shutters", "Hybrid", "Board and Batten", "Operable", "Atlantic"),
+    ("Atlantic Premium Custom Bahama Hybrid Shutters", "Hybrid", "Bahama", "Operable", "Atlantic"),
 ]
 PRODUCT_ROWS = [(i, *row) for i, row in enumerate(PRODUCTS)]
 SCHEMA = "doc_id long, title string, Material string, Style string, Mounting string, Brand string"

@@ -148,8 +148,11 @@ def test_combinations(docs, index, rows):
 
 
 def test_response(index, rows):
-    result = plans.browse(index, rows(QUERY, (1, "custom wood")), count=2)
-    text = J.to_response_json(J.assemble(result.hits, result.facets)).first().response
+    asked = rows(QUERY, (1, "custom wood"), (2, "nothing like it"), (3, None))
+    result = plans.browse(index, asked, count=2)
+    texts = {r.query_id: r.response for r in J.to_response_json(J.assemble(asked, result.hits, result.facets)).collect()}
+    assert json.loads(texts[2]) == json.loads(texts[3]) == {"Phrase": "", "SelectionGroups": [], "Results": [], "FacetGroups": []}
+    text = texts[1]
     answer = json.loads(text)
     assert list(answer) == ["Phrase", "SelectionGroups", "Results", "FacetGroups"]
     assert answer["Phrase"] == "" and answer["SelectionGroups"] == []

@@ -266,3 +266,30 @@ def test_log_is_searched_once_per_phrase(rows, index):
     answered, single = plans.answer_log(index, log), plans.browse(index, log)
     assert pairs(answered.hits) == pairs(single.hits)
     assert pairs(answered.facets) == pairs(single.facets)
+
+
+def test_log_keeps_boosts(spark, index):
+    log = spark.createDataFrame([(1, "custom wood", 1.0), (2, "custom wood", 2.0)], "query_id long, phrase string, boost double")
+    best = {r.query_id: r.score for r in plans.answer_log(index, log).hits.where("rank = 1").collect()}
+    assert best[2] == pytest.approx(2 * best[1], abs=2)
+
+
+def test_mixed_clauses_score_exactly_the_hits(spark, index):
+    asked = spark.createDataFrame([(1, "custom", "wood", "louvered")], "query_id long, must string, should string, must_not string")
+    terms = bool_terms(asked)
+    hits = {r.doc_id for r in S.search_bool(index.postings, terms).collect()}
+    scored = {r.doc_id: r.score for r in R.score_bool(index.postings, terms, index.frequencies, index.lengths, index.totals).collect()}
+    titles = {r.doc_id: r.title.lower() for r in index.docs.collect()}
+    assert hits == {d for d, t in titles.items() if "custom" in t and "louvered" not in t} == set(scored)
+    with_wood = [s for d, s in scored.items() if "wood" in titles[d]]
+    assert with_wood and min(with_wood) > max(s for d, s in scored.items() if "wood" not in titles[d])
+
+
+def test_open_ranges(spark, index):
+    ranges = spark.createDataFrame([(1, None, "c", True), (2, "w", None, True), (3, None, None, False)],
+                                   "query_id long, low string, high string, inclusive boolean")
+    found = {}
+    for r in P.match_ranges(index.frequencies, ranges).collect():
+        found.setdefault(r.query_id, set()).add(r.term)
+    terms = {r.term for r in index.frequencies.collect()}
+    assert found == {1: {t for t in terms if t <= "c"}, 2: {t for t in terms if t >= "w"}, 3: terms}

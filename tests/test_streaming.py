@@ -20,8 +20,10 @@ def test_suggestions(spark, index, tmp_path):
 
 def test_search(spark, index, tmp_path):
     (tmp_path / "in").mkdir()
-    stream = requests(spark, tmp_path / "in", "query_id long, phrase string", [{"query_id": 1, "phrase": "custom wood"}])
+    stream = requests(spark, tmp_path / "in", "query_id long, phrase string", [{"query_id": 1, "phrase": "custom wood"}, {"query_id": 2, "phrase": "no such thing"}])
     serve_search(stream, index, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    answer = json.loads(spark.read.json(str(tmp_path / "out")).first().response)
+    answers = {r.query_id: json.loads(r.response) for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert answers[2]["Results"] == [] and answers[2]["FacetGroups"] == []
+    answer = answers[1]
     assert len(answer["Results"]) == 6 and answer["FacetGroups"][1] == {
         "Name": "Material", "Facets": [{"Name": "Wood", "Count": 6}]}

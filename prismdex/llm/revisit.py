@@ -99,9 +99,11 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op8_revisit(pages: DataFrame) -> DataFrame:
+    """Every revisit derived from `pages`; refers_to and refers_ts are -1 where it is not resolved."""
     get = lambda name: F.try_element_at("headers", F.lit(name))
     return resolve(captures(pages)).select(
-        "record_id", "canonical", "ts", "refers_to", "refers_ts", "status",
+        "record_id", "canonical", "ts", F.coalesce("refers_to", F.lit(-1)).alias("refers_to"),
+        F.coalesce("refers_ts", F.lit(-1)).alias("refers_ts"), "status",
         get("Content-Length").alias("content_length"), get("date").alias("date"))
 
 
@@ -124,8 +126,8 @@ best AS (
        AND (r.page_id * 10 < v.page_id * 10 + 5000 OR (r.page_id * 10 = v.page_id * 10 + 5000 AND r.page_id * 2 < v.page_id * 2 + 1))
   GROUP BY ALL)
 SELECT record_id, canonical, ts,
-       CASE WHEN etag = old_tag THEN old_page * 2 END AS refers_to,
-       CASE WHEN etag = old_tag THEN old_page * 10 END AS refers_ts,
+       CASE WHEN etag = old_tag THEN old_page * 2 ELSE -1 END AS refers_to,
+       CASE WHEN etag = old_tag THEN old_page * 10 ELSE -1 END AS refers_ts,
        CASE WHEN etag = old_tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
        CASE WHEN etag = old_tag THEN size END AS content_length,
        CASE WHEN etag = old_tag THEN ts::VARCHAR END AS date

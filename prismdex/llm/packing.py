@@ -11,8 +11,9 @@ piece. Other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismdex.llm.common import settle
+from prismdex.llm.common import encode, settle
 
 WINDOW = 4096
 
+#: Signs of a byte-level vocabulary: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -32,56 +37,83 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and never joins what white space parts.
+    """Ids of texts by a tokenizer that drops white space and case and never joins what white space parts.
 
-    Such a tokenizer gives a text the ids of its words in turn, so words seen before are looked up. Two
-    generations of at most `keep` words bound what is kept.
+    Such a tokenizer gives a text the ids of its words in turn, so words seen before are looked up, as
+    little-endian 32-bit ids that one join puts together. A new word of small Latin letters alone is one piece to
+    the tokenizer, so its bytes go straight to the merges, in the signs the byte-level vocabulary writes them with.
+    A full stop or comma after a letter is a piece of its own. Two generations of at most `keep` words bound what
+    is kept.
     """
 
-    def __init__(self, file: str, keep: int = 150_000) -> None:
+    LETTERS = re.compile("[a-zà-öø-ÿ]+")
+
+    def __init__(self, file: str, keep: int = 250_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(file), keep
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        young, old = self.young, self.old
-        unseen = [w for w in set(words) if w not in young]
-        new = []
-        for word in unseen:
+        self.merge = self.tokenizer.model.tokenize
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encoded(self, text: str | None) -> bytes:
+        if text and "<|" in text:  # special tokens are told by their case
+            return self._ids([text])[0]
+        words = encode(text).lower().split()
+        try:
+            return b"".join(map(self.young.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+        return b"".join(map(self.young.__getitem__, words))
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
+        young, old, new, ended = self.young, self.old, set(), []
+        for word in {w for w in words if w not in young}:
             ids = old.get(word)
-            if ids is None:
-                new.append(word)
-            else:
+            if ids is not None:
                 young[word] = ids
+            elif word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+                ended.append(word)
+                new |= {w for w in (word[:-1], word[-1:]) if w not in young}
+            else:
+                new.add(word)
+        texts = {w: w.decode("utf-8", "replace") for w in new}
+        for word in [w for w, t in texts.items() if self.LETTERS.fullmatch(t)]:
+            merged = self.merge(word.decode("latin-1").translate(BYTE_SIGNS))
+            young[word] = np.array([t.id for t in merged], "<u4").tobytes()
+            new.discard(word)
         if new:
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                young[word] = tuple(found.ids)
-        out = np.fromiter(chain.from_iterable([young[w] for w in words]), np.uint32)
-        if len(young) > self.keep:
-            self.young, self.old = {}, young
-        return out
+            rest = list(new)
+            young.update(zip(rest, self._ids([texts[w] for w in rest])))
+        for word in ended:
+            young[word] = young[word[:-1]] + young[word[-1:]]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encoded(text), "<u4")
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataFrame:
     """(part, doc_id, ids, doc_tokens, local): ids as little-endian 32-bit numbers, local their offset in the partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_file)
+        encoder, end = Encoder(tokenizer_file), np.array([separator], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 rows = batch.iloc[lo:lo + 256]
-                ids = [np.append(encoder(t), separator).astype("<u4") for t in rows["text"]]
-                sizes = [len(x) for x in ids]
+                ids = [encoder.encoded(t) + end for t in rows["text"]]
+                sizes = [len(x) // 4 for x in ids]
                 starts = [at, *accumulate(sizes, initial=at)][1:-1]
                 yield pd.DataFrame({"part": part, "doc_id": rows["doc_id"].astype("Int64"),
-                                    "ids": [x.tobytes() for x in ids], "doc_tokens": sizes, "local": starts})
+                                    "ids": ids, "doc_tokens": sizes, "local": starts})
                 at += sum(sizes)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(

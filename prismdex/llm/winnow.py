@@ -28,11 +28,17 @@ from pyspark.sql import functions as F
 from prismdex.llm.common import plain_words, settle
 
 
-def _word_hashes(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
-    if len(seen) > 500_000:
-        seen.clear()
-    digest = xxhash.xxh64_intdigest
-    return np.array([seen.get(w) or seen.setdefault(w, digest(w)) for w in words], np.uint64)
+def _word_hashes(words: list[bytes], seen: dict[bytes, bytes]) -> np.ndarray:
+    """64-bit hashes of the words; digests of words seen before are looked up, up to a bound."""
+    try:
+        found = b"".join(map(seen.__getitem__, words))
+    except KeyError:
+        if len(seen) > 500_000:
+            seen.clear()
+        new = {w for w in words if w not in seen}
+        seen.update(zip(new, map(xxhash.xxh64_digest, new)))
+        found = b"".join(map(seen.__getitem__, words))
+    return np.frombuffer(found, ">u8").astype(np.uint64)
 
 
 def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
@@ -49,9 +55,33 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places of the hashes kept: the rightmost smallest of each window; all in one when there are fewer."""
     if len(hashes) == 0:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, min(window, len(hashes)))
-    width = view.shape[1]
-    return np.unique(np.arange(len(view)) + width - 1 - view[:, ::-1].argmin(axis=1))
+    width = min(window, len(hashes))
+    starts = len(hashes) - width + 1
+    least, at = hashes[:starts], np.arange(starts)
+    for k in range(1, width):
+        later = hashes[k:k + starts]
+        at = np.where(later <= least, np.arange(k, k + starts), at)
+        least = np.minimum(least, later)
+    kept = np.zeros(len(hashes), bool)
+    kept[at] = True
+    return np.flatnonzero(kept)
+
+
+class Keys:
+    """Tells which hashes are among the keys: a table of their low bits first, then the sorted keys."""
+
+    def __init__(self, keys, bits: int = 20) -> None:
+        self.sorted, self.mask = np.array(sorted(keys), np.uint64), np.uint64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self.sorted & self.mask] = True
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are keys."""
+        at = np.flatnonzero(self.table[hashes & self.mask])
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
+        return at[self.sorted[place] == hashes[at]]
 
 
 class Index:
@@ -70,8 +100,7 @@ class Index:
             elif len(words):
                 at = int(words.argmin())
                 self.short.setdefault(int(words[at]), []).append((k, at))
-        self.long_keys = np.array(sorted(self.long), np.uint64)
-        self.short_keys = np.array(sorted(self.short), np.uint64)
+        self.long_keys, self.short_keys = Keys(self.long), Keys(self.short)
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, merged ranges of hit words, and items hit."""
@@ -79,7 +108,7 @@ class Index:
         n, ranges, found = len(words), [], set()
         grams = gram_hashes(words, self.gram)
         kept = winnowed(grams, self.span - self.gram + 1)
-        kept = kept[np.isin(grams[kept], self.long_keys)] if len(self.long_keys) else kept[:0]
+        kept = kept[self.long_keys.among(grams[kept])]
         done: dict[tuple[int, int], int] = {}
         for at in kept.tolist():
             for k, start in self.long[int(grams[at])]:
@@ -96,13 +125,12 @@ class Index:
                 if hi - lo >= self.span:
                     ranges.append((lo, hi))
                     found.add(k)
-        if len(self.short_keys) and n:
-            for at in np.flatnonzero(np.isin(words, self.short_keys)).tolist():
-                for k, start in self.short[int(words[at])]:
-                    item, lo = self.items[k][1], at - start
-                    if lo >= 0 and lo + len(item) <= n and (words[lo:lo + len(item)] == item).all():
-                        ranges.append((lo, lo + len(item)))
-                        found.add(k)
+        for at in self.short_keys.among(words).tolist():
+            for k, start in self.short[int(words[at])]:
+                item, lo = self.items[k][1], at - start
+                if lo >= 0 and lo + len(item) <= n and (words[lo:lo + len(item)] == item).all():
+                    ranges.append((lo, lo + len(item)))
+                    found.add(k)
         return n, merged(ranges), {self.items[k][0] for k in found}
 
 

@@ -11,7 +11,7 @@ from prismdex.functions.ngrams import edge_ngrams_sql
 from prismdex.functions.words import is_blank, last_word
 from prismdex.operators.analysis import SUGGEST
 from prismdex.operators.dictionary import suggestable
-from prismdex.operators.sizing import lookup_join, salted_join, settle
+from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, salted_join, settle
 
 ORDERS = ("count_asc", "count_desc")
 
@@ -48,11 +48,16 @@ def suggest(suggestions: DataFrame, inputs: DataFrame, k: int = SUGGEST_LIMIT, o
     """(input_id, rank, word, doc_freq): at most k words per input.
 
     The best k words are found once per distinct typed word and only then handed out
-    to the inputs, so a word typed by many costs no more than one typed once.
+    to the inputs, so a word typed by many costs no more than one typed once. Few distinct
+    typed words become a literal filter, which prunes the files sorted by gram.
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
     typed, size = settle(typed_words(inputs, min_chars))
+    if size.small:
+        grams = [r.gram for r in typed.select("gram").distinct().limit(PUSHED_VALUES + 1).collect()]
+        if len(grams) <= PUSHED_VALUES:
+            suggestions = suggestions.where(F.col("gram").isin(grams))
     wanted = lookup_join(suggestions, typed.select("gram").distinct(), "gram", "left_semi", spread="word", size=size)
     freq = F.col("doc_freq") if order == "count_asc" else F.col("doc_freq").desc()
     best = (

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prismdex.config import DEFAULT_SYNONYMS, IndexConfig
 from prismdex.operators import dictionary as D
@@ -103,6 +104,4 @@ def open_index(spark: SparkSession, path: str, cfg: IndexConfig = IndexConfig())
 
 def open_suggestions(spark: SparkSession, path: str) -> DataFrame:
     """The suggestion table of an index, empty while none is built."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    return open_or_empty(spark, f"{path}/suggestions", _parse_datatype_string(SUGGESTION_SCHEMA))
+    return open_or_empty(spark, f"{path}/suggestions", StructType.fromDDL(SUGGESTION_SCHEMA))

@@ -3,6 +3,7 @@ from conftest import pairs
 
 from prismdex.operators import response as J
 from prismdex.operators import suggest as G
+from prismdex.sources.store import open_table, write_table
 
 INPUT = "input_id long, text string"
 TYPED = {
@@ -67,3 +68,13 @@ def test_json(rows, index):
     inputs = rows(INPUT, (1, "st"), (2, "zzz"))
     assert pairs(J.suggestions_json(inputs, G.suggest(index.suggestions, inputs))) == [
         (1, '["standard","style craft","stylecraft"]'), (2, "[]")]
+
+
+def test_typed_words_reach_the_scan(rows, index, spark, tmp_path, capsys):
+    path = str(tmp_path / "suggestions")
+    write_table(index.suggestions, path, sort_by=["gram", "doc_freq", "word"], files=4)
+    found = G.suggest(open_table(spark, path), rows(INPUT, (1, "sh"), (2, "ba")))
+    found.explain("formatted")
+    pushed = [line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line]
+    assert any("In(gram" in line and "sh" in line and "ba" in line for line in pushed)
+    assert words(found) == words(G.suggest(index.suggestions, rows(INPUT, (1, "sh"), (2, "ba"))))

@@ -80,6 +80,30 @@ def test_low_importance_branches_go(spark):
     assert [found[i]["text"] for i in (100, 101, 102)] == ["", "", "plain text"]
 
 
+def extracted(spark, pages):
+    """{page_id: text} of (page_id, url, html) rows."""
+    return {r["page_id"]: r["text"] for r in rows(site_style.op2_site_style(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+
+
+def test_copies_of_a_page_do_not_empty_it(spark):
+    page = "<html><head></head><body><article><p>story number {0} tells of {0} and of what came after</p></article></body></html>"
+    bare = page.replace("article", "div")
+    story = "story number {0} tells of {0} and of what came after"
+    pages = [(i, "http://eight.example/", page.format(0)) for i in range(8)]
+    pages += [(100 + i, "http://most.example/", page.format(max(0, i - 89))) for i in range(100)]  # 90 copies, 10 others
+    pages += [(300 + i, "http://bare.example/", bare.format(max(0, i - 89))) for i in range(100)]
+    found = extracted(spark, pages)
+    assert {found[i] for i in range(8)} == {story.format(0)}
+    for first in (100, 300):
+        assert [found[first + i] for i in range(100)] == [story.format(max(0, i - 89)) for i in range(100)]
+
+
+def test_near_copies_keep_their_text(spark):
+    text = "<p>one long passage that all of these pages share, word for word, from the first to the last of it</p>"
+    pages = [(i, "http://a.example/", f"<body><div>{text}<p>seen {i}</p></div></body>") for i in range(20)]
+    assert all("one long passage" in t and t.endswith(f"seen {i}") for i, t in extracted(spark, pages).items())
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

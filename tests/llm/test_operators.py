@@ -104,6 +104,21 @@ def test_near_copies_keep_their_text(spark):
     assert all("one long passage" in t and t.endswith(f"seen {i}") for i, t in extracted(spark, pages).items())
 
 
+def test_the_tree_judges_articles_and_what_is_beside_them(spark):
+    body = "number {0} has a text of its own, of {0} and of {0}s, that stands on no other page"
+    box = "<div class='c7'><p>leave your address with us</p></div>"
+    pages = [(i, "http://box.example/", f"<body><article id='post-{i}'><p>part one {body.format(i)}</p>{box}<p>part two {body.format(i)}</p></article>"
+              f"<div>our other sites</div></body>") for i in range(20)]
+    pages += [(100 + i, "http://teaser.example/", f"<body><div><p>real {body.format(i)}</p></div><article><p>teaser {i}</p></article>"
+               "<ul><li><a href='/'>next</a></li></ul></body>") for i in range(20)]
+    pages += [(200, "http://one.example/", f"<body><main><p>begins</p></main><section><p>goes on <a href='/'>here</a> {body.format(1)}</p></section></body>")]
+    found = extracted(spark, pages)
+    for i in range(20):
+        assert found[i] == f"part one {body.format(i)}\n\npart two {body.format(i)}"
+        assert found[100 + i] == f"real {body.format(i)}\n\nteaser {i}"
+    assert found[200] == f"begins\n\ngoes on here {body.format(1)}"
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

@@ -90,7 +90,6 @@ def scan(docs: DataFrame, anchors: int = 8, share: float = 0.6) -> DataFrame:
     rows = rows.withColumn("_spots", F.when(F.size("_rare") == 0, F.array().cast(f"array<{spot}>")).otherwise(F.filter(
         F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
         lambda s: F.array_contains(known, s["w"]))))
-    rows = rows.withColumn("_joined", F.concat(F.lit(" "), F.concat_ws(" ", F.transform("_spots", lambda s: s["w"])), F.lit(" ")))
     scores = []
     for label, (text, key) in sorted(TEMPLATES.items()):
         parts = text.split(" ")
@@ -110,8 +109,10 @@ def scan(docs: DataFrame, anchors: int = 8, share: float = 0.6) -> DataFrame:
                 F.when(acc["at"] == v["at"], acc["sum"] + v["idf"]).otherwise(v["idf"]).alias("sum"),
                 F.greatest(acc["best"], F.when(acc["at"] == v["at"], acc["sum"] + v["idf"]).otherwise(v["idf"])).alias("best")),
             lambda acc: F.least(acc["best"] / F.lit(full), F.lit(1.0)))
-        verified = F.col("_joined").contains(f" {key.split(' ')[0]} ") & (F.size(places(F.col("_words"), key)) > 0)
-        scores.append(F.when(F.array_contains("_rare", own[0]) & verified, F.struct(F.lit(label).alias("label"), best.alias("score"))))
+        # Any word of the mandatory phrase may gate, so the rarest does: it only saves work.
+        gate = min(key.split(" "), key=rank.get)
+        verified = F.array_contains("_rare", gate) & (F.size(places(F.col("_words"), key)) > 0)
+        scores.append(F.when(verified, F.struct(F.lit(label).alias("label"), best.alias("score"))))
     rows = rows.withColumn("_found", F.filter(F.array(*scores), lambda s: s.isNotNull() & (s["score"] >= share)))
     base = {phrase: F.col(f"_at{i}") for i, phrase in enumerate(BASE)}
     for i, phrase in enumerate(BASE):

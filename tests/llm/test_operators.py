@@ -267,6 +267,14 @@ def test_license_scan_against_brute_force(spark, odd, none):
     assert rows(license_scan.op6_license_scan(none)) == []
 
 
+def test_license_notices_without_the_rarest_word(spark):
+    notices = ["licensed under the MIT License", "licensed under CC BY-NC", "licensed under CC BY-NC 3.0"]
+    extra = spark.createDataFrame([(9101 + i, t) for i, t in enumerate(notices)], "doc_id long, text string")
+    docs = table(spark, "documents").select("doc_id", "text").unionByName(extra)
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.op6_license_scan(docs).where("doc_id > 9100").collect()}
+    assert "mit" in got[9101] and "cc-by-nc" in got[9102] and "cc-by-nc" in got[9103]
+
+
 RECORDS = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>"
 
 

@@ -3,9 +3,9 @@
 The model gives log10 probabilities of subword ids: one attention layer over the last `context` ids predicts
 the next id's class, starting from the class counts after the id before; corpus counts give the id within its
 class, after the id before where it is a frequent one. Classes are clusters of ids with like neighbours. Counts
-cover every training document, and their tables are bounded by the vocabulary; the layer's weights come from
-windows of a fixed share of the documents, chosen by a hash. What is learnt from grows with the input. Each
-task trains on its rows, Spark averages the tasks' weights.
+and the layer's weights come from every training document; their tables are bounded by the vocabulary, and every
+id has an input row of its own. Each task trains on its rows; Spark averages each row of weights over the
+tasks that changed it.
 
 A document is scored in windows of `context` ids that overlap by half: each window scores its later half, the
 first all of it, so each id is scored once with at least half a window before it.
@@ -42,9 +42,8 @@ class Settings:
     width: int = 16
     context: int = 32
     classes: int = 64
-    inputs: int = 4096
+    inputs: int = 0  # 0: a row for every id
     before: int = 256
-    one_in: int = 16
     batch: int = 32
     rate: float = 0.08
     head: int = 50_000
@@ -60,7 +59,7 @@ class Attention:
         self.prior = prior.astype(np.float32)
         r, d = np.random.default_rng(5), s.width
         self.s, self.p = s, {
-            "emb": r.normal(0, 0.3, (s.inputs, d)), "pos": r.normal(0, 0.1, (s.context, d)),
+            "emb": r.normal(0, 0.3, (len(prior), d)), "pos": r.normal(0, 0.1, (s.context, d)),
             **{n: r.normal(0, 1 / math.sqrt(d), (d, d)) for n in ("wq", "wk", "wv", "wo")},
             "wc": r.normal(0, 0.02, (d, s.classes)), "bc": np.zeros(s.classes),
         }
@@ -103,9 +102,11 @@ class Attention:
         grad |= {"wq": flat(e).T @ flat(dq), "wk": flat(e).T @ flat(dk), "wv": flat(e).T @ flat(dv)}
         de = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
         grad["pos"] = de.sum(0)
-        emb = np.zeros_like(p["emb"])
-        np.add.at(emb, x.ravel(), flat(de))
-        grad["emb"] = emb
+        used, place = np.unique(x, return_inverse=True)
+        emb = np.zeros((len(used), p["emb"].shape[1]), np.float32)
+        np.add.at(emb, place.ravel(), flat(de))
+        self.seen["emb"][used] += emb * emb
+        p["emb"][used] -= np.float32(self.s.rate) * emb / np.sqrt(self.seen["emb"][used])
         for name, value in grad.items():
             self.seen[name] += value * value
             p[name] -= np.float32(self.s.rate) * value / np.sqrt(self.seen[name])
@@ -128,9 +129,10 @@ class Vocabulary:
 
     def __init__(self, counts: np.ndarray, s: Settings) -> None:
         self.s, self.counts, self.size = s, counts, len(counts)
+        self.inputs = s.inputs or len(counts) + 1
         rank = np.empty(len(counts), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-        self.row = np.minimum(rank + 1, s.inputs - 1)  # row 0 begins a document
+        self.row = np.minimum(rank + 1, self.inputs - 1)  # row 0 begins a document
         self.near = np.minimum(self.row, s.before - 1)
 
     def cluster(self, pairs: pd.DataFrame, rounds: int = 12) -> None:
@@ -267,14 +269,21 @@ def learn_vocabulary(rows: DataFrame, size: int, s: Settings) -> tuple[Vocabular
     key = pairs["key"].to_numpy(np.int64)
     vocabulary.cluster(pd.DataFrame({"side": key // size // s.before, "near": key // size % s.before, "id": key % size, "n": pairs["n"].to_numpy()}))
     turns = _summed(rows, lambda ids: np.r_[0, vocabulary.row[ids[:-1]]] * s.classes + vocabulary.cls[ids])
-    prior = np.full(s.inputs * s.classes, 0.1)
-    prior[turns["key"].to_numpy(np.int64)] += turns["n"].to_numpy()
-    prior = prior.reshape(s.inputs, s.classes)
+    prior = np.zeros(vocabulary.inputs * s.classes)
+    prior[turns["key"].to_numpy(np.int64)] = turns["n"].to_numpy()
+    prior = prior.reshape(vocabulary.inputs, s.classes)
+    overall = prior.sum(0) + 0.1
+    prior += 0.1 + vocabulary.BACK * overall / overall.sum()  # rare ids lean on the classes' shares
     return vocabulary, np.log(prior / prior.sum(1, keepdims=True))
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Settings) -> Attention:
-    """Each task trains from the same start on its windows; weights are averaged by the windows seen."""
+    """Each task trains from the same start on its windows; rows of weights are averaged by the windows seen."""
+    width = s.width
+    names = [f"w{k}" for k in range(width)]
+
+    def lines(values: np.ndarray) -> np.ndarray:
+        return np.pad(values, (0, -len(values) % width)).reshape(-1, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, seen = Attention(s, prior), 0
@@ -295,15 +304,17 @@ def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Setting
                 model.step(x[at], np.maximum(y[at], 0), y[at] >= 0)
                 seen += len(at)
         if seen:
-            w = model.flat().astype(float) * seen
-            yield pd.DataFrame({"block": range(0, len(w), 4096), "w": [w[i:i + 4096] for i in range(0, len(w), 4096)], "seen": seen})
+            w = lines(model.flat())
+            moved = np.flatnonzero((w != lines(Attention(s, prior).flat())).any(1))
+            yield pd.DataFrame({"line": moved, "seen": seen, **{n: w[moved, k].astype(float) * seen for k, n in enumerate(names)}})
 
-    sample = _training(rows).where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(s.one_in)) == 0).select("ids")
-    parts = sample.mapInPandas(run, "block long, w array<double>, seen long").select("block", "seen", F.posexplode("w").alias("i", "w"))
-    mean = parts.groupBy((F.col("block") + F.col("i")).alias("at")).agg((F.sum("w") / F.sum("seen")).alias("w")).toPandas()
+    parts = _training(rows).select("ids").mapInPandas(run, "line long, seen long, " + ", ".join(f"{n} double" for n in names))
+    mean = parts.groupBy("line").agg(*[(F.sum(n) / F.sum("seen")).alias(n) for n in names]).toPandas()
     model = Attention(s, prior)
-    if len(mean):  # as long as the model, whatever the input
-        model.load(mean.sort_values("at")["w"].to_numpy())
+    w = model.flat()
+    at = lines(w).astype(float)
+    at[mean["line"].to_numpy(np.int64)] = mean[names].to_numpy(float)  # no longer than the model, whatever the input
+    model.load(at.ravel()[:len(w)])
     return model
 
 

@@ -218,6 +218,21 @@ def test_gradient_step_lowers_the_loss():
     assert loss() < before * 0.9
 
 
+def test_language_model_learns_from_every_document_and_id(spark):
+    import pandas as pd
+    s = attention_lm.Settings()
+    ids = np.arange(6000) % 5000
+    vocabulary = attention_lm.Vocabulary(np.bincount(ids, minlength=5000).astype(float), s)
+    assert len(set(vocabulary.row)) == 5000
+    vocabulary.cluster(pd.DataFrame({"side": [0, 0, 1], "near": [0, 1, 1], "id": [0, 1, 4], "n": [2, 3, 1]}))
+    prior = np.zeros((5001, s.classes))
+    for doc_id in (None, 0, 2, 3, 4, 5):
+        assert zlib.crc32(str(doc_id).encode()) % 7 != 2
+        docs = spark.createDataFrame([(doc_id, bytearray(ids.astype("<u4").tobytes()))], "doc_id long, ids binary")
+        moved = attention_lm.train(docs, vocabulary, prior, s).p["emb"] != attention_lm.Attention(s, prior).p["emb"]
+        assert moved.any(1)[1:].all()
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())

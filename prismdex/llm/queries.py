@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from prismdex.llm import ann, attention_lm, license_scan, packing, quality, revisit, simhash, site_style, toxicity, winnow
+from prismdex.llm import (
+    ann, attention_lm, filter_audit, license_scan, ns_bounds, packing, quality, revisit, simhash, site_style, token_counts, toxicity, winnow,
+)
 from prismdex.llm.common import table
 
 QUERIES = {
@@ -16,7 +18,10 @@ QUERIES = {
     "op8_revisit": lambda s, d: revisit.op8_revisit(table(s, d, "pages")),
     "op9_nearest": lambda s, d: ann.op9_nearest(table(s, d, "embeddings")),
     "op10_decontaminate": lambda s, d: winnow.op10_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op11_filter_audit": lambda s, d: filter_audit.op11_filter_audit(table(s, d, "documents"), table(s, d, "labels")),
+    "op12_token_counts": lambda s, d: token_counts.op12_token_counts(table(s, d, "documents")),
+    "op13_ns_bounds": lambda s, d: ns_bounds.op13_ns_bounds(table(s, d, "embeddings")),
 }
 
 #: The other operators have no SQL form; tests hold them against brute force or held-out labels.
-ORACLE = {"op8_revisit": revisit.ORACLE_SQL}
+ORACLE = {"op8_revisit": revisit.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_ns_bounds": ns_bounds.ORACLE_SQL}

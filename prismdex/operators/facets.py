@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from prismdex.config import IndexConfig
 from prismdex.operators.dictionary import facet_values
 from prismdex.operators.sizing import broadcast_if, lookup_join, settle
+from prismdex.sources.store import write_once
 
 
 def known_selections(selections: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
@@ -128,30 +129,28 @@ def top_facets(counts: DataFrame, k: int, order: str = "value") -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k)
 
 
-def rank_facets(counts: DataFrame, order: str = "value") -> DataFrame:
+def rank_facets(counts: DataFrame, order: str = "value", parts: int | None = None) -> DataFrame:
     """Every value of each field with its rank.
 
-    A field may have more values than one task should sort. Its values are cut into
-    slices that follow the order (by hit count and first characters); a value's rank is
-    the number of values in earlier slices plus its place in its own.
+    A field may have more values than one task should sort, and all of them may begin alike. The rows are
+    ranged by the full order, so a field is spread over as many parts as its rows fill; the table is written once with each
+    row's place in its part. A rank is that place, less the place of the field's first value in the part, plus the
+    number of its values in earlier parts: a table of one row per field and part.
     """
-    by = _order(order)
-    head = F.substr("value", F.lit(1), F.lit(2))
-    slice_by = [("_head", head, F.col("_head"))]
-    if order == "hits":
-        slice_by.insert(0, ("_hits", F.col("hit_count"), F.col("_hits").desc()))
-    names = [name for name, _, _ in slice_by]
-    sliced = counts.withColumns({name: value for name, value, _ in slice_by})
-    before = W.partitionBy("query_id", "field").orderBy(*[o for _, _, o in slice_by]).rowsBetween(
-        W.unboundedPreceding, -1)
-    sizes = sliced.groupBy("query_id", "field", *names).agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy("query_id", "field", *names).orderBy(*by)
+    by = ["query_id", "field", *_order(order)]
+    ranged = counts.repartitionByRange(parts, *by) if parts else counts.repartitionByRange(*by)
+    placed = write_once(ranged.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at") - F.shiftleft("_part", 33))
+    before = W.partitionBy("query_id", "field").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = (
+        placed.groupBy("query_id", "field", "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).drop("_first", "_n")
+    )
+    shifts, size = settle(shifts)
+    # No key of this join is hot: it has the rows of one part at most.
     return (
-        sliced.withColumn("_place", F.row_number().over(inside))
-        .join(starts, ["query_id", "field", *names])
-        .withColumn("rank", F.col("_start") + F.col("_place"))
-        .drop("_start", "_place", *names)
+        placed.join(F.broadcast(shifts) if size.small else shifts, ["query_id", "field", "_part"])
+        .withColumn("rank", F.col("_place") + F.col("_shift")).drop("_at", "_part", "_place", "_shift")
     )
 
 

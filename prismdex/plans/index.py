@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,7 +15,7 @@ from prismdex.operators import dictionary as D
 from prismdex.operators.analysis import expand_synonyms
 from prismdex.operators.sizing import measure
 from prismdex.operators.suggest import build_suggestions
-from prismdex.sources.store import open_or_empty, open_table, write_table
+from prismdex.sources.store import delete_table, open_or_empty, open_table, write_table
 
 SUGGESTION_SCHEMA = "gram string, word string, doc_freq bigint"
 
@@ -57,8 +58,10 @@ def index_of(docs: DataFrame, cfg: IndexConfig = IndexConfig(), synonyms: DataFr
 def build_index(spark: SparkSession, source: DataFrame, path: str, cfg: IndexConfig = IndexConfig(),
                 synonyms: DataFrame | None = None, suggest_field: str | None = None,
                 files: int | None = None) -> dict:
-    """Write every table of the index under `path`, replacing what is there; returns metrics.
+    """Write every table of the index in a new folder under `path`; returns metrics.
 
+    The folder is named in the log of builds last, in one commit: an index opened before or meanwhile goes on
+    reading its own complete build, and one opened afterwards sees the new one.
     Documents are written first and read back, so that ids given at reading are fixed
     before anything refers to them. The text is tokenised once, into a forward table
     (key, tokens) that postings and lengths are both made of. Postings are ranged on
@@ -66,7 +69,9 @@ def build_index(spark: SparkSession, source: DataFrame, path: str, cfg: IndexCon
     the number of files of the larger tables; left out, documents stay partitioned as
     the source is and Spark chooses for the others.
     """
-    started = time.time()
+    started, home = time.time(), path
+    build = f"build-{uuid.uuid4().hex}"
+    path = f"{home}/{build}"
     counted = Observation("documents")
     write_table(source.observe(counted, F.count("*").alias("n_docs")), f"{path}/docs", files=files)
     n_docs = counted.get["n_docs"]
@@ -92,16 +97,42 @@ def build_index(spark: SparkSession, source: DataFrame, path: str, cfg: IndexCon
     write_table(build_suggestions(words), f"{path}/suggestions", sort_by=["gram", "doc_freq", "word"], files=files)
     write_table(D.facet_vocabulary(docs, cfg), f"{path}/vocabulary")
     write_table(spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")), f"{path}/totals")
+    _log_build(spark, home, build)
     ended = time.time()
     return {"started": started, "ended": ended, "seconds": ended - started, "n_docs": n_docs}
 
 
+def _builds(spark: SparkSession, path: str) -> DataFrame:
+    return open_or_empty(spark, f"{path}/builds", StructType.fromDDL("number bigint, build string"))
+
+
+def _log_build(spark: SparkSession, path: str, build: str) -> None:
+    last = _builds(spark, path).agg(F.max("number")).collect()[0][0] or 0
+    spark.range(last + 1, last + 2, 1, 1).select(F.col("id").alias("number"), F.lit(build).alias("build")).write.mode("append").parquet(f"{path}/builds")
+
+
+def current_build(spark: SparkSession, path: str) -> str | None:
+    """The folder of the last build that was finished, None while there is none."""
+    last = _builds(spark, path).orderBy(F.desc("number"), F.desc("build")).limit(1).collect()
+    return f"{path}/{last[0]['build']}" if last else None
+
+
+def drop_old_builds(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete all but the last `keep` builds; call it when no reader has an older one open."""
+    numbered = _builds(spark, path).orderBy(F.desc("number"), F.desc("build")).collect()
+    for row in numbered[max(keep, 1):]:
+        delete_table(spark, f"{path}/{row['build']}")
+
+
 def open_index(spark: SparkSession, path: str, cfg: IndexConfig = IndexConfig()) -> Index:
-    """The built index, read-only."""
+    """The last build of the index, read-only."""
+    build = current_build(spark, path)
+    if build is None:
+        raise FileNotFoundError(f"no index was built at {path}")
     names = ("docs", "postings", "lengths", "frequencies", "suggestions", "vocabulary", "totals")
-    return Index(**{name: open_table(spark, f"{path}/{name}") for name in names}, cfg=cfg)
+    return Index(**{name: open_table(spark, f"{build}/{name}") for name in names}, cfg=cfg)
 
 
 def open_suggestions(spark: SparkSession, path: str) -> DataFrame:
     """The suggestion table of an index, empty while none is built."""
-    return open_or_empty(spark, f"{path}/suggestions", StructType.fromDDL(SUGGESTION_SCHEMA))
+    return open_or_empty(spark, f"{current_build(spark, path) or path}/suggestions", StructType.fromDDL(SUGGESTION_SCHEMA))

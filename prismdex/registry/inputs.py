@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 
 def _literal(value) -> str:
     if value is None:
@@ -60,3 +62,32 @@ OPEN_RANGES = rows_sql(((1, None, "an", True), (2, "the", None, False), (3, None
 INPUTS = rows_sql((
     (1, "th"), (2, "An"), (3, "la qu"), (4, "schon"), (5, "th "), (6, "   "), (7, "e"), (8, "é"), (9, "the ou"), (10, "x"),
 ), "input_id", "text")
+
+
+def expressions(count: int, depth: int, words: tuple[str, ...], seed: int = 4) -> list[tuple]:
+    """(query_id, node, parent, op, text) of random expressions; the root's parent is 0."""
+    rng, rows = random.Random(seed), []
+
+    def grow(query_id: int, parent: int, left: int, at: list[int]) -> None:
+        at[0] += 1
+        node = at[0]
+        if left == 0 or left < depth - 1 and rng.random() < 0.2:
+            rows.append((query_id, node, parent, "term", rng.choice(words)))
+            return
+        op = rng.choice(("and", "or", "or", "not") if left < depth else ("and", "or", "not"))
+        rows.append((query_id, node, parent, op, ""))
+        for _ in range(1 if op == "not" else rng.randint(2, 3)):
+            grow(query_id, node, left - 1, at)
+
+    for query_id in range(2, count + 2):
+        grow(query_id, 0, depth, [0])
+    return rows
+
+
+# (cold OR hot) AND (widget OR (gear AND NOT promo)), and fifty expressions of depth 4.
+EXPRESSION_ROWS = [
+    (1, 1, 0, "and", ""), (1, 2, 1, "or", ""), (1, 3, 2, "term", "cold"), (1, 4, 2, "term", "Hot"), (1, 5, 1, "or", ""),
+    (1, 6, 5, "term", "widget"), (1, 7, 5, "and", ""), (1, 8, 7, "term", "gear"), (1, 9, 7, "not", ""), (1, 10, 9, "term", "PROMO"),
+    *expressions(50, 4, ("cold", "hot", "widget", "gizmo", "gear", "promo", "small", "red", "plate", "anvil", "large", "economy", "standard")),
+]
+EXPRESSIONS = rows_sql(EXPRESSION_ROWS, "query_id", "node", "parent", "op", "text")

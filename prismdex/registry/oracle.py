@@ -118,6 +118,9 @@ BROWSED = ("counts AS (SELECT query_id, field, value, count(*) AS hit_count FROM
 FILLED = ("filled AS (SELECT a.query_id, v.field, v.value, coalesce(c.n, 0)::BIGINT AS hit_count FROM asked a CROSS JOIN vocab v "
           "LEFT JOIN (SELECT query_id, field, value, count(*) AS n FROM refined JOIN fv USING (doc_id) GROUP BY ALL) c "
           "ON c.query_id = a.query_id AND c.field = v.field AND c.value = v.value)")
+# Every field of every phrase that was searched, with or without hits.
+SEARCHED_GROUPS = ("searched AS (SELECT query_id, field FROM asked, (SELECT unnest(['Material', 'Style', 'Mounting', 'Brand']) AS field) "
+                   "WHERE trim(phrase) <> '')")
 P_FACETS = (*P_SEARCH, FACETS, BROWSED)
 P_REFINED = (*P_SEARCH, FACETS, VOCAB, SELECTED, REFINED, FILLED)
 STATE = ("SELECT f.*, hit_count > 0 OR EXISTS (SELECT 1 FROM sel s WHERE s.query_id = f.query_id AND s.field = f.field) "
@@ -155,6 +158,22 @@ def _has(*words: str) -> str:
     return f"doc_id IN (SELECT doc_id FROM post WHERE term IN {_in(words)})"
 
 
+def _nested(rows, parent: int = 0) -> str:
+    """The expression below a node as a condition on doc_id."""
+    parts = []
+    for _, node, above, op, text in rows:
+        if above == parent:
+            below = _nested(rows, node) if op != "term" else None
+            parts.append({"term": lambda: _has(text.lower()), "not": lambda: f"NOT ({below})"}.get(op, lambda: f"({below})")())
+    joiner = next((f" {op.upper()} " for _, node, _, op, _ in rows if node == parent and op in ("and", "or")), " OR ")
+    return joiner.join(parts)
+
+
+def _by_query():
+    ids = sorted({r[0] for r in inputs.EXPRESSION_ROWS})
+    return [(i, [r for r in inputs.EXPRESSION_ROWS if r[0] == i]) for i in ids]
+
+
 def _entry(ctes, select: str) -> str:
     return (f"WITH {', '.join(ctes)} " if ctes else "") + select
 
@@ -188,9 +207,10 @@ ORACLE: dict[str, str] = {
          "pages AS (SELECT query_id, string_agg('\"' || title || '\"', ',' ORDER BY rank) AS results FROM ranked "
          "JOIN products USING (doc_id) WHERE rank <= 50 GROUP BY query_id)",
          "grouped AS (SELECT query_id, field, string_agg('{\"Name\":\"' || value || '\",\"Count\":' || hit_count || '}', ',' "
-         "ORDER BY value) AS facets FROM counts GROUP BY ALL)",
+         "ORDER BY value) AS facets FROM counts GROUP BY ALL)", SEARCHED_GROUPS,
+         "grouped_all AS (SELECT query_id, field, coalesce(facets, '') AS facets FROM searched LEFT JOIN grouped USING (query_id, field))",
          "nested AS (SELECT query_id, string_agg('{\"Name\":\"' || field || '\",\"Facets\":[' || facets || ']}', ',' "
-         "ORDER BY field) AS groups FROM grouped GROUP BY query_id)"),
+         "ORDER BY field) AS groups FROM grouped_all GROUP BY query_id)"),
         "SELECT query_id, '{\"Phrase\":\"\",\"SelectionGroups\":[],\"Results\":[' || coalesce(results, '') || '],\"FacetGroups\":[' || coalesce(groups, '') "
         f"|| ']}}' AS response FROM ({inputs.PHRASES}) q LEFT JOIN pages USING (query_id) LEFT JOIN nested USING (query_id)"),
     "suggest_json": _entry(
@@ -255,8 +275,8 @@ ORACLE: dict[str, str] = {
          "GROUP BY ALL)"),
         "SELECT query_id, doc_id FROM g WHERE x = 0 AND a + o > 0 AND "
         "a = (SELECT count(*) FROM b WHERE b.query_id = g.query_id AND occur = 'must')"),
-    "search_nested": _entry(P_INDEX, "SELECT 1::BIGINT AS query_id, doc_id FROM products WHERE "
-                            f"{_has('cold', 'hot')} AND ({_has('widget')} OR ({_has('gear')} AND NOT {_has('promo')}))"),
+    "search_nested": _entry(P_INDEX, " UNION ALL ".join(
+        f"SELECT {query_id}::BIGINT AS query_id, doc_id FROM products WHERE {_nested(rows)}" for query_id, rows in _by_query())),
     "search_phrase": _entry((*A_INDEX, *_query_terms(inputs.PASSAGES, whole=True), MATCH, HITS), "SELECT * FROM hits"),
     "search_phrase_slop": _entry(
         (*P_INDEX, *_query_terms(inputs.SWAPPED_NAMES, whole=True)),
@@ -283,6 +303,17 @@ ORACLE: dict[str, str] = {
          "(SELECT count(DISTINCT clause) FROM qtok x WHERE x.query_id = qtok.query_id) AS n FROM qtok)",
          MATCH, LENGTHS, NORM, _weights("products", "any_value(boost)::DOUBLE"), _scored(False)),
         "SELECT * FROM scored"),
+    "tfidf_bool": _entry(
+        (*P_INDEX, f"b AS ({_BOOL})",
+         "g AS (SELECT query_id, doc_id, count(*) FILTER (occur = 'must') AS a, count(*) FILTER (occur = 'should') AS o, "
+         "count(*) FILTER (occur = 'must_not') AS x FROM b JOIN post USING (term) GROUP BY ALL)",
+         "hits AS (SELECT query_id, doc_id FROM g WHERE x = 0 AND a + o > 0 AND "
+         "a = (SELECT count(*) FROM b WHERE b.query_id = g.query_id AND occur = 'must'))",
+         "q AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n, pow(1 + ln((SELECT count(*) FROM products) / "
+         "(coalesce(doc_freq, 0) + 1.0)), 2) AS weight FROM b LEFT JOIN df USING (term) WHERE occur <> 'must_not')", LENGTHS, NORM),
+        "SELECT query_id, doc_id, round(raw * norm * coord * 1e6)::BIGINT AS score FROM (SELECT query_id, doc_id, sum(sqrt(tf) * weight) "
+        "AS raw, count(*) / any_value(n) AS coord FROM q JOIN post USING (term) GROUP BY query_id, doc_id) "
+        "JOIN hits USING (query_id, doc_id) JOIN norm USING (doc_id)"),
     "top_hits": _entry(P_SCORED, "SELECT * FROM ranked WHERE rank BETWEEN 6 AND 55"),
     "hit_titles": _entry(P_SCORED, "SELECT query_id, rank, title FROM ranked JOIN products USING (doc_id) WHERE rank <= 50"),
     "hit_count": _entry(P_NAMES, "SELECT query_id, count(*) AS hit_count FROM hits GROUP BY query_id"),
@@ -301,6 +332,12 @@ ORACLE: dict[str, str] = {
                                 "FROM counts"),
     "facet_order_hits": _entry(P_FACETS, "SELECT *, row_number() OVER (PARTITION BY query_id, field ORDER BY hit_count DESC, "
                                "value) AS rank FROM counts"),
+    "facet_order_terms": _entry(
+        (ARTICLES, A_OCC, POST, DF),
+        "SELECT 1::BIGINT AS query_id, 'title' AS field, term AS value, doc_freq AS hit_count, "
+        "row_number() OVER (ORDER BY doc_freq DESC, term) AS rank FROM df"),
+    "facet_groups_flat": _entry((*P_FACETS, SEARCHED_GROUPS), "SELECT query_id, field, value, coalesce(hit_count, 0) AS hit_count FROM searched "
+                                "LEFT JOIN counts USING (query_id, field)"),
     "facet_prefix": _entry(P_FACETS, "SELECT * FROM counts WHERE starts_with(value, 'Brand#1')"),
     "facet_multi_value": _entry(P_SEARCH, "SELECT query_id, 'title' AS field, term AS value, count(*) AS hit_count "
                                 "FROM hits JOIN post USING (doc_id) GROUP BY ALL"),
@@ -320,7 +357,9 @@ ORACLE: dict[str, str] = {
     # suggestions
     "suggest_topk": _entry((*A_INDEX, *_grams("df")), _suggested("doc_freq, word")),
     "suggest_popular": _entry((*A_INDEX, *_grams("df")), _suggested("doc_freq DESC, word")),
-    "suggest_gate": "SELECT conv_id * 1000 + turn AS input_id FROM conversations WHERE length(text) >= 80",
+    "suggest_gate": "SELECT (conv_id * 1000 + turn) * 10 + nth AS input_id FROM (SELECT *, unnest([0, 1, 2, 3, length(text)]) AS n, "
+                    "unnest(range(5)) AS nth FROM conversations) WHERE length(left(text, n)) >= 2",
+    "suggest_gate_long": "SELECT conv_id * 1000 + turn AS input_id FROM conversations WHERE length(text) >= 80",
     # jobs
     "browse_hits": _entry(N_SCORED, "SELECT query_id, rank, doc_id, score, title FROM ranked JOIN products USING (doc_id) "
                           "WHERE rank <= 50"),

@@ -12,6 +12,7 @@ from prismdex.config import SUGGEST_STOP_WORDS, TEXT_STOP_WORDS
 from prismdex.functions import folding, ngrams, tokens, words
 from prismdex.functions.stopwords import remove_stops_sql
 from prismdex.operators import dictionary as D
+from prismdex.operators import expressions as X
 from prismdex.operators import facets as E
 from prismdex.operators import patterns as P
 from prismdex.operators import rank as R
@@ -269,13 +270,10 @@ def search_not(spark, sf):
 
 @query
 def search_nested(spark, sf):
-    """(cold OR hot) AND (widget OR (gear AND NOT promo)), as sets of hits."""
-    found = T.product_index(spark, sf).postings
-
-    def hits(text: str, occur: str = SHOULD) -> DataFrame:
-        return S.search_any(found, phrase_terms(spark.sql(inputs.rows_sql(((1, text),), "query_id", "phrase")), occur))
-
-    return S.hits_and(hits("cold hot"), S.hits_or(hits("widget"), S.hits_not(hits("gear"), hits("promo"))))
+    """A table of nested expressions; the first is (cold OR hot) AND (widget OR (gear AND NOT promo))."""
+    index = T.product_index(spark, sf)
+    nodes = spark.sql(inputs.EXPRESSIONS).withColumn("parent", F.expr("nullif(parent, 0)"))
+    return X.search_expressions(index.postings, nodes, index.docs)
 
 
 @query
@@ -355,6 +353,13 @@ def tfidf_boost(spark, sf):
                    index.totals, require_all=False)
 
 
+@query
+def tfidf_bool(spark, sf):
+    """Required, optional and prohibited words together."""
+    index = T.product_index(spark, sf)
+    return R.score_bool(index.postings, bool_terms(spark.sql(inputs.BOOL_QUERIES)), index.frequencies, index.lengths, index.totals)
+
+
 @query
 def top_hits(spark, sf):
     scored, _ = plans.scored_hits(T.product_index(spark, sf), spark.sql(inputs.PHRASES))
@@ -434,6 +439,13 @@ def facet_order_hits(spark, sf):
     return E.rank_facets(facet_counts_browse(spark, sf), "hits")
 
 
+@query
+def facet_order_terms(spark, sf):
+    """Every term of the articles as a value of one field, most frequent first."""
+    index = T.article_index(spark, sf)
+    return E.rank_facets(E.multi_value_counts(S.match_all(index.docs, 1), index.postings), "hits")
+
+
 @query
 def facet_prefix(spark, sf):
     index, faceted = _faceted(spark, sf)
@@ -459,6 +471,11 @@ def facet_groups_nested(spark, sf):
     return J.assemble(asked, found.hits, found.facets)
 
 
+@query
+def facet_groups_flat(spark, sf):
+    return J.flatten_groups(facet_groups_nested(spark, sf))
+
+
 def _boxes(spark, sf) -> DataFrame:
     """A box for every facet value, checked where an even number of products has it."""
     values = D.facet_values(T.products(spark, sf), T.PRODUCTS).groupBy("field", "value").agg(F.count("*").alias("n"))
@@ -495,8 +512,20 @@ def suggest_popular(spark, sf):
     return G.suggest(T.article_index(spark, sf).suggestions, spark.sql(inputs.INPUTS), order="count_desc")
 
 
+def _typed_prefixes(spark, sf) -> DataFrame:
+    """What was typed of every conversation turn after 0, 1, 2, 3 and all characters."""
+    turns = T.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return turns.select(F.posexplode(F.expr("array(0, 1, 2, 3, length(text))")).alias("at", "n"), "turn_id", "text").select(
+        (F.col("turn_id") * 10 + F.col("at")).alias("input_id"), F.expr("left(text, n)").alias("text"))
+
+
 @query
 def suggest_gate(spark, sf):
+    return G.passes_gate(_typed_prefixes(spark, sf)).select("input_id")
+
+
+@query
+def suggest_gate_long(spark, sf):
     return G.passes_gate(T.table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("input_id"), "text"), 80).select("input_id")
 

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -39,6 +38,12 @@ def write_table(df: DataFrame, path: str, sort_by: list[str] | None = None, file
     df.write.mode("overwrite").parquet(path)
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table, or a folder of them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def open_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The table as it is now; opening again after a rebuild sees the new files."""
     spark.catalog.refreshByPath(path)
@@ -58,10 +63,7 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
 
 def open_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table, or no rows of `schema` while it has not been built."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
     return open_table(spark, path, schema)

@@ -33,7 +33,7 @@ def serve_search(requests: DataFrame, index: Index, sink: str, checkpoint: str,
 
     def answer(batch: DataFrame) -> DataFrame:
         found = browse(index, batch, keep=True)
-        return to_response_json(assemble(batch, found.hits, found.facets, index.cfg.text))
+        return to_response_json(assemble(batch, found.hits, found.facets, index.cfg.text, index.cfg.facets))
 
     return answer_stream(requests, answer, sink, checkpoint, trigger)
 

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import PRODUCT_ROWS, pairs
+from pyspark.sql import functions as F
 
 from prismdex.config import IndexConfig
 from prismdex.operators import facets as E
@@ -125,6 +126,34 @@ def test_orders(rows):
         E.top_facets(counts, 1, "name")
 
 
+@pytest.mark.parametrize("order", ["value", "hits"])
+def test_rank_of_many_values_that_begin_alike(spark, order):
+    """200,000 values of one field with a common start are spread evenly; other fields start and end inside a part."""
+    many = spark.range(200_000).select(
+        F.lit(1).cast("long").alias("query_id"), F.lit("B").alias("field"), F.format_string("Brand#%06d", F.col("id")).alias("value"),
+        (F.col("id") * 7919 % 1000).alias("hit_count"))
+    few = spark.range(300).select(
+        (F.col("id") % 3).alias("query_id"), F.lit("A").alias("field"), F.concat(F.lit("x"), "id").alias("value"), (F.col("id") % 4).alias("hit_count"))
+    counts = many.unionByName(few).repartition(5)
+    ranked = E.rank_facets(counts, order, parts=8).toPandas()
+    by = {"value": ["value"], "hits": ["hit_count", "value"]}[order]
+    want = counts.toPandas().sort_values(by, ascending=[False, True][-len(by):] if order == "hits" else True)
+    want["rank"] = want.groupby(["query_id", "field"]).cumcount() + 1
+    key = ["query_id", "field", "value"]
+    assert ranked.sort_values(key).reset_index(drop=True)[[*key, "rank"]].equals(want.sort_values(key).reset_index(drop=True)[[*key, "rank"]])
+
+    # the same ranging as the operator's
+    sizes = counts.repartitionByRange(8, "query_id", "field", *E._order(order)).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == 8 and sizes.max() < 2 * sizes.median()
+
+
+def test_rank_by_shuffle_join(spark, no_broadcast):
+    counts = spark.range(1000).select((F.col("id") % 2).alias("query_id"), F.lit("f").alias("field"), F.col("id").cast("string").alias("value"),
+                                      F.lit(1).cast("long").alias("hit_count"))
+    ranks = E.rank_facets(counts, "value", parts=4).groupBy("query_id").agg(F.min("rank"), F.max("rank"), F.count_distinct("rank"))
+    assert pairs(ranks) == [(0, 1, 500, 500), (1, 1, 500, 500)]
+
+
 def test_multi_value_and_facet_suggest(index, rows):
     hits = S.search_all(index.postings, phrase_terms(rows(QUERY, (1, "bahama"))))
     counted = {r.value: r.hit_count for r in E.multi_value_counts(hits, index.postings).collect()}
@@ -151,7 +180,12 @@ def test_response(index, rows):
     asked = rows(QUERY, (1, "custom wood"), (2, "nothing like it"), (3, None))
     result = plans.browse(index, asked, count=2)
     texts = {r.query_id: r.response for r in J.to_response_json(J.assemble(asked, result.hits, result.facets)).collect()}
-    assert json.loads(texts[2]) == json.loads(texts[3]) == {"Phrase": "", "SelectionGroups": [], "Results": [], "FacetGroups": []}
+    no_groups = {"Phrase": "", "SelectionGroups": [], "Results": [], "FacetGroups": []}
+    assert json.loads(texts[3]) == no_groups
+    fields = ("Brand", "Material", "Mounting", "Style")
+    assert json.loads(texts[2]) == no_groups | {"FacetGroups": [{"Name": f, "Facets": []} for f in fields]}
+    flat = pairs(J.flatten_groups(J.assemble(asked, result.hits, result.facets)).where("query_id > 1"))
+    assert flat == [(2, f, None, 0) for f in fields]
     text = texts[1]
     answer = json.loads(text)
     assert list(answer) == ["Phrase", "SelectionGroups", "Results", "FacetGroups"]

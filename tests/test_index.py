@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.errors import AnalysisException
 from conftest import PRODUCT_ROWS, pairs
 from pyspark.sql import functions as F
 
@@ -93,6 +94,31 @@ def test_build_and_open(spark, docs, index, tmp_path, rows):
     assert ("mid", "Mid-America", 4) in pairs(I.open_suggestions(spark, path))
 
 
+def test_readers_keep_their_build(spark, docs, tmp_path, rows):
+    path, asked = str(tmp_path / "index"), rows("query_id long, phrase string", (1, "custom wood"))
+    with pytest.raises(FileNotFoundError):
+        I.open_index(spark, path)
+    I.build_index(spark, docs, path)
+    first, reader = I.current_build(spark, path), I.open_index(spark, path)
+    before = pairs(browse(reader, asked).hits)
+    I.build_index(spark, docs.where("doc_id < 4"), path)
+    assert pairs(browse(reader, asked).hits) == before and len(before) == 6
+    assert I.open_index(spark, path).docs.count() == 4
+
+    def fail(*_args, **_kw):
+        raise RuntimeError("lost")
+
+    with pytest.MonkeyPatch.context() as patch:  # a build that breaks off is never opened
+        patch.setattr(I.D, "facet_vocabulary", fail)
+        with pytest.raises(RuntimeError):
+            I.build_index(spark, docs, path)
+    assert I.open_index(spark, path).docs.count() == 4
+    I.drop_old_builds(spark, path)
+    assert I.current_build(spark, path) != first and I.open_index(spark, path).docs.count() == 4
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(f"{first}/docs")
+
+
 def test_postings_files_cover_ranges(spark, docs, tmp_path):
     path = str(tmp_path / "ranged")
     store.write_table(D.build_postings(D.occurrences(docs)), path, sort_by=["term", "doc_id"], files=3)

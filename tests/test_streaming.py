@@ -23,7 +23,7 @@ def test_search(spark, index, tmp_path):
     stream = requests(spark, tmp_path / "in", "query_id long, phrase string", [{"query_id": 1, "phrase": "custom wood"}, {"query_id": 2, "phrase": "no such thing"}])
     serve_search(stream, index, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     answers = {r.query_id: json.loads(r.response) for r in spark.read.json(str(tmp_path / "out")).collect()}
-    assert answers[2]["Results"] == [] and answers[2]["FacetGroups"] == []
+    assert answers[2]["Results"] == [] and [g["Facets"] for g in answers[2]["FacetGroups"]] == [[]] * 4
     answer = answers[1]
     assert len(answer["Results"]) == 6 and answer["FacetGroups"][1] == {
         "Name": "Material", "Facets": [{"Name": "Wood", "Count": 6}]}

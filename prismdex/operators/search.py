@@ -32,7 +32,7 @@ def match_term(postings: DataFrame, term: str, key: str = "doc_id") -> DataFrame
     return postings.where(F.col("term") == term).select(key, "tf")
 
 
-def _clauses_met(found: DataFrame, probe: TermProbe, key: str) -> DataFrame:
+def clauses_met(found: DataFrame, probe: TermProbe, key: str) -> DataFrame:
     """(query_id, occur, clause, key, freq, + other query columns) from query terms joined to their postings.
 
     A clause of one term is a posting already. For a clause of several terms the postings
@@ -69,7 +69,7 @@ def match_clauses(postings: DataFrame, probe: TermProbe, terms: DataFrame | None
     """
     asked = probe.table if terms is None else terms
     found = lookup_join(restrict(postings, probe), asked, "term", "inner", key, probe.size)
-    return _clauses_met(found, probe, key)
+    return clauses_met(found, probe, key)
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def match_required(postings: DataFrame, probe: TermProbe, terms: DataFrame, cost
     rarest = terms.withColumn("nth", F.row_number().over(by_rarity)).where("nth = 1").select("query_id", "term")
     seeds = lookup_join(restricted.select("term", key), rarest, "term", "inner", key, probe.size).select("query_id", key)
     needed = lookup_join(seeds, terms.drop("doc_freq"), "query_id", "inner", key, probe.size)
-    return _clauses_met(restricted.join(broadcast_if(needed, cost.lookups), ["term", key]), probe, key)
+    return clauses_met(restricted.join(broadcast_if(needed, cost.lookups), ["term", key]), probe, key)
 
 
 def with_frequencies(probe: TermProbe, frequencies: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from prismdex.config import DEFAULT_SYNONYMS, IndexConfig
 from prismdex.operators import dictionary as D
 from prismdex.operators.analysis import expand_synonyms
+from prismdex.operators.blocks import block_bounds, doc_slots
 from prismdex.operators.sizing import measure
 from prismdex.operators.suggest import build_suggestions
 from prismdex.sources.store import delete_table, open_or_empty, open_table, write_table
@@ -102,6 +103,20 @@ def build_index(spark: SparkSession, source: DataFrame, path: str, cfg: IndexCon
     return {"started": started, "ended": ended, "seconds": ended - started, "n_docs": n_docs}
 
 
+def build_blocks(spark: SparkSession, path: str, cfg: IndexConfig = IndexConfig(), files: int | None = None) -> None:
+    """Add the tables that `top_any` reads to the last build: `slots` of the documents, `bounds` of the terms."""
+    index, build = open_index(spark, path, cfg), current_build(spark, path)
+    write_table(doc_slots(index.lengths, key=cfg.key), f"{build}/slots", sort_by=["block", "slot"], files=files)
+    bounds = block_bounds(index.postings, open_table(spark, f"{build}/slots"), cfg.key)
+    write_table(bounds, f"{build}/bounds", sort_by=["term", "block"], files=files)
+
+
+def open_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(slots, bounds) of the last build."""
+    build = current_build(spark, path)
+    return open_table(spark, f"{build}/slots"), open_table(spark, f"{build}/bounds")
+
+
 def _builds(spark: SparkSession, path: str) -> DataFrame:
     return open_or_empty(spark, f"{path}/builds", StructType.fromDDL("number bigint, build string"))
 

@@ -303,6 +303,9 @@ ORACLE: dict[str, str] = {
          "(SELECT count(DISTINCT clause) FROM qtok x WHERE x.query_id = qtok.query_id) AS n FROM qtok)",
          MATCH, LENGTHS, NORM, _weights("products", "any_value(boost)::DOUBLE"), _scored(False)),
         "SELECT * FROM scored"),
+    "tfidf_top_any": _entry(
+        (*A_INDEX, *_query_terms(inputs.PASSAGES), MATCH, LENGTHS, NORM, _weights("articles"), _scored(False), RANKED),
+        "SELECT * FROM ranked WHERE rank <= 50"),
     "tfidf_bool": _entry(
         (*P_INDEX, f"b AS ({_BOOL})",
          "g AS (SELECT query_id, doc_id, count(*) FILTER (occur = 'must') AS a, count(*) FILTER (occur = 'should') AS o, "

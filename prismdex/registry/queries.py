@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prismdex.config import SUGGEST_STOP_WORDS, TEXT_STOP_WORDS
 from prismdex.functions import folding, ngrams, tokens, words
 from prismdex.functions.stopwords import remove_stops_sql
+from prismdex.operators import blocks as B
 from prismdex.operators import dictionary as D
 from prismdex.operators import expressions as X
 from prismdex.operators import facets as E
@@ -353,6 +354,30 @@ def tfidf_boost(spark, sf):
                    index.totals, require_all=False)
 
 
+def _built_articles(spark, sf) -> tuple[I.Index, str]:
+    path = store.workspace(spark, "index")
+    I.build_index(spark, T.articles(spark, sf), path, T.ARTICLES)
+    return I.open_index(spark, path, T.ARTICLES), path
+
+
+def _top_any(spark, sf) -> B.TopAny:
+    index, path = _built_articles(spark, sf)
+    I.build_blocks(spark, path, T.ARTICLES)
+    return B.top_any(index.postings, *I.open_blocks(spark, path), phrase_terms(T.passages(spark, sf), SHOULD), index.frequencies, index.totals)
+
+
+@query
+def tfidf_top_any(spark, sf):
+    """The best articles of each benchmark passage, scored only where the bounds of a block allow it."""
+    return _top_any(spark, sf).hits
+
+
+@query
+def tfidf_top_any_reads(spark, sf):
+    """The postings of each passage's words, and what was read in their place."""
+    return _top_any(spark, sf).reads
+
+
 @query
 def tfidf_bool(spark, sf):
     """Required, optional and prohibited words together."""

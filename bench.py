@@ -73,7 +73,7 @@ def main() -> None:
     timed("search_wildcard", lambda: drain(P.postings_of(
         on_articles.postings, P.match_pattern(on_articles.frequencies, spark.sql(inputs.PATTERNS)))))
     timed("search_fuzzy", lambda: drain(P.postings_of(
-        on_articles.postings, P.match_fuzzy(on_articles.frequencies, spark.sql(inputs.FUZZY)))))
+        on_articles.postings, P.match_fuzzy(on_articles.frequencies, spark.sql(inputs.FUZZY), grams=on_articles.grams))))
     timed("facet_counts_browse", lambda: drain(plans.browse(on_products, names).facets))
     timed("facet_counts_refine", lambda: drain(plans.refine(on_products, phrases, selections).facets))
     timed("tfidf_top50_products", lambda: drain(plans.browse(on_products, names).hits))
@@ -82,7 +82,7 @@ def main() -> None:
         on_articles.totals, require_all=False))))
     timed("browse_log", lambda: drain(plans.answer_log(on_products, log).facets))
     timed("suggestion_table", lambda: drain(G.build_suggestions(on_articles.frequencies)))
-    timed("suggest_batch", lambda: drain(G.suggest(on_articles.suggestions, typed)))
+    timed("suggest_batch", lambda: drain(G.suggest(on_articles.suggestions, typed, best=on_articles.best)))
     timed("facet_suggest", lambda: drain(E.facet_suggest(
         S.match_all(on_articles.docs, 1), on_articles.postings, "th")))
     spark.stop()

@@ -1,12 +1,17 @@
 """Prefix, wildcard, fuzzy and range terms, resolved on the term dictionary.
 
-Every operator takes a table of patterns and meets the dictionary by equality on a key
-both sides share; the exact test then runs on those candidates. The result of each is
-(query_id, term); `postings_of` turns it into documents.
+A prefix, a wildcard's literal start and a range are intervals of the sorted dictionary. Up to
+`PUSHED_VALUES` of them are pushed into its scan as merged ranges, in blocks, and only terms inside are
+looked at again. More patterns than that, and fuzzy words, meet the dictionary by equality on a key both sides
+share; the exact test then runs on those candidates. The result of each is (query_id, term); `postings_of` turns it into
+documents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,63 @@ from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, settle
 
 _KEY_CHARS = 8
 _PIECE_CHARS = 2
+#: Intervals that one scan is asked for.
+_BLOCK = 200
+
+
+@dataclass(frozen=True)
+class Interval:
+    """Terms between two bounds in binary order, a null one open; of these only such that are like `like`, if given."""
+
+    query_id: int
+    low: str | None
+    high: str | None
+    low_in: bool = True
+    high_in: bool = False
+    like: str | None = None
+
+
+def _after(start: str) -> str | None:
+    """The least text greater than every text with this start; none if there is no such text."""
+    kept = start.rstrip("\U0010ffff")
+    if not kept:
+        return None
+    code = ord(kept[-1]) + 1
+    return kept[:-1] + chr(0xE000 if code == 0xD800 else code)
+
+
+def _merged(intervals: list[Interval]) -> Column:
+    """Whether a term lies between the bounds of any interval; overlapping ones become one range."""
+    ranges: list[tuple[str | None, str | None]] = []
+    for i in sorted(intervals, key=lambda i: (i.low or "").encode()):
+        if ranges and (ranges[-1][1] is None or (i.low or "").encode() <= ranges[-1][1].encode()):
+            low, high = ranges.pop()
+            longest = None if high is None or i.high is None else max(high, i.high, key=str.encode)
+            ranges.append((low, longest))
+        else:
+            ranges.append((i.low, i.high))
+    term, any_term = F.col("term"), F.col("term").isNotNull()
+    return reduce(Column.__or__, [
+        (any_term if low is None else term >= low) & (any_term if high is None else term <= high) for low, high in ranges])
+
+
+def _within(dictionary: DataFrame, intervals: list[Interval]) -> DataFrame:
+    """(query_id, term) of the terms inside each interval."""
+    term, parts = F.col("term"), [dictionary.select(F.lit(0).cast("long").alias("query_id"), "term").where("false")]
+    for at in range(0, len(intervals), _BLOCK):
+        block = intervals[at:at + _BLOCK]
+        asked = F.array(*[F.struct(
+            F.lit(i.query_id).cast("long").alias("query_id"), F.lit(i.low).cast("string").alias("low"), F.lit(i.high).cast("string").alias("high"),
+            F.lit(i.low_in).alias("low_in"), F.lit(i.high_in).alias("high_in"), F.lit(i.like).cast("string").alias("pattern")) for i in block])
+
+        def inside(i: Column) -> Column:
+            above = i["low"].isNull() | (term > i["low"]) | (i["low_in"] & (term == i["low"]))
+            below = i["high"].isNull() | (term < i["high"]) | (i["high_in"] & (term == i["high"]))
+            return above & below & (i["pattern"].isNull() | F.like(term, i["pattern"]))
+
+        met = F.transform(F.filter(asked, inside), lambda i: i["query_id"])
+        parts.append(dictionary.select("term").where(_merged(block)).select(F.explode(met).alias("query_id"), "term"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _candidates(terms: DataFrame, keyed: DataFrame, on: list[str], test: Column) -> DataFrame:
@@ -30,32 +92,45 @@ def _by_start(dictionary: DataFrame) -> DataFrame:
 def match_pattern(dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
     """Terms for (query_id, pattern) with `*` for any run and `?` for one character.
 
-    Patterns are lower-cased, not analysed, and must not start with a wildcard. The key
-    is the literal start of the pattern, at most eight characters of it.
+    Patterns are lower-cased, not analysed, and must not start with a wildcard. The interval is that of the
+    literal start; the key of many patterns is at most eight characters of it.
     """
     lowered = F.lower("pattern")
     literal = F.regexp_extract(lowered, r"^[^*?]*", 0)
     checked = F.when(literal == "", F.raise_error(F.lit("a pattern must not start with a wildcard"))).otherwise(literal)
     escaped = F.regexp_replace(lowered, r"([%_\\])", r"\\$1")
-    keyed = patterns.select(
-        "query_id", F.substr(checked, F.lit(1), F.lit(_KEY_CHARS)).alias("key"),
-        F.translate(escaped, "*?", "%_").alias("like_pattern"))
+    asked, size = settle(patterns.select(
+        "query_id", checked.alias("start"), F.translate(escaped, "*?", "%_").alias("like_pattern")).where("start IS NOT NULL"))
+    if size.rows <= PUSHED_VALUES:
+        return _within(dictionary, [Interval(r.query_id, r.start, _after(r.start), like=r.like_pattern) for r in asked.collect()])
+    keyed = asked.select("query_id", F.substr("start", F.lit(1), F.lit(_KEY_CHARS)).alias("key"), "like_pattern")
     return _candidates(_by_start(dictionary), keyed, ["key"], F.expr("term LIKE like_pattern"))
 
 
 def match_prefix(dictionary: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Terms that start with (query_id, prefix); wildcard characters stand for themselves."""
-    keyed = prefixes.select("query_id", F.lower("prefix").alias("prefix")).withColumn(
-        "key", F.substr("prefix", F.lit(1), F.lit(_KEY_CHARS)))
+    asked, size = settle(prefixes.select("query_id", F.lower("prefix").alias("prefix")).where("prefix <> ''"))
+    if size.rows <= PUSHED_VALUES:
+        return _within(dictionary, [Interval(r.query_id, r.prefix, _after(r.prefix)) for r in asked.collect()])
+    keyed = asked.withColumn("key", F.substr("prefix", F.lit(1), F.lit(_KEY_CHARS)))
     return _candidates(_by_start(dictionary), keyed, ["key"], F.startswith(F.col("term"), F.col("prefix")))
 
 
-def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5) -> DataFrame:
+def fuzzy_grams(dictionary: DataFrame) -> DataFrame:
+    """(piece, at, term): every one- and two-character piece of a term and its place; in an index, ranged by piece and place."""
+    return (
+        dictionary.where("term <> ''").selectExpr("term", "explode(sequence(0, length(term) - 1)) AS at")
+        .selectExpr("explode(array(substr(term, at + 1, 1), substr(term, at + 1, 2))) AS piece", "at", "term").distinct()
+    )
+
+
+def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5, grams: DataFrame | None = None) -> DataFrame:
     """Terms similar to (query_id, word): 1 - edit distance / shorter length > min_sim.
 
     With at most d edits allowed for a word, the word is cut into d + 1 pieces: a term
     within d edits holds at least one piece unchanged, moved by at most d. So a match
-    always shares a (piece, position) key, and no other terms are compared.
+    always shares a (piece, position) key, and no other terms are compared. `grams` is the written table of
+    `fuzzy_grams`; the pieces of few words are pushed into its scan, and the dictionary is not read.
     """
     if not 0.0 <= min_sim < 1.0:
         raise ValueError("min_sim must lie in [0, 1)")
@@ -74,10 +149,13 @@ def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5) -
                 F.explode(F.sequence(F.greatest(F.col("start") - F.col("edits"), F.lit(0)),
                                      F.col("start") + F.col("edits"))).alias("at"))
     )
-    grams = (
-        dictionary.where("term <> ''").selectExpr("term", "explode(sequence(0, length(term) - 1)) AS at")
-        .selectExpr("term", "at", "explode(array(substr(term, at + 1, 1), substr(term, at + 1, 2))) AS piece")
-    )
+    pieces, size = settle(pieces)
+    grams = fuzzy_grams(dictionary) if grams is None else grams
+    if size.small:
+        asked = [r.piece for r in pieces.select("piece").distinct().limit(PUSHED_VALUES + 1).collect()]
+        if len(asked) <= PUSHED_VALUES:
+            last = pieces.agg(F.max("at")).collect()[0][0]
+            grams = grams.where(F.col("piece").isin(asked)).where(F.col("at") <= F.lit(-1 if last is None else last))
     shorter = F.least(F.length("word"), F.length("term"))
     distance = F.levenshtein("word", "term")
     close = (F.abs(F.length("word") - F.length("term")) <= F.col("edits")) & (
@@ -100,8 +178,8 @@ def match_range(dictionary: DataFrame, low: str | None, high: str | None, inclus
 def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
     """Terms for a table (query_id, low, high, inclusive); a null bound is open.
 
-    The key is the class of the first character; a range is repeated for the classes
-    between its bounds.
+    For many ranges the key is the class of the first character; a range is repeated for the
+    classes between its bounds.
     """
 
     def first_class(text: Column) -> Column:
@@ -109,10 +187,13 @@ def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
         return F.when(code < 128, code).otherwise(128 + F.shiftright(code, 8))
 
     low, high = F.lower("low"), F.lower("high")
+    asked, size = settle(ranges.where(F.coalesce(low <= high, F.lit(True))).select(
+        "query_id", low.alias("low"), high.alias("high"), "inclusive"))
+    if size.rows <= PUSHED_VALUES:
+        return _within(dictionary, [Interval(r.query_id, r.low, r.high, bool(r.inclusive), bool(r.inclusive)) for r in asked.collect()])
     last_class = F.lit(128 + (0x10FFFF >> 8))
-    keyed = ranges.where(F.coalesce(low <= high, F.lit(True))).select(
-        "query_id", low.alias("low"), high.alias("high"), "inclusive",
-        F.explode(F.sequence(F.coalesce(first_class(low), F.lit(0)), F.coalesce(first_class(high), last_class))).alias("key"))
+    keyed = asked.withColumn("key", F.explode(F.sequence(
+        F.coalesce(first_class(F.col("low")), F.lit(0)), F.coalesce(first_class(F.col("high")), last_class))))
     term, low, high = F.col("term"), F.col("low"), F.col("high")
     inside = F.when(
         F.col("inclusive"), F.coalesce(term >= low, F.lit(True)) & F.coalesce(term <= high, F.lit(True))).otherwise(

@@ -27,6 +27,19 @@ def build_suggestions(frequencies: DataFrame) -> DataFrame:
         f"explode(array_distinct({grams})) AS gram", "term AS word", "doc_freq")
 
 
+def best_suggestions(suggestions: DataFrame, k: int = SUGGEST_LIMIT) -> DataFrame:
+    """(order, gram, rank, word, doc_freq): the first k words of every gram in each order.
+
+    Kept beside the full table, so that a short gram, which a large part of the vocabulary has, costs a request k rows.
+    """
+    ranked = [
+        suggestions.withColumn("rank", F.row_number().over(W.partitionBy("gram").orderBy(freq, "word"))).where(F.col("rank") <= k)
+        .select(F.lit(order).alias("order"), "gram", "rank", "word", "doc_freq")
+        for order, freq in zip(ORDERS, (F.col("doc_freq"), F.col("doc_freq").desc()))
+    ]
+    return ranked[0].unionByName(ranked[1])
+
+
 def typed_words(inputs: DataFrame, min_chars: int = 0) -> DataFrame:
     """(input_id, gram): the lower-cased last word of every input that is not blank.
 
@@ -44,28 +57,34 @@ def passes_gate(inputs: DataFrame, min_chars: int = MIN_INPUT_CHARS) -> DataFram
 
 
 def suggest(suggestions: DataFrame, inputs: DataFrame, k: int = SUGGEST_LIMIT, order: str = "count_asc",
-            min_chars: int = 0) -> DataFrame:
+            min_chars: int = 0, best: DataFrame | None = None) -> DataFrame:
     """(input_id, rank, word, doc_freq): at most k words per input.
 
+    With the table of `best_suggestions` at hand, up to `SUGGEST_LIMIT` words are read from it alone.
+
     The best k words are found once per distinct typed word and only then handed out
     to the inputs, so a word typed by many costs no more than one typed once. Few distinct
     typed words become a literal filter, which prunes the files sorted by gram.
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
+    kept = best is not None and k <= SUGGEST_LIMIT
+    if kept:
+        suggestions = best.where((F.col("order") == order) & (F.col("rank") <= k))
     typed, size = settle(typed_words(inputs, min_chars))
     if size.small:
         grams = [r.gram for r in typed.select("gram").distinct().limit(PUSHED_VALUES + 1).collect()]
         if len(grams) <= PUSHED_VALUES:
             suggestions = suggestions.where(F.col("gram").isin(grams))
     wanted = lookup_join(suggestions, typed.select("gram").distinct(), "gram", "left_semi", spread="word", size=size)
-    freq = F.col("doc_freq") if order == "count_asc" else F.col("doc_freq").desc()
-    best = (
-        wanted.withColumn("rank", F.row_number().over(W.partitionBy("gram").orderBy(freq, "word")))
-        .where(F.col("rank") <= k)
-    )
+    if not kept:
+        freq = F.col("doc_freq") if order == "count_asc" else F.col("doc_freq").desc()
+        wanted = (
+            wanted.withColumn("rank", F.row_number().over(W.partitionBy("gram").orderBy(freq, "word")))
+            .where(F.col("rank") <= k)
+        )
     if size.small:
-        handed = best.join(F.broadcast(typed), "gram")
+        handed = wanted.join(F.broadcast(typed), "gram")
     else:
-        handed = salted_join(typed, best, ["gram"], "inner", ["input_id"])
+        handed = salted_join(typed, wanted, ["gram"], "inner", ["input_id"])
     return handed.select("input_id", "rank", "word", "doc_freq")

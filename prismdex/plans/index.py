@@ -15,7 +15,8 @@ from prismdex.operators import dictionary as D
 from prismdex.operators.analysis import expand_synonyms
 from prismdex.operators.blocks import block_bounds, doc_slots
 from prismdex.operators.sizing import measure
-from prismdex.operators.suggest import build_suggestions
+from prismdex.operators.patterns import fuzzy_grams
+from prismdex.operators.suggest import best_suggestions, build_suggestions
 from prismdex.sources.store import delete_table, open_or_empty, open_table, write_table
 
 SUGGESTION_SCHEMA = "gram string, word string, doc_freq bigint"
@@ -25,7 +26,7 @@ SUGGESTION_SCHEMA = "gram string, word string, doc_freq bigint"
 class Index:
     """docs(key, text, facets) · postings(term, key, tf, positions) · lengths(key, n_terms, n_positions)
     · frequencies(term, doc_freq) · suggestions(gram, word, doc_freq) · vocabulary(field, value)
-    · totals(n_docs)."""
+    · totals(n_docs) · best(order, gram, rank, word, doc_freq) · grams(piece, at, term)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -35,6 +36,8 @@ class Index:
     vocabulary: DataFrame
     totals: DataFrame
     cfg: IndexConfig
+    best: DataFrame
+    grams: DataFrame
 
 
 def default_synonyms(spark: SparkSession) -> DataFrame:
@@ -48,10 +51,11 @@ def index_of(docs: DataFrame, cfg: IndexConfig = IndexConfig(), synonyms: DataFr
     rows = D.occurrences(docs, cfg, synonyms, size=size)
     postings = D.build_postings(rows, cfg.key)
     frequencies = D.doc_freq(postings)
+    suggestions = build_suggestions(frequencies)
     return Index(
-        docs=docs, postings=postings,
+        best=best_suggestions(suggestions), grams=fuzzy_grams(frequencies), docs=docs, postings=postings,
         lengths=D.doc_lengths(D.occurrences(docs, cfg), synonyms, cfg.key, size),
-        frequencies=frequencies, suggestions=build_suggestions(frequencies),
+        frequencies=frequencies, suggestions=suggestions,
         vocabulary=D.facet_vocabulary(docs, cfg),
         totals=docs.agg(F.count("*").alias("n_docs")), cfg=cfg)
 
@@ -96,6 +100,8 @@ def build_index(spark: SparkSession, source: DataFrame, path: str, cfg: IndexCon
     else:
         words = frequencies
     write_table(build_suggestions(words), f"{path}/suggestions", sort_by=["gram", "doc_freq", "word"], files=files)
+    write_table(best_suggestions(open_table(spark, f"{path}/suggestions")), f"{path}/best", sort_by=["order", "gram", "rank"], files=files)
+    write_table(fuzzy_grams(frequencies), f"{path}/grams", sort_by=["piece", "at", "term"], files=files)
     write_table(D.facet_vocabulary(docs, cfg), f"{path}/vocabulary")
     write_table(spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")), f"{path}/totals")
     _log_build(spark, home, build)
@@ -144,7 +150,7 @@ def open_index(spark: SparkSession, path: str, cfg: IndexConfig = IndexConfig())
     build = current_build(spark, path)
     if build is None:
         raise FileNotFoundError(f"no index was built at {path}")
-    names = ("docs", "postings", "lengths", "frequencies", "suggestions", "vocabulary", "totals")
+    names = ("docs", "postings", "lengths", "frequencies", "suggestions", "vocabulary", "totals", "best", "grams")
     return Index(**{name: open_table(spark, f"{build}/{name}") for name in names}, cfg=cfg)
 
 

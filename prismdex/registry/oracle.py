@@ -137,11 +137,11 @@ def _grams(freq: str) -> tuple[str, ...]:
     )
 
 
-def _suggested(order: str) -> str:
+def _suggested(order: str, k: int = 8) -> str:
     last = r"lower(regexp_extract(text, '\S*$'))"
     return ("SELECT input_id, rank, word, doc_freq FROM (SELECT input_id, word, doc_freq, row_number() OVER "
             f"(PARTITION BY input_id ORDER BY {order})::INTEGER AS rank FROM ({inputs.INPUTS}) i JOIN sug ON gram = {last} "
-            "WHERE trim(text) <> '') WHERE rank <= 8")
+            f"WHERE trim(text) <> '') WHERE rank <= {k}")
 
 
 def _pattern_hits(source: str, test: str) -> str:
@@ -288,6 +288,10 @@ ORACLE: dict[str, str] = {
     "search_fuzzy": _entry(A_INDEX, _pattern_hits(inputs.FUZZY, _SHORT_EDIT)),
     "search_range": _entry(A_INDEX, _pattern_hits(inputs.RANGES, _RANGE)),
     "search_range_open": _entry(A_INDEX, _pattern_hits(inputs.OPEN_RANGES, _OPEN_RANGE)),
+    "search_patterns_built": _entry(A_INDEX, " UNION ALL ".join(
+        f"SELECT query_id + {1000 * i} AS query_id, doc_id FROM ({hits})" for i, hits in enumerate((
+            _pattern_hits(inputs.FUZZY, _SHORT_EDIT), _pattern_hits(inputs.PATTERNS, f"term LIKE {_LIKE}"),
+            _pattern_hits(inputs.OPEN_RANGES, _OPEN_RANGE))))),
     "search_field_term": _entry(
         (PRODUCTS, FACETS, "ask AS (SELECT field, lower(value) AS value, min(doc_id) AS query_id FROM fv "
          "GROUP BY field, fv.value)"),
@@ -359,6 +363,7 @@ ORACLE: dict[str, str] = {
         'WINDOW w AS (PARTITION BY query_id, "Material", "Style") QUALIFY rank <= 50'),
     # suggestions
     "suggest_topk": _entry((*A_INDEX, *_grams("df")), _suggested("doc_freq, word")),
+    "suggest_more": _entry((*A_INDEX, *_grams("df")), _suggested("doc_freq, word", 30)),
     "suggest_popular": _entry((*A_INDEX, *_grams("df")), _suggested("doc_freq DESC, word")),
     "suggest_gate": "SELECT (conv_id * 1000 + turn) * 10 + nth AS input_id FROM (SELECT *, unnest([0, 1, 2, 3, length(text)]) AS n, "
                     "unnest(range(5)) AS nth FROM conversations) WHERE length(left(text, n)) >= 2",
@@ -372,6 +377,9 @@ ORACLE: dict[str, str] = {
         "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, "
         "score, title FROM refined JOIN scored USING (query_id, doc_id) JOIN products USING (doc_id) QUALIFY rank <= 50"),
     "refine_facets": _entry(P_REFINED, STATE),
+    "browse_built": _entry(N_SCORED, "SELECT query_id, rank, doc_id, score, title FROM ranked JOIN products USING (doc_id) "
+                           "WHERE rank <= 50"),
+    "refine_built": _entry(P_REFINED, STATE),
     "browse_log": _entry(
         (*P_NAMES, FACETS, BROWSED, "line AS (SELECT p_partkey AS line_id, min(p_partkey) OVER (PARTITION BY p_name) AS query_id "
          "FROM part)"),

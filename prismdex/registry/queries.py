@@ -307,6 +307,16 @@ def search_fuzzy(spark, sf):
     return P.postings_of(index.postings, P.match_fuzzy(index.frequencies, spark.sql(inputs.FUZZY)))
 
 
+@query
+def search_patterns_built(spark, sf):
+    """Fuzzy words, wildcards and ranges on the files of a built index, one kind per thousand of query_id."""
+    index, _ = _built_articles(spark, sf)
+    found = [P.match_fuzzy(index.frequencies, spark.sql(inputs.FUZZY), grams=index.grams),
+             P.match_pattern(index.frequencies, spark.sql(inputs.PATTERNS)), P.match_ranges(index.frequencies, spark.sql(inputs.OPEN_RANGES))]
+    return P.postings_of(index.postings, reduce(DataFrame.unionByName, [
+        f.select((F.col("query_id") + 1000 * i).alias("query_id"), "term") for i, f in enumerate(found)]))
+
+
 @query
 def search_range(spark, sf):
     index = T.article_index(spark, sf)
@@ -529,12 +539,21 @@ def facet_combinations(spark, sf):
 
 @query
 def suggest_topk(spark, sf):
-    return G.suggest(T.article_index(spark, sf).suggestions, spark.sql(inputs.INPUTS))
+    index = T.article_index(spark, sf)
+    return G.suggest(index.suggestions, spark.sql(inputs.INPUTS), best=index.best)
+
+
+@query
+def suggest_more(spark, sf):
+    """More words than are kept beforehand: from the full table."""
+    index = T.article_index(spark, sf)
+    return G.suggest(index.suggestions, spark.sql(inputs.INPUTS), 30, best=index.best)
 
 
 @query
 def suggest_popular(spark, sf):
-    return G.suggest(T.article_index(spark, sf).suggestions, spark.sql(inputs.INPUTS), order="count_desc")
+    index = T.article_index(spark, sf)
+    return G.suggest(index.suggestions, spark.sql(inputs.INPUTS), order="count_desc", best=index.best)
 
 
 def _typed_prefixes(spark, sf) -> DataFrame:
@@ -568,6 +587,23 @@ def browse_facets(spark, sf):
     return plans.browse(T.product_index(spark, sf), T.name_phrases(spark, sf)).facets
 
 
+def _built_products(spark, sf) -> I.Index:
+    path = store.workspace(spark, "index")
+    I.build_index(spark, T.products(spark, sf), path, T.PRODUCTS, T.synonyms(spark))
+    return I.open_index(spark, path, T.PRODUCTS)
+
+
+@query
+def browse_built(spark, sf):
+    """Browsing on the files of a built index."""
+    return plans.browse(_built_products(spark, sf), T.name_phrases(spark, sf)).hits
+
+
+@query
+def refine_built(spark, sf):
+    return plans.refine(_built_products(spark, sf), spark.sql(inputs.PHRASES), spark.sql(inputs.SELECTIONS)).facets
+
+
 @query
 def refine_hits(spark, sf):
     return plans.refine(T.product_index(spark, sf), spark.sql(inputs.PHRASES), spark.sql(inputs.SELECTIONS)).hits

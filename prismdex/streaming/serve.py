@@ -39,6 +39,6 @@ def serve_search(requests: DataFrame, index: Index, sink: str, checkpoint: str,
 
 
 def serve_suggestions(requests: DataFrame, suggestions: DataFrame, sink: str, checkpoint: str,
-                      trigger: dict | None = None) -> StreamingQuery:
-    """Answer a stream of (input_id, text) with JSON arrays of suggested words."""
-    return answer_stream(requests, lambda batch: suggestions_json(batch, suggest(suggestions, batch)), sink, checkpoint, trigger)
+                      trigger: dict | None = None, best: DataFrame | None = None) -> StreamingQuery:
+    """Answer a stream of (input_id, text) with JSON arrays of suggested words, from the kept best ones if given."""
+    return answer_stream(requests, lambda batch: suggestions_json(batch, suggest(suggestions, batch, best=best)), sink, checkpoint, trigger)

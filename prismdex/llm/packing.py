@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -100,11 +101,17 @@ class Encoder:
         return np.frombuffer(self.encoded(text), "<u4")
 
 
+@lru_cache(maxsize=1)
+def _encoder(file: str) -> Encoder:
+    """One encoder per Python worker: what a task has learnt serves the worker's next tasks."""
+    return Encoder(file)
+
+
 def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataFrame:
     """(part, doc_id, ids, doc_tokens, local): ids as little-endian 32-bit numbers, local their offset in the partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer_file), np.array([separator], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer_file), np.array([separator], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, len(batch), 256):

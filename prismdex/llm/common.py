@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(key: str, parts: int) -> Column:
-    """crc32 of the key as text, modulo `parts`."""
+    """crc32 of the key as text, modulo `parts`; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
@@ -51,7 +51,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, text, label) of at most `rows` labelled documents outside the held-out fold.
 
     The sample is bounded by `rows` and chosen by a hash of the id, so it is the same in every
-    run. Labels that are null or neither 0 nor 1 are left out; of several labels the largest counts.
+    run. A repeated id gives one row, that of its text of smallest hash. Labels that are null or neither 0
+    nor 1 are left out; of several labels the largest counts.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -63,7 +64,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         chosen.join(known, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return known.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")).select("doc_id", "text", "label")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,9 @@ The weights are learnt with FTRL-proximal updates from a bounded sample of label
 scored in Arrow batches as sparse dot products with the weights, whose size is fixed by `bits`.
 
 Null and empty texts have no n-gram: their score is that of the bias. Without labelled rows every score
-is 0.5. Repeated rows are scored one by one; columns besides doc_id and text are not looked at.
+is 0.5. Repeated rows are scored one by one, a repeated id is learnt from once; a row without an id is scored, never
+learnt from and not held out. Columns besides doc_id and text are not looked at; in the library form columns named score or
+predicted are replaced.
 """
 
 from __future__ import annotations
@@ -133,4 +135,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 
 def op1_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_quality(docs.select("doc_id", "text"), labels).select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

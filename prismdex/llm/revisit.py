@@ -9,7 +9,7 @@ Payloads are not moved: a result names the response record it refers to.
 A revisit is 'resolved' where the earlier response's validators agree: an etag given by both must be equal
 (weak marks aside), else a last_modified given by both; 'unverified' with no validator in common,
 'validator_mismatch' where they differ, 'no_response' where nothing earlier exists. Of equal times the
-smaller record_id is the earlier. Null URLs resolve to nothing; null times count as the earliest. Repeated
+smaller record_id is the earlier. Null URLs have no earlier response ('no_response'); null times count as the earliest. Repeated
 rows each give a row. Empty tables give none.
 """
 
@@ -55,7 +55,7 @@ def resolve(records: DataFrame) -> DataFrame:
     full = F.when(F.col("kind") == "response", F.struct(
         F.col("record_id").alias("id"), F.col("ts").alias("at"), "etag", "last_modified", "headers"))
     here = W.partitionBy("part", "canonical").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = rows.withColumn("near", F.last(full, ignorenulls=True).over(here))
+    found = rows.withColumn("near", F.when(F.col("canonical").isNotNull(), F.last(full, ignorenulls=True).over(here)))
     # The last response of each URL in each partition, carried to later partitions of the same URL.
     last = rows.where("kind = 'response'").groupBy("part", "canonical").agg(
         F.max_by(F.struct(F.col("record_id").alias("id"), F.col("ts").alias("at"), "etag", "last_modified", "headers"),
@@ -122,13 +122,13 @@ urls AS (
 best AS (
   SELECT v.page_id * 2 + 1 AS record_id, v.canonical, v.page_id * 10 + 5000 AS ts, v.etag,
          arg_max(r.etag, r.page_id) AS old_tag, max(r.page_id) AS old_page, arg_max(r.size, r.page_id) AS size
-  FROM urls v JOIN urls r ON r.canonical = v.canonical
+  FROM urls v LEFT JOIN urls r ON r.canonical = v.canonical
        AND (r.page_id * 10 < v.page_id * 10 + 5000 OR (r.page_id * 10 = v.page_id * 10 + 5000 AND r.page_id * 2 < v.page_id * 2 + 1))
   GROUP BY ALL)
 SELECT record_id, canonical, ts,
        CASE WHEN etag = old_tag THEN old_page * 2 ELSE -1 END AS refers_to,
        CASE WHEN etag = old_tag THEN old_page * 10 ELSE -1 END AS refers_ts,
-       CASE WHEN etag = old_tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+       CASE WHEN old_page IS NULL THEN 'no_response' WHEN etag = old_tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
        CASE WHEN etag = old_tag THEN size END AS content_length,
        CASE WHEN etag = old_tag THEN ts::VARCHAR END AS date
 FROM best

@@ -188,4 +188,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_toxicity(docs.select("doc_id", "text"), labels).select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -11,7 +11,8 @@ the documents answers everything, beyond it there is one pass per block and the
 row. Documents are never shuffled by word, so no fingerprint, passage or source is a hot key.
 
 Null and empty texts, of items too, have no words and no hit. Repeated document rows each get a result;
-repeated items count once per item_id. Extra columns are not looked at.
+repeated items count once per item_id. Words of an item without an id are hit like any other and contaminate; having no name,
+it is left out of n_items and the digest. Extra columns are not looked at; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ class Index:
                 if lo >= 0 and lo + len(item) <= n and (words[lo:lo + len(item)] == item).all():
                     ranges.append((lo, lo + len(item)))
                     found.add(k)
-        return n, merged(ranges), {self.items[k][0] for k in found}
+        return n, merged(ranges), {self.items[k][0] for k in found if self.items[k][0] is not None}
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,7 +153,7 @@ def digest(n: int, ranges: list[tuple[int, int]], items: set[int]) -> tuple[int,
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in lots of at most `block_chars` characters (one item at least)."""
     lot, chars = [], 0
-    for row in benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().toLocalIterator():
+    for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().toLocalIterator():
         if lot and chars + len(row["text"]) > block_chars:
             yield lot
             lot, chars = [], 0
@@ -161,6 +162,10 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
     yield lot
 
 
+def _others(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns if c.lower() not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: int = 5, block_chars: int = 16_000_000) -> DataFrame:
     """Rows of `docs` with n_words, n_hit, n_items, items_sha256 and contaminated after their own columns."""
     out_type = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string>"
@@ -175,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: i
                 yield pd.DataFrame([digest(*index.hits(t)) for t in texts], columns=["n_words", "n_hit", "n_items", "items_sha256"])
 
         result = docs.withColumn("_hit", F.pandas_udf(all_at_once, out_type)("text"))
-        own = [f"`{c}`" for c in docs.columns]
+        own = _others(docs)
         return result.select(*own, "_hit.*", (F.col("_hit.n_hit") > 0).alias("contaminated"))
 
     def pass_over(texts_of: DataFrame, lot: list[tuple[int, str]], k: int) -> DataFrame:
@@ -209,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, gram: i
                                columns=["n_words", "n_hit", "n_items", "items_sha256"])
 
     result = rows.withColumn("_hit", F.pandas_udf(finish, out_type)("_b0"))
-    own = [f"`{c}`" for c in docs.columns]
+    own = _others(docs)
     return result.select(*own, "_hit.*", (F.col("_hit.n_hit") > 0).alias("contaminated"))
 
 

@@ -306,6 +306,9 @@ def test_revisits(spark):
     got = {r["record_id"]: r for r in rows(revisit.resolve(spark.createDataFrame(records, RECORDS)))}
     assert {i: r["status"] for i, r in got.items()} == {
         2: "resolved", 4: "validator_mismatch", 5: "no_response", 6: "unverified", 7: "no_response"}
+    nowhere = [(1, None, 10, "response", '"t"', None, None), (2, None, 20, "revisit", '"t"', None, None), (3, None, None, "revisit", None, None, None)]
+    assert {r["record_id"]: (r["status"], r["refers_to"]) for r in rows(revisit.resolve(spark.createDataFrame(nowhere, RECORDS)))} == {
+        2: ("no_response", None), 3: ("no_response", None)}
     assert got[2]["refers_to"] == 1 and got[2]["headers"] == {"Content-Length": "9", "date": "d2", "X": "y"}
     assert rows(revisit.resolve(spark.createDataFrame([], RECORDS))) == []
 
@@ -376,6 +379,10 @@ def test_decontamination_against_brute_force(spark, odd, none, block_chars):
         assert r["contaminated"] == (r["n_hit"] > 0)
     assert len(rows(winnow.op10_decontaminate(odd, bench))) == len(ODD)
     assert rows(winnow.op10_decontaminate(none, bench)) == []
+    nameless = spark.createDataFrame([(None, planted)], "item_id long, text string")
+    hit = {r["doc_id"]: r for r in rows(winnow.decontaminate(docs.where("doc_id >= 9000").withColumn("N_hit", F.lit(7)), nameless, block_chars=block_chars))}
+    assert hit[9000]["contaminated"] and hit[9000]["n_hit"] == 10 and hit[9000]["n_items"] == 0
+    assert hit[9000]["items_sha256"] == hashlib.sha256(b"").hexdigest() and not hit[9001]["contaminated"]
     assert not any(r["contaminated"] for r in rows(winnow.op10_decontaminate(odd, bench.where("item_id < 0"))))
 
 
@@ -393,3 +400,27 @@ def test_stages_on_odd_rows(spark, odd):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == corpus_pipeline.COLUMNS
     kept = rows(corpus_pipeline.near_duplicate_stage(spark, docs, ""))
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "4", "5", "6", "None"]
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_sample_is_bounded_by_rows(spark, label):
+    from prismdex.llm.common import labelled_sample
+
+    docs = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(
+        spark.range(2, 60).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias(label))
+    found = rows(labelled_sample(docs, labels, label, 5, 0, 10))
+    assert len(found) == 10 == len({r["doc_id"] for r in found})
+    all_of = rows(labelled_sample(docs, labels, label, 5, 0, 1000))
+    assert [r["label"] for r in all_of if r["doc_id"] == 1] == [1] and len(all_of) == len({r["doc_id"] for r in all_of})
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    """Exact copies, repeated rows, and different texts under one id, against the groups of equal fingerprints."""
+    import corpus_pipeline
+    words = [f"word{i}" for i in range(120)]
+    a, b, c = " ".join(words[:40]), " ".join(words[40:80]), " ".join(words[80:])
+    texts = [(7, a), (3, a), (5, b), (5, b), (5, c), (9, c), (5, a), (None, a), (None, None), (4, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in rows(corpus_pipeline.near_duplicate_stage(spark, docs.repartition(3), "")))
+    assert kept == sorted([("3", a), ("5", b), ("5", c), ("None", a), ("None", ""), ("2", "")])

@@ -24,14 +24,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose id names the group.
+    """One document of each group of near-duplicates: that of the smallest id.
 
-    Repeated rows of that id are one document too; a document without an id stays.
+    Repeated rows of an id and its text are one document. Different texts under one id are documents of their
+    own, each in the group of its text; where they are in one group, the text of smallest hash stays. A document without an id
+    stays.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row")
+    named = docs.where("doc_id is not null").select(*COLUMNS, row)
+    groups = simhash.near_duplicates(named.select(F.col("row").alias("doc_id"), "text"))
+    member = groups.select(F.col("doc_id").alias("row"), "component_id").distinct()
+    kept = named.select("doc_id", "row").distinct().join(member, "row").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
+    stay = named.join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return stay.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

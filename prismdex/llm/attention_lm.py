@@ -2,10 +2,13 @@
 
 The model gives log10 probabilities of subword ids: one attention layer over the last `context` ids predicts
 the next id's class, starting from the class counts after the id before; corpus counts give the id within its
-class, after the id before where it is a frequent one. Classes are clusters of ids with like neighbours. Counts
-and the layer's weights come from every training document; their tables are bounded by the vocabulary, and every
-id has an input row of its own. Each task trains on its rows; Spark averages each row of weights over the
-tasks that changed it.
+class, after the id before where it is a frequent one and after its class otherwise. Classes are clusters of ids
+with like neighbours. Counts and the layer's weights come from every training document; their tables are bounded by
+the vocabulary, and every id has an input row of its own.
+
+Training goes through the documents once, in `rounds` rounds. A round deals its documents to shards of about
+`shard` ids, whatever the number of files or executors; each shard starts from the last round's mean, and Spark
+averages each row of weights over the shards that changed it. More input gives more shards, not smaller ones.
 
 A document is scored in windows of `context` ids that overlap by half: each window scores its later half, the
 first all of it, so each id is scored once with at least half a window before it.
@@ -14,11 +17,13 @@ Beside it stands the base score: add-one word probabilities. Frequent words' cou
 with the tasks; rarer words, none of them a hot key, meet their counts in a join on their 64-bit hash.
 
 Null and empty texts have the end token alone. Repeated rows are scored one by one. Without training text the
-model is uniform and the base score is that of an unknown word; empty tables give no row.
+model is uniform and the base score is that of an unknown word; empty tables give no row. A null doc_id stays
+null, counts as training text, and has a null `held_out`.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +33,13 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismdex.llm.common import fold, lower_ascii, settle, space_words
-from prismdex.llm.packing import Encoder, default_tokenizer
+from prismdex.llm.common import fold, settle, space_words
+from prismdex.llm.packing import Encoder, default_tokenizer, encoder_of
 
+TOP = np.float32(60)  # greatest exponent: e**60 and its sums stay well within single precision
 END_WORD = "\n"  # no word holds white space, so this stands for the end of a document
 
 
@@ -46,13 +52,15 @@ class Settings:
     before: int = 256
     batch: int = 32
     rate: float = 0.08
-    head: int = 50_000
+    rounds: int = 2
+    shard: int = 4_000_000
+    head: int = 500_000
 
 
 class Attention:
     """Input rows -> class log probabilities by one causal attention layer."""
 
-    NAMES = ("emb", "pos", "wq", "wk", "wv", "wo", "wc", "bc")
+    NAMES = ("emb", "pos", "wqkv", "wo", "wc", "bc")
 
     def __init__(self, s: Settings, prior: np.ndarray) -> None:
         """`prior`: per input row, log probabilities of the classes after it; the layer learns what to add."""
@@ -60,65 +68,109 @@ class Attention:
         r, d = np.random.default_rng(5), s.width
         self.s, self.p = s, {
             "emb": r.normal(0, 0.3, (len(prior), d)), "pos": r.normal(0, 0.1, (s.context, d)),
-            **{n: r.normal(0, 1 / math.sqrt(d), (d, d)) for n in ("wq", "wk", "wv", "wo")},
+            "wqkv": r.normal(0, 1 / math.sqrt(d), (d, 3 * d)), "wo": r.normal(0, 1 / math.sqrt(d), (d, d)),
             "wc": r.normal(0, 0.02, (d, s.classes)), "bc": np.zeros(s.classes),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
+        n = np.arange(s.context)
+        self.later = np.where(n > n[:, None], np.float32(-1e9), np.float32(0))
+
+    def forward(self, x: np.ndarray):
+        """Unnormalised log probabilities of the classes after each position of windows x of input rows."""
+        p, (n, c), d = self.p, x.shape, self.s.width
+        e = (p["emb"][x] + p["pos"]).reshape(n * c, d)
+        qkv = e @ p["wqkv"]
+        qkv[:, :d] *= np.float32(1 / math.sqrt(d))
+        q, k, v = np.split(qkv.reshape(n, c, 3 * d), 3, 2)
+        a = q @ k.transpose(0, 2, 1)
+        a += self.later
+        np.minimum(a, TOP, out=a)
+        np.exp(a, out=a)
+        a *= 1 / a.sum(2, keepdims=True)
+        mixed = (a @ v).reshape(n * c, d)
+        h = e + mixed @ p["wo"]
+        z = h @ p["wc"]
+        z += self.prior[x.ravel()]
+        z += p["bc"]
+        return z, (e, q, k, v, a, mixed, h)
 
-    def forward(self, x: np.ndarray, first: int):
-        """Log probabilities of the classes after positions first.. of each window of input rows x."""
+    def tables(self) -> dict[str, np.ndarray]:
+        """The layer's products per input row and per place, so that scoring looks them up."""
         p, d = self.p, self.s.width
-        e = p["emb"][x] + p["pos"]
-        q, k, v = e[:, first:] @ p["wq"], e @ p["wk"], e @ p["wv"]
-        n = x.shape[1]
-        a = q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(d))
-        a += np.where(np.arange(n) > np.arange(first, n)[:, None], np.float32(-1e9), np.float32(0))
-        a = np.exp(a - a.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
+        wq, wk, wv = np.split(p["wqkv"], 3, 1)
+        w = np.concatenate([wq * np.float32(1 / math.sqrt(d)), wk, wv @ p["wo"]], 1)
+        return {"row": p["emb"] @ w, "place": p["pos"] @ w, "row_class": p["emb"] @ p["wc"] + p["bc"] + self.prior,
+                "place_class": p["pos"] @ p["wc"]}
+
+    def scored(self, t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
+        """Log probabilities of classes y at positions first.. of windows x; 0 where y is negative."""
+        n, c, d = *x.shape, self.s.width
+        q, k, v = np.split(t["row"][x] + t["place"], 3, 2)
+        a = q[:, first:] @ k.transpose(0, 2, 1)
+        a += self.later[first:]
+        np.exp(np.minimum(a, TOP, out=a), out=a)
+        total = a.sum(2, keepdims=True)
         mixed = a @ v
-        h = e[:, first:] + mixed @ p["wo"]
-        z = h @ p["wc"] + p["bc"] + self.prior[x[:, first:]]
-        z -= z.max(-1, keepdims=True)
-        z -= np.log(np.exp(z).sum(-1, keepdims=True))
-        return z, (e, q, k, v, a, mixed, h)
+        mixed /= total
+        z = mixed.reshape(-1, d) @ self.p["wc"]
+        z += t["row_class"][x[:, first:].ravel()]
+        z = z.reshape(n, c - first, -1)
+        z += t["place_class"][first:]
+        got = np.take_along_axis(z, np.maximum(y, 0)[..., None], 2)[..., 0]
+        most = z.max(2)
+        z -= most[..., None]
+        np.exp(z, out=z)
+        return (got - most - np.log(z.sum(2))) * (y >= 0)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> None:
         """One Adagrad step on windows x with classes y where `real`."""
-        p, d = self.p, np.float32(math.sqrt(self.s.width))
-        z, (e, q, k, v, a, mixed, h) = self.forward(x, 0)
-        g = np.exp(z)
-        np.put_along_axis(g, y[..., None], np.take_along_axis(g, y[..., None], 2) - 1, 2)
-        g *= (real / max(1, real.sum()))[..., None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        grad = {"wc": flat(h).T @ flat(g), "bc": flat(g).sum(0)}
+        p, (n, c), d = self.p, x.shape, self.s.width
+        z, (e, q, k, v, a, mixed, h) = self.forward(x)
+        g = np.exp(np.minimum(z, TOP, out=z), out=z)
+        share = (real.ravel() / max(1, real.sum())).astype(np.float32)
+        g *= (share / g.sum(1))[:, None]
+        g[np.arange(n * c), y.ravel()] -= share
+        grad = {"wc": h.T @ g, "bc": g.sum(0)}
         dh = g @ p["wc"].T
-        grad["wo"] = flat(mixed).T @ flat(dh)
-        dm = dh @ p["wo"].T
+        grad["wo"] = mixed.T @ dh
+        dm = (dh @ p["wo"].T).reshape(n, c, d)
         da = dm @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) / d
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        grad |= {"wq": flat(e).T @ flat(dq), "wk": flat(e).T @ flat(dk), "wv": flat(e).T @ flat(dv)}
-        de = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
-        grad["pos"] = de.sum(0)
-        used, place = np.unique(x, return_inverse=True)
-        emb = np.zeros((len(used), p["emb"].shape[1]), np.float32)
-        np.add.at(emb, place.ravel(), flat(de))
-        self.seen["emb"][used] += emb * emb
-        p["emb"][used] -= np.float32(self.s.rate) * emb / np.sqrt(self.seen["emb"][used])
+        da -= np.einsum("nij,nij->ni", da, a)[..., None]
+        da *= a
+        # q holds the scale already, so its own gradient takes it once more.
+        dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], 2).reshape(n * c, 3 * d)
+        dqkv[:, :d] *= np.float32(1 / math.sqrt(d))
+        grad["wqkv"] = e.T @ dqkv
+        dh += dqkv @ p["wqkv"].T
+        grad["pos"] = dh.reshape(n, c, d).sum(0)
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        used, emb = ordered[starts], np.add.reduceat(dh[order], starts, 0)
+        seen = self.seen["emb"][used] + emb * emb
+        self.seen["emb"][used] = seen
+        p["emb"][used] -= np.float32(self.s.rate) * emb / np.sqrt(seen)
         for name, value in grad.items():
             self.seen[name] += value * value
             p[name] -= np.float32(self.s.rate) * value / np.sqrt(self.seen[name])
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[n].ravel() for n in self.NAMES])
-
-    def load(self, values: np.ndarray) -> None:
-        at = 0
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights in lines of `width`, and per line the mean of its squared gradients' sums."""
+        width = self.s.width
+        both = []
+        for group in (self.p, self.seen):
+            values = np.concatenate([group[n].ravel() for n in self.NAMES])
+            both.append(np.pad(values, (0, -len(values) % width)).reshape(-1, width))
+        return both[0], both[1].mean(1)
+
+    def load(self, lines: np.ndarray, seen: np.ndarray) -> None:
+        at, values, sums = 0, lines.ravel(), np.repeat(seen, self.s.width)
         for n in self.NAMES:
-            size = self.p[n].size
-            self.p[n] = values[at:at + size].reshape(self.p[n].shape).astype(np.float32)
+            size, shape = self.p[n].size, self.p[n].shape
+            self.p[n] = values[at:at + size].reshape(shape).astype(np.float32)
+            self.seen[n] = np.maximum(sums[at:at + size].reshape(shape), 1e-3).astype(np.float32)
             at += size
 
 
@@ -154,20 +206,31 @@ class Vocabulary:
         self.cls[known] = at
         smooth = self.counts + self.SMOOTH
         self.alone = smooth / np.bincount(self.cls, smooth, c)[self.cls]
-        after = pairs[pairs["side"] == 0]
-        key = after["near"].to_numpy(np.int64) * self.size + after["id"].to_numpy(np.int64)
-        order = np.argsort(key)
-        self.key, self.n = np.append(key[order], np.iinfo(np.int64).max), np.append(after["n"].to_numpy(float)[order], 0)
-        self.in_class = np.zeros((before, c))
-        np.add.at(self.in_class, (after["near"], self.cls[after["id"]]), after["n"])
+        # A frequent id has a row of its own, the others one per class.
+        self.link, self.links = np.where(self.row < before - 1, self.row, before - 1 + self.cls), before - 1 + c
+
+    def follow(self, link: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Counts n of ids after the id or class `link`."""
+        self.after, self.table = (link, ids, n), None
 
     def within(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each id within its class, after the id before it."""
-        near = np.r_[0, self.near[ids[:-1]]]
-        key = near * self.size + ids
-        at = np.searchsorted(self.key, key)
-        n = np.where(self.key[at] == key, self.n[at], 0.0)
-        return np.log10((n + self.BACK * self.alone[ids]) / (self.in_class[near, self.cls[ids]] + self.BACK))
+        """log10 probability of each id within its class, after the id or class before it."""
+        if self.table is None:  # made once per worker: links x vocabulary
+            link, after, n = self.after
+            count = np.zeros((self.links, self.size), np.float32)
+            count[link, after] = n
+            order = np.argsort(self.cls, kind="stable")
+            of, starts = np.unique(self.cls[order], return_index=True)
+            whole = np.zeros((self.links, self.s.classes), np.float32)
+            whole[:, of] = np.add.reduceat(count[:, order], starts, 1)
+            count += (self.BACK * self.alone).astype(np.float32)
+            for k in range(self.links):
+                count[k] /= whole[k, self.cls] + np.float32(self.BACK)
+            self.table = np.log10(count, out=count).ravel()
+        return self.table[np.r_[0, self.link[ids[:-1]]] * self.size + ids]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
 
 def windows(ids: np.ndarray, vocabulary: Vocabulary, context: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +242,11 @@ def windows(ids: np.ndarray, vocabulary: Vocabulary, context: int) -> tuple[np.n
     return np.lib.stride_tricks.sliding_window_view(inputs, context)[::half], half
 
 
-def log10_probability(docs: list[np.ndarray], model: Attention, vocabulary: Vocabulary) -> np.ndarray:
+def log10_probability(docs: list[np.ndarray], model: Attention, vocabulary: Vocabulary, tables: dict | None = None) -> np.ndarray:
     """Sum over each document's ids, windows of many documents batched together."""
     c = model.s.context
-    half, out = c // 2, np.array([vocabulary.within(d).sum() for d in docs])
+    tables = tables or model.tables()
+    half, out = c // 2, np.array([vocabulary.within(d).sum(dtype=float) for d in docs])
     first_x, first_y, later_x, later_y, first_of, later_of = [], [], [], [], [], []
     for k, ids in enumerate(docs):
         x, _ = windows(ids, vocabulary, c)
@@ -195,182 +259,228 @@ def log10_probability(docs: list[np.ndarray], model: Attention, vocabulary: Voca
     if later_x:
         lots.append((np.concatenate(later_x), np.concatenate(later_y), np.concatenate(later_of), half))
     for x, y, of, first in lots:
-        for lo in range(0, len(x), 512):
-            z, _ = model.forward(x[lo:lo + 512], first)
-            yy = y[lo:lo + 512]
-            got = np.take_along_axis(z, np.maximum(yy, 0)[..., None], 2)[..., 0] * (yy >= 0)
-            np.add.at(out, of[lo:lo + 512], got.sum(1, dtype=float) / math.log(10))
+        for lo in range(0, len(x), 128):
+            got = model.scored(tables, x[lo:lo + 128], y[lo:lo + 128], first)
+            np.add.at(out, of[lo:lo + 128], got.sum(1, dtype=float) / math.log(10))
     return out
 
 
-def _training(rows: DataFrame) -> DataFrame:
-    return rows.where(F.coalesce(fold("doc_id", 7), F.lit(0)) != 2)
+def in_training() -> Column:
+    return F.coalesce(fold("doc_id", 7), F.lit(0)) != 2
 
 
-def tokens_written(docs: DataFrame, tokenizer_file: str) -> tuple[DataFrame, int, int]:
-    """The documents with a row number and subword ids (the end id last), written once; vocabulary size; end id."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def word_counts(docs: DataFrame, limit: int = 500_000) -> DataFrame:
+    """(h, c, n): counts of every word, by hash, the end token among them, over the training documents and over all.
+
+    A task sums up to `limit` distinct words before it sends them on.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sent(counted: list[Counter]) -> pd.DataFrame:
+            words = list(counted[0].keys() | counted[1].keys())
+            c, rest = (np.fromiter(map(x.__getitem__, words), np.int64, len(words)) for x in counted)
+            return pd.DataFrame({"h": np.array([_signed(xxhash.xxh64_intdigest(w, 42)) for w in words], np.int64), "c": c, "n": c + rest})
+
+        counted = [Counter(), Counter()]
+        for b in batches:
+            for text, held in zip(b["text"], b["held"]):
+                counted[held].update(space_words(text))
+                counted[held][END_WORD.encode()] += 1
+                if len(counted[0]) + len(counted[1]) > limit:
+                    yield sent(counted)
+                    counted = [Counter(), Counter()]
+        yield sent(counted)
+
+    return docs.select("text", (~in_training()).cast("int").alias("held")).mapInPandas(run, "h long, c long, n long").groupBy("h").agg(
+        F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def tokens_written(docs: DataFrame, tokenizer_file: str, head: pd.DataFrame, unknown: float) -> tuple[DataFrame, int]:
+    """Per document, written once: row number, subword ids (the end id last) and the words' part of the base score.
+
+    `known` and `base` cover the words of `head` (h, c); `tail_h` and `tail_n` hold the others. Also the vocabulary size.
+    """
     size = Encoder(tokenizer_file).tokenizer.get_vocab_size()
-    end = size - 1
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    sent = docs.sparkSession.sparkContext.broadcast((head["h"].to_numpy(np.int64), np.log10(head["c"].to_numpy(float) + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_file)
+        encoder, last = encoder_of(tokenizer_file), np.array([size - 1], kind).tobytes()
+        gain = dict(zip(*(x.tolist() for x in sent.value)))
+        end = _signed(xxhash.xxh64_intdigest(END_WORD.encode(), 42))
+        met: dict[bytes, tuple[int, float | None]] = {}
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo:lo + 256]
-                ids = [np.append(encoder(t), end).astype("<u4").tobytes() for t in part["text"]]
-                yield pd.DataFrame({"row": range(at, at + len(part)), "doc_id": part["doc_id"].astype("Int64"), "text": part["text"], "ids": ids})
+                part, made = batch.iloc[lo:lo + 256], []
+                for text in part["text"]:
+                    if len(met) > 500_000:
+                        met.clear()
+                    counted = Counter(space_words(text))
+                    n, known, base, tail_h, tail_n = counted.total() + 1, 0, 0.0, [], []
+                    for w, k in counted.items():
+                        found = met.get(w)
+                        if found is None:
+                            h = _signed(xxhash.xxh64_intdigest(w, 42))
+                            found = met[w] = h, gain.get(h)
+                        if found[1] is None:
+                            tail_h.append(found[0])
+                            tail_n.append(k)
+                        else:
+                            known += k if found[1] else 0  # a count of 0 gains nothing
+                            base += k * found[1]
+                    if end in gain:
+                        known, base = known + (gain[end] > 0), base + gain[end]
+                    else:
+                        tail_h.append(end)
+                        tail_n.append(1)
+                    ids = np.frombuffer(encoder.encoded(text), "<u4").astype(kind).tobytes() + last
+                    made.append((ids, n, known, base + n * unknown, tail_h, tail_n))
+                frame = pd.DataFrame(made, columns=["ids", "n_tokens", "known", "base", "tail_h", "tail_n"])
+                frame.insert(0, "row", np.arange(at, at + len(part)))
+                frame.insert(1, "doc_id", part["doc_id"].astype("Int64").to_numpy())
+                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
                 at += len(part)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "row long, doc_id long, text string, ids binary")
-    return settle(rows, "subwords"), size, end
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+        run, "row long, doc_id long, ids binary, n_tokens long, known long, base double, tail_h array<long>, tail_n array<int>")
+    return settle(rows, "subwords"), size
 
 
-def _summed(rows: DataFrame, keys_of, limit: int = 2_000_000) -> pd.DataFrame:
-    """(key, n) summed over the training documents; `keys_of` gives the keys of one document's ids.
+def read_ids(ids: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if size <= 1 << 16 else "<u4").astype(np.int64)
 
-    A task adds up keys in sorted lots, so it holds about `limit` keys beside the distinct ones.
-    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, total, lot, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+def _summed(rows: DataFrame, size: int, cells: int, keys_of) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, n) summed over the training documents; `keys_of` gives the keys, below `cells`, of one document's ids.
 
-        def add(keys, total, lot):
-            new, n = np.unique(np.concatenate(lot), return_counts=True)
-            both, place = np.unique(np.r_[keys, new], return_inverse=True)
-            return both, np.bincount(place, np.r_[total, n]).astype(np.int64)
+    A task holds one count per cell, and sends those above zero.
+    """
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, np.int64 if cells < 1 << 23 else np.int32)
         for b in batches:
             for ids in b["ids"]:
-                lot.append(keys_of(np.frombuffer(ids, "<u4").astype(np.int64)))
-                size += len(lot[-1])
-                if size > limit:
-                    keys, total = add(keys, total, lot)
-                    lot, size = [], 0
-        if lot:
-            keys, total = add(keys, total, lot)
-        yield pd.DataFrame({"key": keys, "n": total})
+                for keys in keys_of(read_ids(ids, size)):
+                    np.add.at(total, keys, 1)
+        met = np.flatnonzero(total)
+        for lo in range(0, len(met), 100_000):
+            yield pd.DataFrame({"key": met[lo:lo + 100_000], "n": total[met[lo:lo + 100_000]].astype(np.int64)})
 
-    return _training(rows).select("ids").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where(in_training()).select("ids").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
 def learn_vocabulary(rows: DataFrame, size: int, s: Settings) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and class prior by three passes of counts, each table bounded by the vocabulary and `s`."""
-    single = _summed(rows, lambda ids: ids)
+    """Vocabulary and class prior by four passes of counts, each table bounded by the vocabulary and `s`."""
+    key, n = _summed(rows, size, size, lambda ids: [ids])
     counts = np.zeros(size)
-    counts[single["key"].to_numpy(np.int64)] = single["n"]
-    vocabulary = Vocabulary(counts, s)
+    counts[key] = n
+    vocabulary, before = Vocabulary(counts, s), s.before
 
-    def neighbours(ids: np.ndarray) -> np.ndarray:
+    def neighbours(ids: np.ndarray) -> list[np.ndarray]:
         near = vocabulary.near[ids]
-        return np.r_[np.r_[0, near[:-1]] * size + ids, (s.before + near[1:]) * size + ids[:-1]]
+        return [np.r_[0, near[:-1]] * size + ids, (before + near[1:]) * size + ids[:-1]]
 
-    pairs = _summed(rows, neighbours)
-    key = pairs["key"].to_numpy(np.int64)
-    vocabulary.cluster(pd.DataFrame({"side": key // size // s.before, "near": key // size % s.before, "id": key % size, "n": pairs["n"].to_numpy()}))
-    turns = _summed(rows, lambda ids: np.r_[0, vocabulary.row[ids[:-1]]] * s.classes + vocabulary.cls[ids])
+    key, n = _summed(rows, size, 2 * before * size, neighbours)
+    vocabulary.cluster(pd.DataFrame({"side": key // size // before, "near": key // size % before, "id": key % size, "n": n}))
+    key, n = _summed(rows, size, vocabulary.links * size, lambda ids: [np.r_[0, vocabulary.link[ids[:-1]]] * size + ids])
+    vocabulary.follow(key // size, key % size, n)
+    key, n = _summed(rows, size, vocabulary.inputs * s.classes, lambda ids: [np.r_[0, vocabulary.row[ids[:-1]]] * s.classes + vocabulary.cls[ids]])
     prior = np.zeros(vocabulary.inputs * s.classes)
-    prior[turns["key"].to_numpy(np.int64)] = turns["n"].to_numpy()
+    prior[key] = n
     prior = prior.reshape(vocabulary.inputs, s.classes)
     overall = prior.sum(0) + 0.1
     prior += 0.1 + vocabulary.BACK * overall / overall.sum()  # rare ids lean on the classes' shares
-    return vocabulary, np.log(prior / prior.sum(1, keepdims=True))
+    return vocabulary, np.log(prior / prior.sum(1, keepdims=True)).astype(np.float32)
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Settings) -> Attention:
-    """Each task trains from the same start on its windows; rows of weights are averaged by the windows seen."""
-    width = s.width
-    names = [f"w{k}" for k in range(width)]
+def training_windows(ids: np.ndarray, vocabulary: Vocabulary, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of input rows side by side, and the classes to predict (-1: none): every id once."""
+    count = -(-len(ids) // s.context)
+    x, y = np.zeros(count * s.context, np.int64), np.full(count * s.context, -1)
+    x[1:len(ids)] = vocabulary.row[ids[:-1]]
+    y[:len(ids)] = vocabulary.cls[ids]
+    return x.reshape(count, -1), y.reshape(count, -1)
 
-    def lines(values: np.ndarray) -> np.ndarray:
-        return np.pad(values, (0, -len(values) % width)).reshape(-1, width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen = Attention(s, prior), 0
-        for b in batches:
-            xs, ys = [], []
-            for ids in b["ids"]:
-                ids = np.frombuffer(ids, "<u4")
-                x, _ = windows(ids, vocabulary, s.context)
-                y = np.full(s.context + s.context // 2 * (len(x) - 1), -1)
-                y[:len(ids)] = vocabulary.cls[ids]
-                xs.append(x); ys.append(np.lib.stride_tricks.sliding_window_view(y, s.context)[::s.context // 2])  # noqa: E702
-            if not xs:
-                continue
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            order = np.random.default_rng(len(x)).permutation(len(x))
-            for lo in range(0, len(x), s.batch):
-                at = order[lo:lo + s.batch]
-                model.step(x[at], np.maximum(y[at], 0), y[at] >= 0)
-                seen += len(at)
-        if seen:
-            w = lines(model.flat())
-            moved = np.flatnonzero((w != lines(Attention(s, prior).flat())).any(1))
-            yield pd.DataFrame({"line": moved, "seen": seen, **{n: w[moved, k].astype(float) * seen for k, n in enumerate(names)}})
-
-    parts = _training(rows).select("ids").mapInPandas(run, "line long, seen long, " + ", ".join(f"{n} double" for n in names))
-    mean = parts.groupBy("line").agg(*[(F.sum(n) / F.sum("seen")).alias(n) for n in names]).toPandas()
+def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Settings) -> Attention:
+    """Rounds over the training documents, each document in one of them; rows of weights are averaged by the windows seen."""
+    names, size = [f"w{k}" for k in range(s.width)], vocabulary.size
+    rows, spark = rows.where(in_training()).select("row", "ids"), rows.sparkSession
+    shards = max(1, -(-int(vocabulary.counts.sum()) // (s.shard * s.rounds)))
     model = Attention(s, prior)
-    w = model.flat()
-    at = lines(w).astype(float)
-    at[mean["line"].to_numpy(np.int64)] = mean[names].to_numpy(float)  # no longer than the model, whatever the input
-    model.load(at.ravel()[:len(w)])
+    for turn in range(s.rounds):
+        sent = spark.sparkContext.broadcast((vocabulary, model))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            vocabulary, model = sent.value
+            model, (start, _), seen, lot, waiting = copy.deepcopy(model), model.lines(), 0, [], 0
+
+            def learn(lot) -> int:
+                x, y = (np.concatenate(part) for part in zip(*lot))
+                order = np.random.default_rng(len(x)).permutation(len(x))
+                for lo in range(0, len(x), s.batch):
+                    at = order[lo:lo + s.batch]
+                    model.step(x[at], np.maximum(y[at], 0), y[at] >= 0)
+                return len(x)
+
+            for b in batches:
+                for ids in b["ids"]:
+                    lot.append(training_windows(read_ids(ids, size), vocabulary, s))
+                    waiting += len(lot[-1][0])
+                    if waiting > 4096:
+                        seen, lot, waiting = seen + learn(lot), [], 0
+            if lot:
+                seen += learn(lot)
+            if seen:
+                now, sums = model.lines()
+                moved = np.flatnonzero((now != start).any(1))
+                weights = {n: (now[moved, k] * np.float32(seen)) for k, n in enumerate(names)}
+                yield pd.DataFrame({"line": moved, "seen": np.float32(seen), "sums": sums[moved] * np.float32(seen), **weights})
+
+        dealt = rows.where(F.pmod(F.xxhash64("row"), F.lit(s.rounds)) == turn).repartition(shards, "row").sortWithinPartitions("row")
+        parts = dealt.select("ids").mapInPandas(run, "line long, seen float, sums float, " + ", ".join(f"{n} float" for n in names))
+        # No longer than the model, whatever the input.
+        mean = parts.groupBy("line").agg(*[(F.sum(n) / F.sum("seen")).alias(n) for n in ["sums", *names]]).toPandas()
+        lines, sums = model.lines()
+        at = mean["line"].to_numpy(np.int64)
+        lines[at], sums[at] = mean[names].to_numpy(np.float32), mean["sums"].to_numpy(np.float32)
+        model.load(lines, sums)
     return model
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): count of every word, by hash, over the training documents, the end token among them."""
-    words = F.filter(F.split(lower_ascii(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return (
-        _training(docs).select(F.explode(F.array_append(words, F.lit(END_WORD))).alias("w"))
-        .groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c"))
-    )
-
-
 def score_documents(docs: DataFrame, tokenizer_file: str | None = None, settings: Settings = Settings()) -> DataFrame:
-    rows, size, _ = tokens_written(docs, tokenizer_file or default_tokenizer())
+    spark = docs.sparkSession
+    counts = settle(word_counts(docs), "word-counts")
+    total, distinct, words = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # At most `head` words can each make up a `head`-th of all; their counts go out with the tasks.
+    often = max(1, words // settings.head)
+    head = counts.where(F.col("n") > often).select("h", "c").toPandas()
+    rows, size = tokens_written(docs, tokenizer_file or default_tokenizer(), head, math.log10(1 / (total + distinct + 1)))
     vocabulary, prior = learn_vocabulary(rows, size, settings)
     model = train(rows, vocabulary, prior, settings)
-    counts = settle(word_counts(rows), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # At most `head` words can each make up a `head`-th of all; their counts go out with the tasks.
-    often = max(1, total // settings.head)
-    head = {r["h"]: r["c"] for r in counts.where((F.col("c") > often)).collect()}
-    unknown = math.log10(1 / (total + distinct + 1))
+    sent = spark.sparkContext.broadcast((vocabulary, model, model.tables()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        gain = {h: math.log10(c + 1) for h, c in head.items()}
-        end = signed(xxhash.xxh64_intdigest(END_WORD.encode(), 42))
-        cache: dict[bytes, int] = {}
+        vocabulary, model, tables = sent.value
         for b in batches:
             for lo in range(0, len(b), 128):
                 part = b.iloc[lo:lo + 128]
-                made = []
-                for text in part["text"]:
-                    words = space_words(text)
-                    if len(cache) > 500_000:
-                        cache.clear()
-                    n, known, base, tail_h, tail_n = len(words) + 1, 0, (len(words) + 1) * unknown, [], []
-                    counted = Counter(words)
-                    items = [(cache.get(w) or cache.setdefault(w, signed(xxhash.xxh64_intdigest(w, 42))), k) for w, k in counted.items()]
-                    for h, k in [*items, (end, 1)]:
-                        if h in gain:
-                            known += k
-                            base += k * gain[h]
-                        else:
-                            tail_h.append(h)
-                            tail_n.append(k)
-                    made.append((n, known, base, tail_h, tail_n))
-                n, known, base, tail_h, tail_n = zip(*made)
-                scores = log10_probability([np.frombuffer(i, "<u4") for i in part["ids"]], model, vocabulary)
-                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"].astype("Int64"), "n_tokens": n, "known": known, "base": base, "score": scores, "tail_h": tail_h, "tail_n": tail_n})
-
-    scored = settle(rows.mapInPandas(
-        run, "row long, doc_id long, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<int>"), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("k"))
-    # A word with count 1 in training may be in many held-out documents; the engine splits such a key at run time.
-    met = tail.join(counts.where(F.col("c") <= often), "h").groupBy("row").agg(
+                scores = log10_probability([read_ids(i, size) for i in part["ids"]], model, vocabulary, tables)
+                yield part[["row", "doc_id", "n_tokens", "known", "base"]].assign(doc_id=part["doc_id"].astype("Int64"), score=scores)
+
+    scored = rows.select("row", "doc_id", "n_tokens", "known", "base", "ids").mapInPandas(
+        run, "row long, doc_id long, n_tokens long, known long, base double, score double")
+    tail = rows.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select(
+        "row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("k"))
+    # No such word is a hot key: none makes up more than a `head`-th of all words.
+    met = tail.join(counts.where((F.col("n") <= often) & (F.col("c") > 0)).select("h", "c"), "h").groupBy("row").agg(
         F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("gained"))
     return scored.join(met, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

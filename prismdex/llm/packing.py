@@ -102,7 +102,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(file: str) -> Encoder:
+def encoder_of(file: str) -> Encoder:
     """One encoder per Python worker: what a task has learnt serves the worker's next tasks."""
     return Encoder(file)
 
@@ -111,7 +111,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataF
     """(part, doc_id, ids, doc_tokens, local): ids as little-endian 32-bit numbers, local their offset in the partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = _encoder(tokenizer_file), np.array([separator], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_file), np.array([separator], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, len(batch), 256):

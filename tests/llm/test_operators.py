@@ -195,9 +195,66 @@ def small_model():
     vocabulary = attention_lm.Vocabulary(counts, s)
     import pandas as pd
     vocabulary.cluster(pd.DataFrame({"side": [0, 0, 1], "near": [0, 1, 1], "id": [0, 1, 4], "n": [2, 3, 1]}))
+    vocabulary.follow(np.array([0, 1, 3]), np.array([0, 1, 4]), np.array([2, 3, 1]))
     return attention_lm.Attention(s, np.log(r.dirichlet(np.ones(5), 7))), vocabulary
 
 
+def plain_log10(ids, model, vocabulary):
+    """The model's probability of the ids, one id at a time, with its whole window in plain loops."""
+    s, p, total = model.s, {k: v.astype(float) for k, v in model.p.items()}, 0.0
+    wq, wk, wv = np.split(p["wqkv"], 3, 1)
+    link, after, n = vocabulary.after
+    count = {(a, b): k for a, b, k in zip(link, after, n)}
+    for i, token in enumerate(ids):
+        start = 0 if i < s.context else (i - s.context // 2) // (s.context // 2) * (s.context // 2)
+        seen = [0 if k == 0 else vocabulary.row[ids[k - 1]] for k in range(start, i + 1)]
+        e = np.array([p["emb"][r] + p["pos"][k] for k, r in enumerate(seen)])
+        a = np.array([(e[-1] @ wq) @ (x @ wk) / np.sqrt(s.width) for x in e])
+        a = np.exp(a) / np.exp(a).sum()
+        h = e[-1] + sum(w * (x @ wv) for w, x in zip(a, e)) @ p["wo"]
+        z = h @ p["wc"] + p["bc"] + model.prior[seen[-1]]
+        total += np.log10(np.exp(z - z.max())[vocabulary.cls[token]] / np.exp(z - z.max()).sum())
+        before = 0 if i == 0 else vocabulary.link[ids[i - 1]]
+        same = [x for x in range(vocabulary.size) if vocabulary.cls[x] == vocabulary.cls[token]]
+        whole = sum(count.get((before, x), 0) for x in same)
+        total += np.log10((count.get((before, token), 0) + 4 * vocabulary.alone[token]) / (whole + 4))
+    return total
+
+
+def test_batched_windows_equal_plain_attention():
+    model, vocabulary = small_model()
+    r = np.random.default_rng(2)
+    model.p = {k: (v + r.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in model.p.items()}
+    docs = [r.integers(0, 9, n) for n in (1, 5, 8, 9, 12, 13, 31, 100)]
+    got = attention_lm.log10_probability(docs, model, vocabulary)
+    assert got == pytest.approx([plain_log10(d, model, vocabulary) for d in docs], rel=1e-5)
+
+
+def test_gradients_are_those_of_the_loss():
+    model, _ = small_model()
+    r = np.random.default_rng(4)
+    model.p = {k: (v + r.normal(0, 0.3, v.shape)) for k, v in model.p.items()}
+    x, y, real = r.integers(0, 7, (3, 8)), r.integers(0, 5, (3, 8)), r.random((3, 8)) < 0.8
+
+    def loss():
+        z = model.forward(x)[0]
+        return -((np.take_along_axis(z, y.reshape(-1, 1), 1)[:, 0] - np.log(np.exp(z).sum(1))) * real.ravel()).sum() / real.sum()
+
+    start, slope = {k: v.copy() for k, v in model.p.items()}, {}
+    for name in model.NAMES:
+        slope[name] = np.zeros(start[name].size)
+        for at in range(start[name].size):
+            for sign in (1, -1):
+                model.p[name].ravel()[at] = start[name].ravel()[at] + sign * 1e-4
+                slope[name][at] += sign * loss() / 2e-4
+            model.p[name].ravel()[at] = start[name].ravel()[at]
+    model.seen = {k: np.zeros(v.shape) for k, v in model.p.items()}
+    with np.errstate(all="ignore"):
+        model.step(x, y, real)
+    for name in model.NAMES:  # the first sum of squares is the squared gradient
+        assert np.sqrt(model.seen[name]).ravel() == pytest.approx(np.abs(slope[name]), abs=2e-3)
+
+
 def test_model_is_a_probability_and_scores_each_id_once():
     model, vocabulary = small_model()
     for size in (1, 8, 9, 12, 13):
@@ -211,7 +268,7 @@ def test_gradient_step_lowers_the_loss():
     model, _ = small_model()
     r = np.random.default_rng(1)
     x, y, real = r.integers(0, 7, (16, 8)), r.integers(0, 5, (16, 8)), np.ones((16, 8), bool)
-    loss = lambda: -np.take_along_axis(model.forward(x, 0)[0], y[..., None], 2).mean()
+    loss = lambda: -model.scored(model.tables(), x, y, 0).mean()
     before = loss()
     for _ in range(40):
         model.step(x, y, real)
@@ -228,11 +285,20 @@ def test_language_model_learns_from_every_document_and_id(spark):
     prior = np.zeros((5001, s.classes))
     for doc_id in (None, 0, 2, 3, 4, 5):
         assert zlib.crc32(str(doc_id).encode()) % 7 != 2
-        docs = spark.createDataFrame([(doc_id, bytearray(ids.astype("<u4").tobytes()))], "doc_id long, ids binary")
+        docs = spark.createDataFrame([(1, doc_id, bytearray(ids.astype("<u2").tobytes()))], "row long, doc_id long, ids binary")
         moved = attention_lm.train(docs, vocabulary, prior, s).p["emb"] != attention_lm.Attention(s, prior).p["emb"]
         assert moved.any(1)[1:].all()
 
 
+def test_language_model_scores_do_not_hang_on_the_layout(spark):
+    docs = table(spark, "documents").select("doc_id", "text")
+    held = F.sum(F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.col("score")))
+    one, eight, many = (attention_lm.score_documents(docs.repartition(n)).agg(held).first()[0] for n in (1, 8, 64))
+    off = attention_lm.score_documents(docs, settings=attention_lm.Settings(rate=0.0)).agg(held).first()[0]
+    assert eight == pytest.approx(one, rel=0.01) and many == pytest.approx(one, rel=0.01)
+    assert min(one, eight, many) > off * 0.98
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())

@@ -23,7 +23,6 @@ null, counts as training text, and has a null `held_out`.
 
 from __future__ import annotations
 
-import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +32,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,13 +165,14 @@ class Attention:
             both.append(np.pad(values, (0, -len(values) % width)).reshape(-1, width))
         return both[0], both[1].mean(1)
 
-    def load(self, lines: np.ndarray, seen: np.ndarray) -> None:
+    def load(self, lines: np.ndarray, seen: np.ndarray) -> Attention:
         at, values, sums = 0, lines.ravel(), np.repeat(seen, self.s.width)
         for n in self.NAMES:
             size, shape = self.p[n].size, self.p[n].shape
             self.p[n] = values[at:at + size].reshape(shape).astype(np.float32)
             self.seen[n] = np.maximum(sums[at:at + size].reshape(shape), 1e-3).astype(np.float32)
             at += size
+        return self
 
 
 class Vocabulary:
@@ -348,7 +349,9 @@ def tokens_written(docs: DataFrame, tokenizer_file: str, head: pd.DataFrame, unk
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         run, "row long, doc_id long, ids binary, n_tokens long, known long, base double, tail_h array<long>, tail_n array<int>")
-    return settle(rows, "subwords"), size
+    written = settle(rows, "subwords")
+    sent.destroy()
+    return written, size
 
 
 def read_ids(ids: bytes, size: int) -> np.ndarray:
@@ -376,7 +379,7 @@ def _summed(rows: DataFrame, size: int, cells: int, keys_of) -> tuple[np.ndarray
 
 
 def learn_vocabulary(rows: DataFrame, size: int, s: Settings) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and class prior by four passes of counts, each table bounded by the vocabulary and `s`."""
+    """Vocabulary and class prior by three passes of counts, each table bounded by the vocabulary and `s`."""
     key, n = _summed(rows, size, size, lambda ids: [ids])
     counts = np.zeros(size)
     counts[key] = n
@@ -388,11 +391,17 @@ def learn_vocabulary(rows: DataFrame, size: int, s: Settings) -> tuple[Vocabular
 
     key, n = _summed(rows, size, 2 * before * size, neighbours)
     vocabulary.cluster(pd.DataFrame({"side": key // size // before, "near": key // size % before, "id": key % size, "n": n}))
-    key, n = _summed(rows, size, vocabulary.links * size, lambda ids: [np.r_[0, vocabulary.link[ids[:-1]]] * size + ids])
-    vocabulary.follow(key // size, key % size, n)
-    key, n = _summed(rows, size, vocabulary.inputs * s.classes, lambda ids: [np.r_[0, vocabulary.row[ids[:-1]]] * s.classes + vocabulary.cls[ids]])
+    turns = vocabulary.links * size  # from here on: counts of classes after input rows
+
+    def followers(ids: np.ndarray) -> list[np.ndarray]:
+        link, row = np.r_[0, vocabulary.link[ids[:-1]]], np.r_[0, vocabulary.row[ids[:-1]]]
+        return [link * size + ids, turns + row * s.classes + vocabulary.cls[ids]]
+
+    key, n = _summed(rows, size, turns + vocabulary.inputs * s.classes, followers)
     prior = np.zeros(vocabulary.inputs * s.classes)
-    prior[key] = n
+    prior[key[key >= turns] - turns] = n[key >= turns]
+    key, n = key[key < turns], n[key < turns]
+    vocabulary.follow((key // size).astype(np.int32), (key % size).astype(np.int32), n.astype(np.float32))
     prior = prior.reshape(vocabulary.inputs, s.classes)
     overall = prior.sum(0) + 0.1
     prior += 0.1 + vocabulary.BACK * overall / overall.sum()  # rare ids lean on the classes' shares
@@ -408,18 +417,23 @@ def training_windows(ids: np.ndarray, vocabulary: Vocabulary, s: Settings) -> tu
     return x.reshape(count, -1), y.reshape(count, -1)
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Settings) -> Attention:
-    """Rounds over the training documents, each document in one of them; rows of weights are averaged by the windows seen."""
-    names, size = [f"w{k}" for k in range(s.width)], vocabulary.size
-    rows, spark = rows.where(in_training()).select("row", "ids"), rows.sparkSession
+def train(rows: DataFrame, shared: Broadcast, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds over the training documents, each document in one of them; rows of weights are averaged by the windows seen.
+
+    `shared` holds the vocabulary and the class prior. Returns the model's lines, as `Attention.load` takes them.
+    """
+    names, spark = [f"w{k}" for k in range(s.width)], rows.sparkSession
+    vocabulary, prior = shared.value
+    size, rows = vocabulary.size, rows.where(in_training()).select("row", "ids")
     shards = max(1, -(-int(vocabulary.counts.sum()) // (s.shard * s.rounds)))
-    model = Attention(s, prior)
+    lines, sums = Attention(s, prior).lines()
     for turn in range(s.rounds):
-        sent = spark.sparkContext.broadcast((vocabulary, model))
+        sent = spark.sparkContext.broadcast((lines, sums))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            vocabulary, model = sent.value
-            model, (start, _), seen, lot, waiting = copy.deepcopy(model), model.lines(), 0, [], 0
+            vocabulary, prior = shared.value
+            start = sent.value[0]
+            model, seen, lot, waiting = Attention(s, prior).load(*sent.value), 0, [], 0
 
             def learn(lot) -> int:
                 x, y = (np.concatenate(part) for part in zip(*lot))
@@ -447,11 +461,10 @@ def train(rows: DataFrame, vocabulary: Vocabulary, prior: np.ndarray, s: Setting
         parts = dealt.select("ids").mapInPandas(run, "line long, seen float, sums float, " + ", ".join(f"{n} float" for n in names))
         # No longer than the model, whatever the input.
         mean = parts.groupBy("line").agg(*[(F.sum(n) / F.sum("seen")).alias(n) for n in ["sums", *names]]).toPandas()
-        lines, sums = model.lines()
+        sent.destroy()
         at = mean["line"].to_numpy(np.int64)
         lines[at], sums[at] = mean[names].to_numpy(np.float32), mean["sums"].to_numpy(np.float32)
-        model.load(lines, sums)
-    return model
+    return lines, sums
 
 
 def score_documents(docs: DataFrame, tokenizer_file: str | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -464,11 +477,13 @@ def score_documents(docs: DataFrame, tokenizer_file: str | None = None, settings
     head = counts.where(F.col("n") > often).select("h", "c").toPandas()
     rows, size = tokens_written(docs, tokenizer_file or default_tokenizer(), head, math.log10(1 / (total + distinct + 1)))
     vocabulary, prior = learn_vocabulary(rows, size, settings)
-    model = train(rows, vocabulary, prior, settings)
-    sent = spark.sparkContext.broadcast((vocabulary, model, model.tables()))
+    shared = spark.sparkContext.broadcast((vocabulary, prior))
+    sent = spark.sparkContext.broadcast(train(rows, shared, settings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, model, tables = sent.value
+        vocabulary, prior = shared.value
+        model = Attention(settings, prior).load(*sent.value)
+        tables = model.tables()
         for b in batches:
             for lo in range(0, len(b), 128):
                 part = b.iloc[lo:lo + 128]

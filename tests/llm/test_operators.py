@@ -286,7 +286,9 @@ def test_language_model_learns_from_every_document_and_id(spark):
     for doc_id in (None, 0, 2, 3, 4, 5):
         assert zlib.crc32(str(doc_id).encode()) % 7 != 2
         docs = spark.createDataFrame([(1, doc_id, bytearray(ids.astype("<u2").tobytes()))], "row long, doc_id long, ids binary")
-        moved = attention_lm.train(docs, vocabulary, prior, s).p["emb"] != attention_lm.Attention(s, prior).p["emb"]
+        shared = spark.sparkContext.broadcast((vocabulary, prior))
+        start = attention_lm.Attention(s, prior)
+        moved = attention_lm.Attention(s, prior).load(*attention_lm.train(docs, shared, s)).p["emb"] != start.p["emb"]
         assert moved.any(1)[1:].all()
 
 

@@ -192,6 +192,8 @@ ORACLE: dict[str, str] = {
     # sources and sinks
     "xml_scan": _entry((PRODUCTS,), f"SELECT {_FLAT} FROM products"),
     "xml_fields": _entry((PRODUCTS,), "SELECT * EXCLUDE (doc_id) FROM products"),
+    "xml_sections": _entry((PRODUCTS,), "SELECT * EXCLUDE (doc_id) REPLACE (CASE WHEN doc_id % 5 = 0 THEN title || ' </product> <!--' "
+                           "ELSE title END AS title) FROM products"),
     "doc_projection": _entry((PRODUCTS,), "SELECT * FROM products"),
     "index_roundtrip": _entry(P_INDEX, "SELECT * FROM post"),
     "absent_index": "SELECT 0::BIGINT AS input_id, 0::INTEGER AS rank, '' AS word, 0::BIGINT AS doc_freq WHERE false",

@@ -60,6 +60,18 @@ def xml_fields(spark, sf):
     return xml_records.extract_fields(xml_records.read_record_texts(spark, _written_xml(spark, sf)))
 
 
+@query
+def xml_sections(spark, sf):
+    """Records with closing tags in CDATA sections, in comments inside them and in comments between them."""
+    path = store.workspace(spark, "xml")
+    T.products(spark, sf).select(F.expr("""concat(
+        if(doc_id % 3 = 0, '<!-- <product><title>old</title></product> -->', ''), '<product><title><![CDATA[', title,
+        if(doc_id % 5 = 0, ' </product> <!--', ''), ']]></title><properties><material>', Material, '</material>',
+        if(doc_id % 7 = 0, '<!-- </product> ]]> -->', ''), '<style>', Style, '</style><mounting>', Mounting,
+        '</mounting><brand>', Brand, '</brand></properties></product>')""").alias("value")).write.text(path)
+    return xml_records.extract_fields(xml_records.read_record_texts(spark, path))
+
+
 @query
 def doc_projection(spark, sf):
     return T.products(spark, sf)

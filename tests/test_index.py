@@ -178,6 +178,45 @@ def test_xml_odd_records(spark, tmp_path):
                      "marked": ("Vinyl", "Atlantic"), "empty": ("Vinyl", "")}
 
 
+def hidden(text):
+    return "<![CDATA[" + text + "]]>"
+
+
+# Titles by the record that has them; every one is cut falsely at least once, but for the plain ones.
+SECTIONED = [
+    ("a </product> b", product_xml(hidden("a </product> b"))),
+    ("plain", product_xml("plain")),
+    ("old", "<!-- " + product_xml("gone") + product_xml("gone too") + " -->" + product_xml("old")),
+    ("x<!-- </product> y", product_xml(hidden("x<!-- </product> y"))),
+    ("instructed", "<?keep </product> ?>" + product_xml("instructed")),
+    ("many" + "</product>" * 40, product_xml(hidden("many" + "</product>" * 40))),
+    ("twofold </product>", product_xml(hidden("twofold </product>")).replace("</properties>", "<!-- ]]> </product> <![CDATA[ --></properties>")),
+    ("last", "<!-- <product> -->" + product_xml("last") + "<!-- </product> </product> -->"),
+]
+
+
+@pytest.mark.parametrize("split_bytes", [120, 700, 128 << 20])
+def test_xml_closing_tags_in_sections(spark, tmp_path, split_bytes):
+    """Splits smaller than a record, so sections reach over several of them, and two files that must not mix."""
+    write_xml(tmp_path / "a.xml", *[record for _, record in SECTIONED * 3])
+    write_xml(tmp_path / "b.xml", *[record for _, record in reversed(SECTIONED)])
+    write_xml(tmp_path / "c.xml", product_xml("clean"))
+    write_xml(tmp_path / "d.xml")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        found = xml_records.extract_fields(xml_records.read_record_texts(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.title for r in found) == sorted(["clean"] + [title for title, _ in SECTIONED] * 4)
+    assert {(r.Material, r.Style, r.Mounting, r.Brand) for r in found} == {("Vinyl", "Louver", "Operable", "Atlantic")}
+
+
+def test_xml_without_records(spark, tmp_path):
+    path = write_xml(tmp_path / "none.xml", "<!-- ", product_xml("gone"), "-->")
+    assert xml_records.read_record_texts(spark, path).collect() == []
+
+
 def test_xml_missing_field(spark, tmp_path):
     path = write_xml(tmp_path / "p.xml", product_xml("good"), product_xml("bad", brand=None))
     records = xml_records.read_record_texts(spark, path)

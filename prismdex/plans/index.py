@@ -14,6 +14,7 @@ from prismdex.config import DEFAULT_SYNONYMS, IndexConfig
 from prismdex.operators import dictionary as D
 from prismdex.operators.analysis import expand_synonyms
 from prismdex.operators.blocks import block_bounds, doc_slots
+from prismdex.operators.broad import MIN_DOCS, KeptCounts, term_facets
 from prismdex.operators.sizing import measure
 from prismdex.operators.patterns import fuzzy_grams
 from prismdex.operators.suggest import best_suggestions, build_suggestions
@@ -123,6 +124,22 @@ def open_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return open_table(spark, f"{build}/slots"), open_table(spark, f"{build}/bounds")
 
 
+def build_facet_counts(spark: SparkSession, path: str, cfg: IndexConfig = IndexConfig(), min_docs: int = MIN_DOCS,
+                       files: int | None = None) -> None:
+    """Add the facet counts of frequent terms to the last build, for `browse(..., kept=...)`."""
+    index, build = open_index(spark, path, cfg), current_build(spark, path)
+    counts = term_facets(index.postings, index.docs, index.frequencies, cfg, min_docs)
+    write_table(counts, f"{build}/term_facets", sort_by=["term", "field", "value"], files=files)
+    write_table(spark.range(1).select(F.lit(min_docs).cast("long").alias("min_docs")), f"{build}/term_facets_from")
+
+
+def open_facet_counts(spark: SparkSession, path: str) -> KeptCounts:
+    """The facet counts kept with the last build."""
+    build = current_build(spark, path)
+    floor = open_table(spark, f"{build}/term_facets_from").first()["min_docs"]
+    return KeptCounts(open_table(spark, f"{build}/term_facets"), floor)
+
+
 def _builds(spark: SparkSession, path: str) -> DataFrame:
     return open_or_empty(spark, f"{path}/builds", StructType.fromDDL("number bigint, build string"))
 

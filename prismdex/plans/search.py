@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from prismdex.config import PAGE_OFFSET, PAGE_SIZE
 from prismdex.operators import facets as E
+from prismdex.operators.broad import KeptCounts, broad_queries, kept_counts
 from prismdex.operators import rank as R
 from prismdex.operators.query_terms import clauses_sql, phrase_terms
 from prismdex.operators.search import Cost
-from prismdex.operators.sizing import lookup_join
+from prismdex.operators.sizing import lookup_join, settle
 from prismdex.plans.index import Index
 from prismdex.sources.store import write_once
 
@@ -51,11 +52,14 @@ def _page(index: Index, scored: DataFrame, offset: int, count: int, cost: Cost)
 
 
 def browse(index: Index, queries: DataFrame, offset: int = PAGE_OFFSET, count: int = PAGE_SIZE,
-           keep: bool = False) -> Result:
+           keep: bool = False, kept: KeptCounts | None = None) -> Result:
     """Answer (query_id, phrase): a page of hits, and the facet values that have hits.
 
-    With `keep` the scored hits are written once, for callers that read both parts.
+    With `keep` the scored hits are written once, for callers that read both parts. With the `kept` counts of the
+    build the facets of frequent one-term phrases are looked up; no document is read for them.
     """
+    if kept is not None:
+        return Result(lambda: browse(index, queries, offset, count, keep).hits, lambda: _facets_kept(index, queries, kept))
     scored, cost = scored_hits(index, queries)
     if keep:
         scored = write_once(scored, "hits")
@@ -63,6 +67,13 @@ def browse(index: Index, queries: DataFrame, offset: int = PAGE_OFFSET, count: i
     return Result(lambda: _page(index, scored, offset, count, cost), lambda: E.facet_counts(faceted, index.cfg))
 
 
+def _facets_kept(index: Index, queries: DataFrame, kept: KeptCounts) -> DataFrame:
+    broad, size = broad_queries(queries, index.frequencies, kept.min_docs)
+    rest, others = settle(lookup_join(queries, broad, "query_id", "left_anti", "phrase", size))
+    looked_up = kept_counts(kept, broad, size)
+    return looked_up if not others.rows else looked_up.unionByName(browse(index, rest).facets)
+
+
 def refine(index: Index, queries: DataFrame, selections: DataFrame, offset: int = PAGE_OFFSET,
            count: int = PAGE_SIZE, keep: bool = False) -> Result:
     """Answer (query_id, phrase) narrowed by (query_id, field, value).

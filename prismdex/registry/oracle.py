@@ -335,6 +335,9 @@ ORACLE: dict[str, str] = {
         "(SELECT count(DISTINCT field) FROM sel s WHERE s.query_id = sel.query_id)"),
     "search_refine": _entry(P_REFINED, "SELECT * FROM refined"),
     "facet_counts_browse": _entry(P_FACETS, "SELECT * FROM counts"),
+    "facet_counts_kept": _entry(P_FACETS, "SELECT * FROM counts"),
+    "term_facets": _entry((*P_INDEX, FACETS), "SELECT term, field, value, count(*) AS hit_count FROM post JOIN df USING (term) "
+                          "JOIN fv USING (doc_id) WHERE doc_freq >= 20 GROUP BY ALL"),
     "facet_min_hits": _entry(P_FACETS, "SELECT * FROM counts WHERE hit_count >= 10"),
     "facet_counts_refine": _entry(P_REFINED, "SELECT * FROM filled"),
     "facet_order_value": _entry(P_FACETS, "SELECT *, row_number() OVER (PARTITION BY query_id, field ORDER BY value) AS rank "

@@ -12,6 +12,7 @@ from prismdex.config import SUGGEST_STOP_WORDS, TEXT_STOP_WORDS
 from prismdex.functions import folding, ngrams, tokens, words
 from prismdex.functions.stopwords import remove_stops_sql
 from prismdex.operators import blocks as B
+from prismdex.operators import broad as K
 from prismdex.operators import dictionary as D
 from prismdex.operators import expressions as X
 from prismdex.operators import facets as E
@@ -464,6 +465,22 @@ def facet_counts_browse(spark, sf):
     return E.facet_counts(faceted, index.cfg)
 
 
+@query
+def term_facets(spark, sf):
+    """Facet counts of every term of 20 products or more."""
+    index = T.product_index(spark, sf)
+    return K.term_facets(index.postings, index.docs, index.frequencies, index.cfg, 20)
+
+
+@query
+def facet_counts_kept(spark, sf):
+    """The facets of browsed phrases, those of frequent single terms from the counts kept with the build."""
+    path = store.workspace(spark, "index")
+    I.build_index(spark, T.products(spark, sf), path, T.PRODUCTS, T.synonyms(spark))
+    I.build_facet_counts(spark, path, T.PRODUCTS, 20)
+    return plans.browse(I.open_index(spark, path, T.PRODUCTS), spark.sql(inputs.PHRASES), kept=I.open_facet_counts(spark, path)).facets
+
+
 @query
 def facet_min_hits(spark, sf):
     index, faceted = _faceted(spark, sf)

@@ -416,10 +416,57 @@ def test_nearest_on_odd_vectors(spark):
     data = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [nan, 1.0], 1),
             (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [1.0], 1), (2, [2.0, 0.0], 2), (20, [0.0, 1.0], 1)]
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(ann.op9_nearest(spark.createDataFrame(data, kind)).orderBy("query_id", "rank"))]
-    assert got[:2] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
+    # Id 20 lies at a right angle to the query, id 8 has no query of its dimension.
+    assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
     assert rows(ann.op9_nearest(spark.createDataFrame([], kind))) == []
 
 
+def brute_nearest(data, every, k=20):
+    """{query: [(score, vec_id), ...]} by multiplying everything, best score per id."""
+    out = {}
+    for q, x in data:
+        if q % every == 0:
+            best = {}
+            for v, y in data:
+                if v != q and len(y) == len(x):
+                    best[v] = max(best.get(v, -1e300), float((np.array(x) * np.array(y)).sum()))
+            out[q] = sorted(((-score, v) for v, score in best.items()))[:k]
+    return out
+
+
+@pytest.mark.parametrize("dim, even", [(64, True), (64, False), (128, True), (384, True), (384, False)])
+def test_nearest_recall_by_dimension(spark, dim, even):
+    """Random vectors, which have no near neighbours to speak of: the hardest case for a hash."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(2500, dim))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if even else x * rng.uniform(0.5, 2, (len(x), 1))
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    got = rows(ann.nearest(frame, frame.where("vec_id % 50 = 0")))
+    near = {q: set(np.argsort(-np.where(np.arange(len(x)) == q, -np.inf, x @ x[q]))[:20].tolist()) for q in range(0, len(x), 50)}
+    assert len(got) == 20 * len(near)
+    recall = sum(r["vec_id"] in near[r["query_id"]] for r in got) / len(got)
+    print(f"dimension {dim}, even {even}: recall {recall:.3f}")
+    assert recall >= 0.9
+
+
+def test_nearest_repeated_ids_dimensions_and_hot_vectors(spark):
+    """A third of all rows are one vector; ids recur with other vectors; two dimensions; clashing columns."""
+    rng = np.random.default_rng(5)
+    data = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(300)] + [(i, rng.normal(size=4).tolist()) for i in range(300, 700)]
+    data += [(i, rng.normal(size=3).tolist()) for i in range(700, 900)] + [(i, rng.normal(size=4).tolist()) for i in range(301, 360)]
+    kind = "vec_id long, embedding array<double>, score string, query_id int, rank int"
+    frame = spark.createDataFrame([(i, v, "s", 1, 2) for i, v in data], kind).repartition(4)
+    got = {}
+    for r in rows(ann.nearest(frame, frame.where("vec_id % 100 = 0"), settings=ann.Settings(block=4, rows=64, pairs=1000))):
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    near = brute_nearest([(i, v) for i, v in data], 100)
+    # At four dimensions every axis is probed, so the answer is exact.
+    assert got.keys() == near.keys() == {0, 100, 200, 300, 400, 500, 600, 700, 800}
+    for q, mine in got.items():
+        assert [v for _, v in sorted(mine)] == [v for _, v in near[q]]
+
+
 def brute_hits(text, items):
     words, hit, found = plain_words(text), set(), set()
     for i, t in items:

@@ -1,15 +1,16 @@
 """Toxicity by weak supervision.
 
-Voters: word lexicons, word-beginning lexicons and writing patterns, each for or silent; the lexicons are
-mined from labelled rows outside the held-out fold. A generative label model takes the votes as noisy
-signs of one hidden label: expectation-maximisation from the labelled rows' start estimates each voter's
-accuracy, and the correlation of each pair of voters given the label; a voter that repeats others counts
-for less. The posterior labels then train a linear classifier over the voters and lexicon entries, with
-which every whole text is scored in Arrow batches.
-
-The fit sees at most `train_rows` labelled rows. Null and empty texts have no votes and score as such.
-Without labelled rows, or with one class only, every score is 0. Repeated rows are scored one by one; other
-columns are not looked at.
+Voters: lexicons of words, lexicons of word beginnings and writing patterns, each for or silent; the lexicons are
+mined from labelled rows outside the held-out fold. A generative label model takes the votes as noisy signs of one hidden label. It reads how often each set of votes occurs among all documents
+outside the held-out fold, labelled or not; the labelled rows say which of its classes is the toxic one and where it
+starts. Expectation-maximisation estimates each voter's accuracy, and the correlation of each pair of voters
+given the label; a voter that repeats others counts for less. The posterior labels then train a linear classifier over
+the voters and lexicon entries, with which every whole text is scored in Arrow batches.
+
+The classifier sees at most `train_rows` labelled rows. The sets of votes come to the driver as one count each, at most two to the number
+of voters (`2 * lexicons` and the patterns). Null and empty texts have no votes and score as such.
+Without labelled rows, or with one class only, every score is 0. A null id is in no fold and its row is not learnt from. Repeated
+rows are scored one by one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -102,29 +103,56 @@ class Model:
         return float(sigmoid(x @ self.weights + self.bias))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the hidden label, rates (2, voters) of a vote given each class, and correlations given the class."""
-    post = start.astype(float)
-    n, m = votes.shape
-    share = np.ones(m)
-    rates = correlation = np.zeros((2, m))
+def label_model(votes: np.ndarray, times: np.ndarray, known: np.ndarray, labels: np.ndarray,
+                rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden label for the `known` votes, rates (2, voters) of a vote given each class, correlations.
+
+    `votes` are the sets of votes of all documents and `times` how often each occurs. The labels of the known rows give the
+    rates to start from, and stay beside the other rows in each round, so that the classes keep their meaning.
+    """
+    rows = np.concatenate([votes, known])
+    weight = np.r_[times, np.ones(len(known))].astype(float)
+    n, m = weight.sum(), rows.shape[1]
+    sure = np.stack([1 - labels, labels])
+
+    def rates_of(both: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return (both @ of + 0.1) / (both.sum(1, keepdims=True) + 1.0)
+
+    def posterior(of: np.ndarray) -> np.ndarray:
+        seen = np.log(rates[1] / rates[0]) * share
+        silent = np.log((1 - rates[1]) / (1 - rates[0])) * share
+        return sigmoid(np.log(prior / (1 - prior)) + of @ seen + (1 - of) @ silent)
+
+    rates, share, correlation = rates_of(sure, known), np.ones(m), np.zeros((m, m))
+    prior = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     for _ in range(rounds):
-        both = np.stack([1 - post, post])
-        mass = both.sum(1, keepdims=True)
-        rates = (both @ votes + 0.1) / (mass + 1.0)
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+        post = np.r_[posterior(votes), labels]
+        both = np.stack([1 - post, post]) * weight
+        rates = rates_of(both, rows)
+        prior = np.clip(both[1].sum() / n, 1e-3, 1 - 1e-3)
         correlation = np.zeros((m, m))
         for c in (0, 1):
-            centred = (votes - rates[c]) * np.sqrt(both[c])[:, None]
-            cov = centred.T @ centred / mass[c]
+            centred = (rows - rates[c]) * np.sqrt(both[c])[:, None]
+            cov = centred.T @ centred / both[c].sum()
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            correlation += cov / np.outer(scale, scale) * (mass[c] / n)
+            correlation += cov / np.outer(scale, scale) * (both[c].sum() / n)
         np.fill_diagonal(correlation, 0)
         share = 1 / (1 + np.clip(correlation, 0, 1).sum(1))
-        seen = np.log(rates[1] / rates[0]) * share
-        silent = np.log((1 - rates[1]) / (1 - rates[0])) * share
-        post = sigmoid(np.log(prior / (1 - prior)) + votes @ seen + (1 - votes) @ silent)
-    return post, rates, correlation
+    return posterior(known), rates, correlation
+
+
+def vote_counts(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of votes among the documents outside the held-out fold, and how many documents have each."""
+
+    def cast(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bit = 1 << np.arange(model.n_voters)
+        for texts in batches:
+            yield pd.Series([int(model.features(marks(t, model.s.beginnings), t)[0] @ bit) for t in texts], dtype="int64")
+
+    seen = docs.where(fold("doc_id", 4) != 2).select(F.pandas_udf(cast, "long")("text").alias("votes"))
+    counts = seen.groupBy("votes").count().orderBy("votes").collect()
+    sets = np.array([r["votes"] for r in counts], np.int64)
+    return (sets[:, None] >> np.arange(model.n_voters) & 1).astype(float), np.array([r["count"] for r in counts], float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -162,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     pattern_votes = np.array([[r[2] >> i & 1 for i in range(len(PATTERNS))] for r in seen], float)
     first = model.n_voters - len(PATTERNS)
     votes[:, first:] = x[:, first:model.n_voters] = pattern_votes
-    posterior, _, _ = label_model(votes, label, settings.em_rounds)
+    posterior, _, _ = label_model(*vote_counts(docs, model), votes, label, settings.em_rounds)
     w, b = np.zeros(x.shape[1]), 0.0
     gw, gb = np.full(x.shape[1], 1e-6), 1e-6
     for _ in range(settings.steps):

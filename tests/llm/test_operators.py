@@ -53,6 +53,28 @@ def test_toxicity_on_held_out_labels(spark):
     assert held_out_accuracy(spark, scored, "toxic") > 0.9
 
 
+def test_label_model_learns_from_unlabelled_votes():
+    """Few labels, many rows without: the rates and the correlation of a repeated voter come out of the latter."""
+    rng = np.random.default_rng(3)
+    hidden = rng.random(20_000) < 0.2
+    true = np.array([[0.05, 0.1, 0.02, 0.2, 0.1], [0.8, 0.7, 0.5, 0.6, 0.9]])
+    votes = (rng.random((20_000, 5)) < true[hidden.astype(int)]).astype(float)
+    votes = np.column_stack([votes, np.where(rng.random(20_000) < 0.95, votes[:, 4], 1 - votes[:, 4])])
+    sets, times = np.unique(votes, axis=0, return_counts=True)
+    post, rates, correlation = toxicity.label_model(sets, times, votes[:60], hidden[:60].astype(float), 25)
+    assert np.abs(rates[:, :5] - true).max() < 0.05
+    assert correlation[4, 5] > 0.5 and np.abs(correlation[:4, :4]).max() < 0.2
+    every, _, _ = toxicity.label_model(sets, times, votes, hidden.astype(float), 25)
+    assert ((every > 0.5) == hidden).mean() > 0.95 and ((post > 0.5) == hidden[:60]).mean() > 0.9
+
+
+def test_toxicity_counts_the_votes_of_all_documents(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    sets, times = toxicity.vote_counts(docs, model := toxicity.fit(docs, labels))
+    crc = [zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 for r in docs.select("doc_id").collect()]
+    assert times.sum() == sum(crc) and sets.shape[1] == model.n_voters and len(np.unique(sets, axis=0)) == len(sets)
+
+
 @pytest.mark.parametrize("operator", [quality.op1_quality, toxicity.op7_toxicity])
 def test_classifiers_on_odd_and_empty_tables(spark, odd, none, operator):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")

@@ -62,11 +62,12 @@ def settle(df: DataFrame) -> tuple[DataFrame, Size]:
 
 
 def broadcast_if(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """The table marked for broadcast if a bound on its rows is known and small.
+    """The table marked for broadcast if a bound on its rows is known and small, for a sort merge join otherwise.
 
-    For narrow tables of keys and numbers, whose bytes follow from their rows.
+    For narrow tables of keys and numbers, whose bytes follow from their rows. Without the mark Spark broadcasts
+    either side by its size in files, which compression makes small: tables of documents would pass through the driver.
     """
-    return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str]) -> DataFrame:

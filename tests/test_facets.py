@@ -193,3 +193,12 @@ def test_response(index, rows):
     assert answer["Results"] == [PRODUCT_ROWS[6][1], PRODUCT_ROWS[9][1]]
     assert [g["Name"] for g in answer["FacetGroups"]] == ["Brand", "Material", "Mounting", "Style"]
     assert answer["FacetGroups"][0]["Facets"] == [{"Name": "StyleCraft", "Count": 6}]
+
+
+def test_tables_of_documents_do_not_pass_through_the_driver(spark, index, rows):
+    hits = rows("query_id long, doc_id long", *[(1, i) for i in range(18)])
+    scored, _ = plans.scored_hits(index, rows("query_id long, phrase string", (1, "shutters")))
+    for joined in (E.with_facets(hits, index.docs, index.cfg), E.with_facets(hits, index.docs, index.cfg, 10**6)):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 18
+    assert "BroadcastHashJoin" in E.with_facets(scored, index.docs, index.cfg, 18)._jdf.queryExecution().executedPlan().toString()

@@ -121,43 +121,52 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _running_sums(lengths: str, block: int = 128) -> str:
+def _running_sums(lengths: str, block: int = 32) -> str:
     """For array<int>: the sum of all elements before each one.
 
-    Summed per block and then within the block, so the work stays near linear in the
-    length of the array.
+    Summed on within blocks; the blocks' own sums are summed on in the same way, in blocks again, and added to
+    their elements. A sum is worked out from the one before it, so the work is linear in the length of the array.
     """
 
-    def total(part: str) -> str:
-        return f"aggregate({part}, 0, (a, b) -> a + b)"
+    def summed(part: str) -> str:
+        """The sums before each element of a part, and the sum of all."""
+        return f"aggregate({part}, array(0), (a, b) -> array_append(a, a[size(a) - 1] + b))"
 
-    blocks = f"slice(sequence(0, int(ceil(size(ls) / {block}))), 1, int(ceil(size(ls) / {block})))"
-    block_sums = f"transform({blocks}, k -> {total(f'slice(ls, k * {block} + 1, {block})')})"
-    block_starts = _let("sums", block_sums, f"transform(sums, (s, k) -> {total('slice(sums, 1, k)')})")
-    in_block = total(f"slice(ls, int(i div {block}) * {block} + 1, i % {block})")
-    sums = _let("starts", block_starts, f"transform(ls, (l, i) -> starts[int(i div {block})] + {in_block})")
-    return _let("ls", lengths, sums)
+    def in_blocks(values: str, name: str) -> str:
+        n = f"int(ceil(size({name}) / {block}))"
+        return _let(name, values, f"transform(slice(sequence(0, {n}), 1, {n}), k -> {summed(f'slice({name}, k * {block} + 1, {block})')})")
 
+    def before(blocks: str, starts: str) -> str:
+        return f"flatten(transform({blocks}, (b, k) -> transform(slice(b, 1, size(b) - 1), x -> x + {starts}[k])))"
+
+    def totals(blocks: str) -> str:
+        return f"transform({blocks}, b -> b[size(b) - 1])"
+
+    upper = _let("ups", in_blocks(totals("parts_"), "ts"), _let("firsts", summed(totals("ups")), before("ups", "firsts")))
+    return _let("parts_", in_blocks(lengths, "ls"), _let("starts", upper, before("parts_", "starts")))
 
-def tokenize_with_offsets_sql(text: str) -> str:
-    """array<struct<pos, term, start, end>>; offsets are characters of `text`.
+
+def located_words_sql(text: str) -> str:
+    """array<struct<word, start>>: the words of `text` as written, and the characters before each.
 
     The text is split at its words; a word starts behind all gaps and words before it.
     """
     # One gap more than words: the last one has no word and is dropped.
     gaps = (f"if(contains({text}, '@'), split({text}, r'{WORD_PATTERN}', -1), "
             f"split({text}, r'{WORD_PATTERN_WITHOUT_EMAILS}', -1))")
-    pieces = f"filter(arrays_zip({gaps}, {raw_words_sql(text)}), p -> p.`1` IS NOT NULL)"
-    before = _running_sums("transform(parts, p -> length(p.`0`) + length(p.`1`))")
-    numbered = (
-        f"transform(arrays_zip(parts, {before}), (z, n) -> named_struct('pos', n, 'word', z.parts.`1`, "
-        "'start', z.`1` + length(z.parts.`0`), 'end', z.`1` + length(z.parts.`0`) + length(z.parts.`1`)))"
-    )
-    located = (
+    before = _running_sums("zip_with(gaps, words, (g, w) -> length(g) + length(w))")
+    starts = f"zip_with(slice(gaps, 1, size(words)), slice({before}, 1, size(words)), (g, b) -> length(g) + b)"
+    located = f"zip_with(words, {starts}, (w, s) -> named_struct('word', w, 'start', s))"
+    return _let("words", raw_words_sql(text), _let("gaps", gaps, located))
+
+
+def tokenize_with_offsets_sql(text: str) -> str:
+    """array<struct<pos, term, start, end>>; offsets are characters of `text`."""
+    numbered = f"transform({located_words_sql(text)}, (l, i) -> named_struct('pos', i, 'word', l.word, 'start', l.start))"
+    return (
         f"transform(filter({numbered}, t -> {word_fits_sql('t.word')}), t -> named_struct('pos', t.pos, "
-        f"'term', {normalize_word_sql('t.word')}, 'start', t.start, 'end', t.end))"
+        f"'term', {normalize_word_sql('t.word')}, 'start', t.start, 'end', t.start + length(t.word)))"
     )
-    return _let("parts", pieces, located)
 
 
 def raw_words(text: str) -> Column:

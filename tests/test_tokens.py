@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 
 import pytest
 import regex
@@ -72,3 +74,21 @@ def test_very_long_runs(spark):
     texts = ["1," * 100_000 + "2", "a.b" * 50_000, "a'" * 50_000 + "b", "x" * 200_000, "ab " * 50_000, "a_" * 2_000]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(F.size(tokens.tokenize("t"))).collect()] == [0, 0, 0, 0, 50_000, 2_000]
+
+
+def test_running_sums_cost_little_more_than_the_lengths(spark):
+    from prismdex.functions.tokens import _running_sums
+
+    def seconds(expression):
+        best = float("inf")
+        for _ in range(2):
+            started = time.time()
+            spark.sql(f"SELECT aggregate({expression}, 0L, (a, b) -> a + b) AS n FROM (SELECT transform(sequence(1, 2000000 + int(rand() * 2)), x -> x % 9) AS v)").collect()
+            best = min(best, time.time() - started)
+        return best
+
+    for n in (0, 1, 31, 32, 33, 1024, 1025, 5000):
+        row = spark.sql(f"SELECT transform(slice(sequence(0, {n}), 1, {n}), x -> x % 7) AS v").selectExpr("v", f"{_running_sums('v')} AS sums").first()
+        assert row.sums == [sum(row.v[:i]) for i in range(n)] if n <= 33 else row.sums == list(itertools.accumulate(row.v[:-1], initial=0))
+    # A sum over a slice for every element takes over sixty steps for each.
+    assert seconds(_running_sums("v")) < 12 * seconds("transform(v, x -> x + 1)") + 0.2

@@ -50,7 +50,8 @@ def analyze(docs: DataFrame, text: str, chain: Chain = STANDARD, key: str = "doc
     elif chain.gaps:
         rows = (
             docs.selectExpr(key, f"posexplode({raw_words_sql(text)}) AS (pos, word)").where(word_fits_sql("word"))
-            .selectExpr(key, "pos", f"{normalize_word_sql('word')} AS term")
+            # Exploded, so that a filter on terms stays above: below, each of its comparisons would normalise the word anew.
+            .selectExpr(key, "pos", f"explode(array({normalize_word_sql('word')})) AS term")
         )
         if chain.folded:
             rows = rows.selectExpr(key, "pos", f"{ascii_fold_sql('term')} AS term")

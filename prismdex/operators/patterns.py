@@ -16,12 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.functions.ngrams import edge_ngrams
-from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, settle
+from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, salted_join, settle
+from prismdex.sources.store import write_once
 
 _KEY_CHARS = 8
 _PIECE_CHARS = 2
 #: Intervals that one scan is asked for.
 _BLOCK = 200
+#: Found terms that are broadcast to the postings, and the salts of a longer list.
+FOUND_ROWS = 50_000
+FOUND_SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -205,10 +209,16 @@ def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
 def postings_of(postings: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(query_id, key): documents with any of the found (query_id, term).
 
-    A short list of terms is pushed into the scan of the sorted postings.
+    A short list of terms is pushed into the scan of the sorted postings; a long one is written once. A list too
+    long to broadcast meets the postings by a shuffle: no term has more of them than there are documents, so a few
+    salts do.
     """
-    found, size = settle(found)
+    found, size = settle(write_once(found, "found"))
     if size.rows <= PUSHED_VALUES:
         postings = postings.where(F.col("term").isin(*{r.term for r in found.collect()}))
-    return lookup_join(postings.select("term", key), found, "term", "inner", key, size).select(
-        "query_id", key).distinct()
+    postings = postings.select("term", key)
+    if size.rows <= FOUND_ROWS and size.small:
+        met = postings.join(F.broadcast(found), "term")
+    else:
+        met = salted_join(postings, found.hint("merge"), ["term"], "inner", [key], FOUND_SALTS)
+    return met.select("query_id", key).distinct()

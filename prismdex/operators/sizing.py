@@ -70,14 +70,15 @@ def broadcast_if(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df.hint("merge")
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str]) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread: Sequence[str],
+                salts: int = SALTS) -> DataFrame:
     """Shuffle join that shares out one hot key among many tasks.
 
     The rows of `big` are spread over salts taken from the `spread` columns and `small`
     is repeated per salt, so every row of `big` still meets its partners exactly once.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import pairs
 from prismdex.operators import patterns as P
 from prismdex.operators import suggest as G
+from prismdex.operators.analysis import SYNONYM, analyze
 from prismdex.plans import index as I
 from prismdex.sources import store
 
@@ -119,3 +120,25 @@ def test_built_tables(spark, docs, index, tmp_path):
     I.build_index(spark, docs, path, synonyms=I.default_synonyms(spark), files=2)
     built = I.open_index(spark, path)
     assert pairs(built.best) == pairs(index.best) and pairs(built.grams) == pairs(index.grams)
+
+
+def test_a_word_is_normalised_once_however_many_tests_its_term_meets(spark, rows):
+    terms = analyze(rows("doc_id long, title string", (1, "Than that's this")), "title", SYNONYM)
+    plan = terms.where("term >= 'than' AND term <= 'thb' OR term LIKE 'x%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert pairs(terms.where("term >= 'than' AND term <= 'thb'")) == [(1, 0, "than")]
+
+
+def test_found_terms_are_worked_out_once(spark, rows, monkeypatch):
+    postings = rows("term string, doc_id long", *[(t, d) for d in range(40) for t in ("a", "b")], ("c", 3), ("c", 3))
+    found = rows("query_id long, term string", (1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, "z"))
+    want = [(1, d) for d in range(40)] + [(2, 3)]
+    for rows_broadcast in (P.FOUND_ROWS, 0):
+        monkeypatch.setattr(P, "FOUND_ROWS", rows_broadcast)
+        monkeypatch.setattr(P, "PUSHED_VALUES", 0)
+        written = []
+        monkeypatch.setattr(P, "write_once", lambda df, name: written.append(name) or store.write_once(df, name))
+        met = P.postings_of(postings, found)
+        assert written == ["found"]
+        assert pairs(met) == want
+        assert ("BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()) == bool(rows_broadcast)

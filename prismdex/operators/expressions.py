@@ -5,8 +5,8 @@ is a word or a phrase. The root has no parent, and a node's number is greater th
 nodes taken backwards come children first. Text of nothing but stop words vanishes from its group, as a
 clause does in a flat query, and so does a group that has lost all its children.
 
-However deep the expressions are, a document's matched leaves come together once and the groups are decided in
-turn on that row. A query whose expression holds for a document without any of its words needs all documents; only such
+However deep the expressions are, a document's matched leaves come together once; the groups are decided in
+turn on each different set of them. A query whose expression holds for a document without any of its words needs all documents; only such
 queries read them.
 """
 
@@ -19,6 +19,7 @@ from prismdex.operators.analysis import STANDARD, Chain
 from prismdex.operators.query_terms import SHOULD, clause_terms, probe_terms
 from prismdex.operators.search import match_clauses
 from prismdex.operators.sizing import lookup_join, settle
+from prismdex.sources.store import write_once
 
 TERM = "term"
 #: Queries that are answered for all documents in one pass.
@@ -80,5 +81,7 @@ def search_expressions(postings: DataFrame, nodes: DataFrame, docs: DataFrame, k
     for lo in range(0, len(ids), NEGATIVE_BLOCK):
         block = F.array(*[F.lit(i).cast("long") for i in ids[lo:lo + NEGATIVE_BLOCK]])
         met = met.unionByName(docs.select(F.explode(block).alias("query_id"), key, F.lit(None).cast("int").alias("leaf")))
-    together = met.groupBy("query_id", key).agg(F.collect_set("leaf").alias("matched"))
-    return lookup_join(together, plans.drop("everywhere"), "query_id", "inner", key, size).where(_holds("matched")).select("query_id", key)
+    together = write_once(met.groupBy("query_id", key).agg(F.sort_array(F.collect_set("leaf")).alias("matched")), "leaves")
+    # Many documents match the same leaves of a query: an expression is decided once for each set of them.
+    sets = lookup_join(together.select("query_id", "matched").distinct(), plans.drop("everywhere"), "query_id", "inner", "matched", size)
+    return lookup_join(together, sets.where(_holds("matched")).select("query_id", "matched"), ["query_id", "matched"], "inner", key).select("query_id", key)

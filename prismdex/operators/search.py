@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismdex.config import IndexConfig
-from prismdex.operators.dictionary import facet_values
+from prismdex.operators.dictionary import doc_freq, facet_values
 from prismdex.operators.query_terms import MUST, MUST_NOT, SHOULD, TermProbe, probe_terms
 from prismdex.operators.sizing import broadcast_if, lookup_join, salted_join, settle
 from prismdex.sources.store import write_once
@@ -127,14 +127,34 @@ def fix_terms(terms: DataFrame, probe: TermProbe) -> DataFrame:
     return settle(terms)[0] if probe.size.small else write_once(terms, "terms")
 
 
+def _match_whole(postings: DataFrame, probe: TermProbe, key: str) -> DataFrame:
+    """`match_required` of phrases on postings without frequencies; those of other terms are left out before grouping.
+
+    A search by rarest term meets queries and documents by their ids: rows without one are matched directly.
+    """
+    wanted = lookup_join(postings, probe.table.select("term").distinct(), "term", "left_semi", key, probe.size)
+    written = write_once(wanted.select("term", key, "tf", "positions"), "postings")
+    known = fix_terms(with_frequencies(probe, doc_freq(written)), probe)
+    by_id, without_id = F.col("query_id").isNotNull(), F.col("query_id").isNull()
+    asked = known.where(by_id)
+    return (
+        match_required(written.where(F.col(key).isNotNull()), probe, asked, cost_of(asked), key)
+        .unionByName(match_clauses(written.where(F.col(key).isNull()), probe, asked.drop("doc_freq"), key))
+        .unionByName(match_clauses(written, probe, known.where(without_id).drop("doc_freq"), key))
+    )
+
+
 def search_all(postings: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None,
                key: str = "doc_id") -> DataFrame:
     """(query_id, key): documents that match every clause of the query.
 
-    With the (term, doc_freq) table at hand the search starts from each query's rarest term.
+    With the (term, doc_freq) table at hand the search starts from each query's rarest term; without it, the
+    postings of phrases of many terms are written once, and their frequencies are counted there.
     """
     probe = probe_terms(terms)
-    if frequencies is None:
+    if frequencies is None and probe.terms is None and probe.has_phrases:
+        matched = _match_whole(postings, probe, key)
+    elif frequencies is None:
         matched = match_clauses(postings, probe, key=key)
     else:
         known = fix_terms(with_frequencies(probe, frequencies), probe)

@@ -218,7 +218,9 @@ def postings_of(postings: DataFrame, found: DataFrame, key: str = "doc_id") -> D
         postings = postings.where(F.col("term").isin(*{r.term for r in found.collect()}))
     postings = postings.select("term", key)
     if size.rows <= FOUND_ROWS and size.small:
-        met = postings.join(F.broadcast(found), "term")
+        # A semi join moves below the grouping of postings that are still to be built: only theirs are shuffled.
+        few = F.broadcast(found.select("term").distinct())
+        met = postings.join(few, "term", "left_semi").join(F.broadcast(found), "term")
     else:
         met = salted_join(postings, found.hint("merge"), ["term"], "inner", [key], FOUND_SALTS)
     return met.select("query_id", key).distinct()

@@ -130,17 +130,20 @@ def fix_terms(terms: DataFrame, probe: TermProbe) -> DataFrame:
 def _match_whole(postings: DataFrame, probe: TermProbe, key: str) -> DataFrame:
     """`match_required` of phrases on postings without frequencies; those of other terms are left out before grouping.
 
-    A search by rarest term meets queries and documents by their ids: rows without one are matched directly.
+    A search by rarest term meets queries and documents by their ids: rows without one, and queries that share an
+    id, are matched directly.
     """
     wanted = lookup_join(postings, probe.table.select("term").distinct(), "term", "left_semi", key, probe.size)
     written = write_once(wanted.select("term", key, "tf", "positions"), "postings")
-    known = fix_terms(with_frequencies(probe, doc_freq(written)), probe)
-    by_id, without_id = F.col("query_id").isNotNull(), F.col("query_id").isNull()
-    asked = known.where(by_id)
+    in_clause = F.count("*").over(W.partitionBy("query_id", "occur", "clause"))
+    shared = F.max(F.col("_n") != F.col("clause_size")).over(W.partitionBy("query_id"))
+    known = fix_terms(with_frequencies(probe, doc_freq(written)).withColumn("_n", in_clause).withColumn(
+        "_direct", F.col("query_id").isNull() | shared).drop("_n"), probe)
+    asked, direct = (known.where(which).drop("_direct") for which in ("NOT _direct", "_direct"))
     return (
         match_required(written.where(F.col(key).isNotNull()), probe, asked, cost_of(asked), key)
         .unionByName(match_clauses(written.where(F.col(key).isNull()), probe, asked.drop("doc_freq"), key))
-        .unionByName(match_clauses(written, probe, known.where(without_id).drop("doc_freq"), key))
+        .unionByName(match_clauses(written, probe, direct.drop("doc_freq"), key))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from conftest import PRODUCT_ROWS, pairs
 from prismdex.operators import expressions as X
 from prismdex.registry import inputs
+from prismdex.sources import store
 
 NODES = "query_id long, node int, parent int, op string, text string"
 WORDS = ("custom", "wood", "vinyl", "louvered", "panel", "bahama", "mid-america", "board and batten", "the", "nothing", "Standard")
@@ -88,3 +89,15 @@ def test_one_aggregate_for_any_depth(spark, index):
         found = X.search_expressions(index.postings, table(spark, generated(5, depth, 4)), index.docs.where("false"))
         plans.append(found._jdf.queryExecution().optimizedPlan().toString().count("Join"))
     assert plans[0] == plans[1] > 0
+
+
+def test_an_expression_is_decided_once_for_each_set_of_leaves(spark, index, rows, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(X, "write_once", lambda df, name: kept.setdefault(name, store.write_once(df, name)))
+    nodes = rows("query_id long, node int, parent int, op string, text string", (1, 1, None, "or", ""), (1, 2, 1, "term", "wood"),
+                 (1, 3, 1, "term", "hybrid"), (2, 1, None, "not", ""), (2, 2, 1, "term", "shutters"))
+    found = X.search_expressions(index.postings, nodes, index.docs)
+    assert pairs(found) == [(1, i) for i in (*range(4, 10), *range(14, 18))]
+    assert kept["leaves"].count() == 28 and kept["leaves"].select("query_id", "matched").distinct().count() == 3
+    # What was decided is joined to the documents; nothing is decided for each of them.
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -11,6 +11,7 @@ from conftest import pairs
 from prismdex.operators import patterns as P
 from prismdex.operators import suggest as G
 from prismdex.operators.analysis import SYNONYM, analyze
+from prismdex.operators.dictionary import build_postings
 from prismdex.plans import index as I
 from prismdex.sources import store
 
@@ -142,3 +143,13 @@ def test_found_terms_are_worked_out_once(spark, rows, monkeypatch):
         assert written == ["found"]
         assert pairs(met) == want
         assert ("BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()) == bool(rows_broadcast)
+
+
+def test_only_postings_of_found_terms_are_shuffled(spark, rows, monkeypatch):
+    docs = rows("doc_id long, title string", *[(i, "plate gear ring") for i in range(30)], (30, "gear"))
+    postings = build_postings(analyze(docs, "title", SYNONYM))
+    monkeypatch.setattr(P, "PUSHED_VALUES", 0)
+    met = P.postings_of(postings, rows("query_id long, term string", (1, "ring"), (2, "gear"), (2, "ring")))
+    assert pairs(met) == [(1, i) for i in range(30)] + [(2, i) for i in range(31)]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [term") < plan.index("LeftSemi")

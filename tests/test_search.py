@@ -13,6 +13,7 @@ from prismdex.operators.dictionary import build_postings
 from prismdex.operators.query_terms import SHOULD, bool_terms, clause_terms, phrase_terms
 from prismdex.operators.sloppy import search_sloppy
 from prismdex.plans import search as plans
+from prismdex.sources import store
 
 QUERY = "query_id long, phrase string"
 PHRASES = {
@@ -293,3 +294,17 @@ def test_open_ranges(spark, index):
         found.setdefault(r.query_id, set()).add(r.term)
     terms = {r.term for r in index.frequencies.collect()}
     assert found == {1: {t for t in terms if t <= "c"}, 2: {t for t in terms if t >= "w"}, 3: terms}
+
+
+def test_phrases_of_many_terms_start_from_the_rarest(spark, rows, monkeypatch):
+    texts = [["u", "v", "w"], ["u", "v"], ["v", "u"], ["u"] * 5, ["w", "u", "v", "w"]]
+    postings = texts_postings(spark, texts)
+    postings = postings.unionByName(postings.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    queries = rows(QUERY, (1, "u v w"), (2, "v"), (3, "v u"), (None, "u v"), (4, "w x"), (5, "u v"), (5, "u v"))
+    want = sorted(map(repr, S.search_phrase(postings, phrase_terms(queries, whole=True)).collect()))
+    monkeypatch.setattr("prismdex.operators.query_terms.PUSHED_VALUES", 0)
+    monkeypatch.setattr(S, "DIRECT_ROWS", 0)
+    written = []
+    monkeypatch.setattr(S, "write_once", lambda df, name: written.append(name) or store.write_once(df, name))
+    assert sorted(map(repr, S.search_phrase(postings, phrase_terms(queries, whole=True)).collect())) == want
+    assert written == ["postings"] and len(want) > 6

@@ -12,6 +12,7 @@ piece. Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from prismdex.llm.common import encode, settle
 
 WINDOW = 4096
+#: Words of a generation that a packing worker keeps, about 180 bytes each.
+KEPT_WORDS = 600_000
 
 #: Signs of a byte-level vocabulary: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -43,11 +46,13 @@ class Encoder:
     Such a tokenizer gives a text the ids of its words in turn, so words seen before are looked up, as
     little-endian 32-bit ids that one join puts together. A new word of small Latin letters alone is one piece to
     the tokenizer, so its bytes go straight to the merges, in the signs the byte-level vocabulary writes them with.
-    A full stop or comma after a letter is a piece of its own. Two generations of at most `keep` words bound what
+    The ASCII marks after a word's last letter are a piece of their own. Two generations of at most `keep` words bound what
     is kept.
     """
 
     LETTERS = re.compile("[a-zà-öø-ÿ]+")
+    #: ASCII marks behind a letter: no piece holds both.
+    ENDED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
     def __init__(self, file: str, keep: int = 250_000) -> None:
         import os
@@ -61,62 +66,84 @@ class Encoder:
         self.old: dict[bytes, bytes] = {}
 
     def encoded(self, text: str | None) -> bytes:
-        if text and "<|" in text:  # special tokens are told by their case
-            return self._ids([text])[0]
-        words = encode(text).lower().split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-        return b"".join(map(self.young.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> None:
+        return self.encoded_all([text])[0]
+
+    def encoded_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; the words that are new in any of them are worked out together."""
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
+        young, done, waiting, missing = self.young, [], [], set()
+        for n, text in enumerate(texts):
+            if text and "<|" in text:  # special tokens are told by their case
+                done.append(self._ids([text])[0])
+                continue
+            words = encode(text).lower().split()
+            found = list(map(young.get, words))
+            if None in found:
+                lacking = [at for at, ids in enumerate(found) if ids is None]
+                missing.update([words[at] for at in lacking])
+                waiting.append((n, words, found, lacking))
+                done.append(b"")
+            else:
+                done.append(b"".join(found))
+        self._learn(missing)
+        for n, words, found, lacking in waiting:
+            for at in lacking:
+                found[at] = young[words[at]]
+            done[n] = b"".join(found)
+        return done
+
+    def _learn(self, missing: set[bytes]) -> None:
         young, old, new, ended = self.young, self.old, set(), []
-        for word in {w for w in words if w not in young}:
+        for word in missing:
             ids = old.get(word)
             if ids is not None:
                 young[word] = ids
-            elif word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-                ended.append(word)
-                new |= {w for w in (word[:-1], word[-1:]) if w not in young}
+            elif parts := self.ENDED.fullmatch(word):
+                start, marks = parts.groups()
+                ended.append((word, start, marks))
+                if start not in young:
+                    new.add(start)
+                if marks not in young:
+                    new.add(marks)
             else:
                 new.add(word)
-        texts = {w: w.decode("utf-8", "replace") for w in new}
-        for word in [w for w, t in texts.items() if self.LETTERS.fullmatch(t)]:
-            merged = self.merge(word.decode("latin-1").translate(BYTE_SIGNS))
-            young[word] = np.array([t.id for t in merged], "<u4").tobytes()
-            new.discard(word)
-        if new:
-            rest = list(new)
-            young.update(zip(rest, self._ids([texts[w] for w in rest])))
-        for word in ended:
-            young[word] = young[word[:-1]] + young[word[-1:]]
+        rest = []
+        for word in new:
+            if not self.LETTERS.fullmatch(text := word.decode("utf-8", "replace")):
+                rest.append((word, text))
+                continue
+            # Letters of ASCII are their own signs.
+            merged = self.merge(text if len(text) == len(word) else word.decode("latin-1").translate(BYTE_SIGNS))
+            young[word] = array("I", [t.id for t in merged]).tobytes()
+        if rest:
+            young.update(zip([w for w, _ in rest], self._ids([t for _, t in rest])))
+        for word, start, marks in ended:
+            young[word] = young[start] + young[marks]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encoded(text), "<u4")
 
 
 @lru_cache(maxsize=1)
-def encoder_of(file: str) -> Encoder:
+def encoder_of(file: str, keep: int = 250_000) -> Encoder:
     """One encoder per Python worker: what a task has learnt serves the worker's next tasks."""
-    return Encoder(file)
+    return Encoder(file, keep)
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataFrame:
     """(part, doc_id, ids, doc_tokens, local): ids as little-endian 32-bit numbers, local their offset in the partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = encoder_of(tokenizer_file), np.array([separator], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_file, KEPT_WORDS), np.array([separator], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 rows = batch.iloc[lo:lo + 256]
-                ids = [encoder.encoded(t) + end for t in rows["text"]]
+                ids = [found + end for found in encoder.encoded_all(rows["text"].tolist())]
                 sizes = [len(x) // 4 for x in ids]
                 starts = [at, *accumulate(sizes, initial=at)][1:-1]
                 yield pd.DataFrame({"part": part, "doc_id": rows["doc_id"].astype("Int64"),

@@ -323,6 +323,19 @@ def test_language_model_scores_do_not_hang_on_the_layout(spark):
     assert min(one, eight, many) > off * 0.98
 
 
+def test_packing_words_are_learnt_once(monkeypatch):
+    encoder, asked = packing.Encoder(packing.default_tokenizer()), []
+    whole = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or whole(texts))
+    texts = [" ".join(f"{a}{b}{marks}" for a in "abcdef" for b in "xyz") for marks in ("***", ".", "%%%", "!?")]
+    texts += ["it's* x'd... 's, é. é's%% a1b2* ﬁx, a≮ ≮. Σ. <b a=b> foo@bar.com ***", None, "", "a <|endoftext|> b."]
+    found = encoder.encoded_all(texts)
+    assert len(asked) < 40  # marks behind a word cost one piece, not one for each word
+    assert found == [whole([t or ""])[0] for t in texts]
+    asked.clear()
+    assert encoder.encoded_all(texts[:-1]) == found[:-1] and not asked
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())

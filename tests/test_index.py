@@ -94,6 +94,24 @@ def test_build_and_open(spark, docs, index, tmp_path, rows):
     assert ("mid", "Mid-America", 4) in pairs(I.open_suggestions(spark, path))
 
 
+def test_postings_of_a_build_are_sorted_once(rows):
+    met = rows("doc_id long, pos int, term string", (1, 4, "b"), (1, 0, "b"), (2, 1, "a"), (1, 4, "b"), (None, 2, "b"), (None, 1, "b"), (1, 3, "a"))
+    found = D.ranged_postings(met)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+    assert sorted(map(str, found.collect())) == sorted(map(str, D.build_postings(met).collect()))
+    assert [r.positions for r in found.where("term = 'b' AND doc_id = 1").collect()] == [[0, 4, 4]]
+
+
+def test_kept_words_are_not_looked_for_again(spark, docs, index):
+    known = I.default_synonyms(spark)
+    kept = I.index_of(docs, synonyms=known, keep=True)
+    for name in ("postings", "lengths", "frequencies"):
+        table = getattr(kept, name)
+        assert "regexp_extract_all" not in table._jdf.queryExecution().optimizedPlan().toString(), name
+        assert pairs(table) == pairs(getattr(index, name)), name
+
+
 def test_readers_keep_their_build(spark, docs, tmp_path, rows):
     path, asked = str(tmp_path / "index"), rows("query_id long, phrase string", (1, "custom wood"))
     with pytest.raises(FileNotFoundError):

@@ -81,6 +81,15 @@ def test_intervals_reach_the_scan(spark, words):
     assert "GreaterThanOrEqual(term,b)" in plan(P.match_ranges(words, ranges))
 
 
+def test_pieces_are_distinct_before_they_are_made(rows):
+    twice = rows("term string, doc_freq long", ("aab", 1), ("aab", 2), ("", 1), ("é", 1), (None, 1))
+    grams = P.fuzzy_grams(twice)
+    assert sorted(map(tuple, grams.collect())) == [
+        ("a", 0, "aab"), ("a", 1, "aab"), ("aa", 0, "aab"), ("ab", 1, "aab"), ("b", 2, "aab"), ("é", 0, "é")]
+    plan = grams._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # the pieces themselves are not shuffled
+
+
 @pytest.mark.parametrize("min_sim", [0.0, 0.5, 0.7])
 def test_fuzzy_by_the_written_grams(spark, words, tmp_path, min_sim, monkeypatch):
     path = str(tmp_path / "grams")

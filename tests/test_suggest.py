@@ -56,6 +56,16 @@ def test_grams_are_folded_but_typed_words_are_not(rows):
     assert words(G.suggest(table, rows(INPUT, (1, "schön"), (2, "SCHON"), (3, "ab")))) == {2: ["schön"]}
 
 
+def test_plain_terms_are_not_analysed_anew(rows):
+    terms = ["the", "its", "a1b2", "x" * 255, "y" * 256, "abc\n", "mid-america", "rock'n'roll", "Abc", "schön", "abc abd"]
+    analysed = f"flatten(transform({G.SUGGEST.tokens_sql('term')}, g -> {G.edge_ngrams_sql('g.term', *G.SUGGEST.grams)}))"
+    asked = rows("term string, doc_freq long", *[(t, 1) for t in terms])
+    want = asked.selectExpr(f"explode(array_distinct({analysed})) AS gram", "term AS word", "doc_freq")
+    assert pairs(G.build_suggestions(asked)) == pairs(want)
+    plain = G.build_suggestions(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(term" in plain and "{1,255}" in plain  # told by one test, before any word is looked for
+
+
 def test_every_prefix_suggests_its_word(rows):
     terms = ["shutter", "a" * 30, "widget", "on1"]
     table = G.build_suggestions(rows("term string, doc_freq long", *[(t, 1) for t in terms])).cache()

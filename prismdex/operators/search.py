@@ -68,7 +68,11 @@ def match_clauses(postings: DataFrame, probe: TermProbe, terms: DataFrame | None
     `terms` are the rows of the probe with further columns, if any.
     """
     asked = probe.table if terms is None else terms
-    found = lookup_join(restrict(postings, probe), asked, "term", "inner", key, probe.size)
+    wanted = restrict(postings, probe)
+    if probe.terms is None and probe.size.small:
+        # A semi join moves below the grouping of postings that are still to be built: only those of asked terms are grouped.
+        wanted = wanted.join(F.broadcast(probe.table.select("term").distinct()), "term", "left_semi")
+    found = lookup_join(wanted, asked, "term", "inner", key, probe.size)
     return clauses_met(found, probe, key)
 
 

@@ -365,7 +365,7 @@ def search_empty(spark, sf):
 @query
 def tfidf_score(spark, sf):
     """Articles scored by the words they share with each benchmark passage."""
-    index = T.article_index(spark, sf)
+    index = T.article_index(spark, sf, keep=True)
     return R.score(index.postings, phrase_terms(T.passages(spark, sf), SHOULD), index.frequencies, index.lengths,
                    index.totals, require_all=False)
 

@@ -44,8 +44,8 @@ def product_index(spark: SparkSession, sf: str) -> Index:
     return index_of(products(spark, sf), PRODUCTS, synonyms(spark))
 
 
-def article_index(spark: SparkSession, sf: str) -> Index:
-    return index_of(articles(spark, sf), ARTICLES)
+def article_index(spark: SparkSession, sf: str, keep: bool = False) -> Index:
+    return index_of(articles(spark, sf), ARTICLES, keep=keep)
 
 
 def derived(spark: SparkSession, sf: str, name: str, sql: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.functions.ngrams import edge_ngrams
-from prismdex.operators.sizing import PUSHED_VALUES, lookup_join, salted_join, settle
+from prismdex.operators.sizing import PUSHED_VALUES, in_tasks, lookup_join, salted_join, settle
 from prismdex.sources.store import write_once
 
 _KEY_CHARS = 8
@@ -99,11 +99,11 @@ def match_pattern(dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
     Patterns are lower-cased, not analysed, and must not start with a wildcard. The interval is that of the
     literal start; the key of many patterns is at most eight characters of it.
     """
-    lowered = F.lower("pattern")
+    lowered = F.col("lowered")
     literal = F.regexp_extract(lowered, r"^[^*?]*", 0)
     checked = F.when(literal == "", F.raise_error(F.lit("a pattern must not start with a wildcard"))).otherwise(literal)
     escaped = F.regexp_replace(lowered, r"([%_\\])", r"\\$1")
-    asked, size = settle(patterns.select(
+    asked, size = settle(in_tasks(patterns, ["query_id"], lowered=F.lower("pattern")).select(
         "query_id", checked.alias("start"), F.translate(escaped, "*?", "%_").alias("like_pattern")).where("start IS NOT NULL"))
     if size.rows <= PUSHED_VALUES:
         return _within(dictionary, [Interval(r.query_id, r.start, _after(r.start), like=r.like_pattern) for r in asked.collect()])
@@ -113,7 +113,7 @@ def match_pattern(dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def match_prefix(dictionary: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Terms that start with (query_id, prefix); wildcard characters stand for themselves."""
-    asked, size = settle(prefixes.select("query_id", F.lower("prefix").alias("prefix")).where("prefix <> ''"))
+    asked, size = settle(in_tasks(prefixes, ["query_id"], prefix=F.lower("prefix")).where("prefix <> ''"))
     if size.rows <= PUSHED_VALUES:
         return _within(dictionary, [Interval(r.query_id, r.prefix, _after(r.prefix)) for r in asked.collect()])
     keyed = asked.withColumn("key", F.substr("prefix", F.lit(1), F.lit(_KEY_CHARS)))
@@ -147,7 +147,7 @@ def match_fuzzy(dictionary: DataFrame, words: DataFrame, min_sim: float = 0.5, g
     # Largest d with d < (1 - min_sim) * length; the small term guards against rounding down.
     allowed = (F.ceil(n * (1.0 - min_sim) - 1e-9) - 1).cast("int")
     pieces = (
-        words.select("query_id", F.lower("word").alias("word")).where(F.length("word") > 0)
+        in_tasks(words, ["query_id"], word=F.lower("word")).where(F.length("word") > 0)
         .withColumn("edits", F.greatest(allowed, F.lit(0)))
         .select("query_id", "word", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("j"))
         .withColumn("start", F.floor(F.col("j") * n / (F.col("edits") + 1)).cast("int"))
@@ -195,9 +195,8 @@ def match_ranges(dictionary: DataFrame, ranges: DataFrame) -> DataFrame:
         code = F.ascii(text)
         return F.when(code < 128, code).otherwise(128 + F.shiftright(code, 8))
 
-    low, high = F.lower("low"), F.lower("high")
-    asked, size = settle(ranges.where(F.coalesce(low <= high, F.lit(True))).select(
-        "query_id", low.alias("low"), high.alias("high"), "inclusive"))
+    asked, size = settle(in_tasks(ranges, ["query_id", "inclusive"], low=F.lower("low"), high=F.lower("high")).where(
+        F.coalesce(F.col("low") <= F.col("high"), F.lit(True))).select("query_id", "low", "high", "inclusive"))
     if size.rows <= PUSHED_VALUES:
         return _within(dictionary, [Interval(r.query_id, r.low, r.high, bool(r.inclusive), bool(r.inclusive)) for r in asked.collect()])
     last_class = F.lit(128 + (0x10FFFF >> 8))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,15 @@ def measure(df: DataFrame) -> Size:
     return Size(rows, total)
 
 
+def in_tasks(df: DataFrame, kept: Sequence[str], **made: Column) -> DataFrame:
+    """The `kept` columns and the made ones, row by row, the latter worked out by tasks.
+
+    Expressions on literal rows are otherwise worked out while planning, in the driver: a first `lower` there fills the
+    tables of all title cases, some gigabytes of garbage.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def settle(df: DataFrame) -> tuple[DataFrame, Size]:
     """The table and its size; a table of few rows is fetched once and goes on as local rows.
 

@@ -162,3 +162,17 @@ def test_only_postings_of_found_terms_are_shuffled(spark, rows, monkeypatch):
     assert pairs(met) == [(1, i) for i in range(30)] + [(2, i) for i in range(31)]
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [term") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("match, asked", [
+    (P.match_prefix, "SELECT * FROM VALUES (1L, 'Wa') AS t(query_id, prefix)"), (P.match_pattern, "SELECT * FROM VALUES (1L, 'Wa*') AS t(query_id, pattern)"),
+    (P.match_fuzzy, "SELECT * FROM VALUES (1L, 'Wabb') AS t(query_id, word)"),
+    (P.match_ranges, "SELECT * FROM VALUES (1L, 'A', 'Ab', true) AS t(query_id, low, high, inclusive)"),
+])
+def test_literal_rows_are_lowered_by_tasks(spark, words, monkeypatch, capsys, match, asked):
+    settled, settle = [], P.settle
+    monkeypatch.setattr(P, "settle", lambda df: settled.append(df) or settle(df))
+    assert match(words, spark.sql(asked)).count()
+    capsys.readouterr()
+    settled[0].explain()  # without a Generate the plan is a local table, worked out by the optimizer
+    assert "lower(" in capsys.readouterr().out

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismdex.llm.common import encode, settle
+from prismdex.llm.common import encode, kept_in_worker, settle
 
 WINDOW = 4096
 #: Words of a generation that a packing worker keeps, about 180 bytes each.
@@ -128,10 +127,8 @@ class Encoder:
         return np.frombuffer(self.encoded(text), "<u4")
 
 
-@lru_cache(maxsize=1)
 def encoder_of(file: str, keep: int = 250_000) -> Encoder:
-    """One encoder per Python worker: what a task has learnt serves the worker's next tasks."""
-    return Encoder(file, keep)
+    return kept_in_worker(Encoder, file, keep)
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, separator: int = 2) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismdex.llm.common import encode, fold, labelled_sample, sigmoid
+from prismdex.llm.common import encode, fold, kept_in_worker, labelled_sample, sigmoid
 
 #: Letters of a word's shape: capitals X, other letters x, digits 0, all else as it is.
 _SHAPE = bytes(
@@ -42,18 +42,22 @@ class Settings:
 
 
 class Hasher:
-    """Slots and values of a text; hashes of words already seen are kept, up to a bound."""
+    """Slots and values of a text; hashes of words already seen are kept, up to a bound.
+
+    The two hashes of a word are kept as 16 bytes, about 150 bytes a word in all, and one join puts those of a text together.
+    """
 
     def __init__(self, bits: int, keep: int = 500_000) -> None:
-        self.mask, self.keep, self.seen = np.uint64((1 << bits) - 1), keep, {}
+        self.mask, self.keep = np.uint64((1 << bits) - 1), keep
+        self.seen: dict[bytes, bytes] = {}
 
-    def _codes(self, word: bytes) -> tuple[int, int]:
+    def _codes(self, word: bytes) -> bytes:
         shape = word.translate(_SHAPE)
         while b"xx" in shape or b"XX" in shape:
             shape = shape.replace(b"xx", b"x").replace(b"XX", b"X")
         if len(self.seen) >= self.keep:
             self.seen.clear()
-        codes = self.seen[word] = (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape, 7))
+        codes = self.seen[word] = xxhash.xxh64_digest(word) + xxhash.xxh64_digest(shape, 7)
         return codes
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +65,8 @@ class Hasher:
         if not words:
             return np.empty(0, np.int64), np.empty(0)
         seen, codes = self.seen, self._codes
-        both = np.array([seen.get(w) or codes(w) for w in words], np.uint64)
-        word, shape = both[:, 0], both[:, 1]
+        both = np.frombuffer(b"".join([seen.get(w) or codes(w) for w in words]), ">u8").astype(np.uint64)
+        word, shape = both[::2], both[1::2]
         p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         grams = [word, shape, word[:-1] * p + word[1:], shape[:-1] * p + shape[1:],
                  (shape[:-2] * p + shape[1:-1]) * q + shape[2:]]
@@ -96,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     bits = settings.bits
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher(bits)
+        hasher = kept_in_worker(Hasher, bits)
         for batch in batches:
             made = [hasher(t) for t in batch["text"]]
             yield pd.DataFrame({
@@ -120,7 +124,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     bits = settings.bits
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = Hasher(bits)
+        hasher = kept_in_worker(Hasher, bits)
         for texts in batches:
             out = np.empty(len(texts))
             for i, text in enumerate(texts):

@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from prismdex.llm import ann, attention_lm, license_scan, packing, quality, revisit, simhash, site_style, toxicity, winnow
+from prismdex.llm import ann, attention_lm, common, license_scan, packing, quality, revisit, simhash, site_style, toxicity, winnow
 from prismdex.llm.common import plain_words, space_words
 
 DATA = "/root/testdata/sf0.01"
@@ -574,3 +576,33 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((str(r["doc_id"]), r["text"] or "") for r in rows(corpus_pipeline.near_duplicate_stage(spark, docs.repartition(3), "")))
     assert kept == sorted([("3", a), ("5", b), ("5", c), ("None", a), ("None", ""), ("2", "")])
+
+
+def test_workers_keep_what_one_operator_learnt(spark):
+    """Workers outlive an operator: what packing's texts taught is gone when the worker scores quality."""
+
+    def run(batches):
+        import gc
+        import weakref
+
+        from prismdex.llm import packing, quality
+
+        for _ in batches:
+            encoder = packing.encoder_of(packing.default_tokenizer(), 5)
+            same = packing.encoder_of(packing.default_tokenizer(), 5) is encoder
+            seen = weakref.ref(encoder)
+            del encoder
+            hasher = common.kept_in_worker(quality.Hasher, 18)
+            gc.collect()
+            yield pd.DataFrame({"same": [same], "gone": [seen() is None], "kept": [common.kept_in_worker(quality.Hasher, 18) is hasher]})
+
+    assert spark.range(1).mapInPandas(run, "same boolean, gone boolean, kept boolean").collect() == [(True, True, True)]
+
+
+def test_kept_hashes_are_bytes():
+    hasher = quality.Hasher(18)
+    slots, _ = hasher("Ab ab 12 Ab")
+    codes = np.frombuffer(hasher.seen[b"Ab"], ">u8")
+    assert codes.tolist() == [xxhash.xxh64_intdigest(b"Ab"), xxhash.xxh64_intdigest(b"Xx", 7)]
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert set(((mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 18) - 1)).tolist()) <= set(slots.tolist())

@@ -73,26 +73,30 @@ class Attention:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
-        n = np.arange(s.context)
-        self.later = np.where(n > n[:, None], np.float32(-1e9), np.float32(0))
+        n, d = np.arange(s.context), s.width
+        #: Greatest exponent of each key (column) for each place: none of a later key.
+        self.most = np.where(n > n[:, None], np.float32(-np.inf), TOP)
+        self.scale = np.where(np.arange(3 * d) < d, np.float32(1 / math.sqrt(d)), np.float32(1))  # of q, k, v
+        self.ones = {w: np.ones(w, np.float32) for w in (d, s.context, s.classes)}  # products with them are sums of rows
 
     def forward(self, x: np.ndarray):
         """Unnormalised log probabilities of the classes after each position of windows x of input rows."""
         p, (n, c), d = self.p, x.shape, self.s.width
-        e = (p["emb"][x] + p["pos"]).reshape(n * c, d)
-        qkv = e @ p["wqkv"]
-        qkv[:, :d] *= np.float32(1 / math.sqrt(d))
-        q, k, v = np.split(qkv.reshape(n, c, 3 * d), 3, 2)
+        flat = x.ravel()
+        e = p["emb"].take(flat, 0, mode="clip").reshape(n, c * d)
+        e += p["pos"].ravel()
+        e = e.reshape(n * c, d)
+        qkv = (e @ (p["wqkv"] * self.scale)).reshape(n, c, 3 * d)
+        q, k, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
         a = q @ k.transpose(0, 2, 1)
-        a += self.later
-        np.minimum(a, TOP, out=a)
-        np.exp(a, out=a)
-        a *= 1 / a.sum(2, keepdims=True)
+        np.exp(np.minimum(a, self.most, out=a), out=a)
+        rows = a.reshape(n * c, c)
+        rows /= (rows @ self.ones[c])[:, None]
         mixed = (a @ v).reshape(n * c, d)
-        h = e + mixed @ p["wo"]
-        z = h @ p["wc"]
-        z += self.prior[x.ravel()]
-        z += p["bc"]
+        h = np.ones((n * c, d + 1), e.dtype)  # the last column meets bc
+        np.add(mixed @ p["wo"], e, out=h[:, :d])
+        z = h @ np.concatenate([p["wc"], p["bc"][None]])
+        z += self.prior.take(flat, 0, mode="clip")
         return z, (e, q, k, v, a, mixed, h)
 
     def tables(self) -> dict[str, np.ndarray]:
@@ -106,52 +110,64 @@ class Attention:
     def scored(self, t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
         """Log probabilities of classes y at positions first.. of windows x; 0 where y is negative."""
         n, c, d = *x.shape, self.s.width
-        q, k, v = np.split(t["row"][x] + t["place"], 3, 2)
-        a = q[:, first:] @ k.transpose(0, 2, 1)
-        a += self.later[first:]
-        np.exp(np.minimum(a, TOP, out=a), out=a)
-        total = a.sum(2, keepdims=True)
-        mixed = a @ v
-        mixed /= total
-        z = mixed.reshape(-1, d) @ self.p["wc"]
-        z += t["row_class"][x[:, first:].ravel()]
-        z = z.reshape(n, c - first, -1)
-        z += t["place_class"][first:]
-        got = np.take_along_axis(z, np.maximum(y, 0)[..., None], 2)[..., 0]
-        most = z.max(2)
-        z -= most[..., None]
+        qkv = t["row"].take(x.ravel(), 0, mode="clip").reshape(n, c * 3 * d)
+        qkv += t["place"].ravel()
+        qkv = qkv.reshape(n, c, 3 * d)
+        q, k, v = qkv[:, first:, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
+        a = q @ k.transpose(0, 2, 1)
+        np.exp(np.minimum(a, self.most[first:], out=a), out=a)
+        mixed = (a @ v).reshape(-1, d)
+        mixed /= (a.reshape(-1, c) @ self.ones[c])[:, None]
+        z = mixed @ self.p["wc"]
+        z += t["row_class"].take(x[:, first:].ravel(), 0, mode="clip")
+        by_window = z.reshape(n, -1)
+        by_window += t["place_class"][first:].ravel()
+        if z.max() > TOP:
+            np.minimum(z, TOP, out=z)
+        got = z.ravel().take(np.arange(0, z.size, z.shape[1]) + np.maximum(y, 0).ravel())
         np.exp(z, out=z)
-        return (got - most - np.log(z.sum(2))) * (y >= 0)
+        return (got - np.log(z @ self.ones[z.shape[1]])).reshape(y.shape) * (y >= 0)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> None:
         """One Adagrad step on windows x with classes y where `real`."""
         p, (n, c), d = self.p, x.shape, self.s.width
         z, (e, q, k, v, a, mixed, h) = self.forward(x)
-        g = np.exp(np.minimum(z, TOP, out=z), out=z)
+        if z.max() > TOP:
+            np.minimum(z, TOP, out=z)
+        g = np.exp(z, out=z)
         share = (real.ravel() / max(1, real.sum())).astype(np.float32)
-        g *= (share / g.sum(1))[:, None]
-        g[np.arange(n * c), y.ravel()] -= share
-        grad = {"wc": h.T @ g, "bc": g.sum(0)}
+        g *= (share / (g @ self.ones[g.shape[1]]))[:, None]
+        g.ravel()[np.arange(0, g.size, g.shape[1]) + y.ravel()] -= share
+        out = h.T @ g
+        grad = {"wc": out[:d], "bc": out[d]}
         dh = g @ p["wc"].T
         grad["wo"] = mixed.T @ dh
-        dm = (dh @ p["wo"].T).reshape(n, c, d)
-        da = dm @ v.transpose(0, 2, 1)
-        da -= np.einsum("nij,nij->ni", da, a)[..., None]
+        dm = dh @ p["wo"].T
+        da = dm.reshape(n, c, d) @ v.transpose(0, 2, 1)
+        da -= ((dm * mixed) @ self.ones[d]).reshape(n, c, 1)
         da *= a
         # q holds the scale already, so its own gradient takes it once more.
-        dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], 2).reshape(n * c, 3 * d)
-        dqkv[:, :d] *= np.float32(1 / math.sqrt(d))
-        grad["wqkv"] = e.T @ dqkv
-        dh += dqkv @ p["wqkv"].T
-        grad["pos"] = dh.reshape(n, c, d).sum(0)
+        dqkv = np.empty((n, c, 3 * d), e.dtype)
+        np.matmul(da, k, out=dqkv[:, :, :d])
+        np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, d:2 * d])
+        np.matmul(a.transpose(0, 2, 1), dm.reshape(n, c, d), out=dqkv[:, :, 2 * d:])
+        dqkv = dqkv.reshape(n * c, 3 * d)
+        grad["wqkv"] = e.T @ dqkv * self.scale
+        dh += dqkv @ (p["wqkv"] * self.scale).T
+        grad["pos"] = dh.reshape(n, c * d).sum(0).reshape(c, d)
         flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        used, emb = ordered[starts], np.add.reduceat(dh[order], starts, 0)
-        seen = self.seen["emb"][used] + emb * emb
+        order = np.argsort(flat.astype(np.min_scalar_type(len(p["emb"]))), kind="stable")  # a radix sort up to 16 bits
+        ordered = flat.take(order)
+        new = np.ones(n * c, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        starts = np.flatnonzero(new)
+        used, emb = ordered.take(starts), np.add.reduceat(dh.take(order, 0, mode="clip"), starts, 0)
+        seen = self.seen["emb"].take(used, 0, mode="clip")
+        seen += emb * emb
         self.seen["emb"][used] = seen
-        p["emb"][used] -= np.float32(self.s.rate) * emb / np.sqrt(seen)
+        emb *= np.float32(self.s.rate)
+        emb /= np.sqrt(seen)
+        p["emb"][used] = p["emb"].take(used, 0, mode="clip") - emb
         for name, value in grad.items():
             self.seen[name] += value * value
             p[name] -= np.float32(self.s.rate) * value / np.sqrt(self.seen[name])

@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.llm.common import fold, settle, space_words
-from prismdex.llm.packing import Encoder, default_tokenizer, encoder_of
+from prismdex.llm.packing import KEPT_WORDS, Encoder, default_tokenizer, encoder_of
 
 TOP = np.float32(60)  # greatest exponent: e**60 and its sums stay well within single precision
 END_WORD = "\n"  # no word holds white space, so this stands for the end of a document
@@ -86,7 +87,8 @@ class Attention:
         e = p["emb"].take(flat, 0, mode="clip").reshape(n, c * d)
         e += p["pos"].ravel()
         e = e.reshape(n * c, d)
-        qkv = (e @ (p["wqkv"] * self.scale)).reshape(n, c, 3 * d)
+        w = self.products()
+        qkv = (e @ w).reshape(n, c, 3 * d)
         q, k, v = qkv[:, :, :d], qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
         a = q @ k.transpose(0, 2, 1)
         np.exp(np.minimum(a, self.most, out=a), out=a)
@@ -94,16 +96,20 @@ class Attention:
         rows /= (rows @ self.ones[c])[:, None]
         mixed = (a @ v).reshape(n * c, d)
         h = np.ones((n * c, d + 1), e.dtype)  # the last column meets bc
-        np.add(mixed @ p["wo"], e, out=h[:, :d])
+        np.add(mixed, e, out=h[:, :d])
         z = h @ np.concatenate([p["wc"], p["bc"][None]])
         z += self.prior.take(flat, 0, mode="clip")
-        return z, (e, q, k, v, a, mixed, h)
+        return z, (e, w, q, k, v, a, mixed, h)
+
+    def products(self) -> np.ndarray:
+        """Weights of q with its scale, of k, and of v by those of its output."""
+        w, d = self.p["wqkv"] * self.scale, self.s.width
+        w[:, 2 * d:] = w[:, 2 * d:] @ self.p["wo"]
+        return w
 
     def tables(self) -> dict[str, np.ndarray]:
         """The layer's products per input row and per place, so that scoring looks them up."""
-        p, d = self.p, self.s.width
-        wq, wk, wv = np.split(p["wqkv"], 3, 1)
-        w = np.concatenate([wq * np.float32(1 / math.sqrt(d)), wk, wv @ p["wo"]], 1)
+        p, w = self.p, self.products()
         return {"row": p["emb"] @ w, "place": p["pos"] @ w, "row_class": p["emb"] @ p["wc"] + p["bc"] + self.prior,
                 "place_class": p["pos"] @ p["wc"]}
 
@@ -131,7 +137,7 @@ class Attention:
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> None:
         """One Adagrad step on windows x with classes y where `real`."""
         p, (n, c), d = self.p, x.shape, self.s.width
-        z, (e, q, k, v, a, mixed, h) = self.forward(x)
+        z, (e, w, q, k, v, a, mixed, h) = self.forward(x)
         if z.max() > TOP:
             np.minimum(z, TOP, out=z)
         g = np.exp(z, out=z)
@@ -141,19 +147,19 @@ class Attention:
         out = h.T @ g
         grad = {"wc": out[:d], "bc": out[d]}
         dh = g @ p["wc"].T
-        grad["wo"] = mixed.T @ dh
-        dm = dh @ p["wo"].T
-        da = dm.reshape(n, c, d) @ v.transpose(0, 2, 1)
-        da -= ((dm * mixed) @ self.ones[d]).reshape(n, c, 1)
+        da = dh.reshape(n, c, d) @ v.transpose(0, 2, 1)
+        da -= ((dh * mixed) @ self.ones[d]).reshape(n, c, 1)
         da *= a
-        # q holds the scale already, so its own gradient takes it once more.
         dqkv = np.empty((n, c, 3 * d), e.dtype)
         np.matmul(da, k, out=dqkv[:, :, :d])
         np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, d:2 * d])
-        np.matmul(a.transpose(0, 2, 1), dm.reshape(n, c, d), out=dqkv[:, :, 2 * d:])
+        np.matmul(a.transpose(0, 2, 1), dh.reshape(n, c, d), out=dqkv[:, :, 2 * d:])
         dqkv = dqkv.reshape(n * c, 3 * d)
-        grad["wqkv"] = e.T @ dqkv * self.scale
-        dh += dqkv @ (p["wqkv"] * self.scale).T
+        dw = e.T @ dqkv
+        grad["wo"] = p["wqkv"][:, 2 * d:].T @ dw[:, 2 * d:]
+        dw[:, 2 * d:] = dw[:, 2 * d:] @ p["wo"].T
+        grad["wqkv"] = dw * self.scale
+        dh += dqkv @ w.T
         grad["pos"] = dh.reshape(n, c * d).sum(0).reshape(c, d)
         flat = x.ravel()
         order = np.argsort(flat.astype(np.min_scalar_type(len(p["emb"]))), kind="stable")  # a radix sort up to 16 bits
@@ -168,9 +174,17 @@ class Attention:
         emb *= np.float32(self.s.rate)
         emb /= np.sqrt(seen)
         p["emb"][used] = p["emb"].take(used, 0, mode="clip") - emb
-        for name, value in grad.items():
-            self.seen[name] += value * value
-            p[name] -= np.float32(self.s.rate) * value / np.sqrt(self.seen[name])
+        rest = self.NAMES[1:]  # small, so they are worked out as one
+        change, sums = (np.concatenate([group[name].ravel() for name in rest]) for group in (grad, self.seen))
+        sums += change * change
+        change *= np.float32(self.s.rate)
+        change /= np.sqrt(sums)
+        at = 0
+        for name in rest:
+            shape, end = p[name].shape, at + p[name].size
+            self.seen[name] = sums[at:end].reshape(shape)
+            p[name] -= change[at:end].reshape(shape)
+            at = end
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """The weights in lines of `width`, and per line the mean of its squared gradients' sums."""
@@ -282,6 +296,18 @@ def log10_probability(docs: list[np.ndarray], model: Attention, vocabulary: Voca
     return out
 
 
+def lots(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows in turn whose sizes come to at most `most`, or of one larger row."""
+    lo = held = at = 0
+    for at, n in enumerate(sizes, 1):
+        if held and held + n > most:
+            yield lo, at - 1
+            lo, held = at - 1, 0
+        held += n
+    if at > lo:
+        yield lo, at
+
+
 def in_training() -> Column:
     return F.coalesce(fold("doc_id", 7), F.lit(0)) != 2
 
@@ -316,6 +342,43 @@ def word_counts(docs: DataFrame, limit: int = 500_000) -> DataFrame:
         F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+class WordTable:
+    """Words met in a task, each looked up once per occurrence: subword ids, hash, and count where frequent (else -1).
+
+    Beyond `keep` words it starts anew with those of the texts at hand.
+    """
+
+    def __init__(self, encoder: Encoder, head_h: np.ndarray, head_c: np.ndarray, keep: int = 500_000) -> None:
+        """`head_h`: hashes of the frequent words, ascending; `head_c`: their counts."""
+        self.encoder, self.head, self.keep = encoder, (head_h, head_c), keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.ids: list[bytes] = []
+        self.h, self.c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, words: list[bytes]) -> list[int]:
+        """The place of each word in `ids`, `h` and `c`."""
+        found = list(map(self.at.get, words))
+        if None not in found:
+            return found
+        new = list({w: None for w, k in zip(words, found) if k is None})
+        if self.at and len(self.at) + len(new) > self.keep:
+            self.clear()
+            return self.places(words)
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        self.ids += self.encoder.encoded_words(new)
+        h = np.fromiter((_signed(xxhash.xxh64_intdigest(w, 42)) for w in new), np.int64, len(new))
+        head_h, head_c = self.head
+        c = np.full(len(h), -1)
+        if len(head_h):
+            near = np.searchsorted(head_h, h).clip(max=len(head_h) - 1)
+            c = np.where(head_h[near] == h, head_c[near], -1)
+        self.h, self.c = np.r_[self.h, h], np.r_[self.c, c]
+        return [self.at[w] if k is None else k for w, k in zip(words, found)]
+
+
 def tokens_written(docs: DataFrame, tokenizer_file: str, head: pd.DataFrame, unknown: float) -> tuple[DataFrame, int]:
     """Per document, written once: row number, subword ids (the end id last) and the words' part of the base score.
 
@@ -323,43 +386,32 @@ def tokens_written(docs: DataFrame, tokenizer_file: str, head: pd.DataFrame, unk
     """
     size = Encoder(tokenizer_file).tokenizer.get_vocab_size()
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    sent = docs.sparkSession.sparkContext.broadcast((head["h"].to_numpy(np.int64), np.log10(head["c"].to_numpy(float) + 1)))
+    head = head.sort_values("h")
+    sent = docs.sparkSession.sparkContext.broadcast((head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, last = encoder_of(tokenizer_file), np.array([size - 1], kind).tobytes()
-        gain = dict(zip(*(x.tolist() for x in sent.value)))
-        end = _signed(xxhash.xxh64_intdigest(END_WORD.encode(), 42))
-        met: dict[bytes, tuple[int, float | None]] = {}
-        at = TaskContext.get().partitionId() << 40
+        encoder, last = encoder_of(tokenizer_file, KEPT_WORDS), np.array([size - 1], kind).tobytes()
+        words, at = WordTable(encoder, *sent.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part, made = batch.iloc[lo:lo + 256], []
-                for text in part["text"]:
-                    if len(met) > 500_000:
-                        met.clear()
-                    counted = Counter(space_words(text))
-                    n, known, base, tail_h, tail_n = counted.total() + 1, 0, 0.0, [], []
-                    for w, k in counted.items():
-                        found = met.get(w)
-                        if found is None:
-                            h = _signed(xxhash.xxh64_intdigest(w, 42))
-                            found = met[w] = h, gain.get(h)
-                        if found[1] is None:
-                            tail_h.append(found[0])
-                            tail_n.append(k)
-                        else:
-                            known += k if found[1] else 0  # a count of 0 gains nothing
-                            base += k * found[1]
-                    if end in gain:
-                        known, base = known + (gain[end] > 0), base + gain[end]
-                    else:
-                        tail_h.append(end)
-                        tail_n.append(1)
-                    ids = np.frombuffer(encoder.encoded(text), "<u4").astype(kind).tobytes() + last
-                    made.append((ids, n, known, base + n * unknown, tail_h, tail_n))
-                frame = pd.DataFrame(made, columns=["ids", "n_tokens", "known", "base", "tail_h", "tail_n"])
-                frame.insert(0, "row", np.arange(at, at + len(part)))
-                frame.insert(1, "doc_id", part["doc_id"].astype("Int64").to_numpy())
+            for lo, hi in lots(batch["text"].fillna("").str.len(), 1 << 20):
+                part = batch.iloc[lo:hi]
+                texts = part["text"].tolist()
+                found = [space_words(text) + [END_WORD.encode()] for text in texts]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                ends = np.cumsum(sizes)
+                index = words.places(list(chain.from_iterable(found)))
+                ids = [encoder.encoded(text) if text and "<|" in text else b"".join(map(words.ids.__getitem__, index[end - n:end - 1]))
+                       for text, n, end in zip(texts, sizes.tolist(), ends.tolist())]
+                index, of = np.array(index, np.int64), np.repeat(np.arange(len(found)), sizes)
+                c = words.c[index]
+                base = np.bincount(of, np.log10(np.maximum(c, 0) + 1.0), len(found)) + sizes * unknown
+                tail, n = np.unique(of[c < 0] << 32 | index[c < 0], return_counts=True)
+                cuts = np.searchsorted(tail >> 32, np.arange(1, len(found)))
+                frame = pd.DataFrame({
+                    "row": np.arange(at, at + len(part)), "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                    "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() + last for x in ids], "n_tokens": sizes,
+                    "known": np.bincount(of[c > 0], minlength=len(found)), "base": base,  # a count of 0 gains nothing
+                    "tail_h": np.split(words.h[tail & 0xFFFFFFFF], cuts), "tail_n": np.split(n.astype(np.int32), cuts)})
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
                 at += len(part)
 
@@ -375,49 +427,65 @@ def read_ids(ids: bytes, size: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, size: int, cells: int, keys_of) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, n) summed over the training documents; `keys_of` gives the keys, below `cells`, of one document's ids.
+    """(keys, n) summed over the training documents; `keys_of` gives the keys, below `cells`, of many documents' ids.
 
-    A task holds one count per cell, and sends those above zero.
+    It is given the ids side by side and whether each begins a document. A task holds one count per cell, and sends those above zero;
+    there are no more tasks than cores, as each sends the frequent keys again.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(cells, np.int64 if cells < 1 << 23 else np.int32)
         for b in batches:
-            for ids in b["ids"]:
-                for keys in keys_of(read_ids(ids, size)):
+            for lo, hi in lots(b["ids"].map(len), 1 << 20):
+                ids = b["ids"].iloc[lo:hi].tolist()
+                flat = read_ids(b"".join(ids), size)
+                first = np.zeros(len(flat), bool)
+                first[np.cumsum([0, *map(len, ids[:-1])]) // (2 if size <= 1 << 16 else 4)] = True
+                for keys in keys_of(flat, first):
                     np.add.at(total, keys, 1)
         met = np.flatnonzero(total)
         for lo in range(0, len(met), 100_000):
             yield pd.DataFrame({"key": met[lo:lo + 100_000], "n": total[met[lo:lo + 100_000]].astype(np.int64)})
 
-    found = rows.where(in_training()).select("ids").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    training = rows.where(in_training()).select("ids").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    found = training.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
 def learn_vocabulary(rows: DataFrame, size: int, s: Settings) -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and class prior by three passes of counts, each table bounded by the vocabulary and `s`."""
-    key, n = _summed(rows, size, size, lambda ids: [ids])
+    key, n = _summed(rows, size, size, lambda ids, first: [ids])
     counts = np.zeros(size)
     counts[key] = n
     vocabulary, before = Vocabulary(counts, s), s.before
 
-    def neighbours(ids: np.ndarray) -> list[np.ndarray]:
+    def neighbours(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         near = vocabulary.near[ids]
-        return [np.r_[0, near[:-1]] * size + ids, (before + near[1:]) * size + ids[:-1]]
+        left = np.r_[0, near[:-1]]
+        left[first] = 0
+        inner = ~first[1:]
+        return [left * size + ids, (before + near[1:][inner]) * size + ids[:-1][inner]]
 
     key, n = _summed(rows, size, 2 * before * size, neighbours)
     vocabulary.cluster(pd.DataFrame({"side": key // size // before, "near": key // size % before, "id": key % size, "n": n}))
-    turns = vocabulary.links * size  # from here on: counts of classes after input rows
+    # What follows the frequent ids, whose rows are their links, has been counted. From here on: after the others.
+    often = before - 1
+    known = key < often * size
+    links, after, times = [key[known] // size], [key[known] % size], [n[known]]
+    turns = s.classes * size  # from here on: counts of classes after input rows
 
-    def followers(ids: np.ndarray) -> list[np.ndarray]:
-        link, row = np.r_[0, vocabulary.link[ids[:-1]]], np.r_[0, vocabulary.row[ids[:-1]]]
-        return [link * size + ids, turns + row * s.classes + vocabulary.cls[ids]]
+    def followers(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero((vocabulary.row[ids[:-1]] >= often) & ~first[1:])
+        left, right = ids[at], ids[at + 1]
+        return [vocabulary.cls[left] * size + right, turns + vocabulary.row[left] * s.classes + vocabulary.cls[right]]
 
     key, n = _summed(rows, size, turns + vocabulary.inputs * s.classes, followers)
     prior = np.zeros(vocabulary.inputs * s.classes)
     prior[key[key >= turns] - turns] = n[key >= turns]
+    np.add.at(prior, links[0] * s.classes + vocabulary.cls[after[0]], times[0])
     key, n = key[key < turns], n[key < turns]
-    vocabulary.follow((key // size).astype(np.int32), (key % size).astype(np.int32), n.astype(np.float32))
+    links.append(often + key // size), after.append(key % size), times.append(n)
+    vocabulary.follow(*(np.concatenate(x).astype(kind) for x, kind in ((links, np.int32), (after, np.int32), (times, np.float32))))
     prior = prior.reshape(vocabulary.inputs, s.classes)
     overall = prior.sum(0) + 0.1
     prior += 0.1 + vocabulary.BACK * overall / overall.sum()  # rare ids lean on the classes' shares

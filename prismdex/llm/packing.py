@@ -92,6 +92,13 @@ class Encoder:
             done[n] = b"".join(found)
         return done
 
+    def encoded_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, lowered and without white space."""
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
+        self._learn({w for w in words if w not in self.young})
+        return [self.young[w] for w in words]
+
     def _learn(self, missing: set[bytes]) -> None:
         young, old, new, ended = self.young, self.old, set(), []
         for word in missing:

@@ -325,6 +325,54 @@ def test_language_model_scores_do_not_hang_on_the_layout(spark):
     assert min(one, eight, many) > off * 0.98
 
 
+def test_language_model_looks_each_word_up_once(monkeypatch):
+    encoder, hashed = packing.Encoder(packing.default_tokenizer()), []
+    plain, whole = packing.Encoder(packing.default_tokenizer()), attention_lm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(attention_lm.xxhash, "xxh64_intdigest", lambda w, seed: hashed.append(w) or whole(w, seed))
+    head = sorted(attention_lm._signed(whole(w, 42)) for w in (b"a", b"the", b"seldom"))
+    for keep in (500_000, 3):
+        table, seen = attention_lm.WordTable(encoder, np.array(head), np.array([7, 0, 5]), keep), []
+        for words in ([b"the", b"a", b"the", b"\n"], [b"caf\xc3\xa9!", b"a"], [], [b"xyzzy", b"the", b"rare", b"rare"]):
+            found = table.places(words)
+            assert [table.ids[k] for k in found] == [plain.encoded(w.decode()) for w in words]
+            assert [table.h[k] for k in found] == [attention_lm._signed(whole(w, 42)) for w in words]
+            counts = dict(zip(head, (7, 0, 5)))
+            assert [table.c[k] for k in found] == [counts.get(attention_lm._signed(whole(w, 42)), -1) for w in words]
+            seen += words
+        if keep > 3:
+            assert sorted(hashed) == sorted(set(seen))
+
+
+def test_lots_are_bounded_and_whole():
+    for sizes in ([], [0], [9], [3, 3, 3, 3], [0, 0, 50, 1, 1, 9, 2], [10, 10, 10]):
+        cuts = list(attention_lm.lots(sizes, 10))
+        assert [k for lo, hi in cuts for k in range(lo, hi)] == list(range(len(sizes)))
+        assert all(sum(sizes[lo:hi]) <= 10 or sum(x > 0 for x in sizes[lo:hi]) == 1 for lo, hi in cuts)
+
+
+def test_language_model_vocabulary_equals_plain_counts(spark, monkeypatch):
+    s, size, r = attention_lm.Settings(classes=5, before=4), 30, np.random.default_rng(3)
+    texts = [r.integers(0, 28, n) ** 2 % 29 for n in (1, 2, 9, 40, 200)]
+    held = [k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2][0]
+    learnt = [k for k in range(99) if zlib.crc32(str(k).encode()) % 7 != 2][:len(texts)]
+    rows = [(k, bytearray(x.astype("<u2").tobytes())) for k, x in zip([*learnt, held], [*texts, np.arange(30)])]
+    cells, whole = [], attention_lm._summed
+    monkeypatch.setattr(attention_lm, "_summed", lambda rows, size, n, keys: cells.append(n) or whole(rows, size, n, keys))
+    got, prior = attention_lm.learn_vocabulary(spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3), size, s)
+    # The last pass counts what follows the ids that are not frequent, and no link a second time.
+    assert cells == [size, 2 * s.before * size, s.classes * size + got.inputs * s.classes]
+    follow, classes = {}, np.zeros((got.inputs, s.classes))
+    for x in texts:
+        for before, k in zip([None, *x], x):
+            link, row = (0, 0) if before is None else (got.link[before], got.row[before])
+            follow[link, k] = follow.get((link, k), 0) + 1
+            classes[row, got.cls[k]] += 1
+    assert {(a, b): n for a, b, n in zip(*got.after)} == follow
+    overall = classes.sum(0) + 0.1
+    classes += 0.1 + got.BACK * overall / overall.sum()
+    assert prior == pytest.approx(np.log(classes / classes.sum(1, keepdims=True)), abs=1e-5)
+
+
 def test_packing_words_are_learnt_once(monkeypatch):
     encoder, asked = packing.Encoder(packing.default_tokenizer()), []
     whole = encoder._ids

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from prismdex.config import IndexConfig
 from prismdex.operators import dictionary as D
 from prismdex.operators.analysis import Chain, analyze, expand_synonyms
+from prismdex.operators.sizing import key_ranges
 from prismdex.plans import index as I
 from prismdex.plans.search import browse
 from prismdex.sources import store, xml_records
@@ -112,6 +114,58 @@ def test_kept_words_are_not_looked_for_again(spark, docs, index):
         assert pairs(table) == pairs(getattr(index, name)), name
 
 
+ODD = [(1, "über uns the cold widget", "a"), (2, "Über über zebra ähre", "b"), (3, "東京 cold-widget Ω ωmega", "a"), (4, None, None),
+       (4, "repeated id zebra", "b"), (None, "no id at all", "a"), (5, "", "b"), (6, "a1 b2 zz zebra 3.14", None)]
+ODD_CONFIG = IndexConfig(facets=("kind",))
+
+
+def test_build_in_many_ranges(spark, rows, tmp_path, monkeypatch):
+    """One range of terms after the other gives the tables of one range; every file is sorted."""
+    source = rows("doc_id long, title string, kind string", *ODD)
+    tables, ranges = {}, []
+    for least in (1, 4_000_000):
+        monkeypatch.setattr(I, "key_ranges", lambda *args, least=least: ranges.append(key_ranges(*args, most=3, least_rows=least)) or ranges[-1])
+        path = str(tmp_path / f"index-{least}")
+        I.build_index(spark, source, path, ODD_CONFIG, files=4)
+        I.build_blocks(spark, path, ODD_CONFIG, files=4)
+        build, names = I.current_build(spark, path), ("postings", "grams", "suggestions", "best", "bounds")
+        tables[least] = {name: store.open_table(spark, f"{build}/{name}") for name in names}
+    assert [len(r) for r in ranges[:5]] == [3] * 5 and [len(r) for r in ranges[5:]] == [1] * 5
+    for name, (table, by) in {"postings": ("term", ["term", "doc_id"]), "grams": ("term", ["piece", "at", "term"]), "bounds": ("term", ["term", "block"]),
+                              "suggestions": ("word", ["gram", "doc_freq", "word"]), "best": ("word", ["order", "gram", "rank"])}.items():
+        many, one = (sorted(map(str, tables[least][name].collect())) for least in (1, 4_000_000))
+        assert many == one and many, name
+        in_files = tables[1][name].select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"), F.struct(*by).alias("key"))
+        for r in in_files.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found")).collect():
+            keys = [tuple((v is not None, v.encode() if isinstance(v, str) else v) for v in x.key) for x in r.found]
+            assert keys == sorted(keys), name
+
+
+def test_key_ranges_meet_every_value_once(rows):
+    values = [(x,) for x in ("", "a", "ab", "abc", "aé", "z", "é", "éa", "ω", "東", "東京", "\U0001f600", "\uffee", None)]
+    table = rows("v string", *values)
+    for least in (1, 3, 100):
+        parts = key_ranges(table, "v", least_rows=least)
+        assert len(parts) == max(1, min(8, 13 // least))
+        found = [x for part in parts for x in pairs(table.where(part).fillna("-"))]
+        assert sorted(found) == sorted((v or ("-" if v is None else ""),) for (v,) in values)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, index, tmp_path):
+    def shuffled():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in (kept.apply(i).name() for i in range(kept.size())) if name.startswith("shuffle")}
+
+    before, held = shuffled(), index.postings.select("term", "doc_id", "tf")
+    store.write_table(held, str(tmp_path / "postings"), sort_by=["term", "doc_id"], files=3)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert pairs(held) == pairs(store.open_table(spark, str(tmp_path / "postings")))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_readers_keep_their_build(spark, docs, tmp_path, rows):
     path, asked = str(tmp_path / "index"), rows("query_id long, phrase string", (1, "custom wood"))
     with pytest.raises(FileNotFoundError):
